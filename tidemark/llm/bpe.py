@@ -11,6 +11,7 @@ input are not read, whatever their names.
 from __future__ import annotations
 
 import base64
+from array import array
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -18,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.textscan import PerfectHash, Slice, hash_string, ragged, slices, spans
+from tidemark.llm.textscan import PerfectHash, Slice, hash_string, ragged, slices_of, spans
 
-MEMO = 400_000
+MEMO = 150_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -48,13 +49,6 @@ class Vocabulary:
             except UnicodeDecodeError:
                 continue
         self.whole = PerfectHash(np.array(whole, np.uint64), np.array(ids, np.int64))
-        size = max(ranks.values()) + 1
-        by_id = [b""] * size
-        for piece, rank in ranks.items():
-            by_id[rank] = piece
-        self.bytes = np.frombuffer(b"".join(by_id), np.uint8)
-        self.lengths = np.array([len(x) for x in by_id], np.int64)
-        self.starts = np.cumsum(self.lengths) - self.lengths
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: the pair of least rank merges first, the leftmost of equals."""
@@ -81,7 +75,7 @@ class Vocabulary:
                 heappush(heap, (r << 32) | h)
         return [x for x in ids if x >= 0]
 
-    def encode(self, s: Slice, memo: dict[int, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, s: Slice, memo: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a slice, and how many each of its texts has."""
         start, end = spans(s)
         keys = Slice.hashes(s.prefix(), start, end)
@@ -90,16 +84,15 @@ class Vocabulary:
         missed = np.flatnonzero(found < 0)
         once, first, at = np.unique(keys[missed], return_index=True, return_inverse=True)
         begin, stop = start[missed[first]].tolist(), end[missed[first]].tolist()
-        flat: list[int] = []
-        counts = np.empty(len(once), np.int64)
         if len(memo) > MEMO:
             memo.clear()
-        for k, (key, a, b) in enumerate(zip(once.tolist(), begin, stop, strict=True)):
+        packed = []
+        for key, a, b in zip(once.tolist(), begin, stop, strict=True):
             got = memo.get(key)
             if got is None:
-                got = memo[key] = self.merge(s.text[a:b].encode("utf-8", "surrogatepass"))
-            flat.extend(got)
-            counts[k] = len(got)
+                got = memo[key] = array("i", self.merge(s.text[a:b].encode("utf-8", "surrogatepass"))).tobytes()
+            packed.append(got)
+        counts = np.array([len(x) // 4 for x in packed], np.int64)
         sizes[missed] = counts[at]
         place = np.cumsum(sizes) - sizes
         out = np.empty(int(sizes.sum()), np.int32)
@@ -107,11 +100,24 @@ class Vocabulary:
         out[place[hit]] = found[hit]
         if len(missed):
             flat_start = np.cumsum(counts) - counts
-            out[ragged(place[missed], counts[at])] = np.array(flat, np.int32)[ragged(flat_start[at], counts[at])]
+            out[ragged(place[missed], counts[at])] = np.frombuffer(b"".join(packed), np.int32)[ragged(flat_start[at], counts[at])]
         per_text = np.zeros(len(s.texts), np.int64)
         np.add.at(per_text, s.doc_of(start), sizes)
         return out, per_text
 
+
+class Decoder:
+    """The bytes of every id, end to end."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        size = max(ranks.values()) + 1
+        by_id = [b""] * size
+        for piece, rank in ranks.items():
+            by_id[rank] = piece
+        self.bytes = np.frombuffer(b"".join(by_id), np.uint8)
+        self.lengths = np.array([len(x) for x in by_id], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of all ids, and how many each id has."""
         lengths = self.lengths[ids]
@@ -125,8 +131,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     def run(batches):
         vocabulary, memo = voc.value, {}
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for first, s in slices(texts):
+            for first, s in slices_of(batch.column(1)):
                 ids, counts = vocabulary.encode(s, memo)
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -140,21 +145,21 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
 def decode_ids(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     """(id, n_tokens, packed, decoded): ids as little-endian unsigned 32-bit integers, and the bytes they stand for."""
-    voc = encoded.sparkSession.sparkContext.broadcast(Vocabulary(load_ranks(path)))
+    tables = encoded.sparkSession.sparkContext.broadcast(Decoder(load_ranks(path)))
 
     def binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
     def run(batches):
-        vocabulary = voc.value
+        decoder = tables.value
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 lists = batch.column(1)
                 counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                data, lengths = vocabulary.decode(ids)
+                data, lengths = decoder.decode(ids)
                 total = np.concatenate([[0], np.cumsum(lengths)])
                 edge = np.concatenate([[0], np.cumsum(counts)])
                 packed = np.frombuffer(ids.astype("<u4").tobytes(), np.uint8)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.tables import Forest, bounds, by_sorted_key, components, cut, stage
-from tidemark.llm.textscan import Slice, mix, runs, slices
+from tidemark.llm.textscan import Slice, mix, runs, slices_of
 
 SHINGLE = 5
 SMALL, EQUAL, COORDINATES = 64, 20, 64
@@ -116,7 +116,7 @@ def fingerprints(docs: DataFrame, share: tuple[int, int] = (3, 4), id_col: str =
 
     def run(batches):
         for batch in batches:
-            for first, s in slices([t or "" for t in batch.column(1).to_pylist()]):
+            for first, s in slices_of(batch.column(1)):
                 hashes, doc = shingle_hashes(s)
                 edge = np.searchsorted(doc, np.arange(len(s.texts) + 1))
                 n, ids, points, signs = [], [], [], []
@@ -141,7 +141,7 @@ def _sets(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for first, s in slices([t or "" for t in batch.column(1).to_pylist()]):
+            for first, s in slices_of(batch.column(1)):
                 hashes, doc = shingle_hashes(s)
                 edge = np.searchsorted(doc, np.arange(len(s.texts) + 1))
                 sets = [np.unique(hashes[edge[i] : edge[i + 1]]) for i in range(len(s.texts))]

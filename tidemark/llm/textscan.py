@@ -12,7 +12,9 @@ from functools import lru_cache
 
 import numpy as np
 
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 18
+#: Rows of an Arrow batch that are Python strings at one time.
+ROWS = 512
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: Unicode White_Space, fixed by the standard.
 WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -119,6 +121,19 @@ def slices(texts: list[str], limit: int = SLICE_CHARS) -> Iterator[tuple[int, Sl
         yield first, Slice(texts[first:])
 
 
+def text_chunks(column) -> Iterator[tuple[int, list[str]]]:
+    """(index of the first row, texts) of an Arrow string column, some rows at a time; null is the empty text."""
+    for at in range(0, len(column), ROWS):
+        yield at, [t or "" for t in column.slice(at, ROWS).to_pylist()]
+
+
+def slices_of(column) -> Iterator[tuple[int, Slice]]:
+    """(index of the first row, slice) over an Arrow string column."""
+    for at, texts in text_chunks(column):
+        for first, s in slices(texts):
+            yield at + first, s
+
+
 def hash_string(s: str) -> int:
     one = Slice([s])
     return int(Slice.hashes(one.prefix(), np.array([0]), np.array([len(one.codes)]))[0])

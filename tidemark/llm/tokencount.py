@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.textscan import PerfectHash, Slice, hash_string, plain_spans, slices
+from tidemark.llm.textscan import PerfectHash, Slice, hash_string, plain_spans, slices, text_chunks
 
-MEMO = 400_000
+MEMO = 200_000
 
 
 def _byte_letters() -> list[str]:
@@ -180,16 +180,16 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
         counter, memo = tables.value, {}
         special = re.compile("|".join(map(re.escape, counter.specials)) or "(?!)")
         for batch in batches:
-            pieces, owner, extra = [], [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                t = t or ""
-                parts = special.split(t) if "<|" in t else [t]
-                extra.append(len(parts) - 1)
-                pieces += [_normal(p) for p in parts]
-                owner += [i] * len(parts)
-            total = np.array(extra, np.int64)
-            for first, s in slices(pieces):
-                np.add.at(total, owner[first : first + len(s.texts)], counter.count(s, memo))
+            total = np.zeros(batch.num_rows, np.int64)
+            for at, texts in text_chunks(batch.column(1)):
+                pieces, owner = [], []
+                for i, t in enumerate(texts, at):
+                    parts = special.split(t) if "<|" in t else [t]
+                    total[i] = len(parts) - 1
+                    pieces += [_normal(p) for p in parts]
+                    owner += [i] * len(parts)
+                for first, s in slices(pieces):
+                    np.add.at(total, owner[first : first + len(s.texts)], counter.count(s, memo))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(total)], [id_col, "n_bytes", "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()

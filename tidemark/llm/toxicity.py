@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.pii import ASCII
 from tidemark.llm.tables import cut
-from tidemark.llm.textscan import LETTER, NUMBER, Slice, classes, lower_codes
+from tidemark.llm.textscan import LETTER, NUMBER, Slice, classes, lower_codes, text_chunks
 
 #: Labelled documents the lexicon is fitted on, at most about this many, chosen by a hash of the id.
 FIT_ROWS = 12_000
@@ -151,7 +151,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
     def run(batches):
         lexicon = lexicon_of(built.value)
         for batch in batches:
-            raw = np.array([lexicon.raw(t) if t else 0.0 for t in batch.column(1).to_pylist()], np.float64)
+            raw = np.array([lexicon.raw(t) if t else 0.0 for _, texts in text_chunks(batch.column(1)) for t in texts], np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw / (raw + scale))], [id_col, "score"])
 
     scored = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double")
