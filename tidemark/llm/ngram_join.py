@@ -301,9 +301,24 @@ def jaccard_components(docs: DataFrame, share: tuple[int, int] = (3, 4), id_col:
     return out.select(id_col, "n_shingles", F.coalesce("head", F.col(id_col)).alias("component_id"))
 
 
+#: Ids to drop are broadcast up to this many (16 bytes each); beyond, the join shuffles.
+BROADCAST_IDS = 1_000_000
+
+
+def _some(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def keep_one_each(docs: DataFrame, share: tuple[int, int] = (3, 4), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, one row of each component (that of the smallest id); of rows with that same id, the first by text."""
-    heads = jaccard_components(docs, share, id_col, text_col).where(F.col(id_col).isNull() | (F.col(id_col) == F.col("component_id"))).select(id_col).distinct()
-    kept = docs.join(heads, docs[id_col].eqNullSafe(heads[id_col]), "left_semi")
-    with_null = kept.where(F.col(id_col).isNull())
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(with_null)
+    """The documents, one row of each component, that of the smallest id; of rows with one id, one; rows without an id stay.
+
+    Only ids are joined and dealt out; the texts stay where they are, but for those of rows that share an id.
+    """
+    named = cut(jaccard_components(docs, share, id_col, text_col)).where(F.col(id_col).isNotNull())
+    losers = named.where(F.col(id_col) != F.col("component_id")).select(id_col)
+    twins = cut(named.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(id_col))
+    kept = docs.join(_some(cut(losers.union(twins).distinct())), id_col, "left_anti")
+    if twins.isEmpty():
+        return kept.select(docs.columns)
+    once = docs.join(twins.join(losers.distinct(), id_col, "left_anti"), id_col, "left_semi").dropDuplicates([id_col])
+    return kept.select(docs.columns).unionByName(once.select(docs.columns))
