@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.textscan import LETTER, Slice, _powers, classes, code_values, lower_codes, mix, runs, slices
+from tidemark.llm.textscan import LETTER, Slice, _powers, classes, code_values, lower_codes, mix, runs, slices_of
 
 #: Labelled documents a language is learned from, at most, and the letters taken from all of its documents together.
 FIT_DOCS, FIT_LETTERS = 1_500, 3_000_000
 ROUNDS = 4
 PIECE_CHARS, WORD_CHARS = 8, 32
 FLOOR = 1e-7
-MEMO = 300_000
+MEMO = 100_000
 #: A text's log odds count in full up to this many letters; beyond, they are scaled down, so that scores compare.
 FULL_LETTERS = 60
 
@@ -167,6 +167,7 @@ class Model:
         if len(memo) > MEMO:
             memo.clear()
         listed = once.tolist()
+        rows = memo.setdefault("rows", np.zeros((0, langs)))
         fresh = [i for i, k in enumerate(listed) if k not in memo]
         if fresh:
             a, b = start[first[fresh]], end[first[fresh]]
@@ -175,8 +176,9 @@ class Model:
             text = codes[np.repeat(a - edges[:-1], sizes) + np.arange(edges[-1])]
             alpha = forward(self.pieces.lattice(text, edges), edges, self.table)
             logs = np.log(alpha[edges[1:] + np.arange(len(sizes))])
-            memo.update(zip([listed[i] for i in fresh], map(tuple, logs.tolist()), strict=True))
-        logs = np.array([memo[k] for k in listed])[at]
+            memo.update(zip([listed[i] for i in fresh], range(len(rows), len(rows) + len(fresh)), strict=True))
+            rows = memo["rows"] = np.concatenate([rows, logs])
+        logs = rows[[memo[k] for k in listed]][at]
         doc = s.doc_of(start)
         letters = np.bincount(doc, weights=end - start, minlength=n)
         total = np.stack([np.bincount(doc, weights=logs[:, k], minlength=n) for k in range(langs)], axis=1)
@@ -195,12 +197,13 @@ def fit(docs: DataFrame, path: str, fit_docs: int = FIT_DOCS, fit_letters: int =
     known = docs.where(F.col(lang_col).isNotNull() & (_part(F.col(id_col)) != 1)).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
     sizes = known.groupBy("l").agg(F.count("*").alias("n"))
     share = F.least(F.lit(1.0), fit_docs / F.col("n")) * (1 << 30)
-    chosen = known.join(sizes, "l").where(F.pmod(F.xxhash64(F.lit(2), "i"), F.lit(1 << 30)) < share)
+    small = sizes.count() <= 100_000  # one row for each language
+    chosen = known.join(F.broadcast(sizes) if small else sizes, "l").where(F.pmod(F.xxhash64(F.lit(2), "i"), F.lit(1 << 30)) < share)
 
     def count(batches):
         for batch in batches:
-            texts, langs = [t or "" for t in batch.column(0).to_pylist()], batch.column(1).to_pylist()
-            for at, s in slices(texts):
+            langs = batch.column(1).to_pylist()
+            for at, s in slices_of(batch.column(0)):
                 codes, start, end = _letters_of(s)
                 if not len(start):
                     continue
@@ -235,7 +238,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         m, memo = shared.value, {}
         names = np.array([*m.langs, "und"], object)
         for batch in batches:
-            for first, s in slices([t or "" for t in batch.column(1).to_pylist()]):
+            for first, s in slices_of(batch.column(1)):
                 letters, best, score = m.predict(s, memo)
                 pred = names[np.where((letters > 0) & bool(m.langs), best, len(m.langs))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(s.texts)), pa.array(pred, pa.string()), pa.array(score), pa.array(letters.astype(np.int64))], [id_col, "lang_pred", "score", "letters"])
@@ -255,12 +258,14 @@ def keep_identified(docs: DataFrame, path: str, least: float = 0.5, id_col: str
     model = fit(docs, path, id_col=id_col, text_col=text_col, lang_col=lang_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("double")
-    def sure(texts: pa.Array) -> pa.Array:
-        m, memo, out = shared.value, _MEMO, []
-        for _, s in slices([t or "" for t in texts.to_pylist()]):
-            out.append(m.predict(s, memo)[2])
-        return pa.array(np.concatenate(out) if out else np.zeros(0))
+    at = docs.columns.index(text_col)
 
-    _MEMO: dict = {}
-    return docs.where(sure(F.col(text_col)) >= least)
+    def run(batches):
+        m, memo = shared.value, {}
+        for batch in batches:
+            for first, s in slices_of(batch.column(at)):
+                keep = m.predict(s, memo)[2] >= least
+                yield batch.slice(first, len(s.texts)).filter(pa.array(keep))
+            pa.default_memory_pool().release_unused()
+
+    return docs.mapInArrow(run, docs.schema)

@@ -198,8 +198,8 @@ def inspect(media: Column, declared: Column) -> Column:
     @F.arrow_udf(FOUND)
     def found(blobs: pa.Array, kinds: pa.Array) -> pa.Array:
         machine, out = automaton(), []
-        for blob, kind in zip(blobs.to_pylist(), kinds.to_pylist(), strict=True):
-            blob = blob or b""
+        for i in range(len(blobs)):
+            blob, kind = blobs[i].as_py() or b"", kinds[i].as_py()
             objects = sniff(blob, machine)
             own = objects[0][2] if objects and objects[0][0] == 0 else None
             offset, size = wave_payload(blob) if own == "wav" else (0, len(blob))

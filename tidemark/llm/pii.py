@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.textscan import ROWS, text_chunks
+
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -205,7 +207,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def run(batches):
         for batch in batches:
-            spans = [_spans_of(t) if t else [] for t in batch.column(1).to_pylist()]
+            spans = [_spans_of(t) if t else [] for _, texts in text_chunks(batch.column(1)) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], [id_col, "spans"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, spans {SPAN}")
@@ -229,25 +231,28 @@ def pii_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return found.select(id_col, *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), added)
 
 
+def masked(text: str) -> str:
+    parts, at = [], 0
+    for s in _spans_of(text):
+        if s["start"] >= at:
+            parts += [text[at : s["start"]], f"<{KINDS[s['kind']].upper()}>"]
+            at = s["end"]
+    return "".join([*parts, text[at:]])
+
+
 def mask_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents with every span replaced by ``<KIND>``; null texts stay null, other columns as they are."""
+    at = docs.columns.index(text_col)
 
-    @F.arrow_udf("string")
-    def masked(texts: pa.Array) -> pa.Array:
-        out = []
-        for t in texts.to_pylist():
-            if t:
-                parts, at = [], 0
-                for s in _spans_of(t):
-                    if s["start"] < at:
-                        continue
-                    parts += [t[at : s["start"]], f"<{KINDS[s['kind']].upper()}>"]
-                    at = s["end"]
-                t = "".join([*parts, t[at:]])
-            out.append(t)
-        return pa.array(out, pa.string())
-
-    return docs.withColumn(text_col, masked(F.col(text_col)))
+    def run(batches):
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(first, ROWS)
+                texts = pa.array([masked(t) if t else t for t in batch.column(at).to_pylist()], batch.schema.field(at).type)
+                yield batch.set_column(at, batch.schema.field(at), texts)
+            pa.default_memory_pool().release_unused()
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def mask_and_count(docs: DataFrame, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
