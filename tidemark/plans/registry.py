@@ -1,6 +1,241 @@
-def queries():
-    return {}
+"""Every query of the market operators over the tables, and the SQL it must agree with.
 
+Keys begin with the operator's id in the inventory. Doubles are rounded to 6 places on both sides.
+"""
 
-def oracle_sql():
-    return {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+from tidemark.operators import asof, bars, evaluation, features, quality
+from tidemark.sources import views
+
+HOUR = 3_600_000
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(f.name, 6).alias(f.name) if isinstance(f.dataType, DoubleType) else F.col(f.name) for f in df.schema.fields])
+
+
+def _hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars.trade_bars(views.trades(spark, sf_dir), HOUR)
+
+
+def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars.fill_bars(_hourly(spark, sf_dir), HOUR)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars, filled, with momentum, spread of means and range, against the next bar's return, by symbol."""
+    dense = _dense(spark, sf_dir)
+    joined = features.momentum(dense).join(features.sma_spread(dense, 3, 12), ["symbol", "open_time"]).join(features.atr(dense), ["symbol", "open_time"]).join(features.next_return(dense), ["symbol", "open_time"])
+    usable = joined.where("momentum_10 is not null and sma_spread is not null and atr is not null and target is not null")
+    out = usable.groupBy("symbol").agg(
+        F.count("*").alias("n"), F.avg(F.col("target") ** 2).alias("mse_zero"), F.corr("momentum_1", "target").alias("momentum_corr"),
+        F.corr("sma_spread", "target").alias("spread_corr"), F.avg((F.signum("momentum_1") == F.signum("target")).cast("double")).alias("sign_accuracy"), F.avg("atr").alias("mean_atr"),
+    )
+    return rounded(out)
+
+
+V = views.SQL
+DENSE = (
+    V
+    + """, ends AS (SELECT symbol, min(open_time) a, max(open_time) b FROM v_bars GROUP BY 1),
+spine AS (SELECT symbol, unnest(generate_series(a, b, 3600000)) AS open_time FROM ends),
+held AS (SELECT s.symbol, s.open_time, open, high, low, close, volume, quote_volume, trade_count, buy_volume,
+    last_value(close IGNORE NULLS) OVER (PARTITION BY s.symbol ORDER BY s.open_time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prior
+  FROM spine s LEFT JOIN v_bars b ON b.symbol = s.symbol AND b.open_time = s.open_time),
+dense AS (SELECT symbol, open_time, coalesce(open, prior) AS open, coalesce(high, prior) AS high, coalesce(low, prior) AS low, coalesce(close, prior) AS close,
+    coalesce(volume, 0) AS volume, coalesce(quote_volume, 0) AS quote_volume, coalesce(trade_count, 0) AS trade_count, coalesce(buy_volume, 0) AS buy_volume FROM held)
+"""
+)
+BY = "(PARTITION BY symbol ORDER BY open_time)"
+
+
+def _frame(n: int) -> str:
+    return f"(PARTITION BY symbol ORDER BY open_time ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+
+
+def _r(*cols: str) -> str:
+    return ", ".join(f"round({c}, 6) AS {c.split('.')[-1]}" for c in cols)
+
+
+FLAGSHIP_SQL = (
+    DENSE
+    + f""", moved AS (SELECT *, close / lag(close, 1) OVER {BY} - 1 AS m1, close / lag(close, 10) OVER {BY} - 1 AS m10, lag(close) OVER {BY} AS before,
+    CASE WHEN count(close) OVER {_frame(12)} = 12 THEN avg(close) OVER {_frame(3)} / avg(close) OVER {_frame(12)} - 1 END AS sma,
+    ln(lead(open, 2) OVER {BY} / lead(open, 1) OVER {BY}) * 10000 AS target FROM dense),
+ranged AS (SELECT *, greatest(high - low, abs(high - before), abs(low - before)) AS tr FROM moved),
+atr AS (SELECT *, CASE WHEN count(tr) OVER {_frame(14)} = 14 THEN avg(tr) OVER {_frame(14)} / close END AS atr FROM ranged)
+SELECT symbol, count(*) AS n, round(avg(target ** 2), 6) AS mse_zero, round(corr(m1, target), 6) AS momentum_corr, round(corr(sma, target), 6) AS spread_corr,
+  round(avg((sign(m1) = sign(target))::INT::DOUBLE), 6) AS sign_accuracy, round(avg(atr), 6) AS mean_atr
+FROM atr WHERE m10 IS NOT NULL AND sma IS NOT NULL AND atr IS NOT NULL AND target IS NOT NULL GROUP BY 1"""
+)
+
+#: name -> (query, SQL)
+_ALL: dict[str, tuple[Query, str]] = {
+    "flagship": (flagship, FLAGSHIP_SQL),
+    "R01_trade_bars": (_hourly, V + "SELECT symbol, open_time, " + _r("open", "high", "low", "close", "volume", "quote_volume", "buy_volume") + ", trade_count FROM v_bars"),
+    "R02_fill_bars": (_dense, DENSE + "SELECT symbol, open_time, " + _r("open", "high", "low", "close", "volume", "quote_volume", "buy_volume") + ", trade_count FROM dense"),
+    "R06_quote_bars": (
+        lambda s, d: bars.quote_bars(views.quotes(s, d), HOUR),
+        V
+        + """, q AS (SELECT *, (bid + ask) / 2 AS mid, (ask - bid) / ((bid + ask) / 2) * 10000 AS spread, (bid_qty - ask_qty) / (bid_qty + ask_qty) AS imbalance, event_ms - txn_ms AS delay FROM v_quotes)
+SELECT symbol, event_ms // 3600000 * 3600000 AS open_time, round(arg_min(mid, (event_ms, update_id)), 6) AS open, round(max(mid), 6) AS high, round(min(mid), 6) AS low, round(arg_max(mid, (event_ms, update_id)), 6) AS close,
+  round(avg(spread), 6) AS mean_spread, round(max(spread), 6) AS max_spread, round(avg(imbalance), 6) AS mean_imbalance, round(arg_max(imbalance, (event_ms, update_id)), 6) AS close_imbalance,
+  round(quantile_cont(delay, 0.5), 6) AS delay_p50, round(quantile_cont(delay, 0.99), 6) AS delay_p99 FROM q GROUP BY 1, 2""",
+    ),
+    "R09_rebar": (
+        lambda s, d: bars.rebar(_dense(s, d), HOUR, 4),
+        DENSE + "SELECT symbol, open_time // 14400000 * 14400000 AS open_time, round(arg_min(open, open_time), 6) AS open, round(max(high), 6) AS high, round(min(low), 6) AS low, round(arg_max(close, open_time), 6) AS close, round(sum(volume), 6) AS volume FROM dense GROUP BY 1, 2 HAVING count(*) = 4",
+    ),
+    "R10_clock_spine": (lambda s, d: bars.clock_spine(_hourly(s, d), HOUR), DENSE + "SELECT symbol, open_time FROM spine"),
+    "R12_calendar_features": (
+        lambda s, d: bars.calendar_features(_hourly(s, d).select("symbol", "open_time"), "open_time"),
+        V
+        + """SELECT symbol, open_time, ((open_time // 86400000 + 3) % 7)::INT AS weekday, round(sin(d), 6) AS day_sin, round(cos(d), 6) AS day_cos, round(sin(w), 6) AS week_sin, round(cos(w), 6) AS week_cos
+FROM (SELECT *, (open_time % 86400000) / 86400000.0::DOUBLE * 2 * 3.141592653589793::DOUBLE AS d, ((open_time + 259200000) % 604800000) / 604800000.0::DOUBLE * 2 * 3.141592653589793::DOUBLE AS w FROM v_bars)""",
+    ),
+    "Q02_coverage_report": (
+        lambda s, d: quality.coverage_report(_hourly(s, d), HOUR),
+        V
+        + f""", g AS (SELECT symbol, open_time, open_time - lag(open_time) OVER {BY} AS gap FROM v_bars)
+SELECT symbol, count(*) AS bars, min(open_time) AS first_time, max(open_time) AS last_time, count(*) FILTER (gap > 5400000) AS gaps, coalesce(max(gap), 0) AS largest_gap,
+  round(count(*) / ((max(open_time) - min(open_time)) / 3600000.0::DOUBLE + 1), 6) AS coverage FROM g GROUP BY 1""",
+    ),
+    "Q05_id_sequence_audit": (
+        lambda s, d: quality.id_sequence_audit(views.trades(s, d)),
+        V
+        + """, g AS (SELECT symbol, id = lag(id) OVER w AS dup, t < lag(t) OVER w AS back, first_id - lag(last_id) OVER w - 1 AS gap FROM v_trades WINDOW w AS (PARTITION BY symbol ORDER BY id))
+SELECT symbol, count(*) AS n, count(*) FILTER (dup) AS duplicates, count(*) FILTER (back) AS time_regressions, coalesce(sum(greatest(gap, 0)), 0)::BIGINT AS missing_ids FROM g GROUP BY 1""",
+    ),
+    "Q09_raw_evidence": (lambda s, d: quality.raw_evidence(views.trades(s, d)), V + "SELECT symbol, count(*) AS n, min(t) AS first_t, max(t) AS last_t, min(id) AS first_id, max(id) AS last_id FROM v_trades GROUP BY 1"),
+    "Q14_support_bounds": (
+        lambda s, d: quality.support_bounds(views.trades(s, d), "price", "symbol"),
+        V + "SELECT symbol, round(low, 6) AS low, round(q1, 6) AS q1, round(q3, 6) AS q3, round(high, 6) AS high, round(q1 - 1.5 * (q3 - q1), 6) AS lower_fence, round(q3 + 1.5 * (q3 - q1), 6) AS upper_fence FROM (SELECT symbol, min(price) AS low, quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.75) AS q3, max(price) AS high FROM v_trades GROUP BY 1)",
+    ),
+    "Q15_dedupe_conflicts": (
+        lambda s, d: quality.dedupe_conflicts(views.closed_trades(s, d), ["symbol", "entry"], ["exit"]),
+        V + "SELECT symbol, entry, count(*) AS n, count(DISTINCT exit) AS contents, count(DISTINCT exit) > 1 AS conflict FROM v_closed GROUP BY 1, 2",
+    ),
+    "J01_asof_join": (
+        lambda s, d: asof.asof_join(views.requests(s, d), views.quotes(s, d).select("symbol", "event_ms", "update_id", "bid", "ask"), "symbol", "t", "event_ms", "update_id"),
+        V + "SELECT r.id, r.symbol, r.t, q.event_ms AS r_event_ms, q.update_id AS r_update_id, round(q.bid, 6) AS r_bid, round(q.ask, 6) AS r_ask FROM v_requests r ASOF LEFT JOIN v_quotes q ON r.symbol = q.symbol AND r.t >= q.event_ms",
+    ),
+    "J02_asof_quotes": (
+        lambda s, d: asof.asof_quotes(views.requests(s, d), views.quotes(s, d), 1_800_000).select("id", "symbol", "age", "valid"),
+        V + "SELECT r.id, r.symbol, r.t - q.event_ms AS age, coalesce(r.t - q.event_ms BETWEEN 0 AND 1800000 AND bid > 0 AND bid < ask AND bid_qty > 0 AND ask_qty > 0, false) AS valid FROM v_requests r ASOF LEFT JOIN v_quotes q ON r.symbol = q.symbol AND r.t >= q.event_ms",
+    ),
+    "J04_exact_horizon_join": (
+        lambda s, d: asof.exact_horizon_join(_hourly(s, d).select("symbol", "open_time", "close"), 2 * HOUR),
+        V + "SELECT a.symbol, a.open_time, round(a.close, 6) AS close, round(b.close, 6) AS later_close FROM v_bars a JOIN v_bars b ON a.symbol = b.symbol AND b.open_time = a.open_time + 7200000 WHERE a.open_time // 86400000 = b.open_time // 86400000",
+    ),
+    "J07_trailing_event_sum": (
+        lambda s, d: asof.trailing_event_sum(_hourly(s, d).select("symbol", "open_time"), views.trades(s, d), 24 * HOUR, "qty"),
+        V + "SELECT b.symbol, b.open_time, round(coalesce(sum(t.qty), 0), 6) AS trailing FROM v_bars b LEFT JOIN v_trades t ON t.symbol = b.symbol AND t.t <= b.open_time AND t.t > b.open_time - 86400000 GROUP BY 1, 2",
+    ),
+    "F01_momentum": (lambda s, d: features.momentum(_dense(s, d)), DENSE + "SELECT symbol, open_time, " + ", ".join(f"round(close / lag(close, {k}) OVER {BY} - 1, 6) AS momentum_{k}" for k in (1, 3, 10)) + " FROM dense"),
+    "F03_rsi": (
+        lambda s, d: features.rsi(_dense(s, d)),
+        DENSE
+        + f""", d AS (SELECT symbol, open_time, close - lag(close) OVER {BY} AS d FROM dense),
+g AS (SELECT symbol, open_time, count(d) OVER {_frame(14)} AS n, avg(CASE WHEN d IS NULL THEN 0 ELSE greatest(d, 0) END) OVER {_frame(14)} AS gain, avg(CASE WHEN d IS NULL THEN 0 ELSE greatest(-d, 0) END) OVER {_frame(14)} AS loss FROM d)
+SELECT symbol, open_time, round(CASE WHEN n = 14 THEN CASE WHEN loss = 0 THEN 100 ELSE 100 - 100 / (1 + gain / loss) END END, 6) AS rsi FROM g""",
+    ),
+    "F04_atr": (
+        lambda s, d: features.atr(_dense(s, d)),
+        DENSE
+        + f""", d AS (SELECT *, greatest(high - low, abs(high - lag(close) OVER {BY}), abs(low - lag(close) OVER {BY})) AS tr FROM dense)
+SELECT symbol, open_time, round(CASE WHEN count(tr) OVER {_frame(14)} = 14 THEN avg(tr) OVER {_frame(14)} / close END, 6) AS atr FROM d""",
+    ),
+    "F09_realised_volatility": (
+        lambda s, d: features.realised_volatility(_dense(s, d), 24),
+        DENSE + f", d AS (SELECT *, ln(close / lag(close) OVER {BY}) AS r FROM dense) SELECT symbol, open_time, round(CASE WHEN count(r) OVER {_frame(24)} = 24 THEN stddev_pop(r) OVER {_frame(24)} END, 6) AS volatility FROM d",
+    ),
+    "F11_path_efficiency": (
+        lambda s, d: features.path_efficiency(_dense(s, d), 12),
+        DENSE
+        + f""", d AS (SELECT *, abs(close - lag(close) OVER {BY}) AS d, lag(close, 12) OVER {BY} AS past FROM dense)
+SELECT symbol, open_time, round(CASE WHEN count(d) OVER {_frame(12)} = 12 THEN CASE WHEN sum(d) OVER {_frame(12)} > 0 THEN abs(close - past) / sum(d) OVER {_frame(12)} ELSE 0 END END, 6) AS efficiency FROM d""",
+    ),
+    "F13_cross_section": (
+        lambda s, d: features.cross_section(_dense(s, d)),
+        DENSE + f", d AS (SELECT open_time, close / lag(close) OVER {BY} - 1 AS r FROM dense) SELECT open_time, round(avg(r), 6) AS mean, round(stddev_pop(r), 6) AS dispersion, round(abs(avg(sign(r))), 6) AS agreement, count(*) AS n FROM d WHERE r IS NOT NULL GROUP BY 1",
+    ),
+    "F28_order_flow_imbalance": (
+        lambda s, d: features.order_flow_imbalance(views.quotes(s, d)),
+        V
+        + """SELECT symbol, update_id, round(CASE WHEN lag(bid) OVER w IS NOT NULL THEN (CASE WHEN bid >= lag(bid) OVER w THEN bid_qty ELSE 0 END - CASE WHEN bid <= lag(bid) OVER w THEN lag(bid_qty) OVER w ELSE 0 END)
+  - (CASE WHEN ask <= lag(ask) OVER w THEN ask_qty ELSE 0 END - CASE WHEN ask >= lag(ask) OVER w THEN lag(ask_qty) OVER w ELSE 0 END) END, 6) AS ofi
+FROM v_quotes WINDOW w AS (PARTITION BY symbol ORDER BY event_ms, update_id)""",
+    ),
+    "T01_fixed_horizon_return": (lambda s, d: features.next_return(_dense(s, d)), DENSE + f"SELECT symbol, open_time, round(ln(lead(open, 2) OVER {BY} / lead(open, 1) OVER {BY}) * 10000, 6) AS target FROM dense"),
+    "P05_equal_windows": (
+        lambda s, d: evaluation.equal_windows(views.predictions(s, d), 8),
+        V
+        + """, days AS (SELECT day, count(*) AS rows FROM v_predictions GROUP BY 1), w AS (SELECT *, ((row_number() OVER (ORDER BY day) - 1) * 8 // count(*) OVER () + 1)::INT AS "window" FROM days)
+SELECT "window", min(day) AS first_day, max(day) AS last_day, sum(rows)::BIGINT AS n FROM w GROUP BY 1""",
+    ),
+    "P10_group_equal_weights": (lambda s, d: evaluation.day_weights(views.predictions(s, d)), V + "SELECT id, round(1.0::DOUBLE / count(*) OVER (PARTITION BY day), 6) AS weight FROM v_predictions"),
+    "E01_binary_metrics": (
+        lambda s, d: evaluation.binary_metrics(views.predictions(s, d)),
+        V + "SELECT count(*) AS n, round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 6) AS log_loss, round(avg((p - y) ** 2), 6) AS brier, round(avg(((p >= 0.5)::INT = y)::INT::DOUBLE), 6) AS accuracy, round(avg(y::DOUBLE), 6) AS prevalence FROM v_predictions",
+    ),
+    "E05_roc_auc": (
+        lambda s, d: evaluation.roc_auc(views.predictions(s, d)),
+        V
+        + """, c AS (SELECT p, sum(y)::DOUBLE AS pos, sum(1 - y)::DOUBLE AS neg FROM v_predictions GROUP BY 1), b AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c)
+SELECT round(sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)), 6) AS auc FROM b""",
+    ),
+    "E07_calibration_error": (
+        lambda s, d: evaluation.calibration_error(views.predictions(s, d)),
+        V + ", c AS (SELECT least(floor(p * 10), 9) AS bin, count(*) AS n, avg(p) AS p, avg(y::DOUBLE) AS y FROM v_predictions GROUP BY 1) SELECT round(sum(n * abs(p - y)) / sum(n), 6) AS ece FROM c",
+    ),
+    "E08_confusion": (
+        lambda s, d: evaluation.confusion(views.predictions(s, d)),
+        V
+        + """, c AS (SELECT count(*) FILTER (p >= 0.5 AND y = 1) AS tp, count(*) FILTER (p >= 0.5 AND y = 0) AS fp, count(*) FILTER (p < 0.5 AND y = 0) AS tn, count(*) FILTER (p < 0.5 AND y = 1) AS fn FROM v_predictions)
+SELECT *, round((tp / (tp + fn)::DOUBLE + tn / (tn + fp)::DOUBLE) / 2, 6) AS balanced_accuracy FROM c""",
+    ),
+    "E09_daily_metric": (lambda s, d: evaluation.daily_metric(views.predictions(s, d)), V + "SELECT day, count(*) AS n, round(avg((p - y) ** 2), 6) AS brier FROM v_predictions GROUP BY 1"),
+    "E21_replay_metrics": (
+        lambda s, d: evaluation.replay_metrics(views.closed_trades(s, d)),
+        V
+        + """SELECT symbol, count(*) AS trades, round(sum(pnl), 6) AS net, round(median(pnl), 6) AS median, round(avg((pnl > 0)::INT::DOUBLE), 6) AS positive_rate,
+  round(CASE WHEN -sum(least(pnl, 0)) > 0 THEN sum(greatest(pnl, 0)) / -sum(least(pnl, 0)) END, 6) AS profit_factor, count(DISTINCT exit) AS active_days FROM v_closed GROUP BY 1""",
+    ),
+    "E29_drawdown": (
+        lambda s, d: evaluation.drawdown(views.closed_trades(s, d)),
+        V
+        + """, d AS (SELECT symbol, exit, sum(pnl) AS pnl FROM v_closed GROUP BY 1, 2), e AS (SELECT *, sum(pnl) OVER (PARTITION BY symbol ORDER BY exit) AS equity FROM d),
+p AS (SELECT *, greatest(max(equity) OVER (PARTITION BY symbol ORDER BY exit), 0) AS peak FROM e) SELECT symbol, round(max(peak - equity), 6) AS drawdown FROM p GROUP BY 1""",
+    ),
+    "E30_concurrent_exposure": (
+        lambda s, d: evaluation.concurrent_exposure(views.closed_trades(s, d)),
+        V
+        + """, s AS (SELECT symbol, entry AS day, 1 AS d FROM v_closed UNION ALL SELECT symbol, exit, -1 FROM v_closed), g AS (SELECT symbol, day, sum(d) AS d FROM s GROUP BY 1, 2),
+r AS (SELECT symbol, sum(d) OVER (PARTITION BY symbol ORDER BY day) AS o FROM g) SELECT symbol, max(o)::BIGINT AS most_open FROM r GROUP BY 1""",
+    ),
+    "E55_source_rollups": (
+        lambda s, d: evaluation.source_rollups(views.observations(s, d)),
+        V + "SELECT source, kind, count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(abs(score)), 6) AS mean_abs, round(avg(CAST(json_extract_string(payload, '$.k') AS DOUBLE)), 6) AS mean_k FROM v_obs GROUP BY 1, 2",
+    ),
+    "E57_latest_per_key": (
+        lambda s, d: evaluation.latest_per_key(views.observations(s, d)),
+        V + "SELECT source, kind, observed_at, id, round(score, 6) AS score FROM v_obs QUALIFY row_number() OVER (PARTITION BY source, kind ORDER BY observed_at DESC, id DESC) = 1",
+    ),
+    "E58_recent": (lambda s, d: evaluation.recent(views.observations(s, d), 50), V + "SELECT id, observed_at, source, kind FROM v_obs ORDER BY observed_at DESC, id DESC LIMIT 50"),
+}
+
+
+def queries() -> dict[str, Query]:
+    return {name: (lambda spark, sf_dir, q=query: rounded(q(spark, sf_dir))) for name, (query, _) in _ALL.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in _ALL.items()}
