@@ -26,7 +26,7 @@ def same(a, b):
     return a == b
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_matches_sql(spark, con, name):
     df = registry.queries()[name](spark, SF)
     names = sorted(df.columns)

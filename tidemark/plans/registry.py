@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tidemark.operators import asof, bars, evaluation, features, quality
-from tidemark.sources import views
+from tidemark.functions import book
+from tidemark.operators import asof, bars, evaluation, features, quality, replay
+from tidemark.sources import ingest, views
 
 HOUR = 3_600_000
 Query = Callable[[SparkSession, str], DataFrame]
@@ -229,12 +230,39 @@ r AS (SELECT symbol, sum(d) OVER (PARTITION BY symbol ORDER BY day) AS o FROM g)
         lambda s, d: evaluation.latest_per_key(views.observations(s, d)),
         V + "SELECT source, kind, observed_at, id, round(score, 6) AS score FROM v_obs QUALIFY row_number() OVER (PARTITION BY source, kind ORDER BY observed_at DESC, id DESC) = 1",
     ),
+    "S04_normalize_epoch": (
+        lambda s, d: views.trades(s, d).select("id", ingest.normalize_epoch(F.when(F.col("id") % 2 == 0, F.col("t") * 1000 + 7).otherwise(F.col("t"))).alias("t")),
+        V + "SELECT id, t FROM v_trades",
+    ),
+    "S09_upsert": (
+        lambda s, d: ingest.upsert(views.closed_trades(s, d), views.closed_trades(s, d).where("id % 3 = 0").withColumn("pnl", F.lit(0.0)), ["symbol", "entry"], "id"),
+        V
+        + """, b AS (SELECT *, 0 AS r FROM v_closed UNION ALL SELECT id, symbol, entry, exit, 0, 1 FROM v_closed WHERE id % 3 = 0)
+SELECT id, symbol, entry, exit, round(pnl, 6) AS pnl FROM b QUALIFY row_number() OVER (PARTITION BY symbol, entry ORDER BY r DESC, id DESC) = 1""",
+    ),
+    "S11_append_observations": (
+        lambda s, d: ingest.append_observations(views.observations(s, d).where("id % 2 = 0"), views.observations(s, d)).select("id", "kind", "payload_hash"),
+        V + "SELECT id, kind, sha256(payload) AS payload_hash FROM v_obs WHERE id % 2 = 1",
+    ),
+    "F31_book_walk": (
+        lambda s, d: views.quotes(s, d).select("update_id", book.walk(_levels("ask", 0.01), F.lit(30.0)).alias("buy"), book.walk(_levels("bid", -0.01), F.lit(30.0)).alias("sell"), book.imbalance(_levels("bid", -0.01), _levels("ask", 0.01), 5).alias("imbalance")),
+        V
+        + """, l AS (SELECT update_id, bid, ask, i, 1.0::DOUBLE + (update_id + i) % 9 AS qty FROM v_quotes, generate_series(0, 19) g(i)),
+c AS (SELECT *, greatest(0, least(qty, 30 - coalesce(sum(qty) OVER (PARTITION BY update_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS take FROM l)
+SELECT update_id, round(sum(take * (ask + 0.01::DOUBLE * i)) / 30, 6) AS buy, round(sum(take * (bid - 0.01::DOUBLE * i)) / 30, 6) AS sell, 0.0::DOUBLE AS imbalance FROM c GROUP BY 1""",
+    ),
     "E58_recent": (lambda s, d: evaluation.recent(views.observations(s, d), 50), V + "SELECT id, observed_at, source, kind FROM v_obs ORDER BY observed_at DESC, id DESC LIMIT 50"),
 }
 
 
+def _levels(side: str, step: float):
+    """20 levels away from the best price, with sizes 1 to 9."""
+    return F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.struct((F.col(side) + step * i).alias("price"), (1.0 + (F.col("update_id") + i) % 9).alias("qty")))
+
+
 def queries() -> dict[str, Query]:
-    return {name: (lambda spark, sf_dir, q=query: rounded(q(spark, sf_dir))) for name, (query, _) in _ALL.items()}
+    own = {name: (lambda spark, sf_dir, q=query: rounded(q(spark, sf_dir))) for name, (query, _) in _ALL.items()}
+    return own | {"E20_nonoverlap_select": lambda spark, sf_dir: replay.nonoverlap_select(views.trades(spark, sf_dir), HOUR)}
 
 
 def oracle_sql() -> dict[str, str]:
