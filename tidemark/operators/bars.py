@@ -72,4 +72,8 @@ def calendar_features(df: DataFrame, t: str) -> DataFrame:
     turn = 2 * 3.141592653589793
     phase = F.pmod(F.col(t), F.lit(86_400_000)) / 86_400_000 * turn
     week = F.pmod(F.col(t) + 3 * 86_400_000, F.lit(7 * 86_400_000)) / (7 * 86_400_000) * turn
-    return df.withColumns({"weekday": F.pmod(day + 3, F.lit(7)).cast("int"), "day_sin": F.sin(phase), "day_cos": F.cos(phase), "week_sin": F.sin(week), "week_cos": F.cos(week)})
+
+    def clean(x: Column) -> Column:
+        return F.round(x, 12) + F.lit(0.0)  # no negative zero
+
+    return df.withColumns({"weekday": F.pmod(day + 3, F.lit(7)).cast("int"), "day_sin": clean(F.sin(phase)), "day_cos": clean(F.cos(phase)), "week_sin": clean(F.sin(week)), "week_cos": clean(F.cos(week))})

@@ -99,7 +99,7 @@ SELECT symbol, event_ms // 3600000 * 3600000 AS open_time, round(arg_min(mid, (e
     "R12_calendar_features": (
         lambda s, d: bars.calendar_features(_hourly(s, d).select("symbol", "open_time"), "open_time"),
         V
-        + """SELECT symbol, open_time, ((open_time // 86400000 + 3) % 7)::INT AS weekday, round(sin(d), 6) AS day_sin, round(cos(d), 6) AS day_cos, round(sin(w), 6) AS week_sin, round(cos(w), 6) AS week_cos
+        + """SELECT symbol, open_time, ((open_time // 86400000 + 3) % 7)::INT AS weekday, round(round(sin(d), 12) + 0.0::DOUBLE, 6) AS day_sin, round(round(cos(d), 12) + 0.0::DOUBLE, 6) AS day_cos, round(round(sin(w), 12) + 0.0::DOUBLE, 6) AS week_sin, round(round(cos(w), 12) + 0.0::DOUBLE, 6) AS week_cos
 FROM (SELECT *, (open_time % 86400000) / 86400000.0::DOUBLE * 2 * 3.141592653589793::DOUBLE AS d, ((open_time + 259200000) % 604800000) / 604800000.0::DOUBLE * 2 * 3.141592653589793::DOUBLE AS w FROM v_bars)""",
     ),
     "Q02_coverage_report": (
