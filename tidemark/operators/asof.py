@@ -47,10 +47,93 @@ def exact_horizon_join(bars: DataFrame, horizon: int) -> DataFrame:
     return bars.join(later, ["symbol", "open_time"]).where(same_day)
 
 
+def running_sum(events: DataFrame, key: str, t: str, order: str, value: str, name: str = "s", bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """Running sum by (t, order) for each key: sums inside a time bucket, on top of the buckets before."""
+    rows = events.withColumn("__b", F.floor(F.col(t) / bucket_ms))
+    totals = rows.groupBy(key, "__b").agg(F.sum(value).alias("__total"))
+    before = totals.withColumn("__before", F.coalesce(F.sum("__total").over(Window.partitionBy(key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).drop("__total")
+    inside = F.sum(value).over(Window.partitionBy(key, "__b").orderBy(t, order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn(name, inside).join(before, [key, "__b"]).withColumn(name, F.col(name) + F.col("__before")).drop("__b", "__before")
+
+
 def trailing_event_sum(grid: DataFrame, events: DataFrame, span: int, value: str) -> DataFrame:
-    """Sum of event values in (t - span, t] at each grid time, as the difference of two running sums looked up as-of."""
-    w = Window.partitionBy("symbol").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0)
-    running = events.select("symbol", "t", "id", F.sum(value).over(w).alias("s"))
-    now = asof_join(grid, running, "symbol", "open_time", "t", "id", "n_")
-    then = asof_join(now.withColumn("__from", F.col("open_time") - span), running, "symbol", "__from", "t", "id", "f_")
-    return then.select(*grid.columns, (F.coalesce("n_s", F.lit(0.0)) - F.coalesce("f_s", F.lit(0.0))).alias("trailing"))
+    """Sum of event values in (t - span, t] at each grid time."""
+    spans = grid.withColumn("__from", F.col("open_time") - span)
+    return interval_sum(spans, events, "__from", "open_time", value).drop("__from").withColumnRenamed("between", "trailing")
+
+
+def interval_sum(left: DataFrame, events: DataFrame, start: str, end: str, value: str) -> DataFrame:
+    """Sum of event values in (start, end], as the difference of two running sums looked up as-of."""
+    running = running_sum(events, "symbol", "t", "id", value).select("symbol", "t", "id", "s")
+    now = asof_join(left, running, "symbol", end, "t", "id", "n_")
+    then = asof_join(now, running, "symbol", start, "t", "id", "f_")
+    return then.select(*left.columns, (F.coalesce("n_s", F.lit(0.0)) - F.coalesce("f_s", F.lit(0.0))).alias("between"))
+
+
+def asof_forward(left: DataFrame, right: DataFrame, key: str, left_t: str, right_t: str, order: str, prefix: str = "r_", bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """Each left row with the first right row at or after its time (ties by ``order``): the join run backwards."""
+    back = right.withColumn("__nt", -F.col(right_t)).withColumn("__no", -F.col(order))
+    j = asof_join(left.withColumn("__lt", -F.col(left_t)), back, key, "__lt", "__nt", "__no", prefix, bucket_ms)
+    return j.drop("__lt", f"{prefix}__nt", f"{prefix}__no")
+
+
+def asof_lags(left: DataFrame, series: DataFrame, lags: list[int], value: str) -> DataFrame:
+    """The series' value at t - lag for each lag, as columns."""
+    asked = left.withColumn("lag", F.explode(F.array(*map(F.lit, lags)))).withColumn("__at", F.col("t") - F.col("lag"))
+    j = asof_join(asked, series, "symbol", "__at", "t", "id")
+    return j.groupBy("id", "symbol").agg(*[F.max(F.when(F.col("lag") == k, F.col(f"r_{value}"))).alias(f"{value}_{k}") for k in lags])
+
+
+def next_row_join(bars: DataFrame, step: int) -> DataFrame:
+    """Each bar with the one a step later, where there is one."""
+    later = bars.select("symbol", (F.col("open_time") - step).alias("open_time"), F.col("close").alias("next_close"))
+    return bars.join(later, ["symbol", "open_time"])
+
+
+def common_timestamps(panel: DataFrame) -> DataFrame:
+    """Rows at the times that every symbol has."""
+    symbols = panel.agg(F.count_distinct("symbol").alias("__all"))
+    times = panel.groupBy("open_time").agg(F.count_distinct("symbol").alias("__n")).join(F.broadcast(symbols), F.col("__n") == F.col("__all"), "left_semi")
+    return panel.join(times, "open_time", "left_semi")
+
+
+def causal_left_join(core: DataFrame, sidecar: DataFrame, keys: list[str]) -> DataFrame:
+    """Optional columns beside the core rows, and whether they were there."""
+    return core.join(sidecar.withColumn("available", F.lit(True)), keys, "left").withColumn("available", F.coalesce("available", F.lit(False)))
+
+
+def current_view(facts: DataFrame, manifest: DataFrame, keys: list[str]) -> DataFrame:
+    """Facts of the archives that the manifest calls current."""
+    return facts.join(manifest.where("is_current"), keys, "left_semi")
+
+
+def redundant_pairing(lanes: DataFrame, window_ms: int) -> DataFrame:
+    """The k-th copy of a message on two lanes is one message if both came within the window; else each is its own.
+
+    One aggregate by (message, k) instead of a join of the lanes.
+    """
+    nth = F.row_number().over(Window.partitionBy("message", "lane").orderBy("received"))
+    pairs = lanes.withColumn("k", nth).groupBy("message", "k").agg(F.min("received").alias("a"), F.max("received").alias("b"), F.count("*").alias("n"))
+    paired = (F.col("n") == 2) & (F.col("b") - F.col("a") <= window_ms)
+    times = F.when((F.col("n") == 1) | paired, F.array("a")).otherwise(F.array("a", "b"))
+    return pairs.select("message", "k", F.explode(times).alias("received"), paired.alias("paired"), F.when(paired, F.col("b") - F.col("a")).alias("lane_gap"))
+
+
+def scenarios(df: DataFrame, rows: list[tuple[str, float]]) -> DataFrame:
+    """Every row under every (name, cost) scenario, without a join."""
+    listed = F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(c).alias("cost")) for n, c in rows])
+    return df.withColumn("__s", F.explode(listed)).select(*df.columns, "__s.scenario", "__s.cost")
+
+
+def first_passage(orders: DataFrame, trades: DataFrame, required: int, expiry_ms: int) -> DataFrame:
+    """When a queue ahead of each order was traded away at its level: the first trade at which the level's traded
+    quantity since arrival reaches ``required``; null where that is later than the expiry.
+
+    Both lookups are as-of joins: the level's running quantity at arrival, then the trade that brings it to the sum.
+    """
+    run = running_sum(trades.withColumn("__q", F.col("qty").cast("double")), "level", "t", "id", "__q").select("level", "t", "id", F.col("s").cast("long").alias("s"))
+    at = asof_join(orders, run, "level", "t", "t", "id")
+    want = at.withColumn("__goal", F.coalesce("r_s", F.lit(0)) + required).select(*orders.columns, "__goal")
+    hit = asof_forward(want, run.withColumnRenamed("t", "at"), "level", "__goal", "s", "at", bucket_ms=4096)
+    inside = F.col("r_at") - F.col("t") <= expiry_ms
+    return hit.select(*orders.columns, F.when(inside, F.col("r_at")).alias("filled"))

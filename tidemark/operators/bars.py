@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.asof import asof_join
+
 
 def bucket(t: str, step: int) -> Column:
     return (F.floor(F.col(t) / step) * step).cast("long")
@@ -31,13 +33,73 @@ def clock_spine(bars: DataFrame, step: int) -> DataFrame:
     return ends.select("symbol", F.explode(F.sequence("a", "b", F.lit(step))).alias("open_time"))
 
 
+def held(spine: DataFrame, bars: DataFrame, step: int) -> DataFrame:
+    """The spine with each bucket's bar, or the close before it without volume; null prices before the first."""
+    j = asof_join(spine, bars, "symbol", "open_time", "open_time", "open_time", bucket_ms=step * 4096)
+    here = F.col("r_open_time") == F.col("open_time")
+    prices = [F.when(here, F.col(f"r_{c}")).otherwise(F.col("r_close")).alias(c) for c in ("open", "high", "low", "close")]
+    return j.select("symbol", "open_time", *prices, *[F.when(here, F.col(f"r_{c}")).otherwise(F.lit(0)).alias(c) for c in ("volume", "quote_volume", "trade_count", "buy_volume")])
+
+
 def fill_bars(bars: DataFrame, step: int) -> DataFrame:
     """Dense bars: an empty bucket takes the close before it, without volume."""
-    w = Window.partitionBy("symbol").orderBy("open_time")
-    dense = clock_spine(bars, step).join(bars, ["symbol", "open_time"], "left")
-    last = F.last("close", ignorenulls=True).over(w)
-    prices = [F.coalesce(c, last).alias(c) for c in ("open", "high", "low", "close")]
-    return dense.select("symbol", "open_time", *prices, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("volume", "quote_volume", "trade_count", "buy_volume")])
+    return held(clock_spine(bars, step), bars, step)
+
+
+def fill_period(bars: DataFrame, step: int, start: int, end: int) -> DataFrame:
+    """Dense bars over a whole period; buckets before a symbol's first known price are left out."""
+    spine = bars.select("symbol").distinct().select("symbol", F.explode(F.sequence(F.lit(start), F.lit(end), F.lit(step))).alias("open_time"))
+    return held(spine, bars, step).where("close is not null")
+
+
+def tape_buckets(trades: DataFrame, step: int) -> DataFrame:
+    """Takers' buying and selling of each bucket."""
+    notional, sell = F.col("price") * F.col("qty"), F.col("buyer_is_maker")
+    order = F.struct("t", "id")
+    return trades.groupBy("symbol", bucket("t", step).alias("open_time")).agg(
+        F.sum(F.when(~sell, F.col("qty")).otherwise(0.0)).alias("buy_qty"), F.sum(F.when(sell, F.col("qty")).otherwise(0.0)).alias("sell_qty"),
+        F.sum(F.when(~sell, notional).otherwise(0.0)).alias("buy_notional"), F.sum(F.when(sell, notional).otherwise(0.0)).alias("sell_notional"),
+        F.count_if(~sell).alias("buys"), F.count_if(sell).alias("sells"), F.max(notional).alias("max_notional"), F.min_by("price", order).alias("first_price"), F.max_by("price", order).alias("last_price"),
+    )
+
+
+def dense_flow(trades: DataFrame, step: int) -> DataFrame:
+    """Dense buckets with close, quote flow of both sides, aggregate and constituent counts, concentration sums and the age of the last trade."""
+    quote, sell = F.col("price") * F.col("qty"), F.col("buyer_is_maker")
+    flow = trades.groupBy("symbol", bucket("t", step).alias("open_time")).agg(
+        F.max_by("price", F.struct("t", "id")).alias("close"), F.sum(F.when(~sell, quote).otherwise(0.0)).alias("buy_quote"), F.sum(F.when(sell, quote).otherwise(0.0)).alias("sell_quote"),
+        F.count("*").alias("aggregates"), F.sum(F.col("last_id") - F.col("first_id") + 1).alias("constituents"), F.max(quote).alias("max_quote"), F.sum(quote * quote).alias("squared_quote"), F.max("t").alias("last_t"),
+    )
+    j = asof_join(clock_spine(flow, step), flow, "symbol", "open_time", "open_time", "open_time", bucket_ms=step * 4096)
+    here = F.col("r_open_time") == F.col("open_time")
+    sums = [F.when(here, F.col(f"r_{c}")).otherwise(F.lit(0)).alias(c) for c in ("buy_quote", "sell_quote", "aggregates", "constituents", "max_quote", "squared_quote")]
+    return j.select("symbol", "open_time", F.col("r_close").alias("close"), *sums, (F.col("open_time") + step - F.col("r_last_t")).alias("age"))
+
+
+def quote_path(quotes: DataFrame, step: int) -> DataFrame:
+    """Lowest, highest and last bid and ask of each bucket."""
+    order = F.struct("event_ms", "update_id")
+    aggs = [a for c in ("bid", "ask") for a in (F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}"), F.max_by(c, order).alias(f"last_{c}"))]
+    return quotes.groupBy("symbol", bucket("event_ms", step).alias("open_time")).agg(*aggs, F.max("txn_ms").alias("last_txn_ms"))
+
+
+def bars_across_files(trades: DataFrame, file: str, step: int) -> DataFrame:
+    """One bar for each bucket whatever files its trades are in, and how many those are."""
+    order = F.struct("t", "id")
+    return trades.groupBy("symbol", bucket("t", step).alias("open_time")).agg(F.min_by("price", order).alias("open"), F.max_by("price", order).alias("close"), F.count("*").alias("trades"), F.count_distinct(F.col(file)).alias("files"))
+
+
+def depth_pivot(depth: DataFrame, bands: list[int]) -> DataFrame:
+    """Depth by band as columns, with the imbalance of each pair of bands."""
+    aggs = [F.sum(F.when(F.col("band") == s * b, F.col("depth"))).alias(f"{n}_{b}") for b in bands for s, n in ((-1, "bid"), (1, "ask"))]
+    wide = depth.groupBy("symbol", "id").agg(*aggs)
+    return wide.withColumns({f"imbalance_{b}": (F.col(f"bid_{b}") - F.col(f"ask_{b}")) / (F.col(f"bid_{b}") + F.col(f"ask_{b}")) for b in bands})
+
+
+def liquidity_bucket(t: str, minutes: int) -> list[Column]:
+    """Weekday (Monday 0), hour and stretch of the hour."""
+    ms = F.col(t)
+    return [F.pmod(F.floor(ms / 86_400_000) + 3, F.lit(7)).alias("weekday"), F.pmod(F.floor(ms / 3_600_000), F.lit(24)).alias("hour"), F.floor(F.pmod(ms, F.lit(3_600_000)) / (60_000 * minutes)).alias("part")]
 
 
 def rebar(bars: DataFrame, step: int, k: int) -> DataFrame:

@@ -5,41 +5,66 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of one key that a task takes at a time.
+CHUNK_ROWS = 4096
+
+
+def chunked(bars: DataFrame, back: int, ahead: int = 0, step: int = 3_600_000) -> DataFrame:
+    """Dense bars dealt out by (symbol, stretch of time), each stretch with the rows its frames reach into.
+
+    A symbol with years of bars makes many tasks; at most a quarter of the rows is read twice. ``own`` drops the
+    borrowed rows again.
+    """
+    span = step * max(CHUNK_ROWS, 4 * (back + ahead))
+    chunk = F.floor(F.col("open_time") / span)
+    into = F.col("open_time") - chunk * span
+    homes = F.array_compact(F.array(chunk, F.when(into >= span - back * step, chunk + 1), F.when(into < ahead * step, chunk - 1)))
+    return bars.withColumn("__own", chunk).withColumn("__chunk", F.explode(homes))
+
+
+def own(rows: DataFrame) -> DataFrame:
+    return rows.where("__own = __chunk").drop("__own", "__chunk")
+
+
 def by_time():
-    return Window.partitionBy("symbol").orderBy("open_time")
+    return Window.partitionBy("symbol", "__chunk").orderBy("open_time")
 
 
 def frame(n: int):
     return by_time().rowsBetween(-(n - 1), 0)
 
 
+KEYS = ("symbol", "open_time", "__own", "__chunk")
+
+
 def full(value: Column, column: str, n: int) -> Column:
     """The value, where the frame is full."""
     return F.when(F.count(column).over(frame(n)) == n, value)
 
 
 def momentum(bars: DataFrame, lags: tuple[int, ...] = (1, 3, 10)) -> DataFrame:
-    return bars.select("symbol", "open_time", *[(F.col("close") / F.lag("close", k).over(by_time()) - 1).alias(f"momentum_{k}") for k in lags])
+    bars = chunked(bars, max(lags))
+    return own(bars.select(*KEYS, *[(F.col("close") / F.lag("close", k).over(by_time()) - 1).alias(f"momentum_{k}") for k in lags]))
 
 
 def sma_spread(bars: DataFrame, short: int, long: int) -> DataFrame:
     a, b = F.avg("close").over(frame(short)), F.avg("close").over(frame(long))
-    return bars.select("symbol", "open_time", full(a / b - 1, "close", long).alias("sma_spread"))
+    return own(chunked(bars, long).select(*KEYS, full(a / b - 1, "close", long).alias("sma_spread")))
 
 
 def rsi(bars: DataFrame, n: int = 14) -> DataFrame:
     """Simple-mean relative strength; 100 where nothing was lost."""
-    d = bars.select("symbol", "open_time", (F.col("close") - F.lag("close").over(by_time())).alias("d"))
+    d = chunked(bars, n).select(*KEYS, (F.col("close") - F.lag("close").over(by_time())).alias("d"))
     gain, loss = F.avg(F.greatest("d", F.lit(0.0))).over(frame(n)), F.avg(F.greatest(-F.col("d"), F.lit(0.0))).over(frame(n))
     value = F.when(loss == 0, 100.0).otherwise(100 - 100 / (1 + gain / loss))
-    return d.select("symbol", "open_time", full(value, "d", n).alias("rsi"))
+    return own(d.select(*KEYS, full(value, "d", n).alias("rsi")))
 
 
 def atr(bars: DataFrame, n: int = 14) -> DataFrame:
     before = F.lag("close").over(by_time())
     tr = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
-    d = bars.select("symbol", "open_time", "close", tr.alias("tr"))
-    return d.select("symbol", "open_time", full(F.avg("tr").over(frame(n)) / F.col("close"), "tr", n).alias("atr"))
+    d = chunked(bars, n).select(*KEYS, "close", tr.alias("tr"))
+    return own(d.select(*KEYS, full(F.avg("tr").over(frame(n)) / F.col("close"), "tr", n).alias("atr")))
 
 
 def rolling_corr(bars: DataFrame, x: str, y: str, n: int) -> DataFrame:
@@ -48,23 +73,23 @@ def rolling_corr(bars: DataFrame, x: str, y: str, n: int) -> DataFrame:
     m = {k: F.avg(v).over(w) for k, v in {"x": F.col(x), "y": F.col(y), "xx": F.col(x) ** 2, "yy": F.col(y) ** 2, "xy": F.col(x) * F.col(y)}.items()}
     vx, vy = m["xx"] - m["x"] ** 2, m["yy"] - m["y"] ** 2
     c = (m["xy"] - m["x"] * m["y"]) / F.sqrt(vx * vy)
-    return bars.select("symbol", "open_time", full(F.when((vx > 1e-9) & (vy > 1e-9), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))).otherwise(0.0), x, n).alias("corr"))
+    return own(chunked(bars, n).select(*KEYS, full(F.when((vx > 1e-9) & (vy > 1e-9), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))).otherwise(0.0), x, n).alias("corr")))
 
 
 def realised_volatility(bars: DataFrame, n: int) -> DataFrame:
-    r = bars.select("symbol", "open_time", F.log(F.col("close") / F.lag("close").over(by_time())).alias("r"))
-    return r.select("symbol", "open_time", full(F.stddev_pop("r").over(frame(n)), "r", n).alias("volatility"))
+    r = chunked(bars, n).select(*KEYS, F.log(F.col("close") / F.lag("close").over(by_time())).alias("r"))
+    return own(r.select(*KEYS, full(F.stddev_pop("r").over(frame(n)), "r", n).alias("volatility")))
 
 
 def path_efficiency(bars: DataFrame, n: int) -> DataFrame:
-    d = bars.select("symbol", "open_time", "close", F.abs(F.col("close") - F.lag("close").over(by_time())).alias("d"))
+    d = chunked(bars, n).select(*KEYS, "close", F.abs(F.col("close") - F.lag("close").over(by_time())).alias("d"))
     path = F.sum("d").over(frame(n))
-    return d.select("symbol", "open_time", full(F.when(path > 0, F.abs(F.col("close") - F.lag("close", n).over(by_time())) / path).otherwise(0.0), "d", n).alias("efficiency"))
+    return own(d.select(*KEYS, full(F.when(path > 0, F.abs(F.col("close") - F.lag("close", n).over(by_time())) / path).otherwise(0.0), "d", n).alias("efficiency")))
 
 
 def cross_section(bars: DataFrame) -> DataFrame:
     """Mean and population deviation of returns over the symbols of each time, and how many agree with the mean's sign."""
-    r = bars.select("open_time", (F.col("close") / F.lag("close").over(by_time()) - 1).alias("r"))
+    r = simple_returns(bars)
     return r.where("r is not null").groupBy("open_time").agg(F.avg("r").alias("mean"), F.stddev_pop("r").alias("dispersion"), F.abs(F.avg(F.signum("r"))).alias("agreement"), F.count("*").alias("n"))
 
 
@@ -80,4 +105,105 @@ def order_flow_imbalance(quotes: DataFrame) -> DataFrame:
 def next_return(bars: DataFrame, delay: int = 1, horizon: int = 1) -> DataFrame:
     """Log return in basis points from the open after a delay to the one a horizon later."""
     value = F.log(F.lead("open", delay + horizon).over(by_time()) / F.lead("open", delay).over(by_time())) * 10_000
-    return bars.select("symbol", "open_time", value.alias("target"))
+    return own(chunked(bars, 0, delay + horizon).select(*KEYS, value.alias("target")))
+
+
+def simple_returns(bars: DataFrame) -> DataFrame:
+    """Return of each bar over the one before; null at the first."""
+    return own(chunked(bars, 1).withColumn("r", F.col("close") / F.lag("close").over(by_time()) - 1))
+
+
+def ema_truncated(bars: DataFrame, n: int) -> DataFrame:
+    """Exponential mean over the last 2n rows, seeded with the oldest of them."""
+    alpha = 2.0 / (n + 1)
+    held = F.collect_list("close").over(frame(2 * n))
+    ema = F.aggregate(F.slice(held, 2, 2 * n), held[0], lambda acc, x: acc * (1 - alpha) + x * alpha)
+    return own(chunked(bars, 2 * n).select(*KEYS, ema.alias("ema")))
+
+
+def activity(bars: DataFrame, n: int = 24) -> DataFrame:
+    """Quote volume and trades of the last n bars, scaled up to n where fewer are there."""
+    scale = F.lit(float(n)) / F.count("*").over(frame(n))
+    sums = [(F.sum(c).over(frame(n)) * scale).alias(f"{c}_day") for c in ("quote_volume", "trade_count")]
+    return own(chunked(bars, n).select(*KEYS, *sums))
+
+
+def zscore(bars: DataFrame, column: str, n: int) -> DataFrame:
+    """Distance from the mean of the last n rows in population deviations; 0 where nothing varies."""
+    m, d = F.avg(column).over(frame(n)), F.stddev_pop(column).over(frame(n))
+    return own(chunked(bars, n).select(*KEYS, full(F.when(d > 1e-12, (F.col(column) - m) / d).otherwise(0.0), column, n).alias("z")))
+
+
+def beta_residual(bars: DataFrame, n: int) -> DataFrame:
+    """Return less beta times the mean return of all symbols, beta over the last n bars."""
+    r = simple_returns(bars).select("symbol", "open_time", "r")
+    m = r.groupBy("open_time").agg(F.avg("r").alias("m"))
+    rows = chunked(r.join(m, "open_time"), n)
+    var = F.var_pop("m").over(frame(n))
+    rows = rows.withColumn("beta", full(F.when(var > 1e-15, F.covar_pop("r", "m").over(frame(n)) / var).otherwise(0.0), "r", n))
+    return own(rows.select(*KEYS, "beta", (F.col("r") - F.col("beta") * F.col("m")).alias("residual")))
+
+
+def same_slot_ratio(bars: DataFrame, column: str, period: int, k: int = 4) -> DataFrame:
+    """Value over the mean of the same slot in the k periods before; null without any, 0 where that mean is 0."""
+    slot = F.pmod(F.col("open_time"), F.lit(period))
+    before = Window.partitionBy("symbol", slot).orderBy("open_time").rowsBetween(-k, -1)
+    mean = F.avg(column).over(before)
+    return bars.select("symbol", "open_time", F.when(mean > 0, F.col(column) / mean).when(mean.isNotNull(), 0.0).alias("slot_ratio"))
+
+
+def flow_windows(bars: DataFrame, widths: tuple[int, ...]) -> DataFrame:
+    """Per width: quote volume, buyers' share, trades a bar, log return, and the change of the share against the width before."""
+    rows = chunked(bars, 2 * max(widths))
+    for n in widths:
+        vol, buy = F.sum("volume").over(frame(n)), F.sum("buy_volume").over(frame(n))
+        rows = rows.withColumns({
+            f"quote_{n}": full(F.sum("quote_volume").over(frame(n)), "close", n),
+            f"share_{n}": full(F.when(vol > 0, buy / vol).otherwise(0.5), "close", n),
+            f"rate_{n}": full(F.avg("trade_count").over(frame(n)), "close", n),
+            f"return_{n}": F.log(F.col("close") / F.lag("close", n).over(by_time())),
+        })
+        rows = rows.withColumn(f"share_change_{n}", F.col(f"share_{n}") - F.lag(f"share_{n}", n).over(by_time()))
+    return own(rows.select(*KEYS, *[f"{c}_{n}" for n in widths for c in ("quote", "share", "rate", "return", "share_change")]))
+
+
+def rolling_extreme(bars: DataFrame, n: int) -> DataFrame:
+    """Highest high and lowest low of a full frame."""
+    return own(chunked(bars, n).select(*KEYS, full(F.max("high").over(frame(n)), "high", n).alias("highest"), full(F.min("low").over(frame(n)), "low", n).alias("lowest")))
+
+
+def peer_context(bars: DataFrame) -> DataFrame:
+    """Each symbol's return against the mean and deviation of the others at the same time, from sums less its own."""
+    r = simple_returns(bars).select("symbol", "open_time", "r").where("r is not null")
+    t = r.groupBy("open_time").agg(F.sum("r").alias("s"), F.sum(F.col("r") ** 2).alias("q"), F.count("*").alias("n"))
+    others, mean = F.col("n") - 1, (F.col("s") - F.col("r")) / (F.col("n") - 1)
+    spread = F.sqrt(F.greatest((F.col("q") - F.col("r") ** 2) / others - mean**2, F.lit(0.0)))
+    return r.join(t, "open_time").where("n > 1").select("symbol", "open_time", mean.alias("peer_mean"), spread.alias("peer_dispersion"), (F.col("r") - mean).alias("relative"))
+
+
+def decision_offsets(starts: DataFrame, t: str, offsets: list[int]) -> DataFrame:
+    """One row for each start and offset after it."""
+    return starts.withColumn("offset", F.explode(F.array(*map(F.lit, offsets)))).withColumn("decision", F.col(t) + F.col("offset"))
+
+
+def clip_bounds(df: DataFrame, column: str, by: str, low: float = 0.005, high: float = 0.995) -> DataFrame:
+    return df.groupBy(by).agg(F.percentile(column, low).alias("low"), F.percentile(column, high).alias("high"))
+
+
+def clip_apply(df: DataFrame, bounds: DataFrame, column: str, by: str) -> DataFrame:
+    """Column held inside bounds learned elsewhere; one row of bounds for each value of ``by``."""
+    return df.join(bounds, by, "left").withColumn(column, F.greatest("low", F.least("high", column))).drop("low", "high")
+
+
+def action_expand(df: DataFrame, signed: list[str], swapped: tuple[str, str]) -> DataFrame:
+    """Each event once long and once short: signed columns turn their sign, the pair changes places."""
+    a, b = swapped
+    rows = df.withColumn("side", F.explode(F.array(F.lit(1), F.lit(-1))))
+    long = F.col("side") == 1
+    return rows.withColumns({c: F.col(c) * F.col("side") for c in signed} | {a: F.when(long, F.col(a)).otherwise(F.col(b)), b: F.when(long, F.col(b)).otherwise(F.col(a))})
+
+
+def fee(price: Column, qty: Column, rate: float, power: int = 1) -> Column:
+    """qty * rate * (p (1 - p)) ^ power, up to the next 0.00001; nothing where it is less than that."""
+    raw = qty * rate * (price * (1 - price)) ** power
+    return F.when(raw < 1e-5, 0.0).otherwise(F.ceil(F.round(raw * 1e5, 6)) / 1e5)

@@ -5,36 +5,20 @@ Keys begin with the operator's id in the inventory. Doubles are rounded to 6 pla
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from tidemark.functions import book
 from tidemark.operators import asof, bars, evaluation, features, quality, replay
+from tidemark.plans import joins, panel, stats
+from tidemark.plans.base import BY, DENSE, HOUR, Query, V, dense, frame_sql, hourly, rounded, rounds
 from tidemark.sources import ingest, views
 
-HOUR = 3_600_000
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[F.round(f.name, 6).alias(f.name) if isinstance(f.dataType, DoubleType) else F.col(f.name) for f in df.schema.fields])
-
-
-def _hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bars.trade_bars(views.trades(spark, sf_dir), HOUR)
-
-
-def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bars.fill_bars(_hourly(spark, sf_dir), HOUR)
-
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars, filled, with momentum, spread of means and range, against the next bar's return, by symbol."""
-    dense = _dense(spark, sf_dir)
-    joined = features.momentum(dense).join(features.sma_spread(dense, 3, 12), ["symbol", "open_time"]).join(features.atr(dense), ["symbol", "open_time"]).join(features.next_return(dense), ["symbol", "open_time"])
+    filled = dense(spark, sf_dir)
+    joined = features.momentum(filled).join(features.sma_spread(filled, 3, 12), ["symbol", "open_time"]).join(features.atr(filled), ["symbol", "open_time"]).join(features.next_return(filled), ["symbol", "open_time"])
     usable = joined.where("momentum_10 is not null and sma_spread is not null and atr is not null and target is not null")
     out = usable.groupBy("symbol").agg(
         F.count("*").alias("n"), F.avg(F.col("target") ** 2).alias("mse_zero"), F.corr("momentum_1", "target").alias("momentum_corr"),
@@ -43,46 +27,23 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out)
 
 
-V = views.SQL
-DENSE = (
-    V
-    + """, ends AS (SELECT symbol, min(open_time) a, max(open_time) b FROM v_bars GROUP BY 1),
-spine AS (SELECT symbol, unnest(generate_series(a, b, 3600000)) AS open_time FROM ends),
-held AS (SELECT s.symbol, s.open_time, open, high, low, close, volume, quote_volume, trade_count, buy_volume,
-    last_value(close IGNORE NULLS) OVER (PARTITION BY s.symbol ORDER BY s.open_time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prior
-  FROM spine s LEFT JOIN v_bars b ON b.symbol = s.symbol AND b.open_time = s.open_time),
-dense AS (SELECT symbol, open_time, coalesce(open, prior) AS open, coalesce(high, prior) AS high, coalesce(low, prior) AS low, coalesce(close, prior) AS close,
-    coalesce(volume, 0) AS volume, coalesce(quote_volume, 0) AS quote_volume, coalesce(trade_count, 0) AS trade_count, coalesce(buy_volume, 0) AS buy_volume FROM held)
-"""
-)
-BY = "(PARTITION BY symbol ORDER BY open_time)"
-
-
-def _frame(n: int) -> str:
-    return f"(PARTITION BY symbol ORDER BY open_time ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
-
-
-def _r(*cols: str) -> str:
-    return ", ".join(f"round({c}, 6) AS {c.split('.')[-1]}" for c in cols)
-
-
 FLAGSHIP_SQL = (
     DENSE
     + f""", moved AS (SELECT *, close / lag(close, 1) OVER {BY} - 1 AS m1, close / lag(close, 10) OVER {BY} - 1 AS m10, lag(close) OVER {BY} AS before,
-    CASE WHEN count(close) OVER {_frame(12)} = 12 THEN avg(close) OVER {_frame(3)} / avg(close) OVER {_frame(12)} - 1 END AS sma,
+    CASE WHEN count(close) OVER {frame_sql(12)} = 12 THEN avg(close) OVER {frame_sql(3)} / avg(close) OVER {frame_sql(12)} - 1 END AS sma,
     ln(lead(open, 2) OVER {BY} / lead(open, 1) OVER {BY}) * 10000 AS target FROM dense),
 ranged AS (SELECT *, greatest(high - low, abs(high - before), abs(low - before)) AS tr FROM moved),
-atr AS (SELECT *, CASE WHEN count(tr) OVER {_frame(14)} = 14 THEN avg(tr) OVER {_frame(14)} / close END AS atr FROM ranged)
+atr AS (SELECT *, CASE WHEN count(tr) OVER {frame_sql(14)} = 14 THEN avg(tr) OVER {frame_sql(14)} / close END AS atr FROM ranged)
 SELECT symbol, count(*) AS n, round(avg(target ** 2), 6) AS mse_zero, round(corr(m1, target), 6) AS momentum_corr, round(corr(sma, target), 6) AS spread_corr,
   round(avg((sign(m1) = sign(target))::INT::DOUBLE), 6) AS sign_accuracy, round(avg(atr), 6) AS mean_atr
 FROM atr WHERE m10 IS NOT NULL AND sma IS NOT NULL AND atr IS NOT NULL AND target IS NOT NULL GROUP BY 1"""
 )
 
 #: name -> (query, SQL)
-_ALL: dict[str, tuple[Query, str]] = {
+_ALL: dict[str, tuple[Query, str]] = joins.QUERIES | panel.QUERIES | stats.QUERIES | {
     "flagship": (flagship, FLAGSHIP_SQL),
-    "R01_trade_bars": (_hourly, V + "SELECT symbol, open_time, " + _r("open", "high", "low", "close", "volume", "quote_volume", "buy_volume") + ", trade_count FROM v_bars"),
-    "R02_fill_bars": (_dense, DENSE + "SELECT symbol, open_time, " + _r("open", "high", "low", "close", "volume", "quote_volume", "buy_volume") + ", trade_count FROM dense"),
+    "R01_trade_bars": (hourly, V + "SELECT symbol, open_time, " + rounds("open", "high", "low", "close", "volume", "quote_volume", "buy_volume") + ", trade_count FROM v_bars"),
+    "R02_fill_bars": (dense, DENSE + "SELECT symbol, open_time, " + rounds("open", "high", "low", "close", "volume", "quote_volume", "buy_volume") + ", trade_count FROM dense"),
     "R06_quote_bars": (
         lambda s, d: bars.quote_bars(views.quotes(s, d), HOUR),
         V
@@ -92,18 +53,18 @@ SELECT symbol, event_ms // 3600000 * 3600000 AS open_time, round(arg_min(mid, (e
   round(quantile_cont(delay, 0.5), 6) AS delay_p50, round(quantile_cont(delay, 0.99), 6) AS delay_p99 FROM q GROUP BY 1, 2""",
     ),
     "R09_rebar": (
-        lambda s, d: bars.rebar(_dense(s, d), HOUR, 4),
+        lambda s, d: bars.rebar(dense(s, d), HOUR, 4),
         DENSE + "SELECT symbol, open_time // 14400000 * 14400000 AS open_time, round(arg_min(open, open_time), 6) AS open, round(max(high), 6) AS high, round(min(low), 6) AS low, round(arg_max(close, open_time), 6) AS close, round(sum(volume), 6) AS volume FROM dense GROUP BY 1, 2 HAVING count(*) = 4",
     ),
-    "R10_clock_spine": (lambda s, d: bars.clock_spine(_hourly(s, d), HOUR), DENSE + "SELECT symbol, open_time FROM spine"),
+    "R10_clock_spine": (lambda s, d: bars.clock_spine(hourly(s, d), HOUR), DENSE + "SELECT symbol, open_time FROM spine"),
     "R12_calendar_features": (
-        lambda s, d: bars.calendar_features(_hourly(s, d).select("symbol", "open_time"), "open_time"),
+        lambda s, d: bars.calendar_features(hourly(s, d).select("symbol", "open_time"), "open_time"),
         V
         + """SELECT symbol, open_time, ((open_time // 86400000 + 3) % 7)::INT AS weekday, round(round(sin(d), 12) + 0.0::DOUBLE, 6) AS day_sin, round(round(cos(d), 12) + 0.0::DOUBLE, 6) AS day_cos, round(round(sin(w), 12) + 0.0::DOUBLE, 6) AS week_sin, round(round(cos(w), 12) + 0.0::DOUBLE, 6) AS week_cos
 FROM (SELECT *, (open_time % 86400000) / 86400000.0::DOUBLE * 2 * 3.141592653589793::DOUBLE AS d, ((open_time + 259200000) % 604800000) / 604800000.0::DOUBLE * 2 * 3.141592653589793::DOUBLE AS w FROM v_bars)""",
     ),
     "Q02_coverage_report": (
-        lambda s, d: quality.coverage_report(_hourly(s, d), HOUR),
+        lambda s, d: quality.coverage_report(hourly(s, d), HOUR),
         V
         + f""", g AS (SELECT symbol, open_time, open_time - lag(open_time) OVER {BY} AS gap FROM v_bars)
 SELECT symbol, count(*) AS bars, min(open_time) AS first_time, max(open_time) AS last_time, count(*) FILTER (gap > 5400000) AS gaps, coalesce(max(gap), 0) AS largest_gap,
@@ -133,39 +94,39 @@ SELECT symbol, count(*) AS n, count(*) FILTER (dup) AS duplicates, count(*) FILT
         V + "SELECT r.id, r.symbol, r.t - q.event_ms AS age, coalesce(r.t - q.event_ms BETWEEN 0 AND 1800000 AND bid > 0 AND bid < ask AND bid_qty > 0 AND ask_qty > 0, false) AS valid FROM v_requests r ASOF LEFT JOIN v_quotes q ON r.symbol = q.symbol AND r.t >= q.event_ms",
     ),
     "J04_exact_horizon_join": (
-        lambda s, d: asof.exact_horizon_join(_hourly(s, d).select("symbol", "open_time", "close"), 2 * HOUR),
+        lambda s, d: asof.exact_horizon_join(hourly(s, d).select("symbol", "open_time", "close"), 2 * HOUR),
         V + "SELECT a.symbol, a.open_time, round(a.close, 6) AS close, round(b.close, 6) AS later_close FROM v_bars a JOIN v_bars b ON a.symbol = b.symbol AND b.open_time = a.open_time + 7200000 WHERE a.open_time // 86400000 = b.open_time // 86400000",
     ),
     "J07_trailing_event_sum": (
-        lambda s, d: asof.trailing_event_sum(_hourly(s, d).select("symbol", "open_time"), views.trades(s, d), 24 * HOUR, "qty"),
+        lambda s, d: asof.trailing_event_sum(hourly(s, d).select("symbol", "open_time"), views.trades(s, d), 24 * HOUR, "qty"),
         V + "SELECT b.symbol, b.open_time, round(coalesce(sum(t.qty), 0), 6) AS trailing FROM v_bars b LEFT JOIN v_trades t ON t.symbol = b.symbol AND t.t <= b.open_time AND t.t > b.open_time - 86400000 GROUP BY 1, 2",
     ),
-    "F01_momentum": (lambda s, d: features.momentum(_dense(s, d)), DENSE + "SELECT symbol, open_time, " + ", ".join(f"round(close / lag(close, {k}) OVER {BY} - 1, 6) AS momentum_{k}" for k in (1, 3, 10)) + " FROM dense"),
+    "F01_momentum": (lambda s, d: features.momentum(dense(s, d)), DENSE + "SELECT symbol, open_time, " + ", ".join(f"round(close / lag(close, {k}) OVER {BY} - 1, 6) AS momentum_{k}" for k in (1, 3, 10)) + " FROM dense"),
     "F03_rsi": (
-        lambda s, d: features.rsi(_dense(s, d)),
+        lambda s, d: features.rsi(dense(s, d)),
         DENSE
         + f""", d AS (SELECT symbol, open_time, close - lag(close) OVER {BY} AS d FROM dense),
-g AS (SELECT symbol, open_time, count(d) OVER {_frame(14)} AS n, avg(CASE WHEN d IS NULL THEN 0 ELSE greatest(d, 0) END) OVER {_frame(14)} AS gain, avg(CASE WHEN d IS NULL THEN 0 ELSE greatest(-d, 0) END) OVER {_frame(14)} AS loss FROM d)
+g AS (SELECT symbol, open_time, count(d) OVER {frame_sql(14)} AS n, avg(CASE WHEN d IS NULL THEN 0 ELSE greatest(d, 0) END) OVER {frame_sql(14)} AS gain, avg(CASE WHEN d IS NULL THEN 0 ELSE greatest(-d, 0) END) OVER {frame_sql(14)} AS loss FROM d)
 SELECT symbol, open_time, round(CASE WHEN n = 14 THEN CASE WHEN loss = 0 THEN 100 ELSE 100 - 100 / (1 + gain / loss) END END, 6) AS rsi FROM g""",
     ),
     "F04_atr": (
-        lambda s, d: features.atr(_dense(s, d)),
+        lambda s, d: features.atr(dense(s, d)),
         DENSE
         + f""", d AS (SELECT *, greatest(high - low, abs(high - lag(close) OVER {BY}), abs(low - lag(close) OVER {BY})) AS tr FROM dense)
-SELECT symbol, open_time, round(CASE WHEN count(tr) OVER {_frame(14)} = 14 THEN avg(tr) OVER {_frame(14)} / close END, 6) AS atr FROM d""",
+SELECT symbol, open_time, round(CASE WHEN count(tr) OVER {frame_sql(14)} = 14 THEN avg(tr) OVER {frame_sql(14)} / close END, 6) AS atr FROM d""",
     ),
     "F09_realised_volatility": (
-        lambda s, d: features.realised_volatility(_dense(s, d), 24),
-        DENSE + f", d AS (SELECT *, ln(close / lag(close) OVER {BY}) AS r FROM dense) SELECT symbol, open_time, round(CASE WHEN count(r) OVER {_frame(24)} = 24 THEN stddev_pop(r) OVER {_frame(24)} END, 6) AS volatility FROM d",
+        lambda s, d: features.realised_volatility(dense(s, d), 24),
+        DENSE + f", d AS (SELECT *, ln(close / lag(close) OVER {BY}) AS r FROM dense) SELECT symbol, open_time, round(CASE WHEN count(r) OVER {frame_sql(24)} = 24 THEN stddev_pop(r) OVER {frame_sql(24)} END, 6) AS volatility FROM d",
     ),
     "F11_path_efficiency": (
-        lambda s, d: features.path_efficiency(_dense(s, d), 12),
+        lambda s, d: features.path_efficiency(dense(s, d), 12),
         DENSE
         + f""", d AS (SELECT *, abs(close - lag(close) OVER {BY}) AS d, lag(close, 12) OVER {BY} AS past FROM dense)
-SELECT symbol, open_time, round(CASE WHEN count(d) OVER {_frame(12)} = 12 THEN CASE WHEN sum(d) OVER {_frame(12)} > 0 THEN abs(close - past) / sum(d) OVER {_frame(12)} ELSE 0 END END, 6) AS efficiency FROM d""",
+SELECT symbol, open_time, round(CASE WHEN count(d) OVER {frame_sql(12)} = 12 THEN CASE WHEN sum(d) OVER {frame_sql(12)} > 0 THEN abs(close - past) / sum(d) OVER {frame_sql(12)} ELSE 0 END END, 6) AS efficiency FROM d""",
     ),
     "F13_cross_section": (
-        lambda s, d: features.cross_section(_dense(s, d)),
+        lambda s, d: features.cross_section(dense(s, d)),
         DENSE + f", d AS (SELECT open_time, close / lag(close) OVER {BY} - 1 AS r FROM dense) SELECT open_time, round(avg(r), 6) AS mean, round(stddev_pop(r), 6) AS dispersion, round(abs(avg(sign(r))), 6) AS agreement, count(*) AS n FROM d WHERE r IS NOT NULL GROUP BY 1",
     ),
     "F28_order_flow_imbalance": (
@@ -175,7 +136,7 @@ SELECT symbol, open_time, round(CASE WHEN count(d) OVER {_frame(12)} = 12 THEN C
   - (CASE WHEN ask <= lag(ask) OVER w THEN ask_qty ELSE 0 END - CASE WHEN ask >= lag(ask) OVER w THEN lag(ask_qty) OVER w ELSE 0 END) END, 6) AS ofi
 FROM v_quotes WINDOW w AS (PARTITION BY symbol ORDER BY event_ms, update_id)""",
     ),
-    "T01_fixed_horizon_return": (lambda s, d: features.next_return(_dense(s, d)), DENSE + f"SELECT symbol, open_time, round(ln(lead(open, 2) OVER {BY} / lead(open, 1) OVER {BY}) * 10000, 6) AS target FROM dense"),
+    "T01_fixed_horizon_return": (lambda s, d: features.next_return(dense(s, d)), DENSE + f"SELECT symbol, open_time, round(ln(lead(open, 2) OVER {BY} / lead(open, 1) OVER {BY}) * 10000, 6) AS target FROM dense"),
     "P05_equal_windows": (
         lambda s, d: evaluation.equal_windows(views.predictions(s, d), 8),
         V
