@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import book
-from tidemark.operators import asof, bars, evaluation, features, quality, replay
+from tidemark.operators import asof, bars, evaluation, features, quality, ranks, replay
 from tidemark.plans import joins, panel, stats
 from tidemark.plans.base import BY, DENSE, HOUR, Query, V, dense, frame_sql, hourly, rounded, rounds
 from tidemark.sources import ingest, views
@@ -149,7 +149,7 @@ SELECT "window", min(day) AS first_day, max(day) AS last_day, sum(rows)::BIGINT
         V + "SELECT count(*) AS n, round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 6) AS log_loss, round(avg((p - y) ** 2), 6) AS brier, round(avg(((p >= 0.5)::INT = y)::INT::DOUBLE), 6) AS accuracy, round(avg(y::DOUBLE), 6) AS prevalence FROM v_predictions",
     ),
     "E05_roc_auc": (
-        lambda s, d: evaluation.roc_auc(views.predictions(s, d)),
+        lambda s, d: ranks.roc_auc(views.predictions(s, d)),
         V
         + """, c AS (SELECT p, sum(y)::DOUBLE AS pos, sum(1 - y)::DOUBLE AS neg FROM v_predictions GROUP BY 1), b AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c)
 SELECT round(sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)), 6) AS auc FROM b""",
