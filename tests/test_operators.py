@@ -58,3 +58,41 @@ def test_stream_bars_match_batch(spark, tmp_path):
     got = {(r["symbol"], r["open_time"]): (r["open"], r["close"], r["trade_count"]) for r in spark.table("bars_out").collect()}
     want = {(r["symbol"], r["open_time"]): (r["open"], r["close"], r["trade_count"]) for r in trade_bars(trades, 3_600_000).collect()}
     assert got == want and ends
+
+
+def test_chunks_change_nothing(spark, monkeypatch):
+    """Rolling features are the same whether a symbol is one stretch of time or many."""
+    from tidemark.operators import features, labels
+    from tidemark.plans.base import dense
+
+    def results():
+        bars = dense(spark, SF)
+        made = [features.atr(bars), features.rsi(bars), features.ema_truncated(bars, 6), features.flow_windows(bars, (3, 12)), features.next_return(bars), labels.triple_barrier(bars, 12, 0.2, 0.3)]
+        return [sorted(map(str, (tuple(round(x, 7) if isinstance(x, float) else x for x in r) for r in df.collect()))) for df in made]
+
+    whole = results()
+    monkeypatch.setattr(features, "CHUNK_ROWS", 1)
+    assert results() == whole
+
+
+def test_ranks_over_ranges_match_a_loop(spark):
+    from tidemark.operators import ranks
+
+    values = [(i * 7919) % 997 / 10 for i in range(3000)] + [5.0] * 500
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, v double")
+    order = sorted(values)
+    first, count = {}, {}
+    for i, v in enumerate(order):
+        first.setdefault(v, i)
+        count[v] = count.get(v, 0) + 1
+    got = {r["id"]: r["rank"] for r in ranks.average_rank(df, "v").collect()}
+    assert all(got[i] == first[v] + (count[v] + 1) / 2 for i, v in enumerate(values))
+
+
+def test_running_sum_over_buckets(spark):
+    from tidemark.operators.asof import running_sum
+
+    rows = [("a" if i % 3 else "b", i * 37 % 1000, i, float(i)) for i in range(200)]
+    got = {r["id"]: r["s"] for r in running_sum(spark.createDataFrame(rows, "symbol string, t long, id long, v double"), "symbol", "t", "id", "v", bucket_ms=50).collect()}
+    for k, t, i, _ in rows:
+        assert got[i] == sum(v for q, u, j, v in rows if q == k and (u, j) <= (t, i))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -41,3 +41,63 @@ def support_bounds(df: DataFrame, column: str, by: str, k: float = 1.5) -> DataF
     q = df.groupBy(by).agg(F.min(column).alias("low"), F.percentile(column, 0.25).alias("q1"), F.percentile(column, 0.75).alias("q3"), F.max(column).alias("high"))
     iqr = F.col("q3") - F.col("q1")
     return q.withColumn("lower_fence", F.col("q1") - k * iqr).withColumn("upper_fence", F.col("q3") + k * iqr)
+
+
+def clean_candles(rows: DataFrame, step: int, now_ms: int, order: str) -> DataFrame:
+    """Valid, closed candles; of several for one time the last to come in, by one aggregate."""
+    sane = (F.col("low") > 0) & (F.col("high") >= F.greatest("open", "close", "low")) & (F.col("low") <= F.least("open", "close")) & (F.col("volume") >= 0)
+    kept = rows.where(sane & (F.col("open_time") + step <= now_ms))
+    value = F.struct(*[c for c in rows.columns if c not in ("symbol", "open_time")])
+    return kept.groupBy("symbol", "open_time").agg(F.max_by(value, order).alias("v")).select("symbol", "open_time", "v.*")
+
+
+def series_profile(bars: DataFrame, step: int) -> DataFrame:
+    """Rows, repeated times, gaps and bad prices or volumes of each symbol."""
+    gap = F.col("open_time") - F.lag("open_time").over(Window.partitionBy("symbol").orderBy("open_time"))
+    bad = (F.col("high") < F.greatest("open", "close")) | (F.col("low") > F.least("open", "close")) | (F.col("low") <= 0)
+    return bars.withColumn("gap", gap).groupBy("symbol").agg(F.count("*").alias("n"), F.count_if(F.col("gap") == 0).alias("repeated"), F.count_if(F.col("gap") > step).alias("gaps"), F.count_if(bad).alias("bad_prices"), F.count_if(F.col("volume") < 0).alias("bad_volumes"))
+
+
+def completeness(rows: DataFrame, t: str, day_ms: int = 86_400_000) -> DataFrame:
+    """Days expected, present and missing of each symbol between the first and last day of all."""
+    days = rows.groupBy("symbol", F.floor(F.col(t) / day_ms).alias("day")).agg(F.lit(1).alias("here"))
+    ends = days.agg(F.min("day").alias("a"), F.max("day").alias("b"))
+    spine = days.select("symbol").distinct().crossJoin(F.broadcast(ends)).select("symbol", F.explode(F.sequence("a", "b")).alias("day"))
+    joined = spine.join(days, ["symbol", "day"], "left")
+    return joined.groupBy("symbol").agg(F.count("*").alias("expected"), F.count("here").alias("present"), F.count_if(F.col("here").isNull()).alias("missing"))
+
+
+def quality_audit(rows: DataFrame, by: str, key: str, checks: dict[str, Column], examples: int = 3) -> DataFrame:
+    """Accepted rows and failures of each check by stream, with the first failing keys as examples."""
+    failed = F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in checks.items()]))
+    marked = rows.select(by, key, failed.alias("failed"))
+    counts = marked.groupBy(by).agg(F.count_if(F.size("failed") == 0).alias("accepted"), *[F.count_if(F.array_contains("failed", n)).alias(n) for n in checks])
+    first = Window.partitionBy(by).orderBy(key)
+    few = marked.where(F.size("failed") > 0).withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= examples)
+    shown = few.groupBy(by).agg(F.array_join(F.array_sort(F.collect_list(F.col(key))), ",").alias("examples"))
+    return counts.join(shown, by, "left")
+
+
+def feed_coverage(rows: DataFrame, by: str, member: str) -> DataFrame:
+    """Members expected (all that were ever seen), observed and absent for each group; members are a dimension of bounded size."""
+    seen = rows.groupBy(by, member).agg(F.count("*").alias("n"))
+    every = seen.select(by).distinct().crossJoin(seen.select(member).distinct())
+    return every.join(seen, [by, member], "left").groupBy(by).agg(F.count("*").alias("expected"), F.count("n").alias("observed"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("n").isNull(), F.col(member)))), ",").alias("absent"), F.sum("n").alias("rows"))
+
+
+def reconcile(facts: DataFrame, manifest: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows counted against rows the manifest states, also where one side has none."""
+    counted = facts.groupBy(*keys).agg(F.count("*").alias("counted"))
+    both = counted.join(manifest.select(*keys, "stated"), keys, "full")
+    return both.select(*keys, F.coalesce("counted", F.lit(0)).alias("counted"), F.coalesce("stated", F.lit(0)).alias("stated"), F.equal_null("counted", "stated").alias("agrees"))
+
+
+def age_audit(joined: DataFrame, most: int) -> DataFrame:
+    """Rows with and without a value, quantiles of the age and how many break the limit."""
+    age = F.col("age")
+    return joined.groupBy("symbol").agg(F.count("*").alias("n"), F.count("age").alias("available"), F.min("age").alias("min_age"), F.percentile("age", 0.5).alias("p50_age"), F.percentile("age", 0.99).alias("p99_age"), F.max("age").alias("max_age"), F.count_if((age > most) | (age < 0)).alias("breaks"))
+
+
+def cutoff(rows: DataFrame, t: str, at: int) -> DataFrame:
+    """Rows before a frozen cutoff and prospective ones from it on, counted by day."""
+    return rows.groupBy(F.floor(F.col(t) / 86_400_000).alias("day"), F.when(F.col(t) < at, "frozen").otherwise("prospective").alias("part")).agg(F.count("*").alias("n"))
