@@ -96,3 +96,44 @@ def test_running_sum_over_buckets(spark):
     got = {r["id"]: r["s"] for r in running_sum(spark.createDataFrame(rows, "symbol string, t long, id long, v double"), "symbol", "t", "id", "v", bucket_ms=50).collect()}
     for k, t, i, _ in rows:
         assert got[i] == sum(v for q, u, j, v in rows if q == k and (u, j) <= (t, i))
+
+
+def _stream(spark, df, tmp_path):
+    df.repartition(3).write.parquet(str(tmp_path / "in"))
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+
+def _run(stream, name, mode):
+    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    return stream.sparkSession.table(name)
+
+
+def test_stream_repeats_sessions_and_windows(spark, tmp_path):
+    from tidemark.streaming import events
+
+    trades = views.trades(spark, SF)
+    twice = trades.unionByName(trades.where("id % 4 = 0"))
+    once = _run(events.drop_repeats(_stream(spark, twice, tmp_path / "a"), ["id"], "60 days"), "once", "append")
+    assert once.count() == once.select("id").distinct().count() == trades.count()
+    gap = 6 * 3_600_000
+    got = sorted((r["symbol"], r["first_t"], r["last_t"], r["n"]) for r in _run(events.sessions(_stream(spark, trades, tmp_path / "b"), "6 hours", "60 days"), "sess", "complete").collect())
+    want, rows = [], sorted((r["symbol"], r["t"]) for r in trades.collect())
+    for s, t in rows:
+        if want and want[-1][0] == s and t - want[-1][2] < gap:
+            want[-1][2:] = [t, want[-1][3] + 1]
+        else:
+            want.append([s, t, t, 1])
+    assert got == [tuple(w) for w in want]
+    slid = _run(events.sliding_flow(_stream(spark, trades, tmp_path / "c"), "2 hours", "1 hour", "60 days"), "slid", "complete")
+    assert slid.agg(F.sum("n")).first()[0] == 2 * trades.count()
+
+
+def test_stream_append_is_idempotent(spark, tmp_path):
+    from tidemark.streaming.events import observations_sink
+
+    write, batch = observations_sink(spark, str(tmp_path / "obs")), views.observations(spark, SF)
+    write(batch.where("id % 2 = 0"), 0)
+    write(batch.where("id % 2 = 0"), 0)
+    write(batch, 1)
+    assert spark.read.parquet(str(tmp_path / "obs")).count() == batch.dropDuplicates(["kind", "source", "observed_at", "payload"]).count()

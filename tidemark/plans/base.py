@@ -13,6 +13,8 @@ from tidemark.sources import views
 
 HOUR = 3_600_000
 DAY = 24 * HOUR
+#: Added to means of short decimals before rounding, so that an exact tie rounds alike on both sides.
+TIE = 1e-9
 Query = Callable[[SparkSession, str], DataFrame]
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import asof, bars
-from tidemark.plans.base import DAY, DENSE, HOUR, Query, V, hourly
+from tidemark.plans.base import DAY, DENSE, HOUR, TIE, Query, V, hourly
 from tidemark.sources import views
 
 
@@ -71,12 +71,12 @@ SELECT symbol, open_time, round(coalesce(open, prior), 6) AS open, round(coalesc
   count(*) FILTER (NOT buyer_is_maker) AS buys, count(*) FILTER (buyer_is_maker) AS sells, round(max(price * qty), 6) AS max_notional, round(arg_min(price, (t, id)), 6) AS first_price, round(arg_max(price, (t, id)), 6) AS last_price FROM v_trades GROUP BY 1, 2""",
     ),
     "R05_dense_flow": (
-        lambda s, d: bars.dense_flow(views.trades(s, d), HOUR),
+        lambda s, d: bars.dense_flow(views.trades(s, d), HOUR).withColumn("squared_quote", F.col("squared_quote") / 1e6),
         DENSE
         + f""", f AS ({FLOW}sum(CASE WHEN NOT buyer_is_maker THEN price * qty ELSE 0 END) AS bq, sum(CASE WHEN buyer_is_maker THEN price * qty ELSE 0 END) AS sq, count(*) AS aggregates, sum(last_id - first_id + 1)::BIGINT AS constituents,
   max(price * qty) AS mq, sum(price * qty * (price * qty)) AS qq, max(t) AS lt FROM v_trades GROUP BY 1, 2)
 SELECT d.symbol, d.open_time, round(d.close, 6) AS close, round(coalesce(bq, 0), 6) AS buy_quote, round(coalesce(sq, 0), 6) AS sell_quote, coalesce(aggregates, 0) AS aggregates, coalesce(constituents, 0) AS constituents, round(coalesce(mq, 0), 6) AS max_quote,
-  round(coalesce(qq, 0), 6) AS squared_quote, d.open_time + 3600000 - last_value(lt IGNORE NULLS) OVER (PARTITION BY d.symbol ORDER BY d.open_time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS age
+  round(coalesce(qq, 0) / 1e6, 6) AS squared_quote, d.open_time + 3600000 - last_value(lt IGNORE NULLS) OVER (PARTITION BY d.symbol ORDER BY d.open_time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS age
 FROM dense d LEFT JOIN f ON f.symbol = d.symbol AND f.open_time = d.open_time""",
     ),
     "R07_quote_path": (
@@ -114,8 +114,8 @@ SELECT id, symbol, """
         V + f"SELECT a.symbol, a.open_time, round(a.close, 6) AS close, round(b.close, 6) AS next_close FROM v_bars a JOIN v_bars b ON a.symbol = b.symbol AND b.open_time = a.open_time + {HOUR}",
     ),
     "J06_interval_sum": (
-        lambda s, d: asof.interval_sum(hourly(s, d).select("symbol", "open_time", (F.col("open_time") + DAY).alias("exit")), funding(s, d), "open_time", "exit", "rate"),
-        FUNDING + f" SELECT b.symbol, b.open_time, b.open_time + {DAY} AS exit, round(coalesce(sum(rate), 0), 6) AS between FROM v_bars b LEFT JOIN f ON f.symbol = b.symbol AND f.t > b.open_time AND f.t <= b.open_time + {DAY} GROUP BY ALL".replace("AS between", 'AS "between"'),
+        lambda s, d: asof.interval_sum(hourly(s, d).select("symbol", "open_time", (F.col("open_time") + DAY).alias("exit")), funding(s, d), "open_time", "exit", "rate").withColumn("between", F.col("between") + TIE),
+        FUNDING + f" SELECT b.symbol, b.open_time, b.open_time + {DAY} AS exit, round(coalesce(sum(rate), 0) + 1e-9, 6) AS between FROM v_bars b LEFT JOIN f ON f.symbol = b.symbol AND f.t > b.open_time AND f.t <= b.open_time + {DAY} GROUP BY ALL".replace("AS between", 'AS "between"'),
     ),
     "J08_asof_forward": (
         lambda s, d: asof.asof_forward(views.requests(s, d), views.quotes(s, d).select("symbol", "event_ms", "update_id", "bid"), "symbol", "t", "event_ms", "update_id"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import evaluation, features, ranks
-from tidemark.plans.base import BY, DENSE, Query, V, dense
+from tidemark.plans.base import BY, DENSE, TIE, Query, V, dense
 from tidemark.sources import views
 
 DAILY = V + ", d AS (SELECT symbol, exit, sum(pnl) AS pnl FROM v_closed GROUP BY 1, 2)"
@@ -70,8 +70,8 @@ SELECT family, test, round(p, 6) AS p, round(least(1, min(raw) OVER (PARTITION B
         DAILY + " SELECT symbol, exit, round(pnl, 6) AS net, round(sum(pnl) OVER (PARTITION BY symbol ORDER BY exit), 6) AS equity, round(sum(pnl) OVER (PARTITION BY exit), 6) AS day_net FROM d",
     ),
     "E28_ensemble_score": (
-        lambda s, d: evaluation.ensemble_score(views.predictions(s, d).select(F.col("day").alias("event"), "p")),
-        V + "SELECT day AS event, count(*) AS members, bool_and(p > 0.5) AS unanimous, round(avg(p), 6) AS mean, round(min(p), 6) AS worst, avg(p) > 0.5 AS long FROM v_predictions GROUP BY 1",
+        lambda s, d: evaluation.ensemble_score(views.predictions(s, d).select(F.col("day").alias("event"), "p")).withColumn("mean", F.col("mean") + TIE),
+        V + "SELECT day AS event, count(*) AS members, bool_and(p > 0.5) AS unanimous, round(avg(p) + 1e-9, 6) AS mean, round(min(p), 6) AS worst, avg(p) > 0.5 AS long FROM v_predictions GROUP BY 1",
     ),
     "E33_var_cvar": (
         lambda s, d: evaluation.var_cvar(views.closed_trades(s, d)),
