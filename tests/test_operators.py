@@ -137,3 +137,17 @@ def test_stream_append_is_idempotent(spark, tmp_path):
     write(batch.where("id % 2 = 0"), 0)
     write(batch, 1)
     assert spark.read.parquet(str(tmp_path / "obs")).count() == batch.dropDuplicates(["kind", "source", "observed_at", "payload"]).count()
+
+
+def test_ridge_matches_numpy(spark):
+    import numpy as np
+
+    from tidemark.operators.models import ridge
+
+    rows = views.predictions(spark, SF).select("p", "weight", F.col("y").cast("double").alias("y"))
+    got = ridge(rows, ["p", "weight"], "y", 3.0)
+    data = np.array([tuple(r) for r in rows.collect()], float)
+    x = (data[:, :2] - data[:, :2].mean(0)) / data[:, :2].std(0)
+    want = np.linalg.solve(x.T @ x + 3.0 * np.eye(2), x.T @ (data[:, 2] - data[:, 2].mean()))
+    assert math.isclose(got["p"], want[0], rel_tol=1e-6) and math.isclose(got["weight"], want[1], rel_tol=1e-6)
+    assert ridge(rows.where("false"), ["p"], "y", 1.0) == {"p": 0.0, "intercept": 0.0}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, bars, quality
+from tidemark.operators import asof, bars, models, quality
 from tidemark.plans.base import BY, DAY, HOUR, Query, V
 from tidemark.plans.joins import FUNDING, funding
 from tidemark.sources import frames, views
@@ -39,6 +39,16 @@ def checks():
 
 
 QUERIES: dict[str, tuple[Query, str]] = {
+    "B02_level_changes": (
+        lambda s, d: models.level_changes(views.quotes(s, d).select("symbol", F.lit("bid").alias("side"), (F.round(F.col("bid") / 10) * 10).alias("price"), "update_id", F.col("bid_qty").alias("qty"))),
+        V
+        + """, l AS (SELECT symbol, 'bid' AS side, round(bid / 10) * 10 AS price, update_id, bid_qty AS qty FROM v_quotes), c AS (SELECT *, qty - coalesce(lag(qty) OVER (PARTITION BY symbol, price ORDER BY update_id), 0) AS d FROM l)
+SELECT symbol, side, price, update_id, greatest(d, 0) AS added, greatest(-d, 0) AS removed, greatest(d, 0) * price AS added_quote, greatest(-d, 0) * price AS removed_quote FROM c""",
+    ),
+    "F51_stress_state": (
+        lambda s, d: models.stress_state(views.trades(s, d).select("id", "price", "qty"), models.stress_bounds(views.trades(s, d).where("id % 2 = 0"), ["price", "qty"]), ["price", "qty"]).select("id", "state"),
+        V + ", b AS (SELECT quantile_cont(price, 2 / 3.0::DOUBLE) AS a, quantile_cont(qty, 2 / 3.0::DOUBLE) AS c FROM v_trades WHERE id % 2 = 0) SELECT id, (price > a)::INT + (qty > c)::INT AS state FROM v_trades, b",
+    ),
     "S06_funding_checks": (
         lambda s, d: frames.funding_checks(funding(s, d), HOUR, 24 * HOUR).select("symbol", "t", "interval", "valid"),
         FUNDING + f' SELECT symbol, t, t - lag(t) OVER (PARTITION BY symbol ORDER BY t) AS "interval", coalesce(t - lag(t) OVER (PARTITION BY symbol ORDER BY t) BETWEEN {HOUR} AND {24 * HOUR}, true) AS valid FROM f',
