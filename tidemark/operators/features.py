@@ -207,3 +207,15 @@ def fee(price: Column, qty: Column, rate: float, power: int = 1) -> Column:
     """qty * rate * (p (1 - p)) ^ power, up to the next 0.00001; nothing where it is less than that."""
     raw = qty * rate * (price * (1 - price)) ** power
     return F.when(raw < 1e-5, 0.0).otherwise(F.ceil(F.round(raw * 1e5, 6)) / 1e5)
+
+
+def outlook(bars: DataFrame) -> DataFrame:
+    """Momentum over 1 and 10 bars, spread of the 3- and 12-bar means, range over 14 bars and the next return, in one pass."""
+    before = F.lag("close").over(by_time())
+    tr = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
+    rows = chunked(bars, 14, 2).withColumn("tr", tr)
+    moved = [(F.col("close") / F.lag("close", k).over(by_time()) - 1).alias(f"momentum_{k}") for k in (1, 10)]
+    spread = full(F.avg("close").over(frame(3)) / F.avg("close").over(frame(12)) - 1, "close", 12).alias("sma_spread")
+    span = full(F.avg("tr").over(frame(14)) / F.col("close"), "tr", 14).alias("atr")
+    target = (F.log(F.lead("open", 2).over(by_time()) / F.lead("open", 1).over(by_time())) * 10_000).alias("target")
+    return own(rows.select(*KEYS, *moved, spread, span, target))

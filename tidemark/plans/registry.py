@@ -17,9 +17,7 @@ from tidemark.sources import ingest, views
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars, filled, with momentum, spread of means and range, against the next bar's return, by symbol."""
-    filled = dense(spark, sf_dir)
-    joined = features.momentum(filled).join(features.sma_spread(filled, 3, 12), ["symbol", "open_time"]).join(features.atr(filled), ["symbol", "open_time"]).join(features.next_return(filled), ["symbol", "open_time"])
-    usable = joined.where("momentum_10 is not null and sma_spread is not null and atr is not null and target is not null")
+    usable = features.outlook(dense(spark, sf_dir)).where("momentum_10 is not null and sma_spread is not null and atr is not null and target is not null")
     out = usable.groupBy("symbol").agg(
         F.count("*").alias("n"), F.avg(F.col("target") ** 2).alias("mse_zero"), F.corr("momentum_1", "target").alias("momentum_corr"),
         F.corr("sma_spread", "target").alias("spread_corr"), F.avg((F.signum("momentum_1") == F.signum("target")).cast("double")).alias("sign_accuracy"), F.avg("atr").alias("mean_atr"),
