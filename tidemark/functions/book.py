@@ -24,3 +24,74 @@ def walk(levels: Column, qty: Column) -> Column:
         return F.struct((acc["left"] - take).alias("left"), (acc["cost"] + take * x["price"]).alias("cost"))
 
     return F.aggregate(levels, start, step, lambda acc: F.when(acc["left"] <= 1e-12, acc["cost"] / qty))
+
+
+def walk_limit(levels: Column, qty: Column, limit: Column, rate: float) -> Column:
+    """(average price, fees) of taking ``qty`` from asks up to a limit, each level paying rate * p * (1 - p) on its part; null where too little is there."""
+    start = F.struct(qty.cast("double").alias("left"), F.lit(0.0).alias("cost"), F.lit(0.0).alias("fee"))
+
+    def step(acc: Column, x: Column) -> Column:
+        take = F.when(x["price"] <= limit, F.least(acc["left"], x["qty"])).otherwise(0.0)
+        return F.struct((acc["left"] - take).alias("left"), (acc["cost"] + take * x["price"]).alias("cost"), (acc["fee"] + take * rate * x["price"] * (1 - x["price"])).alias("fee"))
+
+    return F.aggregate(levels, start, step, lambda acc: F.when(acc["left"] <= 1e-12, F.struct((acc["cost"] / qty).alias("price"), acc["fee"].alias("fee"))))
+
+
+def quote_impact(levels: Column, quote: float, sign: int) -> Column:
+    """Basis points by which the average price of taking ``quote`` of notional is worse than the best; 0 for no levels."""
+    start = F.struct(F.lit(quote).alias("left"), F.lit(0.0).alias("quote"), F.lit(0.0).alias("qty"))
+
+    def step(acc: Column, x: Column) -> Column:
+        take = F.least(acc["left"], x["price"] * x["qty"])
+        return F.struct((acc["left"] - take).alias("left"), (acc["quote"] + take).alias("quote"), (acc["qty"] + take / x["price"]).alias("qty"))
+
+    worse = F.aggregate(levels, start, step, lambda acc: F.when(acc["qty"] > 0, sign * (acc["quote"] / acc["qty"] / levels[0]["price"] - 1) * 10_000))
+    return F.greatest(F.lit(0.0), F.coalesce(worse, F.lit(0.0)))
+
+
+def depth_shape(levels: Column) -> Column:
+    """Slope and convexity of log cumulative depth over the distance from the best price, by least squares on (1, x, x^2)."""
+    best, far = levels[0]["price"], F.abs(F.element_at(levels, -1)["price"] - levels[0]["price"])
+    names = ("depth", "n", "x", "x2", "x3", "x4", "y", "xy", "x2y")
+
+    def step(acc: Column, level: Column) -> Column:
+        x, depth = F.abs(level["price"] - best) / far, acc["depth"] + level["qty"]
+        y = F.log1p(depth)
+        new = (depth, acc["n"] + 1, acc["x"] + x, acc["x2"] + x**2, acc["x3"] + x**3, acc["x4"] + x**4, acc["y"] + y, acc["xy"] + x * y, acc["x2y"] + x**2 * y)
+        return F.struct(*[v.alias(k) for k, v in zip(names, new, strict=True)])
+
+    def solve(s: Column) -> Column:
+        n, x, x2, x3, x4, y, xy, x2y = (s[k] for k in names[1:])
+        det = n * (x2 * x4 - x3 * x3) - x * (x * x4 - x3 * x2) + x2 * (x * x3 - x2 * x2)
+        b = n * (xy * x4 - x3 * x2y) - y * (x * x4 - x3 * x2) + x2 * (x * x2y - xy * x2)
+        c = n * (x2 * x2y - xy * x3) - x * (x * x2y - xy * x2) + y * (x * x3 - x2 * x2)
+        ok = det != 0
+        return F.struct(F.when(ok, b / det).otherwise(0.0).alias("slope"), F.when(ok, c / det).otherwise(0.0).alias("convexity"))
+
+    flat = F.struct(F.lit(0.0).alias("slope"), F.lit(0.0).alias("convexity"))
+    return F.when((F.size(levels) < 3) | (far == 0), flat).otherwise(F.aggregate(levels, F.struct(*[F.lit(0.0).alias(k) for k in names]), step, solve))
+
+
+def _moves(was: Column, now: Column) -> Column:
+    """price -> change of quantity between two sides."""
+    return F.map_zip_with(F.map_from_entries(was), F.map_from_entries(now), lambda _, a, b: F.coalesce(b, F.lit(0.0)) - F.coalesce(a, F.lit(0.0)))
+
+
+def side_change(was: Column, now: Column) -> Column:
+    """What was added to a side and cancelled from it, as shares of its mean depth."""
+    moves, mean = F.map_values(_moves(was, now)), (depth(was, 20) + depth(now, 20)) / 2
+    added = F.aggregate(moves, F.lit(0.0), lambda acc, x: acc + F.greatest(x, F.lit(0.0)))
+    cancelled = F.aggregate(moves, F.lit(0.0), lambda acc, x: acc + F.greatest(-x, F.lit(0.0)))
+    return F.struct(F.when(mean > 0, added / mean).otherwise(0.0).alias("added"), F.when(mean > 0, cancelled / mean).otherwise(0.0).alias("cancelled"))
+
+
+def delta(was: Column, now: Column) -> Column:
+    """Levels of ``now`` that differ, with their new quantity; 0 for those that are gone."""
+    late = F.map_from_entries(now)
+    changed = F.filter(F.map_entries(_moves(was, now)), lambda e: e["value"] != 0)
+    return F.transform(changed, lambda e: F.struct(e["key"].alias("price"), F.coalesce(F.try_element_at(late, e["key"]), F.lit(0.0)).alias("qty")))
+
+
+def rank(levels: Column, price: Column, side: str) -> Column:
+    """Place of a price among a side's levels, 1 for the best."""
+    return F.size(F.filter(levels, lambda x: x["price"] > price if side == "bid" else x["price"] < price)) + 1

@@ -32,6 +32,32 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_t: str, right_t:
     return found.select(*left.columns, "__m.*")
 
 
+def neighbour(df: DataFrame, key: str, t: str, order: str, columns: list[str], prefix: str, ahead: bool = False, bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """Each row with columns of the one before it (or after) by (t, order) in its key; null at the end.
+
+    A lag inside a time bucket; a bucket's first row takes the last row of the bucket before.
+    """
+    rows = df.withColumn("__b", F.floor(F.col(t) / bucket_ms))
+    held, place = F.struct(*[F.col(c).alias(prefix + c) for c in columns]), F.struct(t, order)
+    by = [F.desc(t), F.desc(order)] if ahead else [F.col(t), F.col(order)]
+    edge = F.min_by(held, place) if ahead else F.max_by(held, place)
+    carry = rows.groupBy(key, "__b").agg(edge.alias("__edge")).select(key, "__b", F.lag("__edge").over(Window.partitionBy(key).orderBy(F.desc("__b") if ahead else F.col("__b"))).alias("__carry"))
+    inside = rows.withColumn("__near", F.lag(held).over(Window.partitionBy(key, "__b").orderBy(*by)))
+    return inside.join(carry, [key, "__b"]).withColumn("__near", F.coalesce("__near", "__carry")).select(*df.columns, "__near.*")
+
+
+def window_rows(decisions: DataFrame, rows: DataFrame, t: str, span: int) -> DataFrame:
+    """Pairs of a decision (id, symbol, t) and the rows of its symbol in [t - span, t], an equi-join on time bins.
+
+    For spans short against the rows' rate; running sums serve long ones. Decisions without rows are kept with nulls.
+    """
+    at = F.floor(F.col("t") / span)
+    asked = decisions.select("id", "symbol", F.col("t").alias("__at"), F.explode(F.array(at - 1, at)).alias("__bin"))
+    held = rows.withColumn("__bin", F.floor(F.col(t) / span)).withColumnsRenamed({"symbol": "__symbol", "__bin": "__held", t: "__t"})
+    inside = (F.col("symbol") == F.col("__symbol")) & (F.col("__bin") == F.col("__held")) & F.col("__t").between(F.col("__at") - span, F.col("__at"))
+    return asked.join(held.drop("id"), inside, "left")
+
+
 def asof_quotes(requests: DataFrame, quotes: DataFrame, max_age: int) -> DataFrame:
     """The quote known at each request, and whether it is fresh and sane; requests without one are kept."""
     j = asof_join(requests, quotes, "symbol", "t", "event_ms", "update_id")

@@ -39,6 +39,20 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots of 20 levels a side, one cent apart, around a middle that moves by ticks."""
+    e = read(spark, sf_dir, "events").where("event_id % 2 = 1")
+    tick = 10_000 + (F.floor("value") % 5) * 2
+    i = F.sequence(F.lit(0), F.lit(19))
+    return e.select(
+        F.col("event_id").alias("update_id"),
+        F.col("event_type").alias("symbol"),
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("event_ms"),
+        F.transform(i, lambda k: F.struct(((tick - k) / 100.0).alias("price"), (1.0 + (F.col("event_id") + k) % 9).alias("qty"))).alias("bids"),
+        F.transform(i, lambda k: F.struct(((tick + 1 + k) / 100.0).alias("price"), (1.0 + (F.col("event_id") + 2 * k) % 7).alias("qty"))).alias("asks"),
+    )
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trades(spark, sf_dir).where("id % 2 = 0").select("id", "symbol", "t")
 
@@ -84,6 +98,11 @@ v_quotes AS (
   SELECT event_id AS update_id, event_type AS symbol, epoch_us(ts) // 1000 AS event_ms, epoch_us(ts) // 1000 - event_id % 5 AS txn_ms,
     100 + value - 0.01::DOUBLE * (1 + event_id % 4) AS bid, 100 + value + 0.01::DOUBLE * (1 + event_id % 3) AS ask,
     (1 + user_id % 7)::DOUBLE AS bid_qty, (1 + user_id % 11)::DOUBLE AS ask_qty FROM events WHERE event_id % 2 = 1),
+v_levels AS (
+  SELECT event_id AS update_id, event_type AS symbol, epoch_us(ts) // 1000 AS event_ms, i, side,
+    (10000 + floor(value)::BIGINT % 5 * 2 + CASE side WHEN 'bid' THEN -i ELSE 1 + i END) / 100.0::DOUBLE AS price,
+    1.0::DOUBLE + CASE side WHEN 'bid' THEN (event_id + i) % 9 ELSE (event_id + 2 * i) % 7 END AS qty
+  FROM events, generate_series(0, 19) g(i), (VALUES ('bid'), ('ask')) s(side) WHERE event_id % 2 = 1),
 v_requests AS (SELECT id, symbol, t FROM v_trades WHERE id % 2 = 0),
 v_predictions AS (
   SELECT o_orderkey AS id, date_diff('day', DATE '1970-01-01', o_orderdate::DATE)::BIGINT AS day, (o_orderstatus = 'F')::INT AS y,
