@@ -188,3 +188,10 @@ def windowed_robustness(trades: DataFrame, n: int) -> DataFrame:
     ends = trades.agg(F.min("exit").alias("__a"), F.max("exit").alias("__b"))
     span = F.floor((F.col("exit") - F.col("__a")) * n / (F.col("__b") - F.col("__a") + 1)).cast("int").alias("window")
     return trades.crossJoin(F.broadcast(ends)).groupBy(span).agg(F.count("*").alias("n"), F.sum("pnl").alias("net"), F.avg((F.col("pnl") > 0).cast("double")).alias("win_rate"), (F.sum("pnl") > 0).alias("accepted"))
+
+
+def routed_cost(fee_bps: float) -> list[Column]:
+    """Spread, spread with both fees, delay, and the share of rows cheaper than a basis point beyond the fees."""
+    spread = (F.col("ask") - F.col("bid")) / ((F.col("bid") + F.col("ask")) / 2) * 10_000
+    total = spread + 2 * fee_bps
+    return [F.avg(spread).alias("spread_cost"), F.avg(total).alias("total_cost"), F.avg(F.col("event_ms") - F.col("txn_ms")).alias("mean_delay"), F.avg((total < 2 * fee_bps + 1).cast("double")).alias("cheap_rate")]

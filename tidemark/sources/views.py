@@ -78,6 +78,19 @@ def closed_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades as proposed actions: side, score, when they would end and what they would earn, plainly and under stress."""
+    end = F.col("t") + (1 + F.col("id") % 5) * 600_000
+    return trades(spark, sf_dir).select(
+        "id", "symbol", "t",
+        F.when(F.col("buyer_is_maker"), -1).otherwise(1).alias("side"),
+        ((F.col("price") - 345) / 100).alias("score"),
+        end.alias("end"),
+        (end + 300_000).alias("stress_end"),
+        ((F.col("id") * 37 % 101 - 48) / 10.0).alias("net"),
+    )
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(
         F.col("event_id").alias("id"),
@@ -110,6 +123,9 @@ v_predictions AS (
 v_closed AS (
   SELECT l_orderkey * 10 + l_linenumber AS id, l_returnflag AS symbol, date_diff('day', DATE '1970-01-01', l_shipdate::DATE)::BIGINT AS entry,
     date_diff('day', DATE '1970-01-01', l_shipdate::DATE)::BIGINT + l_linenumber AS exit, l_extendedprice * (l_discount - 0.05::DOUBLE) AS pnl FROM lineitem),
+v_actions AS (
+  SELECT id, symbol, t, CASE WHEN buyer_is_maker THEN -1 ELSE 1 END AS side, (price - 345) / 100 AS score, t + (1 + id % 5) * 600000 AS "end", t + (1 + id % 5) * 600000 + 300000 AS stress_end,
+    (id * 37 % 101 - 48) / 10.0::DOUBLE AS net FROM v_trades),
 v_obs AS (
   SELECT event_id AS id, epoch_us(ts) // 1000 AS observed_at, event_type AS kind, 's' || (user_id % 10)::VARCHAR AS source, (value - 50) / 500 AS score, props AS payload FROM events),
 v_bars AS (
