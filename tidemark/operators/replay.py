@@ -30,10 +30,10 @@ def nonoverlap_select(df: DataFrame, hold_ms: int) -> DataFrame:
 DAY_MS = 86_400_000
 
 
-def greedy(df: DataFrame, end: str, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
+def greedy(df: DataFrame, end: str, by: tuple[str, ...] = ("symbol",), daily: bool = True) -> DataFrame:
     """Per key and UTC day, the first row by (t, id), then each next one at or after the end of the last chosen.
 
-    A group is one day of one key; rows keep their columns.
+    A group is one day of one key, or one key where the rule does not start anew each day; rows keep their columns.
     """
     schema = df.schema
 
@@ -46,7 +46,8 @@ def greedy(df: DataFrame, end: str, by: tuple[str, ...] = ("symbol",)) -> DataFr
             at = max(at + 1, int(np.searchsorted(t, ends[at], side="left")))
         return group.take(pa.array(picked, pa.int64())).select(schema.names)
 
-    return df.withColumn("__day", F.floor(F.col("t") / DAY_MS)).groupBy(*by, "__day").applyInArrow(choose, schema)
+    day = F.floor(F.col("t") / DAY_MS) if daily else F.lit(0)
+    return df.withColumn("__day", day).groupBy(*by, "__day").applyInArrow(choose, schema)
 
 
 def same_day(df: DataFrame, end: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import book
 from tidemark.operators import asof, bars, evaluation, features, quality, ranks
-from tidemark.plans import audits, evidence, joins, orderbooks, panel, stats
+from tidemark.plans import audits, evidence, joins, orderbooks, panel, panels, stats
 from tidemark.plans.base import BY, DENSE, HOUR, Query, V, dense, frame_sql, hourly, rounded, rounds
 from tidemark.sources import ingest, views
 
@@ -38,7 +38,7 @@ FROM atr WHERE m10 IS NOT NULL AND sma IS NOT NULL AND atr IS NOT NULL AND targe
 )
 
 #: name -> (query, SQL)
-_ALL: dict[str, tuple[Query, str]] = audits.QUERIES | evidence.QUERIES | joins.QUERIES | orderbooks.QUERIES | panel.QUERIES | stats.QUERIES | {
+_ALL: dict[str, tuple[Query, str]] = audits.QUERIES | evidence.QUERIES | joins.QUERIES | orderbooks.QUERIES | panel.QUERIES | panels.QUERIES | stats.QUERIES | {
     "flagship": (flagship, FLAGSHIP_SQL),
     "R01_trade_bars": (hourly, V + "SELECT symbol, open_time, " + rounds("open", "high", "low", "close", "volume", "quote_volume", "buy_volume") + ", trade_count FROM v_bars"),
     "R02_fill_bars": (dense, DENSE + "SELECT symbol, open_time, " + rounds("open", "high", "low", "close", "volume", "quote_volume", "buy_volume") + ", trade_count FROM dense"),
