@@ -105,30 +105,37 @@ def sliding_quotes(decisions: DataFrame, quotes: DataFrame, span: int) -> DataFr
     return asof.window_rows(decisions, rows, "event_ms", span).groupBy("id").agg(F.count_if(after).alias("updates"), F.avg(F.when(after, F.col("spread"))).alias("mean_spread"), F.max(F.when(after, F.col("spread"))).alias("max_spread"), F.coalesce(F.sum(F.when(after, F.col("move"))), F.lit(0.0)).alias("variation"))
 
 
-def exp_decay_flow(decisions: DataFrame, trades: DataFrame, half_life: int, delay: int) -> DataFrame:
-    """Log rate and imbalance of buy and sell notional that halves every ``half_life``, as known ``delay`` before.
+def decayed(rows: DataFrame, half_life: int, columns: list[str]) -> DataFrame:
+    """Sums of columns that halve every ``half_life``, after each row of its symbol, scaled to the row's ``start``.
 
-    Inside a time bucket of 64 half-lives the decayed sum is a running sum of notional scaled to the bucket's start. What
+    Inside a time bucket of 64 half-lives the decayed sum is a running sum of values scaled to the bucket's start. What
     a bucket starts with is a recursion over one row for each bucket of a symbol.
     """
     span = 64 * half_life
     b = F.floor(F.col("t") / span)
-    scaled = F.col("price") * F.col("qty") * F.pow(F.lit(2.0), (F.col("t") - b * span) / half_life)
-    rows = trades.select("symbol", "t", "id", b.alias("__b"), F.when(F.col("buyer_is_maker"), 0.0).otherwise(scaled).alias("buy"), F.when(F.col("buyer_is_maker"), scaled).otherwise(0.0).alias("sell"))
+    grown = F.pow(F.lit(2.0), (F.col("t") - b * span) / half_life)
+    scaled = rows.select("symbol", "t", "id", b.alias("__b"), *[(F.col(c) * grown).alias(c) for c in columns])
 
     def chain(group: pa.Table) -> pa.Table:
         group = group.sort_by("__b")
-        at, buy, sell = (group.column(c).to_numpy() for c in ("__b", "buy", "sell"))
-        held, out = np.zeros(2), np.zeros((len(at), 2))
+        at, sums = group.column("__b").to_numpy(), np.column_stack([group.column(c).to_numpy() for c in columns])
+        out = np.zeros(sums.shape)
         for i in range(1, len(at)):
-            held = (held + (buy[i - 1], sell[i - 1])) * 2.0 ** (-64.0 * (at[i] - at[i - 1]))
-            out[i] = held
-        return pa.table({"symbol": group.column("symbol"), "__b": group.column("__b"), "c_buy": out[:, 0], "c_sell": out[:, 1]})
+            out[i] = (out[i - 1] + sums[i - 1]) * 2.0 ** (-64.0 * (at[i] - at[i - 1]))
+        return pa.table({"symbol": group.column("symbol"), "__b": group.column("__b"), **{f"__c_{c}": out[:, i] for i, c in enumerate(columns)}})
 
-    carry = rows.groupBy("symbol", "__b").agg(F.sum("buy").alias("buy"), F.sum("sell").alias("sell")).groupBy("symbol").applyInArrow(chain, "symbol string, __b long, c_buy double, c_sell double")
+    totals = scaled.groupBy("symbol", "__b").agg(*[F.sum(c).alias(c) for c in columns])
+    carry = totals.groupBy("symbol").applyInArrow(chain, "symbol string, __b long, " + ", ".join(f"__c_{c} double" for c in columns))
     run = Window.partitionBy("symbol", "__b").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0)
-    inside = rows.withColumns({"buy": F.sum("buy").over(run), "sell": F.sum("sell").over(run)})
-    state = inside.join(carry, ["symbol", "__b"]).select("symbol", "t", "id", (F.col("__b") * span).alias("start"), (F.col("buy") + F.col("c_buy")).alias("buy"), (F.col("sell") + F.col("c_sell")).alias("sell"))
+    inside = scaled.withColumns({c: F.sum(c).over(run) for c in columns})
+    return inside.join(carry, ["symbol", "__b"]).select("symbol", "t", "id", (F.col("__b") * span).alias("start"), *[(F.col(c) + F.col(f"__c_{c}")).alias(c) for c in columns])
+
+
+def exp_decay_flow(decisions: DataFrame, trades: DataFrame, half_life: int, delay: int) -> DataFrame:
+    """Log rate and imbalance of buy and sell notional that halves every ``half_life``, as known ``delay`` before."""
+    quote = F.col("price") * F.col("qty")
+    rows = trades.select("symbol", "t", "id", F.when(F.col("buyer_is_maker"), 0.0).otherwise(quote).alias("buy"), F.when(F.col("buyer_is_maker"), quote).otherwise(0.0).alias("sell"))
+    state = decayed(rows, half_life, ["buy", "sell"])
     known = asof.asof_join(decisions.select("id", "symbol", (F.col("t") - delay).alias("cut")), state, "symbol", "cut", "t", "id")
     decay = F.pow(F.lit(2.0), -(F.col("cut") - F.col("r_start")) / half_life)
     total = F.coalesce((F.col("r_buy") + F.col("r_sell")) * decay, F.lit(0.0))
@@ -136,6 +143,16 @@ def exp_decay_flow(decisions: DataFrame, trades: DataFrame, half_life: int, dela
     return known.select("id", F.log1p(total / (half_life / 1000)).alias("log_rate"), F.when(total > 0, imbalance).otherwise(0.0).alias("imbalance"))
 
 
+def event_decay_state(trades: DataFrame, half_life: int, gap: int) -> DataFrame:
+    """Decayed count, notional and signed notional after each trade, from zero after a silence longer than ``gap``."""
+    quote = F.col("price") * F.col("qty")
+    near = asof.neighbour(trades, "symbol", "t", "id", ["t"], "p_").withColumn("__new", F.coalesce(F.col("t") - F.col("p_t") > gap, F.lit(True)).cast("double"))
+    runs = asof.running_sum(near, "symbol", "t", "id", "__new", "__run")
+    rows = runs.select(F.concat_ws("/", "symbol", F.col("__run").cast("long").cast("string")).alias("symbol"), "t", "id", F.lit(1.0).alias("n"), quote.alias("notional"), F.when(F.col("buyer_is_maker"), -quote).otherwise(quote).alias("signed"))
+    fall = F.pow(F.lit(2.0), -(F.col("t") - F.col("start")) / half_life)
+    return decayed(rows, half_life, ["n", "notional", "signed"]).select("id", *[(F.col(c) * fall).alias(c) for c in ("n", "notional", "signed")])
+
+
 def lead_lag(first: DataFrame, second: DataFrame, lags: tuple[int, ...] = (1, 5, 15)) -> DataFrame:
     """Returns and flow shares of two markets' dense bars, their basis and its change over five bars."""
     sides = []

@@ -57,6 +57,13 @@ QUERIES: dict[str, tuple[Query, str]] = {
         + """, f AS (SELECT r.id, sum(CASE WHEN buyer_is_maker THEN 0 ELSE v END) AS buy, sum(CASE WHEN buyer_is_maker THEN v ELSE 0 END) AS sell
   FROM (SELECT r.id, buyer_is_maker, price * qty * 2.0::DOUBLE ** (-(r.t - 250 - t.t) / 3600000.0::DOUBLE) AS v FROM v_requests r LEFT JOIN v_trades t ON t.symbol = r.symbol AND t.t <= r.t - 250) r GROUP BY 1)
 SELECT id, round(ln(1 + coalesce(buy + sell, 0) / 3600), 6) AS log_rate, round(CASE WHEN buy + sell > 0 THEN (buy - sell) / (buy + sell) ELSE 0 END, 6) AS imbalance FROM f""",
+    ),
+    "F26_event_decay_state": (
+        lambda s, d: ob.event_decay_state(views.trades(s, d), HOUR, 2 * HOUR),
+        V
+        + """, g AS (SELECT *, coalesce(t - lag(t) OVER w > 7200000, true)::INT AS starts FROM v_trades WINDOW w AS (PARTITION BY symbol ORDER BY t, id)), s AS (SELECT *, sum(starts) OVER (PARTITION BY symbol ORDER BY t, id) AS run FROM g)
+SELECT a.id, round(sum(2.0::DOUBLE ** (-(a.t - b.t) / 3600000.0::DOUBLE)), 6) AS n, round(sum(b.price * b.qty * 2.0::DOUBLE ** (-(a.t - b.t) / 3600000.0::DOUBLE)), 6) AS notional,
+  round(sum(CASE WHEN b.buyer_is_maker THEN -1 ELSE 1 END * b.price * b.qty * 2.0::DOUBLE ** (-(a.t - b.t) / 3600000.0::DOUBLE)), 6) AS signed FROM s a JOIN s b ON b.symbol = a.symbol AND b.run = a.run AND (b.t < a.t OR b.t = a.t AND b.id <= a.id) GROUP BY 1""",
     ),
     "F29_book_metrics": (
         lambda s, d: ob.book_metrics(views.books(s, d), 5_000.0),
