@@ -55,10 +55,15 @@ def depth_shape(levels: Column) -> Column:
     names = ("depth", "n", "x", "x2", "x3", "x4", "y", "xy", "x2y")
 
     def step(acc: Column, level: Column) -> Column:
-        x, depth = F.abs(level["price"] - best) / far, acc["depth"] + level["qty"]
-        y = F.log1p(depth)
-        new = (depth, acc["n"] + 1, acc["x"] + x, acc["x2"] + x**2, acc["x3"] + x**3, acc["x4"] + x**4, acc["y"] + y, acc["xy"] + x * y, acc["x2y"] + x**2 * y)
-        return F.struct(*[v.alias(k) for k, v in zip(names, new, strict=True)])
+        depth = acc["depth"] + level["qty"]
+        once = F.struct((F.abs(level["price"] - best) / far).alias("x"), F.log1p(depth).alias("y"), depth.alias("depth"))
+
+        def add(v: Column) -> Column:
+            x, y = v["x"], v["y"]
+            new = (v["depth"], acc["n"] + 1, acc["x"] + x, acc["x2"] + x * x, acc["x3"] + x * x * x, acc["x4"] + x * x * x * x, acc["y"] + y, acc["xy"] + x * y, acc["x2y"] + x * x * y)
+            return F.struct(*[c.alias(k) for k, c in zip(names, new, strict=True)])
+
+        return F.transform(F.array(once), add)[0]
 
     def solve(s: Column) -> Column:
         n, x, x2, x3, x4, y, xy, x2y = (s[k] for k in names[1:])
@@ -87,9 +92,9 @@ def side_change(was: Column, now: Column) -> Column:
 
 def delta(was: Column, now: Column) -> Column:
     """Levels of ``now`` that differ, with their new quantity; 0 for those that are gone."""
-    late = F.map_from_entries(now)
-    changed = F.filter(F.map_entries(_moves(was, now)), lambda e: e["value"] != 0)
-    return F.transform(changed, lambda e: F.struct(e["key"].alias("price"), F.coalesce(F.try_element_at(late, e["key"]), F.lit(0.0)).alias("qty")))
+    zero = F.lit(0.0)
+    new = F.map_zip_with(F.map_from_entries(was), F.map_from_entries(now), lambda _, a, b: F.when(F.coalesce(a, zero) != F.coalesce(b, zero), F.coalesce(b, zero)))
+    return F.transform(F.filter(F.map_entries(new), lambda e: e["value"].isNotNull()), lambda e: F.struct(e["key"].alias("price"), e["value"].alias("qty")))
 
 
 def rank(levels: Column, price: Column, side: str) -> Column:
