@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import asof
+
 #: Rows of one key that a task takes at a time.
 CHUNK_ROWS = 4096
 
@@ -95,11 +97,11 @@ def cross_section(bars: DataFrame) -> DataFrame:
 
 def order_flow_imbalance(quotes: DataFrame) -> DataFrame:
     """Best-quote order flow of each update against the one before."""
-    w = Window.partitionBy("symbol").orderBy("event_ms", "update_id")
-    b, a, bq, aq = (F.lag(c).over(w) for c in ("bid", "ask", "bid_qty", "ask_qty"))
+    rows = asof.neighbour(quotes.select("symbol", "event_ms", "update_id", "bid", "ask", "bid_qty", "ask_qty"), "symbol", "event_ms", "update_id", ["bid", "ask", "bid_qty", "ask_qty"], "p_")
+    b, a, bq, aq = (F.col(f"p_{c}") for c in ("bid", "ask", "bid_qty", "ask_qty"))
     bid = F.when(F.col("bid") >= b, F.col("bid_qty")).otherwise(0.0) - F.when(F.col("bid") <= b, bq).otherwise(0.0)
     ask = F.when(F.col("ask") <= a, F.col("ask_qty")).otherwise(0.0) - F.when(F.col("ask") >= a, aq).otherwise(0.0)
-    return quotes.select("symbol", "update_id", F.when(b.isNotNull(), bid - ask).alias("ofi"))
+    return rows.select("symbol", "update_id", F.when(b.isNotNull(), bid - ask).alias("ofi"))
 
 
 def next_return(bars: DataFrame, delay: int = 1, horizon: int = 1) -> DataFrame:
