@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -94,15 +95,20 @@ ASCII = _ascii_table()
 STRANGE = re.compile("[" + "".join(map(re.escape, map(chr, ASCII))) + INVISIBLE + "]")
 
 DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-_DIGIT = "(?:" + "|".join(DIGIT_WORDS) + ")"
-SPELLED = re.compile(rf"(?:\+\s*|\bplus[\s,-]+)?\b(?:{_DIGIT}|[0-9])(?:[\s,.-]+(?:(?:dot|point)[\s,.-]+)?(?:{_DIGIT}|[0-9]+)\b){{6,}}", re.I)
-PART = re.compile(rf"{_DIGIT}|[0-9]+|dot|point|plus|\+", re.I)
 _OPEN, _SHUT = r"[\[({<]", r"[\])}>]"
 AT = re.compile(rf"\s*{_OPEN}\s*(?:at|@)\s*{_SHUT}\s*|\s+at\s+|\s+@\s*|@\s+", re.I)
 _DOT = rf"(?:\s*{_OPEN}\s*(?:dot|punkt|\.)\s*{_SHUT}\s*|\s+dot\s+|\.)"
 RIGHT = re.compile(rf"[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.I)
-LEFT = re.compile(rf"(?:[A-Za-z0-9_%+-]+{_DOT})*[A-Za-z0-9_%+-]+$", re.I)
-WINDOW = 160
+#: LEFT is read backwards from the at sign, over the reversed text, so that it ends where the name begins.
+_TOD = rf"(?:\s*{_SHUT}\s*(?:tod|tknup|\.)\s*{_OPEN}\s*|\s+tod\s+|\.)"
+LEFT = re.compile(rf"[A-Za-z0-9_%+-]+(?:{_TOD}[A-Za-z0-9_%+-]+)*", re.I)
+
+#: A digit word or a number in digits, which may be glued to the word for a dot; and what may stand between two of them.
+NUMBER = re.compile(rf"\b(?:{'|'.join(DIGIT_WORDS)})\b|(?:\b|(?<=dot)|(?<=point)|(?<=punkt))[0-9]++(?:\b|(?=dot|point|punkt))", re.I)
+DOT = re.compile(rf"\.|\s*+{_OPEN}\s*+\.\s*+{_SHUT}\s*+|[\s,.-]*+(?:{_OPEN}\s*+)?(?:dot|point|punkt)(?:\s*+{_SHUT})?[\s,.-]*+", re.I)
+GAP = re.compile(r"[\s,.()-]++")
+PLUS = re.compile(r"(?:\+\s*+\(?|\bplus[\s,-]++)$", re.I)
+DISGUISED = re.compile(rf"\b(?:{'|'.join(DIGIT_WORDS)})\b|[0-9]\W*(?:dot|point|punkt)|[0-9]\s*{_OPEN}\s*\.", re.I)
 
 
 class Mapped:
@@ -132,17 +138,17 @@ class Mapped:
 
 
 def _disguised_emails(text: str):
+    back, n = text[::-1], len(text)
     for m in AT.finditer(text):
         spelled = not any(c in m.group() for c in "@[({<")
-        right = RIGHT.match(text, m.end(), m.end() + WINDOW)
+        right = RIGHT.match(text, m.end())
         if not right:
             continue
         open_dot = re.search(r"\bdot\b|[\[({<]", right.group(), re.I)
-        low = max(0, m.start() - WINDOW)
-        left = LEFT.search(text[low : m.start()])
+        left = LEFT.match(back, n - m.start())
         if not left:
             continue
-        start, end = low + left.start(), right.end()
+        start, end = n - left.end(), right.end()
         if spelled and not open_dot and not re.search(r"[0-9._%+]", left.group()):
             continue
         if spelled and not open_dot and not re.fullmatch(r"(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}", right.group()):
@@ -150,22 +156,113 @@ def _disguised_emails(text: str):
         yield start, 0, end
 
 
+class Number(NamedTuple):
+    """A number token, and what stands between it and the one before: a dot (maybe in disguise), white space or a hyphen, or more."""
+
+    start: int
+    end: int
+    digits: str
+    word: bool
+    dot: bool
+    hidden: bool
+    near: bool
+
+
+def _chains(text: str):
+    """Runs of number tokens with nothing but separators and dots between them."""
+    chain: list[Number] = []
+    for m in NUMBER.finditer(text):
+        a, b = m.span()
+        digits = DIGIT_WORDS.get(m.group().lower(), m.group())
+        dot = hidden = near = False
+        if chain:
+            last = chain[-1].end
+            dot = DOT.fullmatch(text, last, a) is not None
+            hidden = dot and a - last > 1
+            near = dot or text[last:a].strip() in ("", "-")
+            if not dot and not GAP.fullmatch(text, last, a):
+                yield chain
+                chain = []
+        chain.append(Number(a, b, digits, not m.group()[0].isdigit(), dot and bool(chain), hidden, near))
+    if chain:
+        yield chain
+
+
+def _octet(tokens: list[Number]) -> bool:
+    number = "".join(t.digits for t in tokens)
+    return int(number[-4:]) <= 255 and not number[:-3].strip("0")
+
+
+def _end_octet(tokens: list[Number]) -> int:
+    """How many of the tokens, from the first on, are one octet: one number, or as many single digits as fit, if written one by one."""
+    k = 1
+    while k < len(tokens) and k < 3 and tokens[k].near and all(len(t.digits) == 1 for t in tokens[: k + 1]) and _octet(tokens[: k + 1]):
+        k += 1
+    return k
+
+
+def _spelled_ips(chain: list[Number]) -> list[tuple[int, int]]:
+    """(first token, token after the last) of four octets with dots between them, of which something is in disguise."""
+    edges = [0, *(i for i, t in enumerate(chain) if t.dot), len(chain)]
+    out, g, floor = [], 0, 0
+    while g + 4 < len(edges):
+        first = chain[max(floor, edges[g]) : edges[g + 1]]
+        last = chain[edges[g + 3] : edges[g + 4]]
+        g += 1
+        if not first:
+            continue
+        k = 1
+        while k < len(first) and k < 3 and first[-k].near and all(len(t.digits) == 1 for t in first[-k - 1 :]) and _octet(first[-k - 1 :]):
+            k += 1
+        start, end = edges[g] - k, edges[g + 2] + _end_octet(last)
+        octets = [chain[start : edges[g]], chain[edges[g] : edges[g + 1]], chain[edges[g + 1] : edges[g + 2]], chain[edges[g + 2] : end]]
+        if all(map(_octet, octets)) and (any(t.word for t in chain[start:end]) or any(t.hidden for t in chain[start + 1 : end])):
+            out.append((start, end))
+            floor = end
+            g += 2
+    return out
+
+
+def _number_kind(run: list[Number], plus: bool) -> int | None:
+    """Card or phone; a phone without a plus has three digit words or seven tokens at least."""
+    words = sum(t.word for t in run)
+    if not words and not any(t.hidden for t in run[1:]):
+        return None
+    size = sum(len(t.digits) for t in run)
+    if 14 <= size <= 19 and luhn("".join(t.digits for t in run)):
+        return 2
+    return 3 if 10 <= size <= 15 and (plus or words >= 3 or len(run) >= 7 and words) else None
+
+
 def _spelled_numbers(text: str):
-    for m in SPELLED.finditer(text):
-        out = ""
-        for part in PART.findall(m.group()):
-            low = part.lower()
-            out += DIGIT_WORDS.get(low) or {"dot": ".", "point": ".", "plus": "+"}.get(low, low)
-        if not re.search(r"[A-Za-z]{3}|\boh\b", m.group(), re.I):
+    for chain in _chains(text):
+        if len(chain) < 2:
             continue
-        digits = _digits(out)
-        ip = IP.fullmatch(out)
-        if ip and _ip_ok(ip):
-            yield m.start(), 1, m.end()
-        elif 14 <= len(digits) <= 19 and luhn(digits):
-            yield m.start(), 2, m.end()
-        elif 10 <= len(digits) <= 15:
-            yield m.start(), 3, m.end()
+        ips = _spelled_ips(chain)
+        for a, b in ips:
+            yield chain[a].start, 1, chain[b - 1].end
+        at = 0
+        for a, b in [*ips, (len(chain), len(chain))]:
+            run, at = chain[at:a], b
+            if not run:
+                continue
+            sign = PLUS.search(text, max(0, _before(text, run[0].start)), run[0].start)
+            # the whole run, or else its parts between stops, commas and brackets
+            parts = [run]
+            if _number_kind(run, bool(sign)) is None:
+                cuts = [0, *(i for i in range(1, len(run)) if not run[i].near), len(run)]
+                parts = [run[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+            for k, part in enumerate(parts):
+                kind = _number_kind(part, bool(sign) and k == 0)
+                if kind is not None:
+                    yield (sign.start() if sign and k == 0 else part[0].start), kind, part[-1].end
+
+
+def _before(text: str, at: int) -> int:
+    """Where a plus sign or word before a number may begin: the separators before it and four letters."""
+    while at and (text[at - 1].isspace() or text[at - 1] in ",-("):
+        at -= 1
+    return at - 4 - (at > 4)
 
 
 def hidden_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -178,7 +275,7 @@ def hidden_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     low = plain.lower()
     if "dot" in low or "@" in low or re.search(r"[\[({<]\s*at\s*[\])}>]|\sat\s+[a-z0-9-]+\.[a-z0-9]", low):
         found += [(*mapped.source(a, b), k) for a, k, b in _disguised_emails(plain)]
-    if sum(w in low for w in DIGIT_WORDS) >= 2:
+    if DISGUISED.search(low):
         found += [(*mapped.source(a, b), k) for a, k, b in _spelled_numbers(plain)]
     if not found:
         return []
