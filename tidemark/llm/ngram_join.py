@@ -112,7 +112,7 @@ def _points(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, share: tuple[int, int] = (3, 4), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, set_id, point, signatures) of each row."""
+    """(id, text_hash, n_shingles, set_id, point, signatures) of each row."""
 
     def run(batches):
         for batch in batches:
@@ -128,12 +128,12 @@ def fingerprints(docs: DataFrame, share: tuple[int, int] = (3, 4), id_col: str =
                     signs.append(signatures(u, share).view(np.int64) if len(u) else np.zeros(0, np.int64))
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in signs])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(s.texts)), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(points, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(signs)))],
-                    [id_col, "n_shingles", "set_id", "point", "signatures"],
+                    [*(batch.column(c).slice(first, len(s.texts)) for c in (0, 2)), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(points, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(signs)))],
+                    [id_col, "text_hash", "n_shingles", "set_id", "point", "signatures"],
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_shingles long, set_id long, point binary, signatures array<long>")
+    return docs.select(id_col, text_col, F.xxhash64(text_col).alias("text_hash")).mapInArrow(run, f"`{id_col}` {kind}, text_hash long, n_shingles long, set_id long, point binary, signatures array<long>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -275,9 +275,11 @@ def set_links(docs: DataFrame, marks: DataFrame, share: tuple[int, int], id_col:
     placed = met.join(points, "set_id").select("sig", "set_id", "n", "point")
     allowed = by_sorted_key(placed, "sig", ["n", "set_id"], _allowed_edges(share), "u long, v long")
     candidates = cut(components(allowed).select(F.col("id").alias("set_id"), F.col("component_id").alias("g")))
-    # one text for each candidate set; its row is found by the id of its first document
-    first = marks.select("set_id", id_col).join(candidates, "set_id", "left_semi").groupBy("set_id").agg(F.min(id_col).alias(id_col))
-    texts = docs.select(id_col, text_col).join(first, id_col).select("set_id", text_col)
+    # one text for each candidate set, from its first row by id and text: an id may be null or stand on rows of different texts
+    row = F.struct(F.col(id_col).alias("row_id"), "text_hash")
+    first = marks.join(candidates, "set_id", "left_semi").groupBy("set_id").agg(F.min(row).alias("row")).select("set_id", "row.*")
+    rows = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("own_hash"))
+    texts = rows.join(first, F.col("own_id").eqNullSafe(F.col("row_id")) & (F.col("own_hash") == F.col("text_hash"))).select("set_id", "text")
     sets = _sets(texts).join(candidates, "set_id").dropDuplicates(["set_id"])
     sizes = candidates.groupBy("g").agg(F.count("*").alias("m"))
     sets = sets.join(sizes, "g").withColumn("parts", F.ceil(F.col("m") / BLOCK).cast("int"))
@@ -288,17 +290,22 @@ def set_links(docs: DataFrame, marks: DataFrame, share: tuple[int, int], id_col:
     return by_sorted_key(dealt, "g", ["n", "set_id"], _verified_edges(share), "u long, v long")
 
 
-def jaccard_components(docs: DataFrame, share: tuple[int, int] = (3, 4), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of each row; links at a Jaccard similarity of share[0] / share[1] or more."""
+def _row_components(docs: DataFrame, share: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
+    """(id, text_hash, n_shingles, component_id) of each row."""
     marks = stage(fingerprints(docs, share, id_col, text_col))
-    narrow = marks.select(id_col, "n_shingles", "set_id")
+    narrow = marks.select(id_col, "text_hash", "n_shingles", "set_id")
     linked = components(set_links(docs, marks, share, id_col, text_col)).select(F.col("id").alias("set_id"), F.col("component_id").alias("c"))
     classes = narrow.where("set_id is not null").groupBy("set_id").agg(F.min(id_col).alias("least"))
     named = classes.join(linked, "set_id", "left").withColumn("c", F.coalesce("c", "set_id"))
     heads = named.groupBy("c").agg(F.min("least").alias("head"))
     reach = named.join(heads, "c").select("set_id", "head")
     out = narrow.join(reach, "set_id", "left")
-    return out.select(id_col, "n_shingles", F.coalesce("head", F.col(id_col)).alias("component_id"))
+    return out.select(id_col, "text_hash", "n_shingles", F.coalesce("head", F.col(id_col)).alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame, share: tuple[int, int] = (3, 4), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id) of each row; links at a Jaccard similarity of share[0] / share[1] or more."""
+    return _row_components(docs, share, id_col, text_col).drop("text_hash")
 
 
 #: Ids to drop are broadcast up to this many (16 bytes each); beyond, the join shuffles.
@@ -312,13 +319,15 @@ def _some(ids: DataFrame) -> DataFrame:
 def keep_one_each(docs: DataFrame, share: tuple[int, int] = (3, 4), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, one row of each component, that of the smallest id; of rows with one id, one; rows without an id stay.
 
-    Only ids are joined and dealt out; the texts stay where they are, but for those of rows that share an id.
+    Only ids are joined and dealt out; the texts stay where they are, but for those of rows that share an id. Of these, one
+    whose own text is in the component named by the id stays, if there is one.
     """
-    named = cut(jaccard_components(docs, share, id_col, text_col)).where(F.col(id_col).isNotNull())
-    losers = named.where(F.col(id_col) != F.col("component_id")).select(id_col)
-    twins = cut(named.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(id_col))
-    kept = docs.join(_some(cut(losers.union(twins).distinct())), id_col, "left_anti")
+    named = cut(_row_components(docs, share, id_col, text_col)).where(F.col(id_col).isNotNull())
+    head = F.col(id_col) == F.col("component_id")
+    losers = named.where(~head).select(id_col)
+    twins = cut(named.groupBy(F.col(id_col).alias("twin")).agg(F.count("*").alias("n"), F.min(F.when(head, F.col("text_hash"))).alias("head_hash")).where("n > 1").drop("n"))
+    kept = docs.join(_some(cut(losers.union(twins.select("twin")).distinct())), id_col, "left_anti")
     if twins.isEmpty():
         return kept.select(docs.columns)
-    once = docs.join(twins.join(losers.distinct(), id_col, "left_anti"), id_col, "left_semi").dropDuplicates([id_col])
+    once = docs.join(twins, (docs[id_col] == twins["twin"]) & (F.xxhash64(docs[text_col]) == twins["head_hash"]), "left_semi").dropDuplicates([id_col])
     return kept.select(docs.columns).unionByName(once.select(docs.columns))
