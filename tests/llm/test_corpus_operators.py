@@ -64,6 +64,19 @@ def test_forward_sums_all_segmentations():
     alpha = langid.forward(langid.Pieces(pieces).lattice(s.codes, s.edges), s.edges, table)
     got = alpha[s.edges[1:] + np.arange(len(words)), 0]
     assert got == pytest.approx([brute(w) for w in words])
+    lattice = langid.Pieces(pieces).lattice(s.codes, s.edges)
+    for i, w in enumerate(words):
+        assert langid.log_forward(lattice, int(s.edges[i]), int(s.edges[i + 1]), table) == pytest.approx([np.log(brute(w))])
+
+
+def test_every_letter_piece_takes_part_and_long_words_are_whole():
+    pieces = langid.vocabulary_pieces(PIECES)
+    assert max(map(len, pieces)) > 8
+    model = langid.Model(["x", "y"], pieces, np.random.default_rng(1).random((len(pieces) + 1, 2)) / len(pieces))
+    long_ = "internationalisierung" * 200
+    logs = model.logs([long_, "international", "\u4e00" * 50_000])
+    assert np.isfinite(logs).all() and logs[0].max() < logs[1].min()
+    assert logs[2] == pytest.approx(50_000 * np.log(model.table[pieces.index("\u4e00") if "\u4e00" in pieces else -1]), rel=1e-6)
 
 
 def test_language_odd_rows(spark, odd):

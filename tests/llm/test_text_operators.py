@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidemark.llm import bpe, licenses, media, mixing, pii, queries, tokencount
-from tidemark.llm.textscan import Slice, slices
+from tidemark.llm.textscan import Memo, Slice, classes_of, packed, slices, span_hashes
 
 SF = "/root/testdata/sf0.001"
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -97,7 +97,7 @@ ODD = ["", "'s", " 's", "a's't", "it's  don't\n'll x", "\n\n 'real 'd!", "!'s a'
 
 
 def ids_of(vocabulary, texts):
-    out, memo = [], {}
+    out, memo = [], Memo(1 << 20)
     for _, s in slices(texts, 50):
         ids, counts = vocabulary.encode(s, memo)
         at = 0
@@ -151,7 +151,7 @@ def test_counts_match_library(spark, library, documents):
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.sampled_from("abIK Z'stdrevml1½.!\n  éßΣ日\U0001f600́"), max_size=40))
 def test_counts_match_library_on_any_text(counter, library, text):
-    got = counter.count(Slice([tokencount._normal(text)]), {})[0]
+    got = counter.count(Slice([tokencount._normal(text)]), Memo(1 << 20))[0]
     assert got == len(library.encode(text, add_special_tokens=False).ids)
 
 
@@ -311,3 +311,32 @@ def test_sniffing_and_carving(spark):
     assert got[1]["media_type"] == "png" and got[1]["confirmed"] and not got[2]["confirmed"] and got[2]["media_type"] == "text/plain"
     assert [(c["offset"], c["length"], c["type"]) for c in got[3]["carved"]] == [(4, len(packed), "gzip"), (8 + len(packed), len(png), "png")]
     assert got[4]["media_type"] is None and got[5]["media_type"] == "gif" and not got[6]["confirmed"]
+
+
+# --- span hashes ---
+
+
+def thue_morse(n, letters="ab"):
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - b for b in bits]
+    return "".join(letters[b] for b in bits)
+
+
+def test_words_that_are_complements_have_their_own_tokens(vocabulary, tiktoken_encoding, counter, library):
+    texts = [thue_morse(n, letters) for n in (512, 1024, 2048, 4096) for letters in ("ab", "ba")]
+    assert ids_of(vocabulary, texts) == [tiktoken_encoding.encode_ordinary(t) for t in texts]
+    s = Slice(texts)
+    assert counter.count(s, Memo(1 << 20)).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_equal_hashes_of_unequal_texts_are_kept_apart():
+    import numpy as np
+
+    s = Slice(["abcd", "abce", "abcd", "", "x" * 1000, "x" * 999 + "y", "x" * 1000])
+    blocks, start, end = packed(s.codes), s.edges[:-1], s.edges[1:]
+    hashes = span_hashes(blocks, start, end)
+    assert len(set(hashes.tolist())) == 5
+    first, at = classes_of(np.zeros(7, np.uint64), blocks, start, end)
+    texts = [s.texts[i] for i in first]
+    assert [texts[k] for k in at] == s.texts

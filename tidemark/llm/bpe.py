@@ -19,9 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.textscan import PerfectHash, Slice, hash_string, ragged, slices_of, spans
+from tidemark.llm.textscan import Memo, PerfectHash, Slice, classes_of, packed, ragged, slices_of, span_hashes, spans
 
-MEMO = 150_000
+#: Bytes of text and ids that a worker remembers of pre-tokens it has merged.
+MEMO_BYTES = 24 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -33,7 +34,8 @@ class Vocabulary:
     """Tables of a rank file; of fixed size, built once on the driver and broadcast."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.byte_ids = [ranks[bytes([b])] for b in range(256)]
+        byte_ids = [ranks[bytes([b])] for b in range(256)]  # a permutation of 0..255
+        self.of_byte = bytes(byte_ids)
         pairs = {}
         for piece, rank in ranks.items():
             for cut in range(1, len(piece)):
@@ -41,58 +43,65 @@ class Vocabulary:
                 if left is not None and right is not None:
                     pairs[left << 20 | right] = rank
         self.pairs = pairs
+        self.first = [pairs.get(a << 20 | b, -1) for a in byte_ids for b in byte_ids]
         whole, ids = [], []
         for piece, rank in ranks.items():
             try:
-                whole.append(hash_string(piece.decode()))
+                whole.append(piece.decode())
                 ids.append(rank)
             except UnicodeDecodeError:
                 continue
-        self.whole = PerfectHash(np.array(whole, np.uint64), np.array(ids, np.int64))
+        self.whole = PerfectHash(whole, ids)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: the pair of least rank merges first, the leftmost of equals."""
-        pairs = self.pairs
-        ids = [self.byte_ids[b] for b in piece]
-        n = len(ids)
-        heap = [(r << 32) | i for i in range(n - 1) if (r := pairs.get(ids[i] << 20 | ids[i + 1])) is not None]
+        pairs, first, n = self.pairs.get, self.first, len(piece)
+        ranks = [first[a << 8 | b] for a, b in zip(piece, piece[1:], strict=False)]
+        heap = [r << 32 | i for i, r in enumerate(ranks) if r >= 0]
+        if not heap:
+            return list(piece.translate(self.of_byte))
         heapify(heap)
+        ids = list(piece.translate(self.of_byte))
+        ranks.append(-1)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
             top = heappop(heap)
-            rank, i = top >> 32, top & 0xFFFFFFFF
-            left = ids[i]
-            if left < 0 or (j := after[i]) >= n or pairs.get(left << 20 | ids[j]) != rank:
+            i, rank = top & 0xFFFFFFFF, top >> 32
+            if ranks[i] != rank:  # one side has merged since
                 continue
-            ids[i], ids[j] = rank, -1
+            j = after[i]
+            ids[i], ids[j], ranks[j] = rank, -1, -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if (r := pairs.get(rank << 20 | ids[k])) is not None:
-                    heappush(heap, (r << 32) | i)
+                r = ranks[i] = pairs(rank << 20 | ids[k], -1)
+                if r >= 0:
+                    heappush(heap, r << 32 | i)
+            else:
+                ranks[i] = -1
             h = before[i]
-            if h >= 0 and (r := pairs.get(ids[h] << 20 | rank)) is not None:
-                heappush(heap, (r << 32) | h)
+            if h >= 0:
+                r = ranks[h] = pairs(ids[h] << 20 | rank, -1)
+                if r >= 0:
+                    heappush(heap, r << 32 | h)
         return [x for x in ids if x >= 0]
 
-    def encode(self, s: Slice, memo: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, s: Slice, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a slice, and how many each of its texts has."""
         start, end = spans(s)
-        keys = Slice.hashes(s.prefix(), start, end)
-        found = self.whole.find(keys)
+        blocks = packed(s.codes)
+        keys = span_hashes(blocks, start, end)
+        found = self.whole.find(keys, blocks, start, end)
         sizes = np.ones(len(start), np.int64)
         missed = np.flatnonzero(found < 0)
-        once, first, at = np.unique(keys[missed], return_index=True, return_inverse=True)
-        begin, stop = start[missed[first]].tolist(), end[missed[first]].tolist()
-        if len(memo) > MEMO:
-            memo.clear()
-        packed = []
-        for key, a, b in zip(once.tolist(), begin, stop, strict=True):
-            got = memo.get(key)
+        first, at = classes_of(keys[missed], blocks, start[missed], end[missed])
+        pieces = []
+        for a, b in zip(start[missed[first]].tolist(), end[missed[first]].tolist(), strict=True):
+            got = memo.get(piece := s.text[a:b])
             if got is None:
-                got = memo[key] = array("i", self.merge(s.text[a:b].encode("utf-8", "surrogatepass"))).tobytes()
-            packed.append(got)
-        counts = np.array([len(x) // 4 for x in packed], np.int64)
+                memo.put(piece, got := array("i", self.merge(piece.encode("utf-8", "surrogatepass"))).tobytes())
+            pieces.append(got)
+        counts = np.array([len(x) // 4 for x in pieces], np.int64)
         sizes[missed] = counts[at]
         place = np.cumsum(sizes) - sizes
         out = np.empty(int(sizes.sum()), np.int32)
@@ -100,9 +109,8 @@ class Vocabulary:
         out[place[hit]] = found[hit]
         if len(missed):
             flat_start = np.cumsum(counts) - counts
-            out[ragged(place[missed], counts[at])] = np.frombuffer(b"".join(packed), np.int32)[ragged(flat_start[at], counts[at])]
-        per_text = np.zeros(len(s.texts), np.int64)
-        np.add.at(per_text, s.doc_of(start), sizes)
+            out[ragged(place[missed], counts[at])] = np.frombuffer(b"".join(pieces), np.int32)[ragged(flat_start[at], counts[at])]
+        per_text = np.bincount(s.doc_of(start), weights=sizes, minlength=len(s.texts)).astype(np.int64)
         return out, per_text
 
 
@@ -129,7 +137,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     voc = docs.sparkSession.sparkContext.broadcast(Vocabulary(load_ranks(path)))
 
     def run(batches):
-        vocabulary, memo = voc.value, {}
+        vocabulary, memo = voc.value, Memo(MEMO_BYTES)
         for batch in batches:
             for first, s in slices_of(batch.column(1)):
                 ids, counts = vocabulary.encode(s, memo)

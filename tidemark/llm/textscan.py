@@ -1,4 +1,4 @@
-"""Array scans over slices of whole texts: character classes, token spans and span hashes, all in numpy.
+"""Array scans over slices of whole texts: character classes, token spans, span hashes and comparisons, in numpy.
 
 A slice is some whole documents laid end to end as code points; a document longer than the slice size makes a
 slice of its own, so that memory follows the longest text, not the batch.
@@ -9,12 +9,14 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
+import pyarrow.compute as pc
 
-SLICE_CHARS = 1 << 18
-#: Rows of an Arrow batch that are Python strings at one time.
-ROWS = 512
+SLICE_CHARS = 1 << 16
+#: Rows, and about the bytes, of an Arrow batch that are Python strings at one time.
+ROWS, CHUNK_BYTES = 512, 1 << 20
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: Unicode White_Space, fixed by the standard.
 WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -42,41 +44,89 @@ def lower_codes() -> np.ndarray:
     return out
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """The splitmix64 finaliser."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
-@lru_cache(1)
-def code_values() -> np.ndarray:
-    return mix(np.arange(1, 0x110001, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
+GOLDEN = 0x9E3779B97F4A7C15
 
 
-BASE = 0xD1342543DE82EF95 | 3
-INVERSE = pow(BASE, -1, 1 << 64)
+def mix(x: np.ndarray) -> np.ndarray:
+    """The splitmix64 finaliser."""
+    x = x ^ (x >> U(30))
+    x *= U(0xBF58476D1CE4E5B9)
+    x ^= x >> U(27)
+    x *= U(0x94D049BB133111EB)
+    x ^= x >> U(31)
+    return x
+
+
+#: Code points to a block: three fill 63 bits, so that equal blocks mean equal letters.
+TRIPLE = 3
+#: Blocks of a span that are chained; what a longer one has beyond them is chained as one digest.
+CHAINED = 32
+_MASKS = np.array([0, (1 << 21) - 1, (1 << 42) - 1, (1 << 63) - 1], np.uint64)
+
+
+def packed(codes: np.ndarray) -> np.ndarray:
+    """At each place, the block of the code points there and at the next two."""
+    wide = np.zeros(len(codes) + TRIPLE, np.uint64)
+    wide[: len(codes)] = codes
+    out = wide[2:] << U(21)
+    out |= wide[1:-1]
+    out <<= U(21)
+    out |= wide[:-2]
+    return out
 
 
-def _powers_of(base: int, n: int) -> np.ndarray:
-    out = np.empty(n, np.uint64)
-    out[0] = 1
-    done = 1
-    while done < n:
-        step = min(done, n - done)
-        out[done : done + step] = out[:step] * U(pow(base, done, 1 << 64))
-        done += step
+def span_hashes(blocks: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each span that chains its blocks; each step is a bijection of hash and block, so nothing cancels out."""
+    left = end - start
+    out = mix(left.astype(np.uint64) * U(GOLDEN) ^ (blocks[start] & _MASKS[np.minimum(left, TRIPLE)]))
+    live = np.flatnonzero(left > TRIPLE)
+    at, left = start[live] + TRIPLE, left[live] - TRIPLE
+    for _ in range(CHAINED - 1):
+        if not len(live):
+            return out
+        out[live] = mix(out[live] * U(GOLDEN) ^ (blocks[at] & _MASKS[np.minimum(left, TRIPLE)]))
+        more = np.flatnonzero(left > TRIPLE)
+        live, at, left = live[more], at[more] + TRIPLE, left[more] - TRIPLE
+    for i, a, n in zip(live.tolist(), at.tolist(), left.tolist(), strict=True):
+        digest = int.from_bytes(blake2b(_own_blocks(blocks, a, n).tobytes(), digest_size=8).digest(), "little")
+        out[i] = mix(out[i : i + 1] * U(GOLDEN) ^ U(digest))[0]
     return out
 
 
-_POWERS: dict[str, np.ndarray] = {}
+def _own_blocks(blocks: np.ndarray, at: int, n: int) -> np.ndarray:
+    own = blocks[at : at + n : TRIPLE].copy()
+    own[-1] &= _MASKS[(n - 1) % TRIPLE + 1]
+    return own
+
+
+def same_spans(blocks: np.ndarray, start: np.ndarray, end: np.ndarray, others: np.ndarray, other_start: np.ndarray, other_end: np.ndarray) -> np.ndarray:
+    """Whether each span has the letters of the other one."""
+    out = end - start == other_end - other_start
+    live = np.flatnonzero(out & (end > start))
+    at, to, left = start[live], other_start[live], (end - start)[live]
+    while len(live):
+        good = ((blocks[at] ^ others[to]) & _MASKS[np.minimum(left, TRIPLE)]) == 0
+        out[live[~good]] = False
+        more = np.flatnonzero(good & (left > TRIPLE))
+        live, at, to, left = live[more], at[more] + TRIPLE, to[more] + TRIPLE, left[more] - TRIPLE
+        if len(live) and len(live) < 4:
+            break
+    for i, a, b, n in zip(live.tolist(), at.tolist(), to.tolist(), left.tolist(), strict=True):
+        out[i] = np.array_equal(_own_blocks(blocks, a, n), _own_blocks(others, b, n))
+    return out
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("b", ())) < n:
-        size = max(n, SLICE_CHARS + 1)
-        _POWERS.update(b=_powers_of(BASE, size), i=_powers_of(INVERSE, size))
-    return _POWERS["b"], _POWERS["i"]
+def classes_of(hashes: np.ndarray, blocks: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of one span for each distinct text, class of each span); letters are compared, so that a shared hash is not enough."""
+    _, first, at = np.unique(hashes, return_index=True, return_inverse=True)
+    if len(first) == len(hashes):
+        return first, at
+    rep = first[at]
+    odd = np.flatnonzero(~same_spans(blocks, start, end, blocks, start[rep], end[rep]))
+    for i in odd.tolist():  # two texts of one hash: as good as never
+        at[i] = len(first)
+        first = np.append(first, i)
+    return first, at
 
 
 class Slice:
@@ -93,18 +143,6 @@ class Slice:
         flags[self.edges] = True
         return flags[:-1]
 
-    def prefix(self, codes: np.ndarray | None = None) -> np.ndarray:
-        codes = self.codes if codes is None else codes
-        power, _ = _powers(len(codes) + 1)
-        out = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(code_values()[codes] * power[: len(codes)], out=out[1:])
-        return out
-
-    @staticmethod
-    def hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        _, inverse = _powers(len(prefix))
-        return mix((prefix[end] - prefix[start]) * inverse[start])
-
     def doc_of(self, start: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.edges, start, side="right") - 1
 
@@ -121,10 +159,22 @@ def slices(texts: list[str], limit: int = SLICE_CHARS) -> Iterator[tuple[int, Sl
         yield first, Slice(texts[first:])
 
 
+def row_chunks(column) -> Iterator[tuple[int, int]]:
+    """(first row, row after the last) of parts of an Arrow string column, some rows and about some bytes at a time."""
+    sizes = pc.binary_length(column)
+    total = np.concatenate([[0], np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))])
+    at = 0
+    while at < len(column):
+        stop = int(np.searchsorted(total, total[at] + CHUNK_BYTES, side="right")) - 1
+        stop = min(max(stop, at + 1), at + ROWS, len(column))
+        yield at, stop
+        at = stop
+
+
 def text_chunks(column) -> Iterator[tuple[int, list[str]]]:
-    """(index of the first row, texts) of an Arrow string column, some rows at a time; null is the empty text."""
-    for at in range(0, len(column), ROWS):
-        yield at, [t or "" for t in column.slice(at, ROWS).to_pylist()]
+    """(index of the first row, texts) of an Arrow string column, part by part; null is the empty text."""
+    for at, stop in row_chunks(column):
+        yield at, [t or "" for t in column.slice(at, stop - at).to_pylist()]
 
 
 def slices_of(column) -> Iterator[tuple[int, Slice]]:
@@ -134,11 +184,6 @@ def slices_of(column) -> Iterator[tuple[int, Slice]]:
             yield at + first, s
 
 
-def hash_string(s: str) -> int:
-    one = Slice([s])
-    return int(Slice.hashes(one.prefix(), np.array([0]), np.array([len(one.codes)]))[0])
-
-
 def _contractions(codes: np.ndarray, starts: np.ndarray, begins: np.ndarray) -> None:
     """Move starts for ``'s 't 're 've 'm 'll 'd`` where an apostrophe begins a token."""
     n = len(codes)
@@ -214,24 +259,52 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - out_start, lengths)
 
 
+class Memo:
+    """What was made of strings before, by the string itself. Of two halves the older goes when the newer is full."""
+
+    def __init__(self, limit: int):
+        self.limit, self.size = limit // 2, 0
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def get(self, key: str):
+        got = self.new.get(key)
+        if got is None:
+            got = self.old.get(key)
+            if got is not None:
+                self.put(key, got)
+        return got
+
+    def put(self, key: str, value) -> None:
+        if self.size > self.limit:
+            self.old, self.new, self.size = self.new, {}, 0
+        self.new[key] = value
+        self.size += 200 + 2 * len(key) + (len(value) if isinstance(value, bytes) else 0)
+
+
 class PerfectHash:
-    """A minimal perfect hash from 64-bit keys to values: hash and displace, one slot for each key."""
+    """A minimal perfect hash from strings to values: hash and displace, one slot for each string.
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        n = self.n = len(keys)
+    A span counts as found only if its letters are those of the string in its slot.
+    """
+
+    def __init__(self, strings: list[str], values: list[int]):
+        n = self.n = len(strings)
         mask = (1 << 64) - 1
+        s = Slice(strings)
+        blocks = packed(s.codes)
+        listed = span_hashes(blocks, s.edges[:-1], s.edges[1:]).tolist()
 
         def slot(key: int, d: int) -> int:
-            x = (key + d * 0x9E3779B97F4A7C15) & mask
+            x = (key + d * GOLDEN) & mask
             x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
             x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
             return (x ^ (x >> 31)) % n
 
         buckets: dict[int, list[int]] = {}
-        listed = [int(k) for k in keys]
         for i, k in enumerate(listed):
             buckets.setdefault((k >> 32) % n, []).append(i)
-        self.displace = np.zeros(n, np.int64)
+        self.displace = np.zeros(n, np.int32)
         taken, order = bytearray(n), np.zeros(n, np.int64)
         free = None
         for b, members in sorted(buckets.items(), key=lambda x: -len(x[1])):
@@ -250,12 +323,21 @@ class PerfectHash:
             for i, g in zip(members, got, strict=True):
                 taken[g] = 1
                 order[g] = i
-        self.keys, self.values = np.asarray(keys, np.uint64)[order], np.asarray(values)[order]
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The value of each key; -1 where the key is not there."""
-        n = U(self.n)
-        d = self.displace[((keys >> U(32)) % n).astype(np.int64)]
-        hashed = (mix(keys + d.astype(np.uint64) * U(0x9E3779B97F4A7C15)) % n).astype(np.int64)
-        at = np.where(d < 0, -d - 1, hashed)
-        return np.where(self.keys[at] == keys, self.values[at], -1)
+        self.values, self.blocks = np.asarray(values, np.int32)[order], blocks
+        self.start, self.end = s.edges[:-1][order].astype(np.int32), s.edges[1:][order].astype(np.int32)
+        self.keys = np.array(listed, np.uint64)[order]
+
+    def find(self, keys: np.ndarray, blocks: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The value of each span, given its hash; -1 where the string is not there."""
+        if not self.n:
+            return np.full(len(keys), -1, np.int64)
+        d = self.displace[(keys >> U(32)) % U(self.n)].astype(np.int64)
+        at = -d - 1
+        moved = np.flatnonzero(d >= 0)
+        at[moved] = (mix(keys[moved] + d[moved].astype(np.uint64) * U(GOLDEN)) % U(self.n)).astype(np.int64)
+        out = np.full(len(keys), -1, np.int64)
+        hit = np.flatnonzero(self.keys[at] == keys)
+        own = at[hit]
+        hit = hit[same_spans(blocks, start[hit], end[hit], self.blocks, self.start[own].astype(np.int64), self.end[own].astype(np.int64))]
+        out[hit] = self.values[at[hit]]
+        return out

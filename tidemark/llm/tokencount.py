@@ -19,9 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.textscan import PerfectHash, Slice, hash_string, plain_spans, slices, text_chunks
+from tidemark.llm.textscan import SLICE_CHARS, Memo, PerfectHash, Slice, classes_of, packed, plain_spans, slices, span_hashes, text_chunks
 
-MEMO = 200_000
+#: Bytes of text that a worker remembers of pre-tokens it has merged.
+MEMO_BYTES = 24 << 20
 
 
 def _byte_letters() -> list[str]:
@@ -59,10 +60,10 @@ class Counter:
         for raw, size in zip(raws, self.merged_many(raws).tolist(), strict=True):
             if size == 1:
                 try:
-                    proven.append(hash_string(raw.decode()))
+                    proven.append(raw.decode())
                 except UnicodeDecodeError:
                     continue
-        self.whole = PerfectHash(np.array(proven, np.uint64), np.ones(len(proven), np.int64))
+        self.whole = PerfectHash(proven, [1] * len(proven))
 
     def first_ids(self, raw: bytes) -> list[int]:
         return [self.ids[self.letters[b]] for b in raw[:-1]] + [self.ids[self.letters[raw[-1]] + self.suffix]]
@@ -148,22 +149,20 @@ class Counter:
                 heappush(heap, (x[0], h))
         return left
 
-    def count(self, s: Slice, memo: dict[int, int]) -> np.ndarray:
+    def count(self, s: Slice, memo: Memo) -> np.ndarray:
         start, end = plain_spans(s)
-        keys = Slice.hashes(s.prefix(), start, end)
-        sizes = self.whole.find(keys)
+        blocks = packed(s.codes)
+        keys = span_hashes(blocks, start, end)
+        sizes = self.whole.find(keys, blocks, start, end)
         missed = np.flatnonzero(sizes < 0)
-        once, first, at = np.unique(keys[missed], return_index=True, return_inverse=True)
-        counts = np.empty(len(once), np.int64)
-        if len(memo) > MEMO:
-            memo.clear()
-        begin, stop = start[missed[first]].tolist(), end[missed[first]].tolist()
-        listed = once.tolist()
-        fresh = [k for k, key in enumerate(listed) if key not in memo]
-        made = self.merged_many([s.text[begin[k] : stop[k]].encode("utf-8", "surrogatepass") for k in fresh])
-        memo.update(zip([listed[k] for k in fresh], made.tolist(), strict=True))
-        counts[:] = [memo[key] for key in listed]
-        sizes[missed] = counts[at]
+        first, at = classes_of(keys[missed], blocks, start[missed], end[missed])
+        pieces = [s.text[a:b] for a, b in zip(start[missed[first]].tolist(), end[missed[first]].tolist(), strict=True)]
+        counts = [memo.get(p) for p in pieces]
+        fresh = [i for i, n in enumerate(counts) if not n]
+        for i, n in zip(fresh, self.merged_many([pieces[i].encode("utf-8", "surrogatepass") for i in fresh]).tolist(), strict=True):
+            counts[i] = n
+            memo.put(pieces[i], n)
+        sizes[missed] = np.array(counts, np.int64)[at]
         return np.bincount(s.doc_of(start), weights=sizes, minlength=len(s.texts)).astype(np.int64)
 
 
@@ -177,7 +176,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
     tables = docs.sparkSession.sparkContext.broadcast(Counter(path))
 
     def run(batches):
-        counter, memo = tables.value, {}
+        counter, memo = tables.value, Memo(MEMO_BYTES)
         special = re.compile("|".join(map(re.escape, counter.specials)) or "(?!)")
         for batch in batches:
             total = np.zeros(batch.num_rows, np.int64)
@@ -188,7 +187,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
                     total[i] = len(parts) - 1
                     pieces += [_normal(p) for p in parts]
                     owner += [i] * len(parts)
-                for first, s in slices(pieces):
+                for first, s in slices(pieces, 4 * SLICE_CHARS):
                     np.add.at(total, owner[first : first + len(s.texts)], counter.count(s, memo))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(total)], [id_col, "n_bytes", "n_tokens"])
 
