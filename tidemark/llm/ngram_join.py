@@ -11,6 +11,8 @@ groups) groups alone; groups are chosen so that at least ``EQUAL`` are expected,
 signature in common is below exp(-EQUAL). Sets under ``SMALL`` shingles use prefixes in hash order instead, which
 miss nothing. Under a signature, points lie sorted by set size in leaves; leaves and points whose bound is too low are
 pruned. What survives is grouped, and within a group every pair that the bound allows is verified on the sets.
+Signatures of very many sets, such as those of a passage that a third of all documents quote, are told by their counts in
+a part of the sets chosen by hash; that only decides their way: each is cut in blocks, and every pair of blocks is a task.
 
 A set is named by a 64-bit hash of it (two different sets among 10^8 share one with a chance below 0.1 %).
 
@@ -30,12 +32,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.tables import Forest, bounds, by_sorted_key, components, cut, stage
-from tidemark.llm.textscan import Slice, mix, runs, slices_of
+from tidemark.llm.tables import Forest, bounds, by_sorted_key, components, cut, discard, stage
+from tidemark.llm.textscan import Slice, mix, packed, runs, slices_of, span_hashes
 
 SHINGLE = 5
 SMALL, EQUAL, COORDINATES = 64, 20, 64
 LEAF, BLOCK = 64, 1024
+#: One set of so many is looked at to tell hot signatures; at least so many of them make a signature hot.
+LOOK, SEEN = 64, 16
+#: Rows of a broadcast table of hot signatures or classes at most; what counts as hot follows from it.
+HOT_ROWS = 100_000
+#: Copies of a set from which its rows are joined apart.
+HOT_COPIES = 256
 U = np.uint64
 
 
@@ -54,7 +62,7 @@ def shingle_hashes(s: Slice, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarra
     start, end = runs(s, word[s.codes])
     if not len(start):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    words = Slice.hashes(s.prefix(lower[s.codes]), start, end)
+    words = span_hashes(packed(lower[s.codes]), start, end)
     doc = s.doc_of(start)
     n = len(words)
     first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
@@ -81,7 +89,7 @@ def levels(n: int, share: tuple[int, int]) -> list[tuple[int, int]]:
 def _groups(level: int, share: tuple[int, int]) -> int:
     """Fewest groups of which EQUAL are expected to be left alone by the differences of two linked sets of the band."""
     a, b = share
-    d = (b - a) / (b + a) * 2 * (2 * (SMALL << level) - 1)
+    d = (b - a) / (b + a) * (1 + b / a) * (2 * (SMALL << level) - 1)  # a partner may have b / a times the shingles
     g = EQUAL
     while g * math.exp(-d / g) < EQUAL:
         g += max(1, g // 50)
@@ -103,12 +111,17 @@ def signatures(u: np.ndarray, share: tuple[int, int]) -> np.ndarray:
 
 
 def point(u: np.ndarray) -> bytes:
-    return np.bincount((u & U(COORDINATES - 1)).astype(np.int64), minlength=COORDINATES).clip(max=65535).astype("<u2").tobytes()
+    """Counts per coordinate: 16 bits each, or 32 in sets that could need more."""
+    counts = np.bincount((u & U(COORDINATES - 1)).astype(np.int64), minlength=COORDINATES)
+    return counts.astype("<u2" if len(u) < 1 << 16 else "<u4").tobytes()
 
 
 def _points(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    joined = b"".join(column.to_pylist())
-    return np.frombuffer(joined, "<u2").reshape(-1, COORDINATES)
+    listed = column.to_pylist()
+    if any(len(x) > 2 * COORDINATES for x in listed):
+        listed = [x if len(x) > 2 * COORDINATES else np.frombuffer(x, "<u2").astype("<u4").tobytes() for x in listed]
+        return np.frombuffer(b"".join(listed), "<u4").reshape(-1, COORDINATES)
+    return np.frombuffer(b"".join(listed), "<u2").reshape(-1, COORDINATES)
 
 
 def fingerprints(docs: DataFrame, share: tuple[int, int] = (3, 4), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,22 +195,28 @@ class Tree:
 
 
 def _allowed_edges(share: tuple[int, int]):
-    """Spanning edges, under each signature, of the sets that the bound lets be linked."""
+    """Spanning edges of the sets that the bound lets be linked, under each signature, or between two blocks of a hot one."""
 
     def run(group: pa.Table) -> pa.Table:
-        keys, ids = group.column("sig").to_numpy(), group.column("set_id").to_numpy()
+        keys, ids, sides = group.column("task").to_numpy(), group.column("set_id").to_numpy(), group.column("side").to_numpy()
         n, points = group.column("n").to_numpy(), _points(group.column("point"))
         u, v = [], []
         edge = bounds(keys)
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            if b - a == 2:
+            if b - a == 1:
+                continue
+            if b - a == 2 and sides[a] < 0:
                 x, y = share
                 if n[a] * y >= x * n[a + 1] and (x + y) * np.minimum(points[a], points[a + 1]).astype(np.int64).sum() >= x * (n[a] + n[a + 1]):
                     u.append(ids[a])
                     v.append(ids[a + 1])
                 continue
-            tree = Tree(n[a:b], points[a:b], share)
-            for i, j in _grow(b - a, tree.near):
+            tree, side = Tree(n[a:b], points[a:b], share), sides[a:b]
+
+            def near(i: int, among: np.ndarray, tree=tree, side=side) -> np.ndarray:
+                return tree.near(i, among if side[i] < 0 else among[side[among] != side[i]])
+
+            for i, j in _grow(b - a, near):
                 u.append(ids[a + i])
                 v.append(ids[a + j])
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
@@ -205,6 +224,46 @@ def _allowed_edges(share: tuple[int, int]):
     return run
 
 
+def _dealt(rows: DataFrame, key: str, parts: F.Column) -> DataFrame:
+    """Rows with ``task`` and ``side``: a key of several parts becomes one task for each pair of its blocks, each row in those of its block."""
+    cut_up = rows.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int"))
+    cut_up = cut_up.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    task = F.when(F.col("parts") > 1, F.xxhash64(key, F.least("own", "other"), F.greatest("own", "other"))).otherwise(F.col(key))
+    side = F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int"))
+    return cut_up.withColumn("task", task).withColumn("side", side).drop("parts", "own", "other")
+
+
+def _meetings(signs: DataFrame) -> DataFrame:
+    """(sig, set_id, parts) of the signatures that several sets have; hot ones in parts of about a block."""
+    looked = signs.where(F.pmod(F.xxhash64("set_id", F.lit(7)), F.lit(LOOK)) == 0)
+    counts = cut(looked.groupBy("sig").agg(F.count("*").alias("seen")).where(F.col("seen") >= SEEN))
+    total = counts.agg(F.sum("seen")).first()[0] or 0
+    hot = counts.where(F.col("seen") >= max(SEEN, total // HOT_ROWS))  # so that they are at most HOT_ROWS
+    parts = F.ceil(F.col("seen") * LOOK / BLOCK).cast("int")
+    warm = signs.join(F.broadcast(hot.select("sig", parts.alias("parts"))), "sig").select("sig", "set_id", "parts")
+
+    def shared(batches):
+        """Rows whose signature the row before or after has too; of what came before, one row is held back."""
+        held, doubt = None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            keys = batch.column(0).to_numpy()
+            same = keys[1:] == keys[:-1]
+            keep = np.concatenate([[doubt], same]) | np.concatenate([same, [False]])
+            last = batch.slice(batch.num_rows - 1)
+            doubt, held = bool(len(same) and same[-1]) or (batch.num_rows == 1 and doubt), last
+            yield batch.slice(0, batch.num_rows - 1).filter(pa.array(keep[:-1]))
+        if held is not None and doubt:
+            yield held
+
+    cold = signs.join(F.broadcast(hot), "sig", "left_anti").repartition("sig").sortWithinPartitions("sig", "set_id")
+    cold = cold.mapInArrow(shared, "sig long, set_id long").withColumn("parts", F.lit(1))
+    return stage(cold.unionByName(warm))
+
+
 def _grow(m: int, near):
     """Edges of a spanning forest: each reached point looks among those not yet reached only."""
     left = np.ones(m, bool)
@@ -227,7 +286,7 @@ def _verified_edges(share: tuple[int, int]):
     a, b = share
 
     def run(group: pa.Table) -> pa.Table:
-        keys, ids, side = group.column("g").to_numpy(), group.column("set_id").to_numpy(), group.column("side").to_numpy()
+        keys, ids, side = group.column("task").to_numpy(), group.column("set_id").to_numpy(), group.column("side").to_numpy()
         n, points = group.column("n").to_numpy(), _points(group.column("point"))
         lists = group.column("hashes").combine_chunks()
         flat, offset = lists.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(n)])
@@ -264,16 +323,12 @@ def set_links(docs: DataFrame, marks: DataFrame, share: tuple[int, int], id_col:
     unique = marks.where("set_id is not null").select("set_id", "n_shingles", "signatures").dropDuplicates(["set_id"])
     signs = unique.select(F.explode("signatures").alias("sig"), "set_id")
 
-    def shared(group: pa.Table) -> pa.Table:
-        keys = group.column("sig").to_numpy()
-        same = keys[1:] == keys[:-1]
-        keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        return group.filter(pa.array(keep))
-
-    met = stage(by_sorted_key(signs, "sig", ["set_id"], shared, "sig long, set_id long"))
+    met = _meetings(signs)
     points = marks.where("set_id is not null").select("set_id", F.col("n_shingles").alias("n"), "point").dropDuplicates(["set_id"])
-    placed = met.join(points, "set_id").select("sig", "set_id", "n", "point")
-    allowed = by_sorted_key(placed, "sig", ["n", "set_id"], _allowed_edges(share), "u long, v long")
+    placed = _dealt(met.join(points, "set_id").select("sig", "set_id", "n", "point", "parts"), "sig", F.col("parts"))
+    allowed = by_sorted_key(placed.select("task", "set_id", "n", "point", "side"), "task", ["n", "set_id"], _allowed_edges(share), "u long, v long")
+    allowed = cut(allowed)
+    discard(met)
     candidates = cut(components(allowed).select(F.col("id").alias("set_id"), F.col("component_id").alias("g")))
     # one text for each candidate set, from its first row by id and text: an id may be null or stand on rows of different texts
     row = F.struct(F.col(id_col).alias("row_id"), "text_hash")
@@ -282,12 +337,8 @@ def set_links(docs: DataFrame, marks: DataFrame, share: tuple[int, int], id_col:
     texts = rows.join(first, F.col("own_id").eqNullSafe(F.col("row_id")) & (F.col("own_hash") == F.col("text_hash"))).select("set_id", "text")
     sets = _sets(texts).join(candidates, "set_id").dropDuplicates(["set_id"])
     sizes = candidates.groupBy("g").agg(F.count("*").alias("m"))
-    sets = sets.join(sizes, "g").withColumn("parts", F.ceil(F.col("m") / BLOCK).cast("int"))
-    sets = sets.withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    task = F.when(F.col("parts") > 1, F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other"))).otherwise(F.col("g"))
-    side = F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int"))
-    dealt = sets.select(task.alias("g"), "set_id", "n", "point", "hashes", side.alias("side"))
-    return by_sorted_key(dealt, "g", ["n", "set_id"], _verified_edges(share), "u long, v long")
+    sets = _dealt(sets.join(sizes, "g"), "g", F.ceil(F.col("m") / BLOCK).cast("int"))
+    return by_sorted_key(sets.select("task", "set_id", "n", "point", "hashes", "side"), "task", ["n", "set_id"], _verified_edges(share), "u long, v long")
 
 
 def _row_components(docs: DataFrame, share: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
@@ -295,11 +346,16 @@ def _row_components(docs: DataFrame, share: tuple[int, int], id_col: str, text_c
     marks = stage(fingerprints(docs, share, id_col, text_col))
     narrow = marks.select(id_col, "text_hash", "n_shingles", "set_id")
     linked = components(set_links(docs, marks, share, id_col, text_col)).select(F.col("id").alias("set_id"), F.col("component_id").alias("c"))
-    classes = narrow.where("set_id is not null").groupBy("set_id").agg(F.min(id_col).alias("least"))
-    named = classes.join(linked, "set_id", "left").withColumn("c", F.coalesce("c", "set_id"))
+    classes = narrow.where("set_id is not null").groupBy("set_id").agg(F.min(id_col).alias("least"), F.count("*").alias("copies"))
+    named = cut(classes.join(linked, "set_id", "left").withColumn("c", F.coalesce("c", "set_id")))
     heads = named.groupBy("c").agg(F.min("least").alias("head"))
-    reach = named.join(heads, "c").select("set_id", "head")
-    out = narrow.join(reach, "set_id", "left")
+    reach = named.join(heads, "c").select("set_id", "head", "copies")
+    # sets of very many copies are few, whatever the data: their rows meet them by a broadcast, all others by a shuffle
+    rows = named.agg(F.sum("copies")).first()[0] or 0
+    hot = F.broadcast(reach.where(F.col("copies") > max(HOT_COPIES, rows // HOT_ROWS)).drop("copies"))
+    known, blank = narrow.where("set_id is not null"), narrow.where("set_id is null").withColumn("head", F.lit(None).cast(narrow.schema[id_col].dataType))
+    cold = known.join(hot, "set_id", "left_anti").join(reach.where(F.col("copies") <= max(HOT_COPIES, rows // HOT_ROWS)).drop("copies"), "set_id", "left")
+    out = known.join(hot, "set_id").unionByName(cold).unionByName(blank)
     return out.select(id_col, "text_hash", "n_shingles", F.coalesce("head", F.col(id_col)).alias("component_id"))
 
 
