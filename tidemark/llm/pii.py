@@ -1,11 +1,12 @@
 """Personal data, also in disguise, with spans in the source text.
 
-Plain identifiers are found by their patterns. Disguised ones go through transducers that rewrite the text and keep,
-for every character, where it came from: look-alike letters and wide digits become ASCII, invisible characters go,
-spelled digits become digits, at/dot disguises become ``@`` and ``.``. What is then found is mapped back.
+Plain identifiers are found by their patterns. For disguised ones, transducers rewrite the text, one after the other, and
+keep, for every character, where it came from: look-alike letters and wide digits become ASCII and invisible characters
+go; then at/dot disguises become ``@`` and ``.``, spelled digits digits. The plain patterns run on the normalised text, and
+what they find there is mapped back through the offsets.
 
 Defined cases: null text counts as empty (no spans); texts of any length are scanned whole; spans are in code points,
-end exclusive; an added span never overlaps a plain one; repeated rows are kept; an empty table gives an empty table;
+end exclusive; an added span overlaps a plain one only if it holds all of it and more; repeated rows are kept; an empty table gives an empty table;
 other columns are not read by ``find_pii`` and go through ``mask_documents`` untouched.
 """
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.textscan import ROWS, text_chunks
+from tidemark.llm.textscan import row_chunks, text_chunks
 
 
 KINDS = ("email", "ip", "card", "phone")
@@ -92,15 +93,18 @@ def _ascii_table() -> dict[int, str]:
 
 
 ASCII = _ascii_table()
+UNSEEN = re.compile(f"[{INVISIBLE}]+")
 STRANGE = re.compile("[" + "".join(map(re.escape, map(chr, ASCII))) + INVISIBLE + "]")
 
 DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _OPEN, _SHUT = r"[\[({<]", r"[\])}>]"
-AT = re.compile(rf"\s*{_OPEN}\s*(?:at|@)\s*{_SHUT}\s*|\s+at\s+|\s+@\s*|@\s+", re.I)
-_DOT = rf"(?:\s*{_OPEN}\s*(?:dot|punkt|\.)\s*{_SHUT}\s*|\s+dot\s+|\.)"
+#: White space before a sign is taken from its first character on, so that no run of it is tried twice.
+AT = re.compile(rf"(?<!\s)\s*+{_OPEN}\s*+(?:at|@)\s*+{_SHUT}\s*+|(?<!\s)\s++at\s++|(?<!\s)\s++@\s*+|@\s++", re.I)
+_DOT = rf"(?:\s*+{_OPEN}\s*+(?:dot|punkt|\.)\s*+{_SHUT}\s*+|\s++dot\s++|\.)"
+SOME_DOT = re.compile(_DOT, re.I)
 RIGHT = re.compile(rf"[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.I)
 #: LEFT is read backwards from the at sign, over the reversed text, so that it ends where the name begins.
-_TOD = rf"(?:\s*{_SHUT}\s*(?:tod|tknup|\.)\s*{_OPEN}\s*|\s+tod\s+|\.)"
+_TOD = rf"(?:\s*+{_SHUT}\s*+(?:tod|tknup|\.)\s*+{_OPEN}\s*+|\s++tod\s++|\.)"
 LEFT = re.compile(rf"[A-Za-z0-9_%+-]+(?:{_TOD}[A-Za-z0-9_%+-]+)*", re.I)
 
 #: A digit word or a number in digits, which may be glued to the word for a dot; and what may stand between two of them.
@@ -112,32 +116,50 @@ DISGUISED = re.compile(rf"\b(?:{'|'.join(DIGIT_WORDS)})\b|[0-9]\W*(?:dot|point|p
 
 
 class Mapped:
-    """A rewritten text that knows, for each of its characters, the source span it stands for."""
-
-    def __init__(self, text: str):
-        self.text, self.pieces = text, [(0, 0, len(text))]  # (place here, place in the source, source length)
+    """A rewritten text that knows, for each of its characters, the source span it stands for.
+
+    ``edits`` are (start, end, new text) in order, on ``before``, which may itself be rewritten.
+    """
+
+    def __init__(self, before: str | Mapped, edits: list[tuple[int, int, str]] = ()):
+        old = before.text if isinstance(before, Mapped) else before
+        self.before = before if isinstance(before, Mapped) else None
+        parts, self.pieces, at, size = [], [], 0, 0  # (place here, place before, end before, kept as it was)
+        for a, b, new in edits:
+            if a > at:
+                self.pieces.append((size, at, a, True))
+                parts.append(old[at:a])
+                size += a - at
+            if new:
+                self.pieces.append((size, a, b, False))
+                parts.append(new)
+                size += len(new)
+            at = b
+        if at < len(old) or not self.pieces:
+            self.pieces.append((size, at, len(old), True))
+            parts.append(old[at:])
+        self.text = "".join(parts)
 
     @classmethod
     def letters(cls, text: str) -> Mapped:
         """Look-alikes to ASCII, invisible characters away."""
-        out = cls(text)
-        if not re.search(f"[{INVISIBLE}]", text):
-            out.text = text.translate(ASCII)
-            return out
-        kept = [(i, c) for i, c in enumerate(text) if c not in INVISIBLE]
-        out.text = "".join(ASCII.get(ord(c), c) for _, c in kept)
-        out.pieces = [(k, i, 1) for k, (i, _) in enumerate(kept)]
+        out = cls(text, [(m.start(), m.end(), "") for m in UNSEEN.finditer(text)])
+        out.text = out.text.translate(ASCII)
         return out
 
     def source(self, start: int, end: int) -> tuple[int, int]:
-        def back(at: int) -> int:
-            here, there, _ = self.pieces[bisect_right(self.pieces, (at, float("inf"), 0)) - 1]
-            return there + at - here
+        def piece(at: int) -> tuple[int, int, int, bool]:
+            return self.pieces[bisect_right(self.pieces, (at, float("inf"))) - 1]
 
-        return back(start), back(end - 1) + 1
+        here, there, _, same = piece(start)
+        a = there + start - here if same else there
+        here, there, stop, same = piece(end - 1)
+        b = there + end - here if same else stop
+        return self.before.source(a, b) if self.before else (a, b)
 
 
-def _disguised_emails(text: str):
+def _mail_edits(text: str):
+    """At and dot disguises to ``@`` and ``.``, where a name and a domain stand around them."""
     back, n = text[::-1], len(text)
     for m in AT.finditer(text):
         spelled = not any(c in m.group() for c in "@[({<")
@@ -148,12 +170,13 @@ def _disguised_emails(text: str):
         left = LEFT.match(back, n - m.start())
         if not left:
             continue
-        start, end = n - left.end(), right.end()
         if spelled and not open_dot and not re.search(r"[0-9._%+]", left.group()):
             continue
         if spelled and not open_dot and not re.fullmatch(r"(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}", right.group()):
             continue
-        yield start, 0, end
+        for a, b in ((n - left.end(), m.start()), right.span()):
+            yield from ((d.start(), d.end(), ".") for d in SOME_DOT.finditer(text, a, b) if d.end() - d.start() > 1)
+        yield m.start(), m.end(), "@"
 
 
 class Number(NamedTuple):
@@ -234,13 +257,23 @@ def _number_kind(run: list[Number], plus: bool) -> int | None:
     return 3 if 10 <= size <= 15 and (plus or words >= 3 or len(run) >= 7 and words) else None
 
 
-def _spelled_numbers(text: str):
+def _digits_of(run: list[Number], dots: bool):
+    """A run of tokens as digits, with a dot for each dot between them if wanted, and nothing else."""
+    for k, t in enumerate(run):
+        if k:
+            yield run[k - 1].end, t.start, "." if dots and t.dot else ""
+        if t.word:
+            yield t.start, t.end, t.digits
+
+
+def _number_edits(text: str):
+    """Spelled digits to digits, where a run of number tokens makes an address, a card or a phone number."""
     for chain in _chains(text):
         if len(chain) < 2:
             continue
         ips = _spelled_ips(chain)
         for a, b in ips:
-            yield chain[a].start, 1, chain[b - 1].end
+            yield from _digits_of(chain[a:b], True)
         at = 0
         for a, b in [*ips, (len(chain), len(chain))]:
             run, at = chain[at:a], b
@@ -254,8 +287,10 @@ def _spelled_numbers(text: str):
                 parts = [run[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
             for k, part in enumerate(parts):
                 kind = _number_kind(part, bool(sign) and k == 0)
+                if kind == 3:
+                    yield sign.start() if sign and k == 0 else part[0].start, part[0].start, "+"
                 if kind is not None:
-                    yield (sign.start() if sign and k == 0 else part[0].start), kind, part[-1].end
+                    yield from _digits_of(part, False)
 
 
 def _before(text: str, at: int) -> int:
@@ -265,27 +300,44 @@ def _before(text: str, at: int) -> int:
     return at - 4 - (at > 4)
 
 
-def hidden_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans of disguised identifiers that overlap no plain one and no earlier added one."""
-    found = []
-    mapped = Mapped.letters(text) if not text.isascii() and STRANGE.search(text) else Mapped(text)
-    plain = mapped.text
-    if plain is not text:
-        found += [(*mapped.source(a, b), k) for a, k, b in base_spans(plain)]
-    low = plain.lower()
-    if "dot" in low or "@" in low or re.search(r"[\[({<]\s*at\s*[\])}>]|\sat\s+[a-z0-9-]+\.[a-z0-9]", low):
-        found += [(*mapped.source(a, b), k) for a, k, b in _disguised_emails(plain)]
+def normalised(text: str) -> Mapped | None:
+    """The text after all transducers; None where none of them finds anything to rewrite."""
+    out = Mapped.letters(text) if not text.isascii() and STRANGE.search(text) else None
+    plain = out.text if out else text
+    low, edits = plain.lower(), []
+    if "dot" in low or "@" in low or re.search(r"[\[({<]\s*+at\s*+[\])}>]|(?<!\s)\s++at\s++[a-z0-9-]++\.[a-z0-9]", low):
+        edits += _mail_edits(plain)
     if DISGUISED.search(low):
-        found += [(*mapped.source(a, b), k) for a, k, b in _spelled_numbers(plain)]
-    if not found:
+        edits += _number_edits(plain)
+    if not edits:
+        return out
+    disjoint, at = [], 0
+    for a, b, new in sorted(edits):
+        if a >= at:
+            disjoint.append((a, b, new))
+            at = b
+    return Mapped(out or plain, disjoint)
+
+
+def hidden_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans found on the normalised text only. None overlaps another, nor a plain one unless it holds it whole and is longer."""
+    mapped = normalised(text)
+    if mapped is None:
         return []
-    out, taken = [], sorted((a, b) for a, _, b in base)
+    plain, taken, out = [(a, b) for a, _, b in base], [], []
+    found = [(*mapped.source(a, b), k) for a, k, b in base_spans(mapped.text)]
     for a, b, k in sorted(found, key=lambda x: (x[0], -x[1], x[2])):
-        at = bisect_right(taken, (a, a))
-        if (at < len(taken) and taken[at][0] < b) or (at and taken[at - 1][1] > a):
+        if taken and taken[-1][1] > a:
             continue
-        taken.insert(at, (a, b))
-        out.append((a, k, b))
+        at = bisect_right(plain, (a, -1))
+        at -= at > 0 and plain[at - 1][1] > a
+        touched = []
+        while at < len(plain) and plain[at][0] < b:
+            touched.append(plain[at])
+            at += 1
+        if all(a <= c and d <= b and (c, d) != (a, b) for c, d in touched):
+            taken.append((a, b))
+            out.append((a, k, b))
     return out
 
 
@@ -329,11 +381,19 @@ def pii_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def masked(text: str) -> str:
-    parts, at = [], 0
-    for s in _spans_of(text):
-        if s["start"] >= at:
-            parts += [text[at : s["start"]], f"<{KINDS[s['kind']].upper()}>"]
-            at = s["end"]
+    """The text with each span replaced; of spans that overlap, all that they cover, by the name of the longest."""
+    parts, at, spans = [], 0, _spans_of(text)
+    for i, s in enumerate(spans):
+        if s["start"] < at:
+            continue
+        stop, longest = s["end"], s
+        for other in spans[i + 1 :]:
+            if other["start"] >= stop:
+                break
+            stop = max(stop, other["end"])
+            longest = max(longest, other, key=lambda x: x["end"] - x["start"])
+        parts += [text[at : s["start"]], f"<{KINDS[longest['kind']].upper()}>"]
+        at = stop
     return "".join([*parts, text[at:]])
 
 
@@ -343,8 +403,8 @@ def mask_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for first in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(first, ROWS)
+            for first, stop in row_chunks(whole.column(at)):
+                batch = whole.slice(first, stop - first)
                 texts = pa.array([masked(t) if t else t for t in batch.column(at).to_pylist()], batch.schema.field(at).type)
                 yield batch.set_column(at, batch.schema.field(at), texts)
             pa.default_memory_pool().release_unused()
