@@ -123,47 +123,45 @@ def _spaces(s: Column) -> Column:
     return F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
 
 
-def _places(arr: Column, phrase: str) -> Column:
+def _marked(flat: Column, pattern: Column, mark: str) -> Column:
+    """Indexes of the words before which a mark is set; the mark is no character of ``flat``."""
+    words = F.split(F.regexp_replace(flat, pattern, F.lit(mark)), " ")
+    return F.filter(F.transform(words, lambda w, i: F.when(F.startswith(w, F.lit("\x01")), i)), lambda i: i.isNotNull())
+
+
+def _places(flat: Column, phrase: str) -> Column:
     """Word indexes at which the words of a phrase stand one after the other."""
-    parts = phrase.split()
+    return F.when(F.contains(flat, F.lit(phrase)), _marked(flat, F.lit(f"(?<![^ ])(?={phrase}(?![^ ]))"), "\x01")).otherwise(F.array().cast("array<int>"))
 
-    def at(x: Column, i: Column) -> Column:
-        here = x == parts[0]
-        for k, p in enumerate(parts[1:], 1):
-            here = here & (F.coalesce(F.get(arr, i + k), F.lit("")) == p)
-        return F.when(here, i)
 
-    return F.filter(F.transform(arr, at), lambda x: x.isNotNull())
+NONE = "array<struct<first:int,minus_last:int,priority:int,label:string>>"
 
 
 def _detections(flat: Column, table: Column) -> Column:
-    """(first word, word after the last, priority, label) of every match of every rule whose keyword occurs."""
+    """(first word, word after the last, priority, label) of every match of every rule whose keyword occurs, in order.
+
+    A mark before each match tells, once the text is cut into words, at which word it begins.
+    """
 
     def of_rule(rule: Column) -> Column:
         pattern = F.concat(F.lit("(?<![^ ])(?:"), rule["pattern"], F.lit(")(?![^ ])"))
-        found = F.regexp_extract_all(flat, pattern, F.lit(0))
-        between = F.split(flat, pattern, -1)
-
-        # words before a match: the spaces in all that stands before it
-        steps = F.zip_with(F.slice(between, 1, F.greatest(F.size(found), F.lit(0))), found, lambda gap, m: F.struct(_spaces(gap).alias("gap"), _spaces(m).alias("inner")))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<first:int,last:int>>").alias("out"))
-        walked = F.aggregate(
-            steps,
-            start,
-            lambda acc, s: F.struct(
-                (acc["at"] + s["gap"] + s["inner"]).alias("at"),
-                F.concat(acc["out"], F.array(F.struct((acc["at"] + s["gap"]).alias("first"), (acc["at"] + s["gap"] + s["inner"] + 1).alias("last")))).alias("out"),
-            ),
-        )
-        return F.transform(walked["out"], lambda d: F.struct(d["first"].alias("first"), (-d["last"]).alias("minus_last"), rule["priority"].alias("priority"), rule["label"].alias("label")))
+
+        def placed(found: Column) -> Column:
+            at = F.zip_with(_marked(flat, pattern, "\x01$0"), found, lambda i, m: F.struct(i.alias("first"), (-(i + _spaces(m) + 1)).alias("minus_last"), rule["priority"].alias("priority"), rule["label"].alias("label")))
+            return F.when(F.size(found) > 0, at).otherwise(F.array().cast(NONE))
+
+        return F.flatten(F.transform(F.array(F.regexp_extract_all(flat, pattern, F.lit(0))), placed))
 
     return F.array_sort(F.flatten(F.transform(F.filter(table, lambda r: F.contains(flat, r["keyword"])), of_rule)))
 
 
+#: Detections that are walked with one growing array; longer lists go part by part.
+PART = 256
+
+
 def _unsuppressed(found: Column) -> Column:
     """Walks detections by first word, longer ones first, then by priority; one that ends no later than an earlier one is inside it."""
     kind = "array<struct<first:int,last:int,label:string,priority:int>>"
-    start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("covered"), F.array().cast(kind).alias("kept"))
 
     def step(acc: Column, d: Column) -> Column:
         last = -d["minus_last"]
@@ -175,7 +173,17 @@ def _unsuppressed(found: Column) -> Column:
             F.when(fresh, F.concat(acc["kept"], F.array(item))).otherwise(acc["kept"]).alias("kept"),
         )
 
-    return F.aggregate(found, start, step)
+    def walk(found: Column) -> Column:
+        def part(acc: Column, at: Column) -> Column:
+            start = F.struct(acc["end"].alias("end"), acc["covered"].alias("covered"), F.array().cast(kind).alias("kept"))
+            walked = F.aggregate(F.slice(found, at, F.lit(PART)), start, step)
+            return F.struct(walked["end"].alias("end"), walked["covered"].alias("covered"), F.concat(acc["kept"], F.array(walked["kept"])).alias("kept"))
+
+        start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("covered"), F.array().cast(f"array<{kind}>").alias("kept"))
+        parts = F.sequence(F.lit(1), F.greatest(F.size(found), F.lit(1)), F.lit(PART))
+        return F.aggregate(parts, start, part, lambda acc: F.struct(acc["covered"].alias("covered"), F.flatten(acc["kept"]).alias("kept")))
+
+    return F.element_at(F.transform(F.array(found), walk), 1)  # bound once, so that it is computed once
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,8 +193,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     flat = low.select(id_col, F.trim(F.regexp_replace("low", BREAK, " ")).alias("flat"))
     counted = flat.withColumn("n_words", F.when(F.col("flat") == "", 0).otherwise(_spaces(F.col("flat")) + 1).cast("long"))
     gated = counted.withColumn("gate", reduce(or_, (F.contains("flat", F.lit(k)) for k in gate_words())))
-    words = F.split("flat", " ")
-    base = F.array(*[F.struct(F.lit(label).alias("label"), _places(words, phrase).alias("at")) for phrase, label in BASE])
+    base = F.array(*[F.struct(F.lit(label).alias("label"), _places(F.col("flat"), phrase).alias("at")) for phrase, label in BASE])
     none = "array<struct<first:int,last:int,label:string,priority:int>>"
     walked = gated.withColumn("base", F.when(F.col("gate"), base)).withColumn(
         "walked", F.when(F.col("gate"), _unsuppressed(_detections(F.col("flat"), table)))

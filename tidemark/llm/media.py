@@ -23,26 +23,41 @@ from pyspark.sql import functions as F
 RATE = 8000
 
 
-def _wav(b: memoryview, at: int) -> tuple[str, int] | None:
-    if at + 12 > len(b) or bytes(b[at + 8 : at + 12]) not in (b"WAVE", b"WEBP"):
+class Blob:
+    """Bytes, and where a trailer comes next; magics are met in order, so that each trailer is sought once over the whole."""
+
+    def __init__(self, data: bytes):
+        self.data, self.next = data, {}
+
+    def find(self, trailer: bytes, at: int) -> int:
+        known = self.next.get(trailer)
+        if known is None or 0 <= known < at:
+            known = self.next[trailer] = self.data.find(trailer, at)
+        return known
+
+
+def _wav(blob: Blob, at: int) -> tuple[str, int] | None:
+    b = blob.data
+    if at + 12 > len(b) or b[at + 8 : at + 12] not in (b"WAVE", b"WEBP"):
         return None
-    kind = "wav" if bytes(b[at + 8 : at + 12]) == b"WAVE" else "webp"
+    kind = "wav" if b[at + 8 : at + 12] == b"WAVE" else "webp"
     size = 8 + int.from_bytes(b[at + 4 : at + 8], "little")
     if at + size > len(b) or size < 12:
         return None
     place, names = at + 12, []
     while place + 8 <= at + size:
-        names.append(bytes(b[place : place + 4]))
+        names.append(b[place : place + 4])
         place += 8 + int.from_bytes(b[place + 4 : place + 8], "little")
         place += (place - at) % 2 if place < at + size else 0
     good = place == at + size and (kind == "webp" or names[:1] == [b"fmt "] and b"data" in names)
     return (kind, size) if good else None
 
 
-def _png(b: memoryview, at: int) -> tuple[str, int] | None:
+def _png(blob: Blob, at: int) -> tuple[str, int] | None:
+    b = blob.data
     place, first = at + 8, True
     while place + 12 <= len(b):
-        size, name = int.from_bytes(b[place : place + 4], "big"), bytes(b[place + 4 : place + 8])
+        size, name = int.from_bytes(b[place : place + 4], "big"), b[place + 4 : place + 8]
         end = place + 12 + size
         if end > len(b) or first and (name != b"IHDR" or size != 13):
             return None
@@ -54,7 +69,8 @@ def _png(b: memoryview, at: int) -> tuple[str, int] | None:
     return None
 
 
-def _jpeg(b: memoryview, at: int) -> tuple[str, int] | None:
+def _jpeg(blob: Blob, at: int) -> tuple[str, int] | None:
+    b = blob.data
     place = at + 2
     while place + 4 <= len(b) and b[place] == 0xFF and b[place + 1] != 0xDA:
         if b[place + 1] in (0xD8, 0xD9) or b[place + 1] < 0xC0:
@@ -65,11 +81,12 @@ def _jpeg(b: memoryview, at: int) -> tuple[str, int] | None:
         place += 2 + size
     if place + 4 > len(b) or b[place] != 0xFF:
         return None
-    end = bytes(b[place:]).find(b"\xff\xd9")
-    return ("jpeg", place + end + 2 - at) if end >= 0 else None
+    end = blob.find(b"\xff\xd9", place)
+    return ("jpeg", end + 2 - at) if end >= 0 else None
 
 
-def _gif(b: memoryview, at: int) -> tuple[str, int] | None:
+def _gif(blob: Blob, at: int) -> tuple[str, int] | None:
+    b = blob.data
     if at + 13 > len(b):
         return None
     flags = b[at + 10]
@@ -94,7 +111,8 @@ def _gif(b: memoryview, at: int) -> tuple[str, int] | None:
     return None
 
 
-def _bmp(b: memoryview, at: int) -> tuple[str, int] | None:
+def _bmp(blob: Blob, at: int) -> tuple[str, int] | None:
+    b = blob.data
     if at + 26 > len(b):
         return None
     size, offset, header = struct.unpack_from("<I4xII", b, at + 2)
@@ -102,7 +120,8 @@ def _bmp(b: memoryview, at: int) -> tuple[str, int] | None:
     return ("bmp", size) if good else None
 
 
-def _gzip(b: memoryview, at: int) -> tuple[str, int] | None:
+def _gzip(blob: Blob, at: int) -> tuple[str, int] | None:
+    b = blob.data
     if at + 18 > len(b) or b[at + 3] & 0xE0:
         return None
     engine, place = zlib.decompressobj(31), at
@@ -115,19 +134,21 @@ def _gzip(b: memoryview, at: int) -> tuple[str, int] | None:
     return ("gzip", min(place, len(b)) - len(engine.unused_data) - at) if engine.eof else None
 
 
-def _pdf(b: memoryview, at: int) -> tuple[str, int] | None:
-    end = bytes(b[at:]).find(b"%%EOF")
-    return ("pdf", end + 5) if end > 0 else None
+def _pdf(blob: Blob, at: int) -> tuple[str, int] | None:
+    end = blob.find(b"%%EOF", at)
+    return ("pdf", end + 5 - at) if end >= 0 else None
 
 
-def _flac(b: memoryview, at: int) -> tuple[str, int] | None:
+def _flac(blob: Blob, at: int) -> tuple[str, int] | None:
+    b = blob.data
     good = at + 42 <= len(b) and b[at + 4] & 0x7F == 0 and int.from_bytes(b[at + 5 : at + 8], "big") == 34
     return ("flac", len(b) - at) if good else None
 
 
-def _ogg(b: memoryview, at: int) -> tuple[str, int] | None:
+def _ogg(blob: Blob, at: int) -> tuple[str, int] | None:
+    b = blob.data
     place = at
-    while place + 27 <= len(b) and bytes(b[place : place + 5]) == b"OggS\0":
+    while place + 27 <= len(b) and b[place : place + 5] == b"OggS\0":
         n = b[place + 26]
         if place + 27 + n > len(b):
             return None
@@ -162,12 +183,12 @@ def automaton() -> ahocorasick.Automaton:
 
 def sniff(blob: bytes, machine: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
     """(offset, length, type) of every confirmed object; what lies inside a found stream but after it began counts too."""
-    view, out, free = memoryview(blob), [], 0
+    whole, out, free = Blob(blob), [], 0
     for end, (size, check) in machine.iter(blob.decode("latin-1")):
         at = end - size + 1
         if at < free and at:
             continue
-        got = check(view, at)
+        got = check(whole, at)
         if got:
             out.append((at, got[1], got[0]))
             free = at + (got[1] if at else 0)

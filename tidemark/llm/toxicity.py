@@ -2,7 +2,8 @@
 
 Folding maps look-alike letters and digit substitutions to one letter each and everything that is neither letter nor
 digit to a space. Terms are whole words or word beginnings, weighted by their log odds in toxic against other
-labelled documents of a bounded, hash-chosen sample. A hit inside an exception phrase does not count. The sum of the
+labelled documents of a bounded, hash-chosen sample (``fit_rows`` documents at most, about; of the terms that are frequent
+and one-sided enough the ``terms`` weightiest; both are parameters). A hit inside an exception phrase does not count. The sum of the
 weights, over the root of the number of words, goes through a scale fitted on the same sample.
 
 Defined cases: null and empty texts score 0; texts of any length are scanned whole; documents without a label, or
@@ -13,8 +14,10 @@ table gives an empty table, and no labels give an empty lexicon (score 0); other
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections import Counter
 from functools import lru_cache
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -85,7 +88,11 @@ class Lexicon:
                 spared.append((start, end))
         if not hits:
             return 0.0
-        total = sum(w for at, w in hits.items() if not any(a <= at < b for a, b in spared))
+        if spared:
+            spared.sort()
+            starts, ends = [a for a, _ in spared], list(accumulate((b for _, b in spared), max))
+            hits = {at: w for at, w in hits.items() if (k := bisect_right(starts, at)) == 0 or ends[k - 1] <= at}
+        total = sum(hits.values())
         return total / math.sqrt(folded.count(" ") + ROOM)
 
 
@@ -98,15 +105,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, fit_rows: int, id_col: s
     return docs.select(F.col(id_col), F.col(text_col).alias("t")).join(chosen, id_col).select("t", F.col("y").cast("int").alias("y"))
 
 
-def fit_lexicon(sample: DataFrame) -> dict[str, float]:
+def fit_lexicon(sample: DataFrame, terms: int = TERMS) -> dict[str, float]:
     def count(batches):
         for batch in batches:
             toxic, other = Counter(), Counter()
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 (toxic if y else other).update(features(t or ""))
                 (toxic if y else other)[""] += 1
-            terms = [*{**toxic, **other}]
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([toxic[w] for w in terms], pa.int64()), pa.array([other[w] for w in terms], pa.int64())], ["term", "toxic", "other"])
+            seen = [*{**toxic, **other}]
+            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), pa.array([toxic[w] for w in seen], pa.int64()), pa.array([other[w] for w in seen], pa.int64())], ["term", "toxic", "other"])
 
     counts = cut(sample.mapInArrow(count, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).where(f"toxic >= {LEAST_DOCS} or term = ''"))
     whole = counts.where("term = ''").first()
@@ -114,18 +121,20 @@ def fit_lexicon(sample: DataFrame) -> dict[str, float]:
         return {}
     odds = F.log((F.col("toxic") + 0.5) / (whole["toxic"] + 1.0)) - F.log((F.col("other") + 0.5) / (whole["other"] + 1.0))
     best = counts.where("term <> ''").withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
-    rows = best.orderBy(F.desc(F.col("odds") * F.col("toxic")), "term").limit(TERMS).collect()
+    rows = best.orderBy(F.desc(F.col("odds") * F.col("toxic")), "term").limit(terms).collect()
     return {r["term"]: r["odds"] for r in rows}
 
 
-def fit_scale(sample: DataFrame, lexicon: Lexicon) -> float:
+def fit_scale(sample: DataFrame, weights: dict[str, float], exceptions: tuple[str, ...]) -> float:
     """The raw score that best splits the sample, by the mean of the two classes' rates."""
 
     def score(batches):
+        lexicon = Lexicon(weights, exceptions)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([int(min(lexicon.raw(t or ""), 50.0) * 100) for t in batch.column(0).to_pylist()], pa.int64()), batch.column(1)], ["b", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array([int(lexicon.raw(t or "") * 100) for t in batch.column(0).to_pylist()], pa.int64()), batch.column(1)], ["b", "y"])
 
-    cells = sample.mapInArrow(score, "b long, y int").groupBy("b").agg(F.sum("y").alias("p"), F.count("*").alias("n")).collect()  # at most 5,001 rows
+    # a row for each hundredth that some document of the bounded sample scores
+    cells = sample.mapInArrow(score, "b long, y int").groupBy("b").agg(F.sum("y").alias("p"), F.count("*").alias("n")).collect()
     positives, total = sum(r["p"] for r in cells), sum(r["n"] for r in cells)
     best, at, p, n = -1.0, 0.5, positives, total - positives
     fp, tp = n, positives
@@ -137,19 +146,19 @@ def fit_scale(sample: DataFrame, lexicon: Lexicon) -> float:
     return max(at, 0.05)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """(id, held_out, score, predicted) of each row."""
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, terms: int = TERMS, exceptions: tuple[str, ...] = EXCEPTIONS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[dict[str, float], float]:
+    """(weights of the lexicon, scale) learned from labelled documents that are not held out."""
     sample = cut(labelled_sample(docs, labels, fit_rows, id_col, text_col, label_col))
-    weights = fit_lexicon(sample)
-    built = docs.sparkSession.sparkContext.broadcast((weights, exceptions, 1.0))
+    weights = fit_lexicon(sample, terms)
+    return weights, fit_scale(sample, weights, exceptions) if weights else 1.0
 
-    def lexicon_of(value) -> Lexicon:
-        return Lexicon(value[0], value[1])
 
-    scale = fit_scale(sample, _Lazy(built)) if weights else 1.0
+def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, terms: int = TERMS, exceptions: tuple[str, ...] = EXCEPTIONS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """(id, held_out, score, predicted) of each row."""
+    weights, scale = fit(docs, labels, fit_rows, terms, exceptions, id_col, text_col, label_col)
 
     def run(batches):
-        lexicon = lexicon_of(built.value)
+        lexicon = Lexicon(weights, exceptions)
         for batch in batches:
             raw = np.array([lexicon.raw(t) if t else 0.0 for _, texts in text_chunks(batch.column(1)) for t in texts], np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw / (raw + scale))], [id_col, "score"])
@@ -157,18 +166,3 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
     scored = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double")
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
     return scored.select(id_col, held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
-
-
-class _Lazy:
-    """The lexicon, built in each worker from what was broadcast."""
-
-    def __init__(self, built):
-        self.built, self.lexicon = built, None
-
-    def __getstate__(self):
-        return {"built": self.built, "lexicon": None}
-
-    def raw(self, text: str) -> float:
-        if self.lexicon is None:
-            self.lexicon = Lexicon(self.built.value[0], self.built.value[1])
-        return self.lexicon.raw(text)
