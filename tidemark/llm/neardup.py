@@ -1,10 +1,12 @@
 """Near-duplicate embeddings: iterative quantisation, multi-index Hamming tables, exact rerank.
 
-Rotations learned on a bounded sample turn unit vectors into balanced binary codes. Codes are cut into keys; vectors
-that share a key in any table are compared by their original values in double precision. How long a key is follows
-the number of vectors per label (so that buckets stay about as large), and how many tables there are follows from the
-recall asked for at exactly the threshold. Within a bucket the comparison runs block by block; a pair counts in the
-first table whose key it shares. What leaves a block is one row per vector: links counted, and a spanning star.
+Rotations learned on a bounded sample turn unit vectors into balanced binary codes. Codes are cut into keys, one for each
+table; vectors that share a key in some table and whose whole codes lie within a Hamming radius are candidates. Only codes
+and ids are dealt out to the tables. Vectors follow once, for candidates alone, to the table in which a pair first meets,
+and are compared there in double precision. How long a key is follows the number of vectors per label (so that buckets stay
+about as large, at every size), and how many tables there are follows from the recall asked for at exactly the threshold.
+Large buckets are cut in blocks, and each pair of blocks is a task. What leaves a block is one row per vector: links
+counted, and a spanning star.
 
 Defined cases: null labels, and vectors that are null, empty, zero or hold null or non-finite components, link with
 nothing (0 links, a component of their own); vectors of other length never link; equal vectors form one class first,
@@ -22,20 +24,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.tables import Forest, components, cut
+from tidemark.llm.tables import Forest, bounds, by_sorted_key, components, cut
 
 #: Vectors the rotations are learned from, at most about.
 FIT_VECTORS = 20_000
 RECALL, BUCKET, BLOCK = 0.97, 32, 1024
+#: Deviations that the Hamming radius lies above the mean distance of codes at the threshold.
+SLACK = 5
+#: Rows of a broadcast table of classes with very many copies at most, and copies from which a class may be one.
+HOT_ROWS, HOT_COPIES = 100_000, 256
 
 
 def tables_for(n_label: int, threshold: float) -> tuple[int, int]:
     """(bits of a key, tables) for labels of up to so many vectors."""
-    bits = min(16, max(8, math.ceil(math.log2(max(n_label, 1) / BUCKET + 1))))
+    bits = max(8, math.ceil(math.log2(max(n_label, 1) / BUCKET + 1)))
     same = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - same))
 
 
+def radius_for(size: int, threshold: float) -> int:
+    """Hamming radius over codes of so many bits that pairs at the threshold as good as never exceed."""
+    p = math.acos(threshold) / math.pi
+    return math.ceil(size * p + SLACK * math.sqrt(size * p * (1 - p)))
+
+
 def learn_rotation(x: np.ndarray, bits: int, seed: int, rounds: int = 30) -> np.ndarray:
     """Projection (dimensions x bits) whose signs lose the least, from unit rows; principal directions, then ITQ."""
     _, vectors = np.linalg.eigh(x.T @ x)
@@ -54,7 +66,7 @@ def usable(vector: Column, label: Column) -> Column:
 
 
 def _codes(x: np.ndarray, rotations: list[np.ndarray], bits: int, tables: int) -> np.ndarray:
-    """Keys (rows x tables) of unit rows."""
+    """Keys (rows x tables) of unit rows; together they are the code."""
     flags = np.concatenate([x @ r >= 0 for r in rotations], axis=1)[:, : bits * tables]
     weights = 1 << np.arange(bits)
     return flags.reshape(len(x), tables, bits) @ weights
@@ -65,16 +77,25 @@ def _unit(lists: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _named(vector: Column) -> list[Column]:
+    """Two hashes that name a vector by its content."""
+    return [F.xxhash64(vector).alias("h1"), F.xxhash64(F.lit("second"), vector).alias("h2")]
+
+
 def link_vectors(df: DataFrame, threshold: float = 0.93, fit_vectors: int = FIT_VECTORS, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(id, n_links, component_id, kept) of each row."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v"))
     good = usable(F.col("v"), F.col("label"))
+    clean = F.transform("v", lambda x: x.cast("double") + F.lit(0.0))
     # classes of equal vectors of a label; the smallest id stands for each
-    classes = rows.where(good).groupBy("label", F.transform("v", lambda x: x.cast("double") + F.lit(0.0)).alias("v")).agg(F.min("id").alias("c"), F.count("*").alias("copies"))
+    classes = rows.where(good).groupBy("label", clean.alias("v")).agg(F.min("id").alias("c"), F.count("*").alias("copies"))
     classes = cut(classes.withColumn("dim", F.size("v")))
     shape = classes.groupBy("dim").agg(F.count("*").alias("n")).collect()  # one row for each length of vector
-    most = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    links, edges = None, None
+    most, total = classes.groupBy("label", "dim").agg(F.count("*").alias("n"), F.sum("copies").alias("m")).agg(F.max("n"), F.sum("m")).first()
+    narrow = rows.select("id", "label", F.when(good, F.struct(*_named(clean))).alias("h")).select("id", "label", "h.*")
+    if not shape:
+        return _result(narrow.withColumns({"n": F.lit(0).cast("long"), "component": F.col("id")}), id_col)
+    links = None
     for dim, n in ((r["dim"], r["n"]) for r in shape):
         bits, tables = tables_for(most, threshold)
         own = classes.where(F.col("dim") == dim)
@@ -86,66 +107,112 @@ def link_vectors(df: DataFrame, threshold: float = 0.93, fit_vectors: int = FIT_
         rotations = [learn_rotation(x, width, seed) for seed in range(math.ceil(bits * tables / width))]
         found = cut(_linked(own, rotations, bits, tables, threshold))
         links = found if links is None else links.union(found)
-    if links is not None:
-        edges = links.where("u <> root").select("u", "root")
-        reach = components(edges).withColumnRenamed("id", "c")
-        degree = links.groupBy(F.col("u").alias("c")).agg(F.sum("n").alias("others"))
-        per_class = classes.select("c", "label", "v", "copies").join(degree, "c", "left").join(reach, "c", "left")
-        per_class = per_class.select("label", F.col("v").alias("w"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("component_id", "c").alias("component"))
-        keyed = rows.withColumn("w", F.when(good, F.transform("v", lambda x: x.cast("double") + F.lit(0.0))))
-        out = keyed.join(per_class, ["label", "w"], "left")
-    else:
-        out = rows.withColumn("n", F.lit(None).cast("long")).withColumn("component", F.lit(None).cast("long"))
+    reach = components(links.where("u <> root").select("u", "root")).withColumnRenamed("id", "c")
+    degree = links.groupBy(F.col("u").alias("c")).agg(F.sum("n").alias("others"))
+    told = classes.select("c", "label", "copies", *_named(F.col("v"))).join(degree, "c", "left").join(reach, "c", "left")
+    told = told.select("label", "h1", "h2", "copies", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("component_id", "c").alias("component"))
+    # vectors with very many copies are few, whatever the data: their rows meet them by a broadcast, all others by a shuffle
+    bar = max(HOT_COPIES, (total or 0) // HOT_ROWS)
+    keys, told = ["label", "h1", "h2"], cut(told)
+    hot = F.broadcast(told.where(F.col("copies") > bar).drop("copies"))
+    known, blank = narrow.where("h1 is not null"), narrow.where("h1 is null")
+    cold = known.join(hot, keys, "left_anti").join(told.where(F.col("copies") <= bar).drop("copies"), keys, "left")
+    out = known.join(hot, keys).unionByName(cold).unionByName(blank.withColumns({"n": F.lit(0).cast("long"), "component": F.col("id")}))
+    return _result(out, id_col)
+
+
+def _result(rows: DataFrame, id_col: str) -> DataFrame:
     component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return rows.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def _met_before(keys: np.ndarray, t: int, some: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which pairs share a key in a table before this one."""
+    out = np.zeros((len(some), len(right)), bool)
+    for k in range(t):
+        out |= keys[some, k][:, None] == keys[right, k][None, :]
+    return out
+
+
+def _pairs(group: pa.Table, near):
+    """For each task of a run of whole ones, in blocks: (rows of the left block, rows of the right one, which pairs are near)."""
+    task, t, side = group.column("task").to_numpy(), group.column("t").to_numpy(), group.column("side").to_numpy()
+    label = group.column("lab").to_numpy()
+    keys = group.column("keys").combine_chunks().flatten().to_numpy().reshape(len(task), -1)
+    edge = bounds(task)
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        if b - a < 2:
+            continue
+        rows, own = np.arange(a, b), side[a:b]
+        whole = own[0] < 0
+        left, right = (rows, rows) if whole else (rows[own == 0], rows[own == 1])
+        for at in range(0, len(left), BLOCK):
+            some = left[at : at + BLOCK]
+            close = near(some, right) & (label[some][:, None] == label[right][None, :])
+            if whole:
+                close &= some[:, None] < right[None, :]
+            if close.any():
+                yield some, right, close & ~_met_before(keys, int(t[a]), some, right)
 
 
 def _linked(classes: DataFrame, rotations: list[np.ndarray], bits: int, tables: int, threshold: float) -> DataFrame:
     """(u, n, root) rows: vectors linked with class u in one block, and the least class of its local component."""
+    radius = radius_for(bits * tables, threshold)
 
     def index(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = _codes(_unit(batch.column("v")), rotations, bits, tables)
-            yield batch.append_column("keys", pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * tables, pa.array(keys.ravel().astype(np.int32))))
+            if batch.num_rows:
+                keys = _codes(_unit(batch.column("v")), rotations, bits, tables)
+                lists = pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * tables, pa.array(keys.ravel().astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("lab"), lists], ["c", "lab", "keys"])
 
-    label = classes.schema["label"].dataType.simpleString()
-    coded = classes.select("c", "label", "v", "copies").mapInArrow(index, f"c long, label {label}, v array<double>, copies long, keys array<int>")
+    coded = cut(classes.select("c", F.xxhash64("label").alias("lab"), "v").mapInArrow(index, "c long, lab long, keys array<int>"))
     placed = coded.select("*", F.posexplode("keys").alias("t", "key"))
     # buckets too large for one block are cut in blocks, and every pair of blocks becomes a task of its own
-    sizes = coded.select("label", F.posexplode("keys").alias("t", "key")).groupBy("label", "t", "key").agg(F.count("*").alias("m")).where("m > 1")
-    parts = F.ceil(F.col("m") / BLOCK).cast("int")
-    placed = placed.join(sizes.withColumn("parts", parts).drop("m"), ["label", "t", "key"])
+    sizes = coded.select("lab", F.posexplode("keys").alias("t", "key")).groupBy("lab", "t", "key").agg(F.count("*").alias("m")).where("m > 1")
+    placed = placed.join(sizes.withColumn("parts", F.ceil(F.col("m") / BLOCK).cast("int")), ["lab", "t", "key"])
     own = F.pmod(F.xxhash64("c", "t"), F.col("parts")).cast("int")
     placed = placed.withColumn("b", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    placed = placed.withColumn("low", F.least("b", "other")).withColumn("high", F.greatest("b", "other"))
+    task = F.xxhash64("lab", "t", "key", F.least("b", "other"), F.greatest("b", "other"))
+    side = F.when(F.col("b") == F.col("other"), -1).otherwise((F.col("b") > F.col("other")).cast("int"))
+    dealt = placed.select(task.alias("task"), "c", "lab", "t", "keys", side.alias("side"))
+
+    def candidates(group: pa.Table) -> pa.Table:
+        """Rows whose code has another within the radius in their task, that it did not meet in a table before."""
+        keys = group.column("keys").combine_chunks().flatten().to_numpy().astype(np.uint32).reshape(group.num_rows, -1)
+
+        def near(some: np.ndarray, right: np.ndarray) -> np.ndarray:
+            apart = np.zeros((len(some), len(right)), np.uint16)
+            for k in range(keys.shape[1]):
+                apart += np.bitwise_count(keys[some, k][:, None] ^ keys[right, k][None, :])
+            return apart <= radius
+
+        keep = np.zeros(group.num_rows, bool)
+        for some, right, close in _pairs(group, near):
+            keep[some[close.any(axis=1)]] = True
+            keep[right[close.any(axis=0)]] = True
+        return group.filter(pa.array(keep))
+
+    schema = "task long, c long, lab long, t int, keys array<int>, side int"
+    survivors = cut(by_sorted_key(dealt, "task", ["c"], candidates, schema))
+    vectors = classes.select("c", "v", "copies", F.xxhash64("label").alias("lab"))
+    fetched = survivors.join(vectors, ["c", "lab"]).select("task", "c", "lab", "t", "keys", "side", "v", "copies")
 
     def compare(group: pa.Table) -> pa.Table:
-        c = group.column("c").to_numpy()
+        c, copies = group.column("c").to_numpy(), group.column("copies").to_numpy()
         x = _unit(group.column("v").combine_chunks())
-        t, side = group.column("t")[0].as_py(), group.column("b").to_numpy()
-        keys = group.column("keys").combine_chunks().flatten().to_numpy().reshape(len(c), -1)[:, :t]
-        low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
-        left, right = np.flatnonzero(side == low), np.flatnonzero(side == high)
-        forest, copies = Forest(len(c)), group.column("copies").to_numpy()
-        n = np.zeros(len(c), np.int64)
-        for at in range(0, len(left), BLOCK):
-            some = left[at : at + BLOCK]
-            close = x[some] @ x[right].T >= threshold
-            close &= (some[:, None] < right[None, :]) if low == high else True
-            for k in range(t):
-                close &= keys[some, k][:, None] != keys[right, k][None, :]
+        forest, n = Forest(len(c)), np.zeros(len(c), np.int64)
+        for some, right, close in _pairs(group, lambda some, right: x[some] @ x[right].T >= threshold):
             n[some] += close @ copies[right]
             n[right] += close.T @ copies[some]
             for row in np.flatnonzero(close.any(axis=1)).tolist():
                 for col in np.flatnonzero(close[row]).tolist():
                     forest.join(int(some[row]), int(right[col]))
-        order = {}
-        for i in range(len(c)):
-            r = forest.find(i)
-            order[r] = min(order.get(r, c[i]), c[i])
         hit = np.flatnonzero(n)
-        return pa.table({"u": c[hit], "n": n[hit], "root": np.array([order[forest.find(int(i))] for i in hit], np.int64)})
+        least: dict[int, int] = {}
+        for i in hit.tolist():
+            r = forest.find(i)
+            least[r] = min(least.get(r, int(c[i])), int(c[i]))
+        return pa.table({"u": c[hit], "n": n[hit], "root": np.array([least[forest.find(int(i))] for i in hit], np.int64)})
 
-    return placed.groupBy("label", "t", "key", "low", "high").applyInArrow(compare, "u long, n long, root long")
+    return by_sorted_key(fetched, "task", ["c"], compare, "u long, n long, root long")
