@@ -132,52 +132,51 @@ class Decoder:
         return self.bytes[ragged(self.starts[ids], lengths)], lengths
 
 
+def _encoded(batches, vocabulary: Vocabulary, id_col: str):
+    """(id, ids) batches of (id, text) batches."""
+    memo = Memo(MEMO_BYTES)
+    for batch in batches:
+        for first, s in slices_of(batch.column(1)):
+            ids, counts = vocabulary.encode(s, memo)
+            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(s.texts)), pa.ListArray.from_arrays(offsets, pa.array(ids))], [id_col, "ids"])
+
+
+def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _decoded(batches, decoder: Decoder, id_col: str):
+    """(id, n_tokens, packed, decoded) batches of (id, ids) batches."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            batch = whole.slice(at, 256)
+            lists = batch.column(1)
+            counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            data, lengths = decoder.decode(ids)
+            total = np.concatenate([[0], np.cumsum(lengths)])
+            edge = np.concatenate([[0], np.cumsum(counts)])
+            packed = np.frombuffer(ids.astype("<u4").tobytes(), np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), _binary(packed, counts * 4), _binary(data, np.diff(total[edge]))], [id_col, "n_tokens", "packed", "decoded"])
+
+
+DECODED = "n_tokens long, packed binary, decoded binary"
+
+
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) of each row by the ranks in ``path``; no special tokens."""
     voc = docs.sparkSession.sparkContext.broadcast(Vocabulary(load_ranks(path)))
-
-    def run(batches):
-        vocabulary, memo = voc.value, Memo(MEMO_BYTES)
-        for batch in batches:
-            for first, s in slices_of(batch.column(1)):
-                ids, counts = vocabulary.encode(s, memo)
-                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(s.texts)), pa.ListArray.from_arrays(offsets, pa.array(ids))],
-                    [id_col, "ids"],
-                )
-
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return docs.select(id_col, text_col).mapInArrow(lambda batches: _encoded(batches, voc.value, id_col), f"`{id_col}` {kind}, ids array<int>")
 
 
 def decode_ids(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     """(id, n_tokens, packed, decoded): ids as little-endian unsigned 32-bit integers, and the bytes they stand for."""
     tables = encoded.sparkSession.sparkContext.broadcast(Decoder(load_ranks(path)))
-
-    def binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
-        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
-
-    def run(batches):
-        decoder = tables.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                lists = batch.column(1)
-                counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                data, lengths = decoder.decode(ids)
-                total = np.concatenate([[0], np.cumsum(lengths)])
-                edge = np.concatenate([[0], np.cumsum(counts)])
-                packed = np.frombuffer(ids.astype("<u4").tobytes(), np.uint8)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(counts), binary(packed, counts * 4), binary(data, np.diff(total[edge]))],
-                    [id_col, "n_tokens", "packed", "decoded"],
-                )
-
     kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, packed binary, decoded binary")
+    return encoded.select(id_col, "ids").mapInArrow(lambda batches: _decoded(batches, tables.value, id_col), f"`{id_col}` {kind}, {DECODED}")
 
 
 def digest(column: str | Column) -> Column:
@@ -185,6 +184,14 @@ def digest(column: str | Column) -> Column:
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) of each row, through both directions."""
-    decoded = decode_ids(encode_documents(docs, path, id_col, text_col), path, id_col)
+    """(id, n_tokens, ids_sha256, decoded_sha256) of each row, through both directions in one worker."""
+    ranks = load_ranks(path)
+    both = docs.sparkSession.sparkContext.broadcast((Vocabulary(ranks), Decoder(ranks)))
+
+    def run(batches):
+        vocabulary, decoder = both.value
+        yield from _decoded(_encoded(batches, vocabulary, id_col), decoder, id_col)
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    decoded = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {DECODED}")
     return decoded.select(id_col, "n_tokens", digest("packed").alias("ids_sha256"), digest("decoded").alias("decoded_sha256"))
