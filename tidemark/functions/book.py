@@ -26,6 +26,18 @@ def walk(levels: Column, qty: Column) -> Column:
     return F.aggregate(levels, start, step, lambda acc: F.when(acc["left"] <= 1e-12, acc["cost"] / qty))
 
 
+def walk_detail(levels: Column, qty: Column) -> Column:
+    """(average price, worst price, levels used) of taking ``qty``; all null where the levels hold less."""
+    start = F.struct(qty.cast("double").alias("left"), F.lit(0.0).alias("cost"), F.lit(None).cast("double").alias("worst"), F.lit(0).alias("used"))
+
+    def step(acc: Column, x: Column) -> Column:
+        take = F.least(acc["left"], x["qty"])
+        some = take > 0
+        return F.struct((acc["left"] - take).alias("left"), (acc["cost"] + take * x["price"]).alias("cost"), F.when(some, x["price"]).otherwise(acc["worst"]).alias("worst"), (acc["used"] + some.cast("int")).alias("used"))
+
+    return F.aggregate(levels, start, step, lambda acc: F.when(acc["left"] <= 1e-12, F.struct((acc["cost"] / qty).alias("price"), acc["worst"].alias("worst"), acc["used"].alias("used"))))
+
+
 def walk_limit(levels: Column, qty: Column, limit: Column, rate: float) -> Column:
     """(average price, fees) of taking ``qty`` from asks up to a limit, each level paying rate * p * (1 - p) on its part; null where too little is there."""
     start = F.struct(qty.cast("double").alias("left"), F.lit(0.0).alias("cost"), F.lit(0.0).alias("fee"))

@@ -7,7 +7,7 @@ window over one row for each bucket.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_MS = 6 * 3_600_000
@@ -24,8 +24,8 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_t: str, right_t:
     both = a.unionByName(b).withColumn("__b", F.floor(F.col("__t") / bucket_ms))
     inside = Window.partitionBy("__k", "__b").orderBy("__t", "__side", "__o").rowsBetween(Window.unboundedPreceding, 0)
     seen = both.withColumn("__in", F.last("__v", ignorenulls=True).over(inside))
-    ends = both.where("__side = 0").groupBy("__k", "__b").agg(F.max_by("__v", F.struct("__t", "__o")).alias("__last"))
-    buckets = both.groupBy("__k", "__b").agg(F.lit(1).alias("__one")).drop("__one").join(ends, ["__k", "__b"], "left")
+    # one row a bucket: its last right row, if it has one
+    buckets = both.groupBy("__k", "__b").agg(F.max_by("__v", F.when(F.col("__side") == 0, F.struct("__t", "__o"))).alias("__last"))
     before = Window.partitionBy("__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     carry = buckets.select("__k", "__b", F.last("__last", ignorenulls=True).over(before).alias("__carry"))
     found = seen.where("__side = 1").join(carry, ["__k", "__b"]).select("__row.*", F.coalesce("__in", "__carry").alias("__m"))
@@ -73,6 +73,15 @@ def exact_horizon_join(bars: DataFrame, horizon: int) -> DataFrame:
     return bars.join(later, ["symbol", "open_time"]).where(same_day)
 
 
+def horizon_exclusions(bars: DataFrame, horizon: int) -> DataFrame:
+    """For each symbol, how many bars the exact-horizon join keeps, and why it leaves others out."""
+    later = bars.select("symbol", (F.col("open_time") - horizon).alias("open_time"), F.lit(True).alias("__there"))
+    same_day = F.floor(F.col("open_time") / 86_400_000) == F.floor((F.col("open_time") + horizon) / 86_400_000)
+    rows = bars.select("symbol", "open_time").join(later, ["symbol", "open_time"], "left")
+    there = F.col("__there").isNotNull()
+    return rows.groupBy("symbol").agg(F.count("*").alias("rows"), F.count_if(there & same_day).alias("kept"), F.count_if(~same_day).alias("crosses_day"), F.count_if(same_day & ~there).alias("no_later_bar"))
+
+
 def running_sum(events: DataFrame, key: str, t: str, order: str, value: str, name: str = "s", bucket_ms: int = BUCKET_MS) -> DataFrame:
     """Running sum by (t, order) for each key: sums inside a time bucket, on top of the buckets before."""
     rows = events.withColumn("__b", F.floor(F.col(t) / bucket_ms))
@@ -82,25 +91,56 @@ def running_sum(events: DataFrame, key: str, t: str, order: str, value: str, nam
     return rows.withColumn(name, inside).join(before, [key, "__b"]).withColumn(name, F.col(name) + F.col("__before")).drop("__b", "__before")
 
 
+def sums_at(left: DataFrame, times: dict[str, Column], events: DataFrame, value: str, bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """Each left row with, for each named time, the sum of its symbol's event values up to and including that time.
+
+    Events and the times asked for are one union, dealt out by (symbol, bucket) and run up once; what comes before a
+    bucket is a window over one row for each bucket. The times of a row meet again in one aggregate.
+    """
+    asked = F.inline(F.array(*[F.struct(t.cast("long").alias("__t"), F.lit(name).alias("__name")) for name, t in times.items()]))
+    row = F.struct(*[F.col(c) for c in left.columns])
+    marks = left.select(F.col("symbol").alias("__k"), row.alias("__row"), asked).select("__k", "__t", F.lit(1).alias("__side"), F.lit(0.0).alias("__v"), "__row", "__name")
+    none = F.lit(None).cast(left.select(row.alias("r")).schema["r"].dataType)
+    seen = events.select(F.col("symbol").alias("__k"), F.col("t").cast("long").alias("__t"), F.lit(0).alias("__side"), F.col(value).cast("double").alias("__v"), none.alias("__row"), F.lit(None).cast("string").alias("__name"))
+    both = seen.unionByName(marks).withColumn("__b", F.floor(F.col("__t") / bucket_ms))
+    inside = Window.partitionBy("__k", "__b").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    totals = both.groupBy("__k", "__b").agg(F.sum("__v").alias("__total"))
+    before = Window.partitionBy("__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select("__k", "__b", F.coalesce(F.sum("__total").over(before), F.lit(0.0)).alias("__carry"))
+    found = both.withColumn("__s", F.sum("__v").over(inside)).where("__side = 1").join(carry, ["__k", "__b"]).withColumn("__s", F.col("__s") + F.col("__carry"))
+    met = found.groupBy("__row").agg(F.count("*").alias("__n"), *[F.max(F.when(F.col("__name") == name, F.col("__s"))).alias(name) for name in times])
+    copies = F.explode(F.sequence(F.lit(1), (F.col("__n") / len(times)).cast("int")))  # equal rows stay as many as they were
+    return met.select("__row", *times, copies).select("__row.*", *times)
+
+
 def trailing_event_sum(grid: DataFrame, events: DataFrame, span: int, value: str) -> DataFrame:
     """Sum of event values in (t - span, t] at each grid time."""
-    spans = grid.withColumn("__from", F.col("open_time") - span)
-    return interval_sum(spans, events, "__from", "open_time", value).drop("__from").withColumnRenamed("between", "trailing")
+    return trailing_event_sums(grid, events, {"trailing": span}, value)
+
+
+def trailing_event_sums(grid: DataFrame, events: DataFrame, spans: dict[str, int], value: str) -> DataFrame:
+    """Sums of event values in (t - span, t] at each grid time, for each named span."""
+    times = {"__now": F.col("open_time")} | {f"__{n}": F.col("open_time") - span for n, span in spans.items()}
+    return sums_at(grid, times, events, value).select(*grid.columns, *[(F.col("__now") - F.col(f"__{n}")).alias(n) for n in spans])
 
 
 def interval_sum(left: DataFrame, events: DataFrame, start: str, end: str, value: str) -> DataFrame:
-    """Sum of event values in (start, end], as the difference of two running sums looked up as-of."""
-    running = running_sum(events, "symbol", "t", "id", value).select("symbol", "t", "id", "s")
-    now = asof_join(left, running, "symbol", end, "t", "id", "n_")
-    then = asof_join(now, running, "symbol", start, "t", "id", "f_")
-    return then.select(*left.columns, (F.coalesce("n_s", F.lit(0.0)) - F.coalesce("f_s", F.lit(0.0))).alias("between"))
+    """Sum of event values in (start, end], as the difference of two running sums."""
+    return sums_at(left, {"__a": F.col(start), "__z": F.col(end)}, events, value).select(*left.columns, (F.col("__z") - F.col("__a")).alias("between"))
+
 
+def asof_forward(left: DataFrame, right: DataFrame, key: str, left_t: str, right_t: str, order: str, prefix: str = "r_", bucket_ms: int = BUCKET_MS, max_age: int | None = None) -> DataFrame:
+    """Each left row with the first right row at or after its time (ties by ``order``): the join run backwards.
 
-def asof_forward(left: DataFrame, right: DataFrame, key: str, left_t: str, right_t: str, order: str, prefix: str = "r_", bucket_ms: int = BUCKET_MS) -> DataFrame:
-    """Each left row with the first right row at or after its time (ties by ``order``): the join run backwards."""
+    Rows further away than ``max_age`` count as none.
+    """
     back = right.withColumn("__nt", -F.col(right_t)).withColumn("__no", -F.col(order))
     j = asof_join(left.withColumn("__lt", -F.col(left_t)), back, key, "__lt", "__nt", "__no", prefix, bucket_ms)
-    return j.drop("__lt", f"{prefix}__nt", f"{prefix}__no")
+    j = j.drop("__lt", f"{prefix}__nt", f"{prefix}__no")
+    if max_age is None:
+        return j
+    near = F.col(f"{prefix}{right_t}") - F.col(left_t) <= max_age
+    return j.select(*left.columns, *[F.when(near, F.col(c)).alias(c) for c in j.columns if c not in left.columns])
 
 
 def asof_lags(left: DataFrame, series: DataFrame, lags: list[int], value: str) -> DataFrame:

@@ -12,9 +12,17 @@ def bucket(t: str, step: int) -> Column:
     return (F.floor(F.col(t) / step) * step).cast("long")
 
 
+def place(t: str, order: str) -> Column:
+    """(t, order) as one decimal, which a hash aggregate can hold; both below 10^18."""
+    return F.col(t).cast("decimal(18,0)") * F.lit(10**18).cast("decimal(19,0)") + F.col(order).cast("decimal(18,0)")
+
+
 def trade_bars(trades: DataFrame, step: int) -> DataFrame:
-    """One row for each symbol and bucket with trades; first and last by (t, id). Map-side combined."""
-    order = F.struct("t", "id")
+    """One row for each symbol and bucket with trades; first and last by (t, id). Map-side combined, in a hash table.
+
+    A row may stand for several trades: ``trade_count`` counts the ids from its first to its last.
+    """
+    order = place("t", "id")
     return trades.groupBy("symbol", bucket("t", step).alias("open_time")).agg(
         F.min_by("price", order).alias("open"),
         F.max("price").alias("high"),
@@ -22,8 +30,9 @@ def trade_bars(trades: DataFrame, step: int) -> DataFrame:
         F.max_by("price", order).alias("close"),
         F.sum("qty").alias("volume"),
         F.sum(F.col("price") * F.col("qty")).alias("quote_volume"),
-        F.count("*").alias("trade_count"),
+        F.sum(F.col("last_id") - F.col("first_id") + 1).alias("trade_count"),
         F.sum(F.when(~F.col("buyer_is_maker"), F.col("qty")).otherwise(0.0)).alias("buy_volume"),
+        F.sum(F.when(~F.col("buyer_is_maker"), F.col("price") * F.col("qty")).otherwise(0.0)).alias("buy_quote_volume"),
     )
 
 
@@ -38,7 +47,7 @@ def held(spine: DataFrame, bars: DataFrame, step: int) -> DataFrame:
     j = asof_join(spine, bars, "symbol", "open_time", "open_time", "open_time", bucket_ms=step * 4096)
     here = F.col("r_open_time") == F.col("open_time")
     prices = [F.when(here, F.col(f"r_{c}")).otherwise(F.col("r_close")).alias(c) for c in ("open", "high", "low", "close")]
-    return j.select("symbol", "open_time", *prices, *[F.when(here, F.col(f"r_{c}")).otherwise(F.lit(0)).alias(c) for c in ("volume", "quote_volume", "trade_count", "buy_volume")])
+    return j.select("symbol", "open_time", *prices, *[F.when(here, F.col(f"r_{c}")).otherwise(F.lit(0)).alias(c) for c in ("volume", "quote_volume", "trade_count", "buy_volume", "buy_quote_volume")])
 
 
 def fill_bars(bars: DataFrame, step: int) -> DataFrame:
@@ -64,16 +73,21 @@ def tape_buckets(trades: DataFrame, step: int) -> DataFrame:
 
 
 def dense_flow(trades: DataFrame, step: int) -> DataFrame:
-    """Dense buckets with close, quote flow of both sides, aggregate and constituent counts, concentration sums and the age of the last trade."""
+    """Dense buckets with prices, quote flow of both sides, aggregate and constituent counts, concentration sums and the age of the last trade.
+
+    A bucket without trades takes the close before it for all its prices.
+    """
     quote, sell = F.col("price") * F.col("qty"), F.col("buyer_is_maker")
+    order = place("t", "id")
     flow = trades.groupBy("symbol", bucket("t", step).alias("open_time")).agg(
-        F.max_by("price", F.struct("t", "id")).alias("close"), F.sum(F.when(~sell, quote).otherwise(0.0)).alias("buy_quote"), F.sum(F.when(sell, quote).otherwise(0.0)).alias("sell_quote"),
+        F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.sum(F.when(~sell, quote).otherwise(0.0)).alias("buy_quote"), F.sum(F.when(sell, quote).otherwise(0.0)).alias("sell_quote"),
         F.count("*").alias("aggregates"), F.sum(F.col("last_id") - F.col("first_id") + 1).alias("constituents"), F.max(quote).alias("max_quote"), F.sum(quote * quote).alias("squared_quote"), F.max("t").alias("last_t"),
     )
     j = asof_join(clock_spine(flow, step), flow, "symbol", "open_time", "open_time", "open_time", bucket_ms=step * 4096)
     here = F.col("r_open_time") == F.col("open_time")
     sums = [F.when(here, F.col(f"r_{c}")).otherwise(F.lit(0)).alias(c) for c in ("buy_quote", "sell_quote", "aggregates", "constituents", "max_quote", "squared_quote")]
-    return j.select("symbol", "open_time", F.col("r_close").alias("close"), *sums, (F.col("open_time") + step - F.col("r_last_t")).alias("age"))
+    prices = [F.when(here, F.col(f"r_{c}")).otherwise(F.col("r_close")).alias(c) for c in ("open", "high", "low", "close")]
+    return j.select("symbol", "open_time", *prices, *sums, (F.col("open_time") + step - F.col("r_last_t")).alias("age"))
 
 
 def quote_path(quotes: DataFrame, step: int) -> DataFrame:
@@ -90,8 +104,10 @@ def bars_across_files(trades: DataFrame, file: str, step: int) -> DataFrame:
 
 
 def depth_pivot(depth: DataFrame, bands: list[int]) -> DataFrame:
-    """Depth by band as columns, with the imbalance of each pair of bands."""
-    aggs = [F.sum(F.when(F.col("band") == s * b, F.col("depth"))).alias(f"{n}_{b}") for b in bands for s, n in ((-1, "bid"), (1, "ask"))]
+    """Depth and notional by band as columns, with the imbalance of each pair of bands."""
+    sides = [(b, F.col("band") == s * b, n) for b in bands for s, n in ((-1, "bid"), (1, "ask"))]
+    aggs = [F.sum(F.when(here, F.col("depth"))).alias(f"{n}_{b}") for b, here, n in sides]
+    aggs += [F.sum(F.when(here, F.col("depth") * F.col("price"))).alias(f"{n}_notional_{b}") for b, here, n in sides]
     wide = depth.groupBy("symbol", "id").agg(*aggs)
     return wide.withColumns({f"imbalance_{b}": (F.col(f"bid_{b}") - F.col(f"ask_{b}")) / (F.col(f"bid_{b}") + F.col(f"ask_{b}")) for b in bands})
 
@@ -112,30 +128,35 @@ def rebar(bars: DataFrame, step: int, k: int) -> DataFrame:
 
 
 def quote_bars(quotes: DataFrame, step: int) -> DataFrame:
-    """Mid open to close, spread in basis points, imbalance and delay quantiles of each bucket."""
-    order = F.struct("event_ms", "update_id")
+    """Mid open to close, the last quote and its microprice's distance from mid, spread, imbalance and delay quantiles of each bucket."""
+    order = place("event_ms", "update_id")
     mid = (F.col("bid") + F.col("ask")) / 2
     q = quotes.withColumns({
         "mid": mid,
         "spread": (F.col("ask") - F.col("bid")) / mid * 10_000,
         "imbalance": (F.col("bid_qty") - F.col("ask_qty")) / (F.col("bid_qty") + F.col("ask_qty")),
         "delay": F.col("event_ms") - F.col("txn_ms"),
+        "offset": ((F.col("ask") * F.col("bid_qty") + F.col("bid") * F.col("ask_qty")) / (F.col("bid_qty") + F.col("ask_qty")) / mid - 1) * 10_000,
     })
+    last = [F.max_by(c, order).alias(f"close_{c}") for c in ("bid", "ask", "bid_qty", "ask_qty")]
     return q.groupBy("symbol", bucket("event_ms", step).alias("open_time")).agg(
         F.min_by("mid", order).alias("open"), F.max("mid").alias("high"), F.min("mid").alias("low"), F.max_by("mid", order).alias("close"),
         F.avg("spread").alias("mean_spread"), F.max("spread").alias("max_spread"), F.avg("imbalance").alias("mean_imbalance"),
-        F.max_by("imbalance", order).alias("close_imbalance"), F.percentile("delay", 0.5).alias("delay_p50"), F.percentile("delay", 0.99).alias("delay_p99"),
+        F.max_by("imbalance", order).alias("close_imbalance"), *last, F.max_by("offset", order).alias("microprice_offset"), F.percentile("delay", 0.5).alias("delay_p50"), F.percentile("delay", 0.99).alias("delay_p99"),
     )
 
 
 def calendar_features(df: DataFrame, t: str) -> DataFrame:
-    """Phases of the day and the week; weekday 0 is Monday."""
+    """Phases of the day, 8 hours, the week and 1, 5 and 15 minutes, and whether it is the weekend; weekday 0 is Monday."""
     day = F.floor(F.col(t) / 86_400_000)
-    turn = 2 * 3.141592653589793
-    phase = F.pmod(F.col(t), F.lit(86_400_000)) / 86_400_000 * turn
-    week = F.pmod(F.col(t) + 3 * 86_400_000, F.lit(7 * 86_400_000)) / (7 * 86_400_000) * turn
+    weekday = F.pmod(day + 3, F.lit(7)).cast("int")
+    periods = {"day": 86_400_000, "eight": 28_800_000, "week": 7 * 86_400_000, "minute": 60_000, "five": 300_000, "quarter": 900_000}
 
     def clean(x: Column) -> Column:
         return F.round(x, 12) + F.lit(0.0)  # no negative zero
 
-    return df.withColumns({"weekday": F.pmod(day + 3, F.lit(7)).cast("int"), "day_sin": clean(F.sin(phase)), "day_cos": clean(F.cos(phase)), "week_sin": clean(F.sin(week)), "week_cos": clean(F.cos(week))})
+    waves = {}
+    for name, period in periods.items():
+        into = F.pmod(F.col(t) + (3 * 86_400_000 if name == "week" else 0), F.lit(period)) / period * (2 * 3.141592653589793)
+        waves |= {f"{name}_sin": clean(F.sin(into)), f"{name}_cos": clean(F.cos(into))}
+    return df.withColumns({"weekday": weekday, "weekend": weekday >= 5, **waves})

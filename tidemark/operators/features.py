@@ -96,12 +96,13 @@ def cross_section(bars: DataFrame) -> DataFrame:
 
 
 def order_flow_imbalance(quotes: DataFrame) -> DataFrame:
-    """Best-quote order flow of each update against the one before."""
+    """Best-quote order flow of each update against the one before, over the mean depth of the two."""
     rows = asof.neighbour(quotes.select("symbol", "event_ms", "update_id", "bid", "ask", "bid_qty", "ask_qty"), "symbol", "event_ms", "update_id", ["bid", "ask", "bid_qty", "ask_qty"], "p_")
     b, a, bq, aq = (F.col(f"p_{c}") for c in ("bid", "ask", "bid_qty", "ask_qty"))
     bid = F.when(F.col("bid") >= b, F.col("bid_qty")).otherwise(0.0) - F.when(F.col("bid") <= b, bq).otherwise(0.0)
     ask = F.when(F.col("ask") <= a, F.col("ask_qty")).otherwise(0.0) - F.when(F.col("ask") >= a, aq).otherwise(0.0)
-    return rows.select("symbol", "update_id", F.when(b.isNotNull(), bid - ask).alias("ofi"))
+    mean = F.greatest((F.col("bid_qty") + F.col("ask_qty") + bq + aq) / 2, F.lit(1e-12))
+    return rows.select("symbol", "update_id", F.when(b.isNotNull(), (bid - ask) / mean).alias("ofi"))
 
 
 def next_return(bars: DataFrame, delay: int = 1, horizon: int = 1) -> DataFrame:
@@ -136,16 +137,68 @@ def zscore(bars: DataFrame, column: str, n: int) -> DataFrame:
     return own(chunked(bars, n).select(*KEYS, full(F.when(d > 1e-12, (F.col(column) - m) / d).otherwise(0.0), column, n).alias("z")))
 
 
-def beta_residual(bars: DataFrame, n: int) -> DataFrame:
-    """Return less beta times the mean return of all symbols, beta over the last n bars."""
+def beta_residual(bars: DataFrame, n: int, lead: str, peers: tuple[str, ...]) -> DataFrame:
+    """Return less beta times the benchmark's return, beta over the last n bars.
+
+    The benchmark is the lead symbol; for the lead itself it is the mean of its peers. Times without it are left out.
+    """
     r = simple_returns(bars).select("symbol", "open_time", "r")
-    m = r.groupBy("open_time").agg(F.avg("r").alias("m"))
-    rows = chunked(r.join(m, "open_time"), n)
+    m = r.groupBy("open_time").agg(F.max(F.when(F.col("symbol") == lead, F.col("r"))).alias("__lead"), F.avg(F.when(F.col("symbol").isin(*peers), F.col("r"))).alias("__peers"))
+    both = r.join(m, "open_time").withColumn("m", F.when(F.col("symbol") == lead, F.col("__peers")).otherwise(F.col("__lead"))).drop("__lead", "__peers")
+    rows = chunked(both.where("m is not null"), n)
     var = F.var_pop("m").over(frame(n))
     rows = rows.withColumn("beta", full(F.when(var > 1e-15, F.covar_pop("r", "m").over(frame(n)) / var).otherwise(0.0), "r", n))
     return own(rows.select(*KEYS, "beta", (F.col("r") - F.col("beta") * F.col("m")).alias("residual")))
 
 
+def funding_features(grid: DataFrame, events: DataFrame) -> DataFrame:
+    """At each grid time the last funding rate, its interval and age, sums over 24, 72 and 168 hours, and mean and z of 30 events."""
+    order = Window.partitionBy("symbol").orderBy("t", "id")  # a symbol has one event in some hours
+    last = order.rowsBetween(-29, 0)
+    whole = F.count("*").over(last) == 30
+    m, d = F.avg("rate").over(last), F.stddev_pop("rate").over(last)
+    told = events.withColumns({"interval": F.col("t") - F.lag("t").over(order), "mean30": F.when(whole, m), "z30": F.when(whole, F.when(d > 1e-12, (F.col("rate") - m) / d).otherwise(0.0))})
+    known = asof.asof_join(grid, told, "symbol", "open_time", "t", "id")
+    known = known.select("symbol", "open_time", F.col("r_rate").alias("rate"), F.col("r_interval").alias("interval"), (F.col("open_time") - F.col("r_t")).alias("age"), F.col("r_mean30").alias("mean30"), F.col("r_z30").alias("z30"))
+    summed = asof.trailing_event_sums(known, events, {f"sum_{k}": k * 3_600_000 for k in (24, 72, 168)}, "rate")
+    return summed.withColumns({f"sum_{k}": F.col(f"sum_{k}") + 1e-9 for k in (24, 72, 168)})
+
+
+def candle_features(bars: DataFrame, short: int, long: int) -> DataFrame:
+    """Thirteen features of a bar: momentum of 1, 3, 10 and 20 bars, spread of means, relative strength, gaps of the
+    exponential mean and of 5 bars, range, mean absolute change, volume ratio, acceleration and volume trend; 0 where undefined.
+
+    Bars before the longest frame is full are left out.
+    """
+    rows = chunked(bars, 2 * long + 22)
+    before = F.lag("close").over(by_time())
+    rows = rows.withColumns({
+        "__d": F.col("close") - before, "__a": F.abs(F.col("close") / before - 1), "__i": F.count("close").over(by_time().rowsBetween(Window.unboundedPreceding, 0)),
+        "__tr": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)),
+        "__held": F.collect_list("close").over(frame(2 * long)),
+    })
+
+    def share(a: Column, b: Column) -> Column:
+        return F.when(b != 0, a / b).otherwise(0.0)
+
+    def mean(c: str, n: int, back: int = 0) -> Column:
+        return F.avg(c).over(by_time().rowsBetween(-(n - 1) - back, -back))
+
+    alpha = 2.0 / (long + 1)
+    ema = F.aggregate(F.slice("__held", 2, 2 * long), F.element_at("__held", 1), lambda acc, x: acc * (1 - alpha) + x * alpha)
+    gain, loss = (F.avg(F.greatest(s * F.col("__d"), F.lit(0.0))).over(frame(14)) for s in (1, -1))
+    rsi = F.when(loss == 0, 100.0).otherwise(100 - 100 / (1 + gain / loss))
+    close, volume = F.col("close"), F.col("volume")
+    values = {f"momentum_{k}": share(close - F.lag("close", k).over(by_time()), F.lag("close", k).over(by_time())) for k in (1, 3, 10, 20)}
+    values |= {
+        "sma_spread": share(mean("close", short) - mean("close", long), mean("close", long)), "rsi": rsi / 100, "ema_gap": share(ema - close, close), "atr": share(mean("__tr", 14), close),
+        "mean_abs_return": mean("__a", 20), "volume_ratio": share(volume - mean("volume", 20, 1), mean("volume", 20, 1)), "acceleration": share(mean("close", short) - mean("close", short, 2), mean("close", short, 2)),
+        "gap_5": share(close - mean("close", 5), close), "volume_trend": share(mean("volume", short) - mean("volume", long), mean("volume", long)),
+    }
+    ready = F.col("__i") > 2 * long + 20
+    return own(rows.select(*KEYS, ready.alias("__ready"), *[F.coalesce(v, F.lit(0.0)).alias(k) for k, v in values.items()]).where("__ready").drop("__ready"))
+
+
 def same_slot_ratio(bars: DataFrame, column: str, period: int, k: int = 4) -> DataFrame:
     """Value over the mean of the same slot in the k periods before; null without any, 0 where that mean is 0."""
     slot = F.pmod(F.col("open_time"), F.lit(period))
@@ -174,13 +227,17 @@ def rolling_extreme(bars: DataFrame, n: int) -> DataFrame:
     return own(chunked(bars, n).select(*KEYS, full(F.max("high").over(frame(n)), "high", n).alias("highest"), full(F.min("low").over(frame(n)), "low", n).alias("lowest")))
 
 
-def peer_context(bars: DataFrame) -> DataFrame:
-    """Each symbol's return against the mean and deviation of the others at the same time, from sums less its own."""
+def peer_context(bars: DataFrame, anchor: str) -> DataFrame:
+    """Each symbol's return against the mean and deviation of the others at the same time, from sums less its own.
+
+    Beside them the anchor symbol's return and the distance from it, 0 where the anchor has none, and whether it has one.
+    """
     r = simple_returns(bars).select("symbol", "open_time", "r").where("r is not null")
-    t = r.groupBy("open_time").agg(F.sum("r").alias("s"), F.sum(F.col("r") ** 2).alias("q"), F.count("*").alias("n"))
+    t = r.groupBy("open_time").agg(F.sum("r").alias("s"), F.sum(F.col("r") ** 2).alias("q"), F.count("*").alias("n"), F.max(F.when(F.col("symbol") == anchor, F.col("r"))).alias("a"))
+    told = F.col("a").isNotNull()
     others, mean = F.col("n") - 1, (F.col("s") - F.col("r")) / (F.col("n") - 1)
     spread = F.sqrt(F.greatest((F.col("q") - F.col("r") ** 2) / others - mean**2, F.lit(0.0)))
-    return r.join(t, "open_time").where("n > 1").select("symbol", "open_time", mean.alias("peer_mean"), spread.alias("peer_dispersion"), (F.col("r") - mean).alias("relative"))
+    return r.join(t, "open_time").where("n > 1").select("symbol", "open_time", mean.alias("peer_mean"), spread.alias("peer_dispersion"), (F.col("r") - mean).alias("relative"), F.coalesce("a", F.lit(0.0)).alias("anchor_return"), F.when(told, F.col("r") - F.col("a")).otherwise(0.0).alias("anchor_relative"), told.alias("anchor_available"))
 
 
 def decision_offsets(starts: DataFrame, t: str, offsets: list[int]) -> DataFrame:

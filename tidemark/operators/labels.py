@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.features import KEYS, by_time, chunked, own
+from tidemark.operators.features import KEYS, by_time, chunked, own, realised_volatility
 
 
 def lookahead_label(bars: DataFrame, k: int, threshold: float, warm_up: int) -> DataFrame:
@@ -31,17 +31,33 @@ def cross_spread(quotes: DataFrame, cost_bps: float) -> DataFrame:
     return quotes.withColumns({"long_gross": long, "short_gross": short, "long_net": long - 2 * cost_bps, "short_net": short - 2 * cost_bps})
 
 
-def triple_barrier(bars: DataFrame, horizon: int, stop: float, take: float | None) -> DataFrame:
+def adaptive_distances(bars: DataFrame, n: int, horizon: int, stop: tuple[float, float, float], take: tuple[float, float, float]) -> DataFrame:
+    """Bars with ``stop`` and ``take``: a multiple of the last n returns' deviation times the root of the horizon, between a least and a most.
+
+    ``stop`` and ``take`` are (multiple, least, most), as shares of the price; bars without a full frame are left out.
+    """
+    known = bars.join(realised_volatility(bars, n), ["symbol", "open_time"]).where("volatility is not null")
+    sigma = F.col("volatility") * float(horizon) ** 0.5
+
+    def held(spec: tuple[float, float, float]) -> Column:
+        return F.greatest(F.lit(spec[1]), F.least(F.lit(spec[2]), spec[0] * sigma))
+
+    return known.withColumns({"stop": held(stop), "take": held(take)}).drop("volatility")
+
+
+def triple_barrier(bars: DataFrame, horizon: int, stop: float | str, take: float | str | None) -> DataFrame:
     """Long outcome in basis points of entry at the next open over the ``horizon`` bars from there.
 
     The first bar that touches a barrier decides; where it touches both, the stop counts and the row is ambiguous. A
     stop fills at the worse of its price and the bar's open. Without a touch the exit is the open after the horizon.
+    Distances are shares of the entry price, or the names of columns that hold them.
     """
+    named = [d for d in (stop, take) if isinstance(d, str)]
     path = F.collect_list(F.struct("open", "high", "low", "open_time")).over(by_time().rowsBetween(1, horizon + 1))
-    rows = own(chunked(bars, 0, horizon + 1).select(*KEYS, path.alias("path"))).where(F.size("path") == horizon + 1)
+    rows = own(chunked(bars, 0, horizon + 1).select(*KEYS, *named, path.alias("path"))).where(F.size("path") == horizon + 1)
     rows = rows.withColumn("entry", F.col("path")[0]["open"])
-    stop_at = F.col("entry") * (1 - stop)
-    take_at = F.col("entry") * (1 + take) if take is not None else F.lit(float("inf"))
+    stop_at = F.col("entry") * (1 - (F.col(stop) if isinstance(stop, str) else stop))
+    take_at = F.col("entry") * (1 + (F.col(take) if isinstance(take, str) else take)) if take is not None else F.lit(float("inf"))
     touched = F.filter(F.slice("path", 1, horizon), lambda x: (x["low"] <= stop_at) | (x["high"] >= take_at))
     rows = rows.withColumn("hit", F.get(touched, F.lit(0))).withColumn("stopped", F.col("hit.low") <= stop_at)
     price = F.when(F.col("hit").isNull(), F.element_at("path", -1)["open"]).when(F.col("stopped"), F.least(stop_at, F.col("hit.open"))).otherwise(take_at)

@@ -5,17 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import asof
+
 
 def coverage_report(bars: DataFrame, step: int) -> DataFrame:
-    """Span, gaps over 1.5 steps, largest gap and share of expected bars for each symbol."""
-    gap = F.col("open_time") - F.lag("open_time").over(Window.partitionBy("symbol").orderBy("open_time"))
-    g = bars.withColumn("gap", gap)
+    """Span, gaps over 1.5 steps, largest gap and share of expected bars for each symbol, with warnings and a status.
+
+    Gaps and a coverage below 99.5 % fail; less than a year of history is a warning.
+    """
+    g = asof.neighbour(bars.select("symbol", "open_time"), "symbol", "open_time", "open_time", ["open_time"], "p_", bucket_ms=4096 * step).withColumn("gap", F.col("open_time") - F.col("p_open_time"))
     out = g.groupBy("symbol").agg(
         F.count("*").alias("bars"), F.min("open_time").alias("first_time"), F.max("open_time").alias("last_time"),
         F.count_if(F.col("gap") > 1.5 * step).alias("gaps"), F.coalesce(F.max("gap"), F.lit(0)).alias("largest_gap"),
     )
     expected = (F.col("last_time") - F.col("first_time")) / step + 1
-    return out.withColumn("coverage", F.round(F.col("bars") / expected, 6))
+    out = out.withColumn("coverage", F.round(F.col("bars") / expected, 6))
+    hard = F.concat_ws(",", F.when(F.col("gaps") > 0, "gaps"), F.when(F.col("coverage") < 0.995, "coverage"))
+    short = F.when((F.col("last_time") > F.col("first_time")) & (F.col("last_time") - F.col("first_time") < 365 * 86_400_000), "under_a_year")
+    out = out.withColumn("warnings", F.concat_ws(",", F.when(hard != "", hard), short))
+    return out.withColumn("status", F.when(hard != "", "fail").when(F.col("warnings") != "", "warn").otherwise("ok"))
 
 
 def id_sequence_audit(trades: DataFrame) -> DataFrame:
@@ -52,10 +60,12 @@ def clean_candles(rows: DataFrame, step: int, now_ms: int, order: str) -> DataFr
 
 
 def series_profile(bars: DataFrame, step: int) -> DataFrame:
-    """Rows, repeated times, gaps and bad prices or volumes of each symbol."""
-    gap = F.col("open_time") - F.lag("open_time").over(Window.partitionBy("symbol").orderBy("open_time"))
+    """Rows, repeated times, gaps, numbers that are not finite and bad prices or volumes of each symbol."""
+    near = asof.neighbour(bars, "symbol", "open_time", "id", ["open_time"], "p_", bucket_ms=4096 * step).withColumn("gap", F.col("open_time") - F.col("p_open_time"))
     bad = (F.col("high") < F.greatest("open", "close")) | (F.col("low") > F.least("open", "close")) | (F.col("low") <= 0)
-    return bars.withColumn("gap", gap).groupBy("symbol").agg(F.count("*").alias("n"), F.count_if(F.col("gap") == 0).alias("repeated"), F.count_if(F.col("gap") > step).alias("gaps"), F.count_if(bad).alias("bad_prices"), F.count_if(F.col("volume") < 0).alias("bad_volumes"))
+    numbers = ("open", "high", "low", "close", "volume")
+    odd = F.array_max(F.array(*[F.coalesce(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(True)) for c in numbers]))
+    return near.groupBy("symbol").agg(F.count_if(odd).alias("not_finite"),F.count("*").alias("n"), F.count_if(F.col("gap") == 0).alias("repeated"), F.count_if(F.col("gap") > step).alias("gaps"), F.count_if(bad).alias("bad_prices"), F.count_if(F.col("volume") < 0).alias("bad_volumes"))
 
 
 def completeness(rows: DataFrame, t: str, day_ms: int = 86_400_000) -> DataFrame:
@@ -81,8 +91,10 @@ def quality_audit(rows: DataFrame, by: str, key: str, checks: dict[str, Column],
 def feed_coverage(rows: DataFrame, by: str, member: str) -> DataFrame:
     """Members expected (all that were ever seen), observed and absent for each group; members are a dimension of bounded size."""
     seen = rows.groupBy(by, member).agg(F.count("*").alias("n"))
-    every = seen.select(by).distinct().crossJoin(seen.select(member).distinct())
-    return every.join(seen, [by, member], "left").groupBy(by).agg(F.count("*").alias("expected"), F.count("n").alias("observed"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("n").isNull(), F.col(member)))), ",").alias("absent"), F.sum("n").alias("rows"))
+    mine = seen.groupBy(by).agg(F.collect_set(member).alias("__mine"), F.count("*").alias("observed"), F.sum("n").alias("rows"))
+    every = seen.agg(F.collect_set(member).alias("__every"))  # one row that holds the dimension
+    both = mine.crossJoin(F.broadcast(every))
+    return both.select(by, F.size("__every").cast("long").alias("expected"), "observed", F.array_join(F.array_sort(F.array_except("__every", "__mine")), ",").alias("absent"), "rows")
 
 
 def reconcile(facts: DataFrame, manifest: DataFrame, keys: list[str]) -> DataFrame:
@@ -98,6 +110,34 @@ def age_audit(joined: DataFrame, most: int) -> DataFrame:
     return joined.groupBy("symbol").agg(F.count("*").alias("n"), F.count("age").alias("available"), F.min("age").alias("min_age"), F.percentile("age", 0.5).alias("p50_age"), F.percentile("age", 0.99).alias("p99_age"), F.max("age").alias("max_age"), F.count_if((age > most) | (age < 0)).alias("breaks"))
 
 
-def cutoff(rows: DataFrame, t: str, at: int) -> DataFrame:
-    """Rows before a frozen cutoff and prospective ones from it on, counted by day."""
-    return rows.groupBy(F.floor(F.col(t) / 86_400_000).alias("day"), F.when(F.col(t) < at, "frozen").otherwise("prospective").alias("part")).agg(F.count("*").alias("n"))
+def before_cutoff(rows: DataFrame, t: str, at: int, strict: bool = False) -> DataFrame:
+    """Rows before a frozen cutoff; those at or after it, or without a time, are rejected, with an error if ``strict``."""
+    late = F.coalesce(F.col(t) >= at, F.lit(True))
+    return rows.where(F.assert_true(~late, f"a row at or after the cutoff {at}").isNull()) if strict else rows.where(~late)
+
+
+def partitions_by_cutoff(rows: DataFrame, t: str, at: int, part_ms: int = 86_400_000) -> DataFrame:
+    """Each partition of time with its rows kept and rejected, and whether it is frozen, prospective or cut through."""
+    late = F.col(t) >= at
+    g = rows.groupBy(F.floor(F.col(t) / part_ms).alias("part")).agg(F.count_if(~late).alias("kept"), F.count_if(late).alias("rejected"))
+    return g.withColumn("kind", F.when(F.col("rejected") == 0, "frozen").when(F.col("kept") == 0, "prospective").otherwise("cut"))
+
+
+def support_apply(rows: DataFrame, bounds: DataFrame, features: list[str], outside: int, extreme: int) -> DataFrame:
+    """Rows with how many features lie outside the training range and its outer fences, and whether the row abstains.
+
+    ``bounds`` is one row of low, high, lower and upper for each feature, by name.
+    """
+    known = rows.crossJoin(F.broadcast(bounds))
+    beyond = sum(((F.col(c) < F.col(f"{c}_low")) | (F.col(c) > F.col(f"{c}_high"))).cast("int") for c in features)
+    far = sum(((F.col(c) < F.col(f"{c}_lower")) | (F.col(c) > F.col(f"{c}_upper"))).cast("int") for c in features)
+    return known.select(*rows.columns, beyond.alias("outside"), far.alias("extreme")).withColumn("abstain", (F.col("outside") > outside) | (F.col("extreme") > extreme))
+
+
+def support_fit(rows: DataFrame, features: list[str], k: float) -> DataFrame:
+    """Range, quartiles (linear) and outer fences of each feature over training rows, as one row."""
+    q = rows.agg(*[x for c in features for x in (F.min(c).alias(f"{c}_low"), F.percentile(c, 0.25).alias(f"{c}_q1"), F.percentile(c, 0.5).alias(f"{c}_median"), F.percentile(c, 0.75).alias(f"{c}_q3"), F.max(c).alias(f"{c}_high"))])
+    for c in features:
+        iqr = F.col(f"{c}_q3") - F.col(f"{c}_q1")
+        q = q.withColumn(f"{c}_lower", F.least(F.col(f"{c}_low"), F.col(f"{c}_q1") - k * iqr)).withColumn(f"{c}_upper", F.greatest(F.col(f"{c}_high"), F.col(f"{c}_q3") + k * iqr))
+    return q

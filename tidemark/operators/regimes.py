@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def ready(spark: SparkSession) -> None:
+    """Have a checkpoint folder: the one spark.checkpoint.dir names; a temporary one only where Spark runs in this process."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isDefined():
+        return
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path is None and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-shared-"))
+
+
 def classify_regime(bars: DataFrame, span: int) -> DataFrame:
-    """A regime and its confidence for each (symbol, window of ``span`` ms), from the returns inside the window."""
-    rows = bars.withColumn("window", F.floor(F.col("open_time") / span) * span)
+    """A regime and its confidence for each (symbol, window of ``span`` ms), from the returns inside the window.
+
+    Windows with fewer than three valid closes have insufficient data.
+    """
+    rows = bars.where("close > 0").withColumn("window", F.floor(F.col("open_time") / span) * span)
     w = Window.partitionBy("symbol", "window").orderBy("open_time")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("r", F.col("close") / F.lag("close").over(w) - 1).withColumn("sign", F.when(F.col("r") != 0, F.signum("r")))
@@ -22,18 +38,21 @@ def classify_regime(bars: DataFrame, span: int) -> DataFrame:
         F.greatest(F.count_if(F.col("sign") > 0), F.count_if(F.col("sign") < 0)).alias("most"), F.count_if("turn").alias("turns"),
         F.when(F.sqrt(F.var_pop(x) * F.var_pop(y)) * F.count(x) > 1e-12, F.covar_pop(x, y) / F.sqrt(F.var_pop(x) * F.var_pop(y))).otherwise(0.0).alias("auto"), F.count(x).alias("pairs"),
         F.when(F.count("*") >= 3, F.when(spread > 1e-12, (F.max_by("volume", "open_time") - mean) / spread).otherwise(0.0)).alias("volume_z"),
-    ).where("k > 0")
+    )
     c = F.col
-    g = g.withColumns({"consistency": F.when(c("signs") > 0, c("most") / c("signs")).otherwise(0.0), "reversals": F.when(c("signs") > 0, c("turns") / F.greatest(F.lit(1), c("signs") - 1)).otherwise(0.0), "auto": F.when(c("pairs") >= 2, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c("auto")))).otherwise(0.0)})
+    enough = c("n") >= 3
+    g = g.withColumns({k: F.when(enough, c(k)).otherwise(0.0) for k in ("trend_return", "volatility", "mean_abs")})
+    g = g.withColumns({"consistency": F.when(enough & (c("signs") > 0), c("most") / c("signs")).otherwise(0.0), "reversals": F.when(enough & (c("signs") > 0), c("turns") / F.greatest(F.lit(1), c("signs") - 1)).otherwise(0.0), "auto": F.when(c("pairs") >= 2, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c("auto")))).otherwise(0.0)})
     g = g.withColumns({"strength": F.abs("trend_return") / F.greatest(F.lit(1e-9), c("mean_abs") * F.sqrt("k"), c("volatility") * F.sqrt("k")), "floor": F.greatest(F.lit(0.0005), c("mean_abs") * 1.8)})
     chop = (c("volatility") >= c("floor")) & (c("reversals") >= 0.55)
     trend = (c("strength") >= 1.15) & (c("consistency") >= 0.55)
     flat = (c("reversals") >= 0.5) & (c("strength") < 0.85)
     serial = F.abs("auto") >= 0.35
-    regime = F.when(chop, "volatile_chop").when(trend, F.when(c("trend_return") > 0, "trend_up").otherwise("trend_down")).when(flat, "range_bound").when(serial, "serial_correlation").otherwise("mixed")
+    regime = F.when(~enough, "insufficient_data").when(chop, "volatile_chop").when(trend, F.when(c("trend_return") > 0, "trend_up").otherwise("trend_down")).when(flat, "range_bound").when(serial, "serial_correlation").otherwise("mixed")
     one = F.lit(1.0)
     sure = (
-        F.when(chop, F.least(one, 0.45 + 0.35 * c("reversals") + 0.1 * F.least(F.lit(2.0), c("volatility") / c("floor"))))
+        F.when(~enough, 0.0)
+        .when(chop, F.least(one, 0.45 + 0.35 * c("reversals") + 0.1 * F.least(F.lit(2.0), c("volatility") / c("floor"))))
         .when(trend, F.least(one, 0.4 + 0.175 * F.least(F.lit(2.0), c("strength")) + 0.25 * c("consistency")))
         .when(flat, F.least(one, 0.45 + 0.35 * c("reversals") + 0.2 * (1 - F.least(one, c("strength")))))
         .when(serial, F.least(one, 0.5 + 0.5 * F.abs("auto")))
@@ -55,10 +74,14 @@ def correlation_clusters(pairs: DataFrame, symbols: DataFrame, threshold: float)
     Labels pass over links until none changes; a round is one join of links with labels. Symbols are the rows here.
     """
     strong = pairs.where(F.col("corr") >= threshold).select("symbol", "other")
+    ready(symbols.sparkSession)
     links = strong.unionByName(strong.select(F.col("other").alias("symbol"), F.col("symbol").alias("other"))).checkpoint()
     labels = symbols.select("symbol", F.col("symbol").alias("cluster")).checkpoint()
     while True:
         near = links.join(labels.withColumnRenamed("symbol", "other"), "other").groupBy("symbol").agg(F.min("cluster").alias("__near"))
+        # a label also takes over the label of its label, so that chains halve in each round
+        head = labels.select(F.col("symbol").alias("__near"), F.col("cluster").alias("__head"))
+        near = near.join(head, "__near").select("symbol", F.least("__near", "__head").alias("__near"))
         new = labels.join(near, "symbol", "left").select("symbol", F.least("cluster", F.coalesce("__near", "cluster")).alias("cluster"), (F.col("__near") < F.col("cluster")).alias("__moved")).checkpoint()
         labels = new.drop("__moved")
         if new.where("__moved").isEmpty():

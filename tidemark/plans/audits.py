@@ -34,6 +34,13 @@ def archives(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
 
 
 
+def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days' manifest against stated digests, of which some are wrong and some are not there."""
+    m = frames.ingest_manifest(views.trades(spark, sf_dir).select(F.floor(F.col("t") / DAY).alias("archive"), "id", "symbol", "t"), "archive", "t")
+    stated = m.where("archive % 3 != 0").select("archive", F.when(F.col("archive") % 3 == 2, "0").otherwise(F.col("digest")).alias("digest"))
+    return frames.checked_manifest(m, stated, "archive")
+
+
 def checks():
     return {"wrong_price": F.col("price").between(120, 580), "odd_qty": F.col("qty") >= 5, "no_maker": F.col("buyer_is_maker").isNotNull()}
 
@@ -58,8 +65,10 @@ SELECT symbol, side, price, update_id, greatest(d, 0) AS added, greatest(-d, 0)
         V + f"SELECT id, strftime(make_timestamp(t * 1000), '%Y-%m-%d') AS period FROM v_trades WHERE t // {DAY} * {DAY} <= {NOW} AND (t // {DAY} + 1) * {DAY} > {NOW - 10 * DAY}",
     ),
     "S08_ingest_manifest": (
-        lambda s, d: frames.ingest_manifest(views.trades(s, d).withColumn("archive", F.floor(F.col("t") / DAY)), "archive", "t").drop("digest"),
-        V + f"SELECT t // {DAY} AS archive, count(*) AS rows_read, min(t) AS first_ms, max(t) AS last_ms FROM v_trades GROUP BY 1",
+        manifest,
+        V
+        + f""", m AS (SELECT t // {DAY} AS archive, count(*) AS rows_read, min(t) AS first_ms, max(t) AS last_ms, sum(('0x' || substr(sha256(id::VARCHAR || '|' || symbol || '|' || t::VARCHAR), 1, 15))::BIGINT::HUGEINT)::VARCHAR AS digest FROM v_trades GROUP BY 1)
+SELECT *, CASE archive % 3 WHEN 0 THEN 'missing' WHEN 1 THEN 'verified' ELSE 'mismatch' END AS checksum_status FROM m""",
     ),
     "S10_merge_verified": (lambda s, d: frames.merge_verified(*archives(s, d), "archive"), V + f", a AS (SELECT id, t // {DAY} AS archive FROM v_trades) SELECT id, archive FROM a WHERE archive % 4 = 0 OR archive % 3 <> 0"),
     "S12_content_store": (lambda s, d: frames.content_store(views.observations(s, d), "payload"), V + "SELECT sha256(payload) AS payload_hash, payload, count(*) AS uses FROM v_obs GROUP BY ALL"),
@@ -76,11 +85,11 @@ SELECT id, CASE WHEN f = 'quote' OR f = 'trade' AND id % 5 <> 0 THEN f END AS ki
   CASE WHEN f = 'torn' THEN 'unknown frame' WHEN f = 'trade' AND id % 5 = 0 THEN 'bad values' END AS reason FROM k""",
     ),
     "S21_top_of_book": (
-        lambda s, d: frames.top_of_book(views.quotes(s, d), NOW, HOUR, 5000.0),
+        lambda s, d: frames.top_of_book(views.quotes(s, d), NOW, HOUR, 5000.0, 3.0),
         V
         + f""", q AS (SELECT * FROM v_quotes QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY event_ms DESC, update_id DESC) = 1),
 m AS (SELECT symbol, event_ms, (ask - bid) / ((bid + ask) / 2) * 10000 AS sp, least(1, (bid * bid_qty + ask * ask_qty) / 5000) AS dp FROM q)
-SELECT symbol, event_ms, round(sp, 6) AS spread_bps, round(dp, 6) AS depth_score, round(0.35::DOUBLE / (1 + sp) + 0.65::DOUBLE * dp, 6) AS score, {NOW} - event_ms > {HOUR} AS stale FROM m""",
+SELECT symbol, event_ms, round(sp, 6) AS spread_bps, round(dp, 6) AS depth_score, round(0.35::DOUBLE * (1 - least(1, sp / 3)) + 0.65::DOUBLE * dp, 6) AS score, {NOW} - event_ms > {HOUR} AS stale FROM m""",
     ),
     "Q01_clean_candles": (
         lambda s, d: quality.clean_candles(candles(s, d), HOUR, NOW, "id"),
@@ -90,7 +99,7 @@ SELECT symbol, event_ms, round(sp, 6) AS spread_bps, round(dp, 6) AS depth_score
         lambda s, d: quality.series_profile(candles(s, d), HOUR),
         V
         + f""", g AS (SELECT symbol, id, t // {HOUR} * {HOUR} AS open_time FROM v_trades), h AS (SELECT *, open_time - lag(open_time) OVER {BY} AS gap FROM g)
-SELECT symbol, count(*) AS n, count(*) FILTER (gap = 0) AS repeated, count(*) FILTER (gap > {HOUR}) AS gaps, count(*) FILTER (id % 9 = 0) AS bad_prices, 0::BIGINT AS bad_volumes FROM h GROUP BY 1""",
+SELECT symbol, 0::BIGINT AS not_finite, count(*) AS n, count(*) FILTER (gap = 0) AS repeated, count(*) FILTER (gap > {HOUR}) AS gaps, count(*) FILTER (id % 9 = 0) AS bad_prices, 0::BIGINT AS bad_volumes FROM h GROUP BY 1""",
     ),
     "Q04_completeness": (
         lambda s, d: quality.completeness(views.trades(s, d), "t"),
@@ -119,5 +128,17 @@ SELECT p.kind, count(*) AS expected, count(n) AS observed, coalesce(string_agg(p
         + f""", j AS (SELECT r.symbol, r.t - q.event_ms AS age FROM v_requests r ASOF LEFT JOIN v_quotes q ON r.symbol = q.symbol AND r.t >= q.event_ms)
 SELECT symbol, count(*) AS n, count(age) AS available, min(age) AS min_age, round(quantile_cont(age, 0.5), 6) AS p50_age, round(quantile_cont(age, 0.99), 6) AS p99_age, max(age) AS max_age, count(*) FILTER (age > {2 * HOUR}) AS breaks FROM j GROUP BY 1""",
     ),
-    "Q13_cutoff": (lambda s, d: quality.cutoff(views.trades(s, d), "t", NOW), V + f"SELECT t // {DAY} AS day, CASE WHEN t < {NOW} THEN 'frozen' ELSE 'prospective' END AS part, count(*) AS n FROM v_trades GROUP BY 1, 2"),
+    "Q13_cutoff": (lambda s, d: quality.before_cutoff(views.trades(s, d).select("id", "symbol", "t"), "t", NOW), V + f"SELECT id, symbol, t FROM v_trades WHERE t < {NOW}"),
+    "Q13_partitions": (
+        lambda s, d: quality.partitions_by_cutoff(views.trades(s, d), "t", NOW),
+        V + f"SELECT t // {DAY} AS part, count(*) FILTER (t < {NOW}) AS kept, count(*) FILTER (t >= {NOW}) AS rejected, CASE WHEN max(t) < {NOW} THEN 'frozen' WHEN min(t) >= {NOW} THEN 'prospective' ELSE 'cut' END AS kind FROM v_trades GROUP BY 1",
+    ),
+    "Q14_support_apply": (
+        lambda s, d: quality.support_apply(views.trades(s, d).select("id", "price", "qty"), quality.support_fit(views.trades(s, d).where(F.col("t") < NOW - 8 * DAY), ["price", "qty"], 0.4), ["price", "qty"], 0, 0).select("id", "outside", "extreme", "abstain"),
+        V
+        + f""", r AS (SELECT price, qty FROM v_trades WHERE t < {NOW - 8 * DAY}), b AS (SELECT min(price) AS pl, max(price) AS ph, quantile_cont(price, 0.25) AS p1, quantile_cont(price, 0.75) AS p3, min(qty) AS ql, max(qty) AS qh, quantile_cont(qty, 0.25) AS q1, quantile_cont(qty, 0.75) AS q3 FROM r),
+k AS (SELECT *, least(pl, p1 - 0.4::DOUBLE * (p3 - p1)) AS pa, greatest(ph, p3 + 0.4::DOUBLE * (p3 - p1)) AS pz, least(ql, q1 - 0.4::DOUBLE * (q3 - q1)) AS qa, greatest(qh, q3 + 0.4::DOUBLE * (q3 - q1)) AS qz FROM b),
+o AS (SELECT id, (price < pl OR price > ph)::INT + (qty < ql OR qty > qh)::INT AS outside, (price < pa OR price > pz)::INT + (qty < qa OR qty > qz)::INT AS extreme FROM v_trades, k)
+SELECT id, outside, extreme, outside > 0 OR extreme > 0 AS abstain FROM o""",
+    ),
 }

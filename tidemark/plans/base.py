@@ -35,11 +35,11 @@ DENSE = (
     V
     + """, ends AS (SELECT symbol, min(open_time) a, max(open_time) b FROM v_bars GROUP BY 1),
 spine AS (SELECT symbol, unnest(generate_series(a, b, 3600000)) AS open_time FROM ends),
-held AS (SELECT s.symbol, s.open_time, open, high, low, close, volume, quote_volume, trade_count, buy_volume,
+held AS (SELECT s.symbol, s.open_time, open, high, low, close, volume, quote_volume, trade_count, buy_volume, buy_quote_volume,
     last_value(close IGNORE NULLS) OVER (PARTITION BY s.symbol ORDER BY s.open_time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prior
   FROM spine s LEFT JOIN v_bars b ON b.symbol = s.symbol AND b.open_time = s.open_time),
 dense AS (SELECT symbol, open_time, coalesce(open, prior) AS open, coalesce(high, prior) AS high, coalesce(low, prior) AS low, coalesce(close, prior) AS close,
-    coalesce(volume, 0) AS volume, coalesce(quote_volume, 0) AS quote_volume, coalesce(trade_count, 0) AS trade_count, coalesce(buy_volume, 0) AS buy_volume FROM held)
+    coalesce(volume, 0) AS volume, coalesce(quote_volume, 0) AS quote_volume, coalesce(trade_count, 0) AS trade_count, coalesce(buy_volume, 0) AS buy_volume, coalesce(buy_quote_volume, 0) AS buy_quote_volume FROM held)
 """
 )
 BY = "(PARTITION BY symbol ORDER BY open_time)"

@@ -45,10 +45,11 @@ g AS (SELECT symbol, "window", count(*) AS n, count(r) AS k, arg_max(close, open
   greatest(count(*) FILTER (sg > 0), count(*) FILTER (sg < 0)) AS most, count(*) FILTER (turn) AS turns, count(*) FILTER (past IS NOT NULL AND r IS NOT NULL) AS pairs,
   var_pop(past) FILTER (past IS NOT NULL AND r IS NOT NULL) AS vx, var_pop(r) FILTER (past IS NOT NULL AND r IS NOT NULL) AS vy, covar_pop(past, r) AS cv,
   CASE WHEN count(*) >= 3 THEN CASE WHEN stddev_samp(volume) FILTER (later > 1) > 1e-12 THEN (arg_max(volume, open_time) - avg(volume) FILTER (later > 1)) / stddev_samp(volume) FILTER (later > 1) ELSE 0 END END AS vz FROM t GROUP BY 1, 2),
+e AS (SELECT symbol, "window", n, k, CASE WHEN n >= 3 THEN trend ELSE 0 END AS trend, CASE WHEN n >= 3 THEN vol ELSE 0 END AS vol, CASE WHEN n >= 3 THEN ma ELSE 0 END AS ma, CASE WHEN n >= 3 THEN signs ELSE 0 END AS signs, most, turns, pairs, vx, vy, cv, vz FROM g),
 h AS (SELECT *, CASE WHEN signs > 0 THEN most / signs::DOUBLE ELSE 0 END AS consistency, CASE WHEN signs > 0 THEN turns / greatest(1, signs - 1)::DOUBLE ELSE 0 END AS reversals,
-  CASE WHEN pairs >= 2 AND sqrt(vx * vy) * pairs > 1e-12 THEN greatest(-1, least(1, cv / sqrt(vx * vy))) ELSE 0 END AS auto, abs(trend) / greatest(1e-9, ma * sqrt(k), vol * sqrt(k)) AS st, greatest(0.0005::DOUBLE, ma * 1.8::DOUBLE) AS fl FROM g WHERE k > 0),
-reg AS (SELECT *, CASE WHEN vol >= fl AND reversals >= 0.55 THEN 'volatile_chop' WHEN st >= 1.15 AND consistency >= 0.55 THEN CASE WHEN trend > 0 THEN 'trend_up' ELSE 'trend_down' END WHEN reversals >= 0.5 AND st < 0.85 THEN 'range_bound' WHEN abs(auto) >= 0.35 THEN 'serial_correlation' ELSE 'mixed' END AS regime,
-  CASE WHEN vol >= fl AND reversals >= 0.55 THEN least(1, 0.45 + 0.35 * reversals + 0.1 * least(2, vol / fl)) WHEN st >= 1.15 AND consistency >= 0.55 THEN least(1, 0.4 + 0.175 * least(2, st) + 0.25 * consistency)
+  CASE WHEN pairs >= 2 AND sqrt(vx * vy) * pairs > 1e-12 THEN greatest(-1, least(1, cv / sqrt(vx * vy))) ELSE 0 END AS auto, abs(trend) / greatest(1e-9, ma * sqrt(k), vol * sqrt(k)) AS st, greatest(0.0005::DOUBLE, ma * 1.8::DOUBLE) AS fl FROM e),
+reg AS (SELECT *, CASE WHEN n < 3 THEN 'insufficient_data' WHEN vol >= fl AND reversals >= 0.55 THEN 'volatile_chop' WHEN st >= 1.15 AND consistency >= 0.55 THEN CASE WHEN trend > 0 THEN 'trend_up' ELSE 'trend_down' END WHEN reversals >= 0.5 AND st < 0.85 THEN 'range_bound' WHEN abs(auto) >= 0.35 THEN 'serial_correlation' ELSE 'mixed' END AS regime,
+  CASE WHEN n < 3 THEN 0 WHEN vol >= fl AND reversals >= 0.55 THEN least(1, 0.45 + 0.35 * reversals + 0.1 * least(2, vol / fl)) WHEN st >= 1.15 AND consistency >= 0.55 THEN least(1, 0.4 + 0.175 * least(2, st) + 0.25 * consistency)
   WHEN reversals >= 0.5 AND st < 0.85 THEN least(1, 0.45 + 0.35 * reversals + 0.2 * (1 - least(1, st))) WHEN abs(auto) >= 0.35 THEN least(1, 0.5 + 0.5 * abs(auto)) ELSE greatest(0.2, least(0.7, 0.35 + 0.2 * consistency + 0.15 * least(1, st))) END AS confidence FROM h)"""
 )
 

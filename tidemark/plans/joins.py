@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, bars
+from tidemark.operators import asof, bars, features
 from tidemark.plans.base import DAY, DENSE, HOUR, TIE, Query, V, hourly
 from tidemark.sources import views
 
@@ -22,7 +22,7 @@ def period(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.trades(spark, sf_dir).withColumn("band", F.explode(F.array(*[F.lit(b) for b in (-5, -3, -1, 1, 3, 5)])))
-    return bars.depth_pivot(rows.select("symbol", "id", "band", (F.col("qty") * F.abs("band") + F.when(F.col("band") > 0, 1.0).otherwise(0.0)).alias("depth")), [1, 3, 5])
+    return bars.depth_pivot(rows.select("symbol", "id", "band", "price", (F.col("qty") * F.abs("band") + F.when(F.col("band") > 0, 1.0).otherwise(0.0)).alias("depth")), [1, 3, 5])
 
 
 def lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def levelled(df: DataFrame) -> DataFrame:
 
 def passage(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = levelled(views.trades(spark, sf_dir))
-    orders = t.where("id % 2 = 0").select("id", "level", (F.col("t") + 750).alias("t"))
+    orders = t.select("id", "level", (F.col("t") + 750).alias("t"))
     return asof.first_passage(orders, t.select("level", "t", "id", "qty"), 40, 2 * DAY).select("id", "t", "filled")
 
 
@@ -57,10 +57,10 @@ QUERIES: dict[str, tuple[Query, str]] = {
         V
         + f""", e AS (SELECT min(t) // {DAY} * {DAY} AS a, max(t) // {DAY} * {DAY} + {DAY - HOUR} AS b FROM v_trades),
 s AS (SELECT symbol, unnest(generate_series(a, b, {HOUR})) AS open_time FROM e, (SELECT DISTINCT symbol FROM v_bars)),
-h AS (SELECT s.symbol, s.open_time, open, high, low, close, volume, quote_volume, trade_count, buy_volume, last_value(close IGNORE NULLS) OVER (PARTITION BY s.symbol ORDER BY s.open_time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prior
+h AS (SELECT s.symbol, s.open_time, open, high, low, close, volume, quote_volume, trade_count, buy_volume, buy_quote_volume, last_value(close IGNORE NULLS) OVER (PARTITION BY s.symbol ORDER BY s.open_time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prior
   FROM s LEFT JOIN v_bars b ON b.symbol = s.symbol AND b.open_time = s.open_time)
 SELECT symbol, open_time, round(coalesce(open, prior), 6) AS open, round(coalesce(high, prior), 6) AS high, round(coalesce(low, prior), 6) AS low, round(coalesce(close, prior), 6) AS close,
-  round(coalesce(volume, 0), 6) AS volume, round(coalesce(quote_volume, 0), 6) AS quote_volume, coalesce(trade_count, 0) AS trade_count, round(coalesce(buy_volume, 0), 6) AS buy_volume FROM h WHERE prior IS NOT NULL""",
+  round(coalesce(volume, 0), 6) AS volume, round(coalesce(quote_volume, 0), 6) AS quote_volume, coalesce(trade_count, 0) AS trade_count, round(coalesce(buy_volume, 0), 6) AS buy_volume, round(coalesce(buy_quote_volume, 0), 6) AS buy_quote_volume FROM h WHERE prior IS NOT NULL""",
     ),
     "R04_tape_buckets": (
         lambda s, d: bars.tape_buckets(views.trades(s, d), HOUR),
@@ -75,7 +75,7 @@ SELECT symbol, open_time, round(coalesce(open, prior), 6) AS open, round(coalesc
         DENSE
         + f""", f AS ({FLOW}sum(CASE WHEN NOT buyer_is_maker THEN price * qty ELSE 0 END) AS bq, sum(CASE WHEN buyer_is_maker THEN price * qty ELSE 0 END) AS sq, count(*) AS aggregates, sum(last_id - first_id + 1)::BIGINT AS constituents,
   max(price * qty) AS mq, sum(price * qty * (price * qty)) AS qq, max(t) AS lt FROM v_trades GROUP BY 1, 2)
-SELECT d.symbol, d.open_time, round(d.close, 6) AS close, round(coalesce(bq, 0), 6) AS buy_quote, round(coalesce(sq, 0), 6) AS sell_quote, coalesce(aggregates, 0) AS aggregates, coalesce(constituents, 0) AS constituents, round(coalesce(mq, 0), 6) AS max_quote,
+SELECT d.symbol, d.open_time, round(d.open, 6) AS open, round(d.high, 6) AS high, round(d.low, 6) AS low, round(d.close, 6) AS close, round(coalesce(bq, 0), 6) AS buy_quote, round(coalesce(sq, 0), 6) AS sell_quote, coalesce(aggregates, 0) AS aggregates, coalesce(constituents, 0) AS constituents, round(coalesce(mq, 0), 6) AS max_quote,
   round(coalesce(qq, 0) / 1e6, 6) AS squared_quote, d.open_time + 3600000 - last_value(lt IGNORE NULLS) OVER (PARTITION BY d.symbol ORDER BY d.open_time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS age
 FROM dense d LEFT JOIN f ON f.symbol = d.symbol AND f.open_time = d.open_time""",
     ),
@@ -93,7 +93,7 @@ FROM dense d LEFT JOIN f ON f.symbol = d.symbol AND f.open_time = d.open_time"""
         depth,
         V
         + "SELECT symbol, id, "
-        + ", ".join(f"round(qty * {b}, 6) AS bid_{b}, round(qty * {b} + 1, 6) AS ask_{b}, round((qty * {b} - (qty * {b} + 1)) / (qty * {b} + (qty * {b} + 1)), 6) AS imbalance_{b}" for b in (1, 3, 5))
+        + ", ".join(f"round(qty * {b}, 6) AS bid_{b}, round(qty * {b} + 1, 6) AS ask_{b}, round(qty * {b} * price, 6) AS bid_notional_{b}, round((qty * {b} + 1) * price, 6) AS ask_notional_{b}, round((qty * {b} - (qty * {b} + 1)) / (qty * {b} + (qty * {b} + 1)), 6) AS imbalance_{b}" for b in (1, 3, 5))
         + " FROM v_trades",
     ),
     "R13_liquidity_bucket": (
@@ -118,8 +118,8 @@ SELECT id, symbol, """
         FUNDING + f" SELECT b.symbol, b.open_time, b.open_time + {DAY} AS exit, round(coalesce(sum(rate), 0) + 1e-9, 6) AS between FROM v_bars b LEFT JOIN f ON f.symbol = b.symbol AND f.t > b.open_time AND f.t <= b.open_time + {DAY} GROUP BY ALL".replace("AS between", 'AS "between"'),
     ),
     "J08_asof_forward": (
-        lambda s, d: asof.asof_forward(views.requests(s, d), views.quotes(s, d).select("symbol", "event_ms", "update_id", "bid"), "symbol", "t", "event_ms", "update_id"),
-        V + "SELECT r.id, r.symbol, r.t, q.event_ms AS r_event_ms, q.update_id AS r_update_id, round(q.bid, 6) AS r_bid FROM v_requests r ASOF LEFT JOIN v_quotes q ON r.symbol = q.symbol AND r.t <= q.event_ms",
+        lambda s, d: asof.asof_forward(views.requests(s, d).withColumn("later", F.col("t") + 3_600_000), views.quotes(s, d).select("symbol", "event_ms", "update_id", "bid"), "symbol", "later", "event_ms", "update_id", max_age=1_800_000),
+        V + "SELECT r.id, r.symbol, r.t, r.t + 3600000 AS later, CASE WHEN q.event_ms - r.t <= 5400000 THEN q.event_ms END AS r_event_ms, CASE WHEN q.event_ms - r.t <= 5400000 THEN q.update_id END AS r_update_id, CASE WHEN q.event_ms - r.t <= 5400000 THEN round(q.bid, 6) END AS r_bid FROM v_requests r ASOF LEFT JOIN v_quotes q ON r.symbol = q.symbol AND r.t + 3600000 <= q.event_ms",
     ),
     "J09_anchor_vectors": (
         lambda s, d: views.trades(s, d).select("symbol", "id", "t").join(views.quotes(s, d).select("symbol", F.col("update_id").alias("id"), F.col("event_ms").alias("t"), "bid", "ask"), ["symbol", "id", "t"]),
@@ -152,14 +152,18 @@ SELECT message, k, least(a, b) AS received, paired, abs(a - b) AS lane_gap FROM
     "J16_first_passage": (
         passage,
         V
-        + f""", l AS (SELECT *, symbol || '|' || floor(price / 100)::BIGINT::VARCHAR AS level FROM v_trades), o AS (SELECT id, level, t + 750 AS t FROM l WHERE id % 2 = 0),
+        + f""", l AS (SELECT *, symbol || '|' || floor(price / 100)::BIGINT::VARCHAR AS level FROM v_trades), o AS (SELECT id, level, t + 750 AS t FROM l),
 c AS (SELECT o.id, x.t AS at, sum(x.qty) OVER (PARTITION BY o.id ORDER BY x.t, x.id) AS s FROM o JOIN l x ON x.level = o.level AND x.t > o.t AND x.t <= o.t + {2 * DAY})
 SELECT o.id, o.t, min(c.at) FILTER (c.s >= 40) AS filled FROM o LEFT JOIN c ON c.id = o.id GROUP BY 1, 2""",
     ),
     "F15_funding_features": (
-        lambda s, d: asof.trailing_event_sum(asof.asof_join(hourly(s, d).select("symbol", "open_time"), funding(s, d).select("symbol", "t", "id", "rate"), "symbol", "open_time", "t", "id"), funding(s, d), 72 * HOUR, "rate").select("symbol", "open_time", F.col("r_rate").alias("rate"), (F.col("open_time") - F.col("r_t")).alias("age"), "trailing"),
+        lambda s, d: features.funding_features(hourly(s, d).select("symbol", "open_time"), funding(s, d).select("symbol", "t", "id", "rate")),
         FUNDING
-        + f""", a AS (SELECT b.symbol, b.open_time, f.rate, b.open_time - f.t AS age FROM v_bars b ASOF LEFT JOIN f ON f.symbol = b.symbol AND b.open_time >= f.t)
-SELECT a.symbol, a.open_time, round(a.rate, 6) AS rate, a.age, round(coalesce(sum(f.rate), 0), 6) AS trailing FROM a LEFT JOIN f ON f.symbol = a.symbol AND f.t <= a.open_time AND f.t > a.open_time - {72 * HOUR} GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY 1, 2, 3, 4"),
+        + f""", g AS (SELECT symbol, t, rate, t - lag(t) OVER (PARTITION BY symbol ORDER BY t) AS "interval", CASE WHEN count(*) OVER w = 30 THEN avg(rate) OVER w END AS mean30, CASE WHEN count(*) OVER w = 30 THEN CASE WHEN stddev_pop(rate) OVER w > 1e-12 THEN (rate - avg(rate) OVER w) / stddev_pop(rate) OVER w ELSE 0 END END AS z30
+  FROM f WINDOW w AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)),
+a AS (SELECT b.symbol, b.open_time, g.rate, "interval", b.open_time - g.t AS age, mean30, z30 FROM v_bars b ASOF LEFT JOIN g ON g.symbol = b.symbol AND b.open_time >= g.t)
+SELECT a.symbol, a.open_time, round(any_value(a.rate), 6) AS rate, any_value(a."interval") AS "interval", any_value(a.age) AS age, round(any_value(mean30), 6) AS mean30, round(any_value(z30), 6) AS z30,
+  {', '.join(f'round(coalesce(sum(f.rate) FILTER (f.t > a.open_time - {k * HOUR}), 0) + 1e-9, 6) AS sum_{k}' for k in (24, 72, 168))}
+FROM a LEFT JOIN f ON f.symbol = a.symbol AND f.t <= a.open_time AND f.t > a.open_time - {168 * HOUR} GROUP BY 1, 2""",
     ),
 }

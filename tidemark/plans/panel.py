@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import factors
 from tidemark.operators import asof, bars, features, labels
 from tidemark.plans.base import BY, DAY, DENSE, HOUR, Query, V, dense, frame_sql, hourly
 from tidemark.plans.joins import FUNDING, funding
@@ -15,11 +16,15 @@ CUTS = [9200, 9600, 10000, 10400]
 
 
 
-def _barrier(horizon: int, stop: float, take: float | None) -> str:
+ADAPTIVE = R + f""", v AS (SELECT *, ln(close / lag(close) OVER {BY}) AS lr FROM dense), s AS (SELECT *, CASE WHEN count(lr) OVER {frame_sql(24)} = 24 THEN stddev_pop(lr) OVER {frame_sql(24)} * sqrt(6.0::DOUBLE) END AS sg FROM v),
+wide AS (SELECT * EXCLUDE (sg, lr), greatest(0.05::DOUBLE, least(0.4::DOUBLE, 0.2::DOUBLE * sg)) AS stop, greatest(0.1::DOUBLE, least(0.8::DOUBLE, 0.4::DOUBLE * sg)) AS take FROM s WHERE sg IS NOT NULL)"""
+
+
+def _barrier(horizon: int, stop: float | str, take: float | str | None, base: str = DENSE, table: str = "dense") -> str:
     take_at = f"entry * (1 + {take}::DOUBLE)" if take is not None else "'infinity'::DOUBLE"
     return (
-        DENSE
-        + f""", n AS (SELECT *, row_number() OVER {BY} AS i, lead(open) OVER {BY} AS entry, lead(open, {horizon + 1}) OVER {BY} AS late, lead(open_time, {horizon + 1}) OVER {BY} AS late_time FROM dense),
+        base
+        + f""", n AS (SELECT *, row_number() OVER {BY} AS i, lead(open) OVER {BY} AS entry, lead(open, {horizon + 1}) OVER {BY} AS late, lead(open_time, {horizon + 1}) OVER {BY} AS late_time FROM {table}),
 e AS (SELECT symbol, i, open_time, entry, late, late_time, entry * (1 - {stop}::DOUBLE) AS s, {take_at} AS k FROM n WHERE late IS NOT NULL),
 h AS (SELECT e.symbol, e.i, min(x.i) AS at FROM e JOIN n x ON x.symbol = e.symbol AND x.i > e.i AND x.i <= e.i + {horizon} AND (x.low <= s OR x.high >= k) GROUP BY 1, 2)
 SELECT e.symbol, e.open_time, CASE WHEN h.at IS NULL THEN 'timeout' WHEN x.low <= s THEN 'stop' ELSE 'take' END AS outcome, coalesce(x.low <= s AND x.high >= k, false) AS ambiguous, coalesce(x.open_time, e.late_time) AS exit_time,
@@ -63,9 +68,10 @@ QUERIES: dict[str, tuple[Query, str]] = {
         DENSE + f"SELECT symbol, open_time, round(CASE WHEN count(close) OVER {frame_sql(24)} = 24 THEN CASE WHEN stddev_pop(close) OVER {frame_sql(24)} > 1e-12 THEN (close - avg(close) OVER {frame_sql(24)}) / stddev_pop(close) OVER {frame_sql(24)} ELSE 0 END END, 6) AS z FROM dense",
     ),
     "F10_beta_residual": (
-        lambda s, d: features.beta_residual(dense(s, d), 24),
+        lambda s, d: features.beta_residual(dense(s, d), 24, "click", ("view", "purchase")),
         R
-        + f""", m AS (SELECT d.symbol, d.open_time, d.r, x.m FROM d JOIN (SELECT open_time, avg(r) AS m FROM d GROUP BY 1) x ON x.open_time = d.open_time),
+        + f""", x AS (SELECT open_time, avg(r) FILTER (symbol = 'click') AS lead, avg(r) FILTER (symbol IN ('view', 'purchase')) AS peers FROM d GROUP BY 1),
+m AS (SELECT d.symbol, d.open_time, d.r, CASE WHEN symbol = 'click' THEN peers ELSE lead END AS m FROM d JOIN x ON x.open_time = d.open_time WHERE CASE WHEN symbol = 'click' THEN peers ELSE lead END IS NOT NULL),
 b AS (SELECT *, CASE WHEN count(r) OVER {frame_sql(24)} = 24 THEN CASE WHEN var_pop(m) OVER {frame_sql(24)} > 1e-15 THEN covar_pop(r, m) OVER {frame_sql(24)} / var_pop(m) OVER {frame_sql(24)} ELSE 0 END END AS beta FROM m)
 SELECT symbol, open_time, round(beta, 6) AS beta, round(r - beta * m, 6) AS residual FROM b""",
     ),
@@ -85,8 +91,8 @@ SELECT symbol, open_time, round(CASE WHEN m > 0 THEN v / m WHEN m IS NOT NULL TH
         V + f", q AS (SELECT symbol, event_ms // {HOUR} * {HOUR} AS open_time, arg_max((bid + ask) / 2, (event_ms, update_id)) AS mid FROM v_quotes GROUP BY 1, 2) SELECT b.symbol, b.open_time, round(ln(mid / close) * 10000, 6) AS basis FROM v_bars b JOIN q ON q.symbol = b.symbol AND q.open_time = b.open_time",
     ),
     "F22_peer_context": (
-        lambda s, d: features.peer_context(dense(s, d)),
-        R + " SELECT a.symbol, a.open_time, round(avg(b.r), 6) AS peer_mean, round(stddev_pop(b.r), 6) AS peer_dispersion, round(any_value(a.r) - avg(b.r), 6) AS relative FROM d a JOIN d b ON a.open_time = b.open_time AND a.symbol <> b.symbol WHERE a.r IS NOT NULL AND b.r IS NOT NULL GROUP BY 1, 2",
+        lambda s, d: features.peer_context(dense(s, d), "click"),
+        R + ", x AS (SELECT open_time, r AS a FROM d WHERE symbol = 'click' AND r IS NOT NULL) SELECT a.symbol, a.open_time, round(avg(b.r), 6) AS peer_mean, round(stddev_pop(b.r), 6) AS peer_dispersion, round(any_value(a.r) - avg(b.r), 6) AS relative, round(coalesce(any_value(x.a), 0), 6) AS anchor_return, round(coalesce(any_value(a.r) - any_value(x.a), 0), 6) AS anchor_relative, any_value(x.a) IS NOT NULL AS anchor_available FROM d a LEFT JOIN x ON x.open_time = a.open_time JOIN d b ON a.open_time = b.open_time AND a.symbol <> b.symbol WHERE a.r IS NOT NULL AND b.r IS NOT NULL GROUP BY 1, 2",
     ),
     "F24_decision_offsets": (
         lambda s, d: features.decision_offsets(hourly(s, d).select("symbol", "open_time"), "open_time", [30_000, 60_000, 240_000]),
@@ -128,6 +134,14 @@ SELECT update_id, round((xb / ask - 1) * 10000, 6) AS long_gross, round((1 - xa
     ),
     "T06_triple_barrier": (lambda s, d: labels.triple_barrier(dense(s, d), 12, 0.2, 0.3), _barrier(12, 0.2, 0.3)),
     "T07_stop_time": (lambda s, d: labels.triple_barrier(dense(s, d), 8, 0.15, None), _barrier(8, 0.15, None)),
+    "T08_adaptive_barriers": (
+        lambda s, d: labels.triple_barrier(labels.adaptive_distances(dense(s, d), 24, 6, (0.2, 0.05, 0.4), (0.4, 0.1, 0.8)), 6, "stop", "take"),
+        _barrier(6, "stop", "take", ADAPTIVE, "wide"),
+    ),
+    "F40_factor_columns": (
+        lambda s, d: factors.factor_columns(views.quotes(s, d).select("update_id", "bid", "ask", "bid_qty", "ask_qty"), {"tilt": "safe_divide(bid_qty - ask_qty, bid_qty + ask_qty)", "width": "clip(ask - bid, 0, 0.05) * 100", "bent": "tanh(minimum(bid_qty, ask_qty) - 3) + sign(bid_qty - 4)"}, {"bid": "price", "ask": "price", "bid_qty": "size", "ask_qty": "size"}).select("update_id", "tilt", "width", "bent"),
+        V + "SELECT update_id, round((bid_qty - ask_qty) / (bid_qty + ask_qty), 6) AS tilt, round(greatest(0, least(0.05::DOUBLE, ask - bid)) * 100, 6) AS width, round(tanh(least(bid_qty, ask_qty) - 3) + sign(bid_qty - 4), 6) AS bent FROM v_quotes",
+    ),
     "T17_funding_episodes": (
         lambda s, d: labels.funding_episodes(funding(s, d).withColumn("rate", F.col("rate") - 3.0), 0.3),
         FUNDING

@@ -113,8 +113,8 @@ nx AS (SELECT a.symbol, a.n, min(b.n) AS m FROM k a JOIN k b ON b.symbol = a.sym
 SELECT id, k.symbol, t, round(ratio, 6) AS ratio FROM walk JOIN k ON k.symbol = walk.symbol AND k.n = walk.n""",
     ),
     "T14_meta_labels": (
-        lambda s, d: panels.meta_samples(views.actions(s, d).where("id % 3 = 0").select("id", "symbol", "t", "score", "net"), views.trades(s, d).select("symbol", "t", "price")),
-        V + "SELECT a.id, a.symbol, a.t, round(score, 6) AS score, net, round(price, 6) AS price, net > 0 AS paid, round(abs(score), 6) AS strength FROM v_actions a JOIN v_trades r ON r.symbol = a.symbol AND r.t = a.t WHERE a.id % 3 = 0",
+        lambda s, d: panels.meta_samples(views.actions(s, d).select("id", "symbol", "t", "score", "net"), views.trades(s, d).select("symbol", "t", "price")),
+        V + "SELECT a.id, a.symbol, a.t, round(score, 6) AS score, net, round(price, 6) AS price, net > 0 AS paid, round(abs(score), 6) AS strength FROM v_actions a JOIN v_trades r ON r.symbol = a.symbol AND r.t = a.t",
     ),
     "T15_action_label": (
         _labels,

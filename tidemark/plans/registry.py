@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import book
 from tidemark.operators import asof, bars, evaluation, features, quality, ranks
-from tidemark.plans import audits, evidence, joins, orderbooks, panel, panels, stats
+from tidemark.plans import audits, evidence, joins, orderbooks, panel, panels, portfolio, stats
 from tidemark.plans.base import BY, DENSE, HOUR, Query, V, dense, frame_sql, hourly, rounded, rounds
 from tidemark.sources import ingest, views
 
@@ -37,16 +37,23 @@ SELECT symbol, count(*) AS n, round(avg(target ** 2), 6) AS mse_zero, round(corr
 FROM atr WHERE m10 IS NOT NULL AND sma IS NOT NULL AND atr IS NOT NULL AND target IS NOT NULL GROUP BY 1"""
 )
 
+def _walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides walked for 85 units, which some books lack."""
+    both = views.books(spark, sf_dir).select("update_id", book.walk_detail(F.col("asks"), F.lit(85.0)).alias("a"), book.walk_detail(F.col("bids"), F.lit(85.0)).alias("b"), book.imbalance(F.col("bids"), F.col("asks"), 5).alias("imbalance"))
+    named = [F.col(f"{s}.{k}").alias(n) for s, way in (("a", "buy"), ("b", "sell")) for k, n in (("price", way), ("worst", f"{way}_worst"), ("used", f"{way}_levels"))]
+    return both.select("update_id", *named, "imbalance")
+
+
 #: name -> (query, SQL)
-_ALL: dict[str, tuple[Query, str]] = audits.QUERIES | evidence.QUERIES | joins.QUERIES | orderbooks.QUERIES | panel.QUERIES | panels.QUERIES | stats.QUERIES | {
+_ALL: dict[str, tuple[Query, str]] = audits.QUERIES | evidence.QUERIES | joins.QUERIES | orderbooks.QUERIES | panel.QUERIES | panels.QUERIES | portfolio.QUERIES | stats.QUERIES | {
     "flagship": (flagship, FLAGSHIP_SQL),
-    "R01_trade_bars": (hourly, V + "SELECT symbol, open_time, " + rounds("open", "high", "low", "close", "volume", "quote_volume", "buy_volume") + ", trade_count FROM v_bars"),
-    "R02_fill_bars": (dense, DENSE + "SELECT symbol, open_time, " + rounds("open", "high", "low", "close", "volume", "quote_volume", "buy_volume") + ", trade_count FROM dense"),
+    "R01_trade_bars": (hourly, V + "SELECT symbol, open_time, " + rounds("open", "high", "low", "close", "volume", "quote_volume", "buy_volume", "buy_quote_volume") + ", trade_count FROM v_bars"),
+    "R02_fill_bars": (dense, DENSE + "SELECT symbol, open_time, " + rounds("open", "high", "low", "close", "volume", "quote_volume", "buy_volume", "buy_quote_volume") + ", trade_count FROM dense"),
     "R06_quote_bars": (
         lambda s, d: bars.quote_bars(views.quotes(s, d), HOUR),
         V
-        + """, q AS (SELECT *, (bid + ask) / 2 AS mid, (ask - bid) / ((bid + ask) / 2) * 10000 AS spread, (bid_qty - ask_qty) / (bid_qty + ask_qty) AS imbalance, event_ms - txn_ms AS delay FROM v_quotes)
-SELECT symbol, event_ms // 3600000 * 3600000 AS open_time, round(arg_min(mid, (event_ms, update_id)), 6) AS open, round(max(mid), 6) AS high, round(min(mid), 6) AS low, round(arg_max(mid, (event_ms, update_id)), 6) AS close,
+        + f""", q AS (SELECT *, (bid + ask) / 2 AS mid, (ask - bid) / ((bid + ask) / 2) * 10000 AS spread, (bid_qty - ask_qty) / (bid_qty + ask_qty) AS imbalance, event_ms - txn_ms AS delay, ((ask * bid_qty + bid * ask_qty) / (bid_qty + ask_qty) / ((bid + ask) / 2) - 1) * 10000 AS mp FROM v_quotes)
+SELECT symbol, event_ms // 3600000 * 3600000 AS open_time, {', '.join(f'round(arg_max({c}, (event_ms, update_id)), 6) AS close_{c}' for c in ('bid', 'ask', 'bid_qty', 'ask_qty'))}, round(arg_max(mp, (event_ms, update_id)), 6) AS microprice_offset, round(arg_min(mid, (event_ms, update_id)), 6) AS open, round(max(mid), 6) AS high, round(min(mid), 6) AS low, round(arg_max(mid, (event_ms, update_id)), 6) AS close,
   round(avg(spread), 6) AS mean_spread, round(max(spread), 6) AS max_spread, round(avg(imbalance), 6) AS mean_imbalance, round(arg_max(imbalance, (event_ms, update_id)), 6) AS close_imbalance,
   round(quantile_cont(delay, 0.5), 6) AS delay_p50, round(quantile_cont(delay, 0.99), 6) AS delay_p99 FROM q GROUP BY 1, 2""",
     ),
@@ -56,17 +63,24 @@ SELECT symbol, event_ms // 3600000 * 3600000 AS open_time, round(arg_min(mid, (e
     ),
     "R10_clock_spine": (lambda s, d: bars.clock_spine(hourly(s, d), HOUR), DENSE + "SELECT symbol, open_time FROM spine"),
     "R12_calendar_features": (
-        lambda s, d: bars.calendar_features(hourly(s, d).select("symbol", "open_time"), "open_time"),
+        lambda s, d: bars.calendar_features(views.trades(s, d).select("id", "t"), "t"),
         V
-        + """SELECT symbol, open_time, ((open_time // 86400000 + 3) % 7)::INT AS weekday, round(round(sin(d), 12) + 0.0::DOUBLE, 6) AS day_sin, round(round(cos(d), 12) + 0.0::DOUBLE, 6) AS day_cos, round(round(sin(w), 12) + 0.0::DOUBLE, 6) AS week_sin, round(round(cos(w), 12) + 0.0::DOUBLE, 6) AS week_cos
-FROM (SELECT *, (open_time % 86400000) / 86400000.0::DOUBLE * 2 * 3.141592653589793::DOUBLE AS d, ((open_time + 259200000) % 604800000) / 604800000.0::DOUBLE * 2 * 3.141592653589793::DOUBLE AS w FROM v_bars)""",
+        + "SELECT id, t, ((t // 86400000 + 3) % 7)::INT AS weekday, (t // 86400000 + 3) % 7 >= 5 AS weekend, "
+        + ", ".join(
+            f"round(round({wave}(((t + {shift}) % {period}) / {period}.0::DOUBLE * (2 * 3.141592653589793::DOUBLE)), 12) + 0.0::DOUBLE, 6) AS {name}_{wave}"
+            for name, period, shift in (("day", 86_400_000, 0), ("eight", 28_800_000, 0), ("week", 604_800_000, 259_200_000), ("minute", 60_000, 0), ("five", 300_000, 0), ("quarter", 900_000, 0))
+            for wave in ("sin", "cos")
+        )
+        + " FROM v_trades",
     ),
     "Q02_coverage_report": (
         lambda s, d: quality.coverage_report(hourly(s, d), HOUR),
         V
         + f""", g AS (SELECT symbol, open_time, open_time - lag(open_time) OVER {BY} AS gap FROM v_bars)
-SELECT symbol, count(*) AS bars, min(open_time) AS first_time, max(open_time) AS last_time, count(*) FILTER (gap > 5400000) AS gaps, coalesce(max(gap), 0) AS largest_gap,
-  round(count(*) / ((max(open_time) - min(open_time)) / 3600000.0::DOUBLE + 1), 6) AS coverage FROM g GROUP BY 1""",
+, c AS (SELECT symbol, count(*) AS bars, min(open_time) AS first_time, max(open_time) AS last_time, count(*) FILTER (gap > 5400000) AS gaps, coalesce(max(gap), 0) AS largest_gap,
+  round(count(*) / ((max(open_time) - min(open_time)) / 3600000.0::DOUBLE + 1), 6) AS coverage FROM g GROUP BY 1)
+SELECT *, concat_ws(',', CASE WHEN gaps > 0 THEN 'gaps' END, CASE WHEN coverage < 0.995 THEN 'coverage' END, CASE WHEN last_time > first_time AND last_time - first_time < 31536000000 THEN 'under_a_year' END) AS warnings,
+  CASE WHEN gaps > 0 OR coverage < 0.995 THEN 'fail' WHEN last_time > first_time AND last_time - first_time < 31536000000 THEN 'warn' ELSE 'ok' END AS status FROM c""",
     ),
     "Q05_id_sequence_audit": (
         lambda s, d: quality.id_sequence_audit(views.trades(s, d)),
@@ -95,11 +109,28 @@ SELECT symbol, count(*) AS n, count(*) FILTER (dup) AS duplicates, count(*) FILT
         lambda s, d: asof.exact_horizon_join(hourly(s, d).select("symbol", "open_time", "close"), 2 * HOUR),
         V + "SELECT a.symbol, a.open_time, round(a.close, 6) AS close, round(b.close, 6) AS later_close FROM v_bars a JOIN v_bars b ON a.symbol = b.symbol AND b.open_time = a.open_time + 7200000 WHERE a.open_time // 86400000 = b.open_time // 86400000",
     ),
+    "J04_horizon_exclusions": (
+        lambda s, d: asof.horizon_exclusions(hourly(s, d), 2 * HOUR),
+        V
+        + """SELECT a.symbol, count(*) AS rows, count(*) FILTER (b.symbol IS NOT NULL AND a.open_time // 86400000 = (a.open_time + 7200000) // 86400000) AS kept, count(*) FILTER (a.open_time // 86400000 <> (a.open_time + 7200000) // 86400000) AS crosses_day,
+  count(*) FILTER (b.symbol IS NULL AND a.open_time // 86400000 = (a.open_time + 7200000) // 86400000) AS no_later_bar FROM v_bars a LEFT JOIN v_bars b ON a.symbol = b.symbol AND b.open_time = a.open_time + 7200000 GROUP BY 1""",
+    ),
     "J07_trailing_event_sum": (
         lambda s, d: asof.trailing_event_sum(hourly(s, d).select("symbol", "open_time"), views.trades(s, d), 24 * HOUR, "qty"),
         V + "SELECT b.symbol, b.open_time, round(coalesce(sum(t.qty), 0), 6) AS trailing FROM v_bars b LEFT JOIN v_trades t ON t.symbol = b.symbol AND t.t <= b.open_time AND t.t > b.open_time - 86400000 GROUP BY 1, 2",
     ),
     "F01_momentum": (lambda s, d: features.momentum(dense(s, d)), DENSE + "SELECT symbol, open_time, " + ", ".join(f"round(close / lag(close, {k}) OVER {BY} - 1, 6) AS momentum_{k}" for k in (1, 3, 10)) + " FROM dense"),
+    "F01_candle_features": (
+        lambda s, d: features.candle_features(dense(s, d), 3, 12),
+        DENSE
+        + f""", x AS (SELECT *, close - lag(close) OVER {BY} AS d, abs(close / lag(close) OVER {BY} - 1) AS a, row_number() OVER {BY} AS i, greatest(high - low, abs(high - lag(close) OVER {BY}), abs(low - lag(close) OVER {BY})) AS tr,
+  list_reduce(list(close) OVER {frame_sql(24)}, lambda e, c: e * (1 - 2.0::DOUBLE / 13) + c * (2.0::DOUBLE / 13)) AS ema FROM dense),
+y AS (SELECT *, {', '.join(f'avg(close) OVER {frame_sql(n)} AS c{n}' for n in (3, 5, 12))}, {', '.join(f'avg(volume) OVER {frame_sql(n)} AS v{n}' for n in (3, 12))}, avg(volume) OVER (PARTITION BY symbol ORDER BY open_time ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS vb,
+  avg(close) OVER (PARTITION BY symbol ORDER BY open_time ROWS BETWEEN 4 PRECEDING AND 2 PRECEDING) AS cb, avg(greatest(d, 0)) OVER {frame_sql(14)} AS gain, avg(greatest(-d, 0)) OVER {frame_sql(14)} AS loss, avg(tr) OVER {frame_sql(14)} AS tr14, avg(a) OVER {frame_sql(20)} AS a20,
+  {', '.join(f'close / lag(close, {k}) OVER {BY} - 1 AS m{k}' for k in (1, 3, 10, 20))} FROM x)
+SELECT symbol, open_time, {', '.join(f'round(m{k}, 6) AS momentum_{k}' for k in (1, 3, 10, 20))}, round(c3 / c12 - 1, 6) AS sma_spread, round(CASE WHEN loss = 0 THEN 1 ELSE 1 - 1 / (1 + gain / loss) END, 6) AS rsi, round((ema - close) / close, 6) AS ema_gap, round(tr14 / close, 6) AS atr, round(a20, 6) AS mean_abs_return,
+  round(CASE WHEN vb <> 0 THEN (volume - vb) / vb ELSE 0 END, 6) AS volume_ratio, round((c3 - cb) / cb, 6) AS acceleration, round((close - c5) / close, 6) AS gap_5, round(CASE WHEN v12 <> 0 THEN (v3 - v12) / v12 ELSE 0 END, 6) AS volume_trend FROM y WHERE i > 44""",
+    ),
     "F03_rsi": (
         lambda s, d: features.rsi(dense(s, d)),
         DENSE
@@ -130,8 +161,8 @@ SELECT symbol, open_time, round(CASE WHEN count(d) OVER {frame_sql(12)} = 12 THE
     "F28_order_flow_imbalance": (
         lambda s, d: features.order_flow_imbalance(views.quotes(s, d)),
         V
-        + """SELECT symbol, update_id, round(CASE WHEN lag(bid) OVER w IS NOT NULL THEN (CASE WHEN bid >= lag(bid) OVER w THEN bid_qty ELSE 0 END - CASE WHEN bid <= lag(bid) OVER w THEN lag(bid_qty) OVER w ELSE 0 END)
-  - (CASE WHEN ask <= lag(ask) OVER w THEN ask_qty ELSE 0 END - CASE WHEN ask >= lag(ask) OVER w THEN lag(ask_qty) OVER w ELSE 0 END) END, 6) AS ofi
+        + """SELECT symbol, update_id, round(CASE WHEN lag(bid) OVER w IS NOT NULL THEN ((CASE WHEN bid >= lag(bid) OVER w THEN bid_qty ELSE 0 END - CASE WHEN bid <= lag(bid) OVER w THEN lag(bid_qty) OVER w ELSE 0 END)
+  - (CASE WHEN ask <= lag(ask) OVER w THEN ask_qty ELSE 0 END - CASE WHEN ask >= lag(ask) OVER w THEN lag(ask_qty) OVER w ELSE 0 END)) / greatest((bid_qty + ask_qty + lag(bid_qty) OVER w + lag(ask_qty) OVER w) / 2, 1e-12::DOUBLE) END, 6) AS ofi
 FROM v_quotes WINDOW w AS (PARTITION BY symbol ORDER BY event_ms, update_id)""",
     ),
     "T01_fixed_horizon_return": (lambda s, d: features.next_return(dense(s, d)), DENSE + f"SELECT symbol, open_time, round(ln(lead(open, 2) OVER {BY} / lead(open, 1) OVER {BY}) * 10000, 6) AS target FROM dense"),
@@ -204,21 +235,18 @@ SELECT id, symbol, entry, exit, round(pnl, 6) AS pnl FROM b QUALIFY row_number()
         V + "SELECT id, kind, sha256(payload) AS payload_hash FROM v_obs WHERE id % 2 = 1",
     ),
     "F31_book_walk": (
-        lambda s, d: views.quotes(s, d).select("update_id", book.walk(_levels("ask", 0.01), F.lit(30.0)).alias("buy"), book.walk(_levels("bid", -0.01), F.lit(30.0)).alias("sell"), book.imbalance(_levels("bid", -0.01), _levels("ask", 0.01), 5).alias("imbalance")),
+        _walks,
         V
-        + """, l AS (SELECT update_id, bid, ask, i, 1.0::DOUBLE + (update_id + i) % 9 AS qty FROM v_quotes, generate_series(0, 19) g(i)),
-c AS (SELECT *, greatest(0, least(qty, 30 - coalesce(sum(qty) OVER (PARTITION BY update_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS take FROM l)
-SELECT update_id, round(sum(take * (ask + 0.01::DOUBLE * i)) / 30, 6) AS buy, round(sum(take * (bid - 0.01::DOUBLE * i)) / 30, 6) AS sell, 0.0::DOUBLE AS imbalance FROM c GROUP BY 1""",
+        + """, c AS (SELECT *, greatest(0, least(qty, 85 - coalesce(sum(qty) OVER (PARTITION BY update_id, side ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS take FROM v_levels),
+w AS (SELECT update_id, side, sum(take) AS got, sum(take * price) / 85 AS price, arg_max(price, i) FILTER (take > 0) AS worst, count(*) FILTER (take > 0) AS used, sum(qty) FILTER (i < 5) AS d FROM c GROUP BY 1, 2)
+SELECT b.update_id, round(CASE WHEN a.got >= 85 THEN a.price END, 6) AS buy, round(CASE WHEN a.got >= 85 THEN a.worst END, 6) AS buy_worst, CASE WHEN a.got >= 85 THEN a.used END::INT AS buy_levels,
+  round(CASE WHEN b.got >= 85 THEN b.price END, 6) AS sell, round(CASE WHEN b.got >= 85 THEN b.worst END, 6) AS sell_worst, CASE WHEN b.got >= 85 THEN b.used END::INT AS sell_levels, round((b.d - a.d) / (b.d + a.d), 6) AS imbalance
+FROM w b JOIN w a ON a.update_id = b.update_id AND a.side = 'ask' WHERE b.side = 'bid'""",
     ),
     "E58_recent": (lambda s, d: evaluation.recent(views.observations(s, d), 50), V + "SELECT id, observed_at, source, kind FROM v_obs ORDER BY observed_at DESC, id DESC LIMIT 50"),
 }
 
 
-def _levels(side: str, step: float):
-    """20 levels away from the best price, with sizes 1 to 9."""
-    return F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.struct((F.col(side) + step * i).alias("price"), (1.0 + (F.col("update_id") + i) % 9).alias("qty")))
-
-
 def queries() -> dict[str, Query]:
     every = {name: query for name, (query, _) in _ALL.items()} | evidence.UNCHECKED
     return {name: (lambda spark, sf_dir, q=query: rounded(q(spark, sf_dir))) for name, query in every.items()}

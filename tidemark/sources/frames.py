@@ -42,9 +42,16 @@ def prune_periods(files: DataFrame, start_ms: int, end_ms: int) -> DataFrame:
 
 
 def ingest_manifest(rows: DataFrame, archive: str, t: str) -> DataFrame:
-    """Rows, time span and an order-free digest of each archive."""
-    mark = F.xxhash64(*rows.columns)
-    return rows.groupBy(archive).agg(F.count("*").alias("rows_read"), F.min(t).alias("first_ms"), F.max(t).alias("last_ms"), F.bit_xor(mark).alias("digest"))
+    """Rows, time span and a digest of each archive's rows that does not depend on their order, but on repeats."""
+    mark = F.conv(F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns if c != archive]), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    return rows.groupBy(archive).agg(F.count("*").alias("rows_read"), F.min(t).alias("first_ms"), F.max(t).alias("last_ms"), F.sum(mark).cast("string").alias("digest"))
+
+
+def checked_manifest(manifest: DataFrame, stated: DataFrame, archive: str) -> DataFrame:
+    """The manifest with each archive's checksum status: verified, mismatch, or missing where none is stated."""
+    said = stated.select(archive, F.col("digest").alias("__said"))
+    status = F.when(F.col("__said").isNull(), "missing").when(F.col("__said") == F.col("digest"), "verified").otherwise("mismatch")
+    return manifest.join(said, archive, "left").withColumn("checksum_status", status).drop("__said")
 
 
 def merge_verified(target: DataFrame, source: DataFrame, manifest: DataFrame, archive: str) -> DataFrame:
@@ -60,10 +67,13 @@ def funding_checks(events: DataFrame, least_ms: int, most_ms: int) -> DataFrame:
     return events.withColumn("interval", step).withColumn("valid", F.coalesce(step.between(least_ms, most_ms), F.lit(True)))
 
 
-def top_of_book(quotes: DataFrame, now_ms: int, stale_ms: int, full_depth: float) -> DataFrame:
-    """Newest quote of each symbol with spread, depth, a score of 0.35 spread and 0.65 depth, and staleness."""
+def top_of_book(quotes: DataFrame, now_ms: int, stale_ms: int, full_depth: float, widest_bps: float) -> DataFrame:
+    """Newest quote of each symbol with spread, depth, a score in [0, 1] of 0.35 tightness and 0.65 depth, and staleness.
+
+    A spread of ``widest_bps`` or more has no tightness; depth counts up to ``full_depth``.
+    """
     last = quotes.groupBy("symbol").agg(F.max_by(F.struct("event_ms", "bid", "ask", "bid_qty", "ask_qty"), F.struct("event_ms", "update_id")).alias("q")).select("symbol", "q.*")
     mid: Column = (F.col("bid") + F.col("ask")) / 2
     spread = (F.col("ask") - F.col("bid")) / mid * 10_000
     depth = F.least(F.lit(1.0), (F.col("bid") * F.col("bid_qty") + F.col("ask") * F.col("ask_qty")) / full_depth)
-    return last.select("symbol", "event_ms", spread.alias("spread_bps"), depth.alias("depth_score"), (0.35 / (1 + spread) + 0.65 * depth).alias("score"), (now_ms - F.col("event_ms") > stale_ms).alias("stale"))
+    return last.select("symbol", "event_ms", spread.alias("spread_bps"), depth.alias("depth_score"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.35 * (1 - F.least(F.lit(1.0), spread / max(0.1, widest_bps))) + 0.65 * depth)).alias("score"), (now_ms - F.col("event_ms") > stale_ms).alias("stale"))

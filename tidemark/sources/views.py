@@ -25,7 +25,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events").where("event_id % 2 = 1")
+    e = read(spark, sf_dir, "events")
     t = F.unix_millis(F.col("ts").cast("timestamp"))
     return e.select(
         F.col("event_id").alias("update_id"),
@@ -41,7 +41,7 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshots of 20 levels a side, one cent apart, around a middle that moves by ticks."""
-    e = read(spark, sf_dir, "events").where("event_id % 2 = 1")
+    e = read(spark, sf_dir, "events")
     tick = 10_000 + (F.floor("value") % 5) * 2
     i = F.sequence(F.lit(0), F.lit(19))
     return e.select(
@@ -54,7 +54,8 @@ def books(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trades(spark, sf_dir).where("id % 2 = 0").select("id", "symbol", "t")
+    """One request just before every event, so that what it may know is older than the event's own quote."""
+    return trades(spark, sf_dir).select("id", "symbol", (F.col("t") - 1).alias("t"))
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,13 +111,13 @@ WITH v_trades AS (
 v_quotes AS (
   SELECT event_id AS update_id, event_type AS symbol, epoch_us(ts) // 1000 AS event_ms, epoch_us(ts) // 1000 - event_id % 5 AS txn_ms,
     100 + value - 0.01::DOUBLE * (1 + event_id % 4) AS bid, 100 + value + 0.01::DOUBLE * (1 + event_id % 3) AS ask,
-    (1 + user_id % 7)::DOUBLE AS bid_qty, (1 + user_id % 11)::DOUBLE AS ask_qty FROM events WHERE event_id % 2 = 1),
+    (1 + user_id % 7)::DOUBLE AS bid_qty, (1 + user_id % 11)::DOUBLE AS ask_qty FROM events),
 v_levels AS (
   SELECT event_id AS update_id, event_type AS symbol, epoch_us(ts) // 1000 AS event_ms, i, side,
     (10000 + floor(value)::BIGINT % 5 * 2 + CASE side WHEN 'bid' THEN -i ELSE 1 + i END) / 100.0::DOUBLE AS price,
     1.0::DOUBLE + CASE side WHEN 'bid' THEN (event_id + i) % 9 ELSE (event_id + 2 * i) % 7 END AS qty
-  FROM events, generate_series(0, 19) g(i), (VALUES ('bid'), ('ask')) s(side) WHERE event_id % 2 = 1),
-v_requests AS (SELECT id, symbol, t FROM v_trades WHERE id % 2 = 0),
+  FROM events, generate_series(0, 19) g(i), (VALUES ('bid'), ('ask')) s(side)),
+v_requests AS (SELECT id, symbol, t - 1 AS t FROM v_trades),
 v_predictions AS (
   SELECT o_orderkey AS id, date_diff('day', DATE '1970-01-01', o_orderdate::DATE)::BIGINT AS day, (o_orderstatus = 'F')::INT AS y,
     0.05::DOUBLE + 0.9::DOUBLE * (o_custkey % 1000) / 1000 AS p, (1 + o_orderkey % 3)::DOUBLE AS weight FROM orders),
@@ -130,6 +131,7 @@ v_obs AS (
   SELECT event_id AS id, epoch_us(ts) // 1000 AS observed_at, event_type AS kind, 's' || (user_id % 10)::VARCHAR AS source, (value - 50) / 500 AS score, props AS payload FROM events),
 v_bars AS (
   SELECT symbol, (t // 3600000) * 3600000 AS open_time, arg_min(price, (t, id)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (t, id)) AS close,
-    sum(qty) AS volume, sum(price * qty) AS quote_volume, count(*) AS trade_count, sum(CASE WHEN NOT buyer_is_maker THEN qty ELSE 0 END) AS buy_volume
+    sum(qty) AS volume, sum(price * qty) AS quote_volume, sum(last_id - first_id + 1)::BIGINT AS trade_count, sum(CASE WHEN NOT buyer_is_maker THEN qty ELSE 0 END) AS buy_volume,
+    sum(CASE WHEN NOT buyer_is_maker THEN price * qty ELSE 0 END) AS buy_quote_volume
   FROM v_trades GROUP BY 1, 2)
 """
