@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import bpe, langid, mixing, ngram_join, pii
-from tidemark.llm.tables import stage, table
+from tidemark.llm.tables import discard, stage, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Every stage's table is written in the shared folder; it goes once the next one's is whole."""
+    docs, held = table(spark, sf_dir, "documents"), None
     for _, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir))
+        if held is not None:
+            discard(held)
+        held = docs
     return STAGES[-1][1](spark, docs, sf_dir)
