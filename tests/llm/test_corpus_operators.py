@@ -148,6 +148,14 @@ def test_embedding_links_near_the_threshold_and_odd_rows(spark):
     assert neardup.link_vectors(df.limit(0)).count() == 0
 
 
+def test_embedding_ids_that_repeat_on_other_vectors(spark):
+    """Equal ids are vectors of their own: links do not mix, components are the smallest ids reached."""
+    a, b, c = [1.0, 0.0, 0.0, 0.1], [0.0, 1.0, 0.1, 0.0], [0.0, 0.1, 1.0, 0.0]
+    rows = [(5, a, 0), (5, b, 0), (6, [1.0, 0.0, 0.0, 0.11], 0), (3, [0.0, 1.0, 0.11, 0.0], 0), (4, c, 0), (5, c, 1)]
+    got = sorted(tuple(r) for r in neardup.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect())
+    assert got == sorted([(5, 1, 5, True), (5, 1, 3, False), (6, 1, 5, False), (3, 1, 3, True), (4, 0, 4, True), (5, 0, 5, True)])
+
+
 def test_blocks_and_buckets_agree(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 16)
     rows = [(r["vec_id"], list(map(float, r["embedding"])), r["label"]) for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.tables import Forest, bounds, by_sorted_key, components, cut
+from tidemark.llm.tables import Forest, bounds, by_sorted_key, components, cut, stage
 
 #: Vectors the rotations are learned from, at most about.
 FIT_VECTORS = 20_000
@@ -65,11 +65,15 @@ def usable(vector: Column, label: Column) -> Column:
     return F.coalesce(label.isNotNull() & (F.size(vector) > 0) & ~bad & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
+def _key_type(bits: int) -> type:
+    return np.uint8 if bits <= 8 else np.uint16 if bits <= 16 else np.uint32
+
+
 def _codes(x: np.ndarray, rotations: list[np.ndarray], bits: int, tables: int) -> np.ndarray:
     """Keys (rows x tables) of unit rows; together they are the code."""
     flags = np.concatenate([x @ r >= 0 for r in rotations], axis=1)[:, : bits * tables]
     weights = 1 << np.arange(bits)
-    return flags.reshape(len(x), tables, bits) @ weights
+    return (flags.reshape(len(x), tables, bits) @ weights).astype(_key_type(bits))
 
 
 def _unit(lists: pa.Array) -> np.ndarray:
@@ -86,10 +90,12 @@ def link_vectors(df: DataFrame, threshold: float = 0.93, fit_vectors: int = FIT_
     """(id, n_links, component_id, kept) of each row."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v"))
     good = usable(F.col("v"), F.col("label"))
-    clean = F.transform("v", lambda x: x.cast("double") + F.lit(0.0))
+    own_type = "float" if rows.schema["v"].dataType.simpleString() == "array<float>" else "double"
+    clean = F.transform("v", lambda x: x.cast(own_type) + F.lit(0.0).cast(own_type))  # no negative zero
     # classes of equal vectors of a label; the smallest id stands for each
     classes = rows.where(good).groupBy("label", clean.alias("v")).agg(F.min("id").alias("c"), F.count("*").alias("copies"))
-    classes = cut(classes.withColumn("dim", F.size("v")))
+    # a class is named by a hash of label and content, since an id may stand on several vectors
+    classes = stage(classes.withColumns({"dim": F.size("v"), "k": F.xxhash64(F.lit("class"), "label", "v")}))
     shape = classes.groupBy("dim").agg(F.count("*").alias("n")).collect()  # one row for each length of vector
     most, total = classes.groupBy("label", "dim").agg(F.count("*").alias("n"), F.sum("copies").alias("m")).agg(F.max("n"), F.sum("m")).first()
     narrow = rows.select("id", "label", F.when(good, F.struct(*_named(clean))).alias("h")).select("id", "label", "h.*")
@@ -100,17 +106,18 @@ def link_vectors(df: DataFrame, threshold: float = 0.93, fit_vectors: int = FIT_
         bits, tables = tables_for(most, threshold)
         own = classes.where(F.col("dim") == dim)
         share = min(1.0, fit_vectors / n)
-        sample = own.where(F.pmod(F.xxhash64(F.lit(3), "c"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else own
+        sample = own.where(F.pmod(F.xxhash64(F.lit(3), "k"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else own
         x = np.array([r[0] for r in sample.select("v").collect()], np.float64).reshape(-1, dim)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         width = min(dim, 64)
         rotations = [learn_rotation(x, width, seed) for seed in range(math.ceil(bits * tables / width))]
         found = cut(_linked(own, rotations, bits, tables, threshold))
         links = found if links is None else links.union(found)
-    reach = components(links.where("u <> root").select("u", "root")).withColumnRenamed("id", "c")
-    degree = links.groupBy(F.col("u").alias("c")).agg(F.sum("n").alias("others"))
-    told = classes.select("c", "label", "copies", *_named(F.col("v"))).join(degree, "c", "left").join(reach, "c", "left")
-    told = told.select("label", "h1", "h2", "copies", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("component_id", "c").alias("component"))
+    reach = components(links.where("u <> root").select("u", "root")).withColumnRenamed("id", "k")
+    degree = links.groupBy(F.col("u").alias("k")).agg(F.sum("n").alias("others"))
+    told = classes.select("k", "c", "label", "copies", *_named(F.col("v"))).join(degree, "k", "left").join(reach, "k", "left").withColumn("group", F.coalesce("component_id", "k"))
+    told = cut(told.select("group", "c", "label", "h1", "h2", "copies", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n")))
+    told = told.join(told.groupBy("group").agg(F.min("c").alias("component")), "group").drop("group", "c")
     # vectors with very many copies are few, whatever the data: their rows meet them by a broadcast, all others by a shuffle
     bar = max(HOT_COPIES, (total or 0) // HOT_ROWS)
     keys, told = ["label", "h1", "h2"], cut(told)
@@ -134,12 +141,15 @@ def _met_before(keys: np.ndarray, t: int, some: np.ndarray, right: np.ndarray) -
     return out
 
 
-def _pairs(group: pa.Table, near):
+def _keys(group: pa.Table, bits: int) -> np.ndarray:
+    return np.frombuffer(b"".join(group.column("code").to_pylist()), _key_type(bits)).reshape(group.num_rows, -1)
+
+
+def _pairs(group: pa.Table, bits: int, near):
     """For each task of a run of whole ones, in blocks: (rows of the left block, rows of the right one, which pairs are near)."""
     task, t, side = group.column("task").to_numpy(), group.column("t").to_numpy(), group.column("side").to_numpy()
     label = group.column("lab").to_numpy()
-    keys = group.column("keys").combine_chunks().flatten().to_numpy().reshape(len(task), -1)
-    edge = bounds(task)
+    keys, edge = _keys(group, bits), bounds(task)
     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
         if b - a < 2:
             continue
@@ -156,30 +166,33 @@ def _pairs(group: pa.Table, near):
 
 
 def _linked(classes: DataFrame, rotations: list[np.ndarray], bits: int, tables: int, threshold: float) -> DataFrame:
-    """(u, n, root) rows: vectors linked with class u in one block, and the least class of its local component."""
+    """(u, n, root) rows: vectors linked with class u in one block, and the first class of its local component."""
     radius = radius_for(bits * tables, threshold)
 
     def index(batches):
         for batch in batches:
             if batch.num_rows:
                 keys = _codes(_unit(batch.column("v")), rotations, bits, tables)
+                code = pa.array([row.tobytes() for row in keys], pa.binary())
                 lists = pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * tables, pa.array(keys.ravel().astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("lab"), lists], ["c", "lab", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("lab"), code, lists], ["k", "lab", "code", "keys"])
 
-    coded = cut(classes.select("c", F.xxhash64("label").alias("lab"), "v").mapInArrow(index, "c long, lab long, keys array<int>"))
-    placed = coded.select("*", F.posexplode("keys").alias("t", "key"))
+    coded = cut(classes.select("k", F.xxhash64("label").alias("lab"), "v").mapInArrow(index, "k long, lab long, code binary, keys array<int>"))
+    bucket = F.xxhash64("lab", "t", "key").alias("bucket")
+    placed = coded.select("k", "lab", "code", F.posexplode("keys").alias("t", "key")).select("k", "lab", "code", "t", bucket)
     # buckets too large for one block are cut in blocks, and every pair of blocks becomes a task of its own
-    sizes = coded.select("lab", F.posexplode("keys").alias("t", "key")).groupBy("lab", "t", "key").agg(F.count("*").alias("m")).where("m > 1")
-    placed = placed.join(sizes.withColumn("parts", F.ceil(F.col("m") / BLOCK).cast("int")), ["lab", "t", "key"])
-    own = F.pmod(F.xxhash64("c", "t"), F.col("parts")).cast("int")
+    sizes = placed.groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK)
+    sizes = cut(sizes.select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")))
+    placed = placed.join(F.broadcast(sizes) if sizes.count() <= HOT_ROWS else sizes, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.pmod(F.xxhash64("k", "t"), F.col("parts")).cast("int")
     placed = placed.withColumn("b", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    task = F.xxhash64("lab", "t", "key", F.least("b", "other"), F.greatest("b", "other"))
+    task = F.xxhash64("bucket", F.least("b", "other"), F.greatest("b", "other"))
     side = F.when(F.col("b") == F.col("other"), -1).otherwise((F.col("b") > F.col("other")).cast("int"))
-    dealt = placed.select(task.alias("task"), "c", "lab", "t", "keys", side.alias("side"))
+    dealt = placed.select(task.alias("task"), "k", "lab", "t", "code", side.alias("side"))
 
     def candidates(group: pa.Table) -> pa.Table:
         """Rows whose code has another within the radius in their task, that it did not meet in a table before."""
-        keys = group.column("keys").combine_chunks().flatten().to_numpy().astype(np.uint32).reshape(group.num_rows, -1)
+        keys = _keys(group, bits)
 
         def near(some: np.ndarray, right: np.ndarray) -> np.ndarray:
             apart = np.zeros((len(some), len(right)), np.uint16)
@@ -188,21 +201,20 @@ def _linked(classes: DataFrame, rotations: list[np.ndarray], bits: int, tables:
             return apart <= radius
 
         keep = np.zeros(group.num_rows, bool)
-        for some, right, close in _pairs(group, near):
+        for some, right, close in _pairs(group, bits, near):
             keep[some[close.any(axis=1)]] = True
             keep[right[close.any(axis=0)]] = True
         return group.filter(pa.array(keep))
 
-    schema = "task long, c long, lab long, t int, keys array<int>, side int"
-    survivors = cut(by_sorted_key(dealt, "task", ["c"], candidates, schema))
-    vectors = classes.select("c", "v", "copies", F.xxhash64("label").alias("lab"))
-    fetched = survivors.join(vectors, ["c", "lab"]).select("task", "c", "lab", "t", "keys", "side", "v", "copies")
+    schema = "task long, k long, lab long, t int, code binary, side int"
+    survivors = cut(by_sorted_key(dealt, "task", ["k"], candidates, schema))
+    fetched = survivors.join(classes.select("k", "v", "copies"), "k").select("task", "k", "lab", "t", "code", "side", "v", "copies")
 
     def compare(group: pa.Table) -> pa.Table:
-        c, copies = group.column("c").to_numpy(), group.column("copies").to_numpy()
+        k, copies = group.column("k").to_numpy(), group.column("copies").to_numpy()
         x = _unit(group.column("v").combine_chunks())
-        forest, n = Forest(len(c)), np.zeros(len(c), np.int64)
-        for some, right, close in _pairs(group, lambda some, right: x[some] @ x[right].T >= threshold):
+        forest, n = Forest(len(k)), np.zeros(len(k), np.int64)
+        for some, right, close in _pairs(group, bits, lambda some, right: x[some] @ x[right].T >= threshold):
             n[some] += close @ copies[right]
             n[right] += close.T @ copies[some]
             for row in np.flatnonzero(close.any(axis=1)).tolist():
@@ -212,7 +224,7 @@ def _linked(classes: DataFrame, rotations: list[np.ndarray], bits: int, tables:
         least: dict[int, int] = {}
         for i in hit.tolist():
             r = forest.find(i)
-            least[r] = min(least.get(r, int(c[i])), int(c[i]))
-        return pa.table({"u": c[hit], "n": n[hit], "root": np.array([least[forest.find(int(i))] for i in hit], np.int64)})
+            least[r] = min(least.get(r, int(k[i])), int(k[i]))
+        return pa.table({"u": k[hit], "n": n[hit], "root": np.array([least[forest.find(int(i))] for i in hit], np.int64)})
 
-    return by_sorted_key(fetched, "task", ["c"], compare, "u long, n long, root long")
+    return by_sorted_key(fetched, "task", ["k"], compare, "u long, n long, root long")
