@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import ranks
+
 
 def binary_metrics(df: DataFrame) -> DataFrame:
+    """Losses, accuracy, Matthews correlation (0 where a class or call is missing) and average precision, as one row."""
     y, p = F.col("y"), F.col("p")
-    hit = (p >= 0.5).cast("int") == y
-    return df.agg(F.count("*").alias("n"), F.avg(-(y * F.log(p) + (1 - y) * F.log(1 - p))).alias("log_loss"), F.avg((p - y) ** 2).alias("brier"), F.avg(hit.cast("double")).alias("accuracy"), F.avg(y.cast("double")).alias("prevalence"))
+    call = (p >= 0.5).cast("int")
+    a, b, c, d = (F.count_if((call == i) & (y == j)).cast("double") for i, j in ((1, 1), (1, 0), (0, 1), (0, 0)))
+    spread = F.sqrt((a + b) * (a + c) * (d + b) * (d + c))
+    sums = df.agg(F.count("*").alias("n"), F.avg(-(y * F.log(p) + (1 - y) * F.log(1 - p))).alias("log_loss"), F.avg((p - y) ** 2).alias("brier"), F.avg((call == y).cast("double")).alias("accuracy"), F.avg(y.cast("double")).alias("prevalence"), F.when(spread > 0, (a * d - b * c) / spread).otherwise(0.0).alias("mcc"))
+    return sums.crossJoin(F.broadcast(ranks.average_precision(df)))  # one row each
 
 
 def calibration_error(df: DataFrame, bins: int = 10) -> DataFrame:

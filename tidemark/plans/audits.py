@@ -14,11 +14,13 @@ NOW = 1_705_500_000_000
 
 
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trades as JSON frames; every 7th torn, every 5th without a quantity, every 3rd a quote."""
+    """Trades as JSON frames; every 7th torn, every 11th a mark price, every 13th a liquidation, every 3rd a quote, every 5th without a quantity."""
     t = views.trades(spark, sf_dir)
     trade = F.to_json(F.struct(F.lit("trade").alias("e"), F.col("t").alias("E"), F.col("symbol").alias("s"), F.col("price").alias("p"), F.when(F.col("id") % 5 != 0, F.col("qty")).alias("q")))
     quote = F.to_json(F.struct(F.lit("bookTicker").alias("e"), F.col("t").alias("E"), F.col("symbol").alias("s"), F.col("price").alias("b"), (F.col("price") + 1).alias("a")))
-    return t.select("id", F.when(F.col("id") % 7 == 0, "{torn").when(F.col("id") % 3 == 0, quote).otherwise(trade).alias("raw_text"))
+    mark = F.to_json(F.struct(F.lit("markPriceUpdate").alias("e"), F.col("t").alias("E"), F.col("symbol").alias("s"), F.col("price").alias("p"), (F.col("price") - 1).alias("i"), (F.col("qty") / 100).alias("r")))
+    forced = F.to_json(F.struct(F.lit("forceOrder").alias("e"), F.col("t").alias("E"), F.struct(F.col("symbol").alias("s"), F.when(F.col("buyer_is_maker"), "SELL").otherwise("BUY").alias("S"), F.when(F.col("id") % 5 != 0, F.col("qty")).alias("q"), F.col("price").alias("p")).alias("o")))
+    return t.select("id", F.when(F.col("id") % 7 == 0, "{torn").when(F.col("id") % 11 == 0, mark).when(F.col("id") % 13 == 0, forced).when(F.col("id") % 3 == 0, quote).otherwise(trade).alias("raw_text"))
 
 
 def candles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,10 +81,10 @@ SELECT *, CASE archive % 3 WHEN 0 THEN 'missing' WHEN 1 THEN 'verified' ELSE 'mi
     "S14_decode_frames": (
         lambda s, d: frames.decode_frames(feed(s, d)).drop("raw_text"),
         V
-        + """, k AS (SELECT *, CASE WHEN id % 7 = 0 THEN 'torn' WHEN id % 3 = 0 THEN 'quote' ELSE 'trade' END AS f FROM v_trades)
-SELECT id, CASE WHEN f = 'quote' OR f = 'trade' AND id % 5 <> 0 THEN f END AS kind, CASE WHEN f <> 'torn' THEN symbol END AS symbol, CASE WHEN f <> 'torn' THEN t END AS event_ms, CASE WHEN f = 'trade' THEN round(price, 6) END AS price,
-  CASE WHEN f = 'trade' AND id % 5 <> 0 THEN qty END AS qty, CASE WHEN f = 'quote' THEN round(price, 6) END AS bid, CASE WHEN f = 'quote' THEN round(price + 1, 6) END AS ask,
-  CASE WHEN f = 'torn' THEN 'unknown frame' WHEN f = 'trade' AND id % 5 = 0 THEN 'bad values' END AS reason FROM k""",
+        + """, k AS (SELECT *, CASE WHEN id % 7 = 0 THEN 'torn' WHEN id % 11 = 0 THEN 'mark' WHEN id % 13 = 0 THEN 'liquidation' WHEN id % 3 = 0 THEN 'quote' ELSE 'trade' END AS f FROM v_trades), g AS (SELECT *, f IN ('quote', 'mark') OR f IN ('trade', 'liquidation') AND id % 5 <> 0 AS good FROM k)
+SELECT id, CASE WHEN good THEN f END AS kind, CASE WHEN f <> 'torn' THEN symbol END AS symbol, CASE WHEN f <> 'torn' THEN t END AS event_ms, CASE WHEN f IN ('trade', 'mark', 'liquidation') THEN round(price, 6) END AS price,
+  CASE WHEN f IN ('trade', 'liquidation') AND id % 5 <> 0 THEN qty END AS qty, CASE WHEN f = 'quote' THEN round(price, 6) END AS bid, CASE WHEN f = 'quote' THEN round(price + 1, 6) END AS ask, CASE WHEN f = 'mark' THEN round(price - 1, 6) END AS index_price,
+  CASE WHEN f = 'mark' THEN round(qty / 100, 6) END AS funding_rate, CASE WHEN f = 'liquidation' THEN CASE WHEN buyer_is_maker THEN 'SELL' ELSE 'BUY' END END AS side, CASE WHEN f = 'torn' THEN 'unknown frame' WHEN NOT good THEN 'bad values' END AS reason FROM g""",
     ),
     "S21_top_of_book": (
         lambda s, d: frames.top_of_book(views.quotes(s, d), NOW, HOUR, 5000.0, 3.0),

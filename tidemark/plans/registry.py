@@ -175,7 +175,11 @@ SELECT "window", min(day) AS first_day, max(day) AS last_day, sum(rows)::BIGINT
     "P10_group_equal_weights": (lambda s, d: evaluation.day_weights(views.predictions(s, d)), V + "SELECT id, round(1.0::DOUBLE / count(*) OVER (PARTITION BY day), 6) AS weight FROM v_predictions"),
     "E01_binary_metrics": (
         lambda s, d: evaluation.binary_metrics(views.predictions(s, d)),
-        V + "SELECT count(*) AS n, round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 6) AS log_loss, round(avg((p - y) ** 2), 6) AS brier, round(avg(((p >= 0.5)::INT = y)::INT::DOUBLE), 6) AS accuracy, round(avg(y::DOUBLE), 6) AS prevalence FROM v_predictions",
+        V
+        + """, k AS (SELECT p, sum(y)::DOUBLE AS pos, count(*)::DOUBLE AS n FROM v_predictions GROUP BY 1), r AS (SELECT pos, sum(pos) OVER w / sum(n) OVER w AS pr FROM k WINDOW w AS (ORDER BY p DESC)), ap AS (SELECT round(sum(pos * pr) / sum(pos), 6) AS average_precision FROM r),
+c AS (SELECT count(*) FILTER (p >= 0.5 AND y = 1)::DOUBLE AS a, count(*) FILTER (p >= 0.5 AND y = 0)::DOUBLE AS b, count(*) FILTER (p < 0.5 AND y = 1)::DOUBLE AS c, count(*) FILTER (p < 0.5 AND y = 0)::DOUBLE AS d FROM v_predictions),
+m AS (SELECT round(CASE WHEN (a + b) * (a + c) * (d + b) * (d + c) > 0 THEN (a * d - b * c) / sqrt((a + b) * (a + c) * (d + b) * (d + c)) ELSE 0 END, 6) AS mcc FROM c),
+s AS (SELECT count(*) AS n, round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 6) AS log_loss, round(avg((p - y) ** 2), 6) AS brier, round(avg(((p >= 0.5)::INT = y)::INT::DOUBLE), 6) AS accuracy, round(avg(y::DOUBLE), 6) AS prevalence FROM v_predictions) SELECT * FROM s, m, ap""",
     ),
     "E05_roc_auc": (
         lambda s, d: ranks.roc_auc(views.predictions(s, d)),
@@ -231,8 +235,8 @@ r AS (SELECT symbol, sum(d) OVER (PARTITION BY symbol ORDER BY day) AS o FROM g)
 SELECT id, symbol, entry, exit, round(pnl, 6) AS pnl FROM b QUALIFY row_number() OVER (PARTITION BY symbol, entry ORDER BY r DESC, id DESC) = 1""",
     ),
     "S11_append_observations": (
-        lambda s, d: ingest.append_observations(views.observations(s, d).where("id % 2 = 0"), views.observations(s, d)).select("id", "kind", "payload_hash"),
-        V + "SELECT id, kind, sha256(payload) AS payload_hash FROM v_obs WHERE id % 2 = 1",
+        lambda s, d: ingest.append_observations(views.observations(s, d).where("id % 2 = 0"), views.observations(s, d), 8).select("id", "kind", "payload_hash", "payload", "truncated"),
+        V + "SELECT id, kind, sha256(payload) AS payload_hash, substr(payload, 1, 8) AS payload, octet_length(payload::BLOB) > 8 AS truncated FROM v_obs WHERE id % 2 = 1",
     ),
     "F31_book_walk": (
         _walks,

@@ -6,19 +6,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Frame key -> column; keys differ by case only, so they are read by name and not by a schema.
-FRAME = {"e": "__e", "E": "__time", "s": "__s", "p": "__p", "q": "__q", "b": "__bid", "a": "__ask"}
+FRAME = {"e": "__e", "E": "__time", "s": "__s", "p": "__p", "q": "__q", "b": "__bid", "a": "__ask", "i": "__index", "r": "__rate", "o": "__order"}
+#: Event name of a frame -> kind.
+EVENTS = {"trade": "trade", "aggTrade": "trade", "bookTicker": "quote", "markPriceUpdate": "mark", "forceOrder": "liquidation"}
 
 
 def decode_frames(frames: DataFrame, raw: str = "raw_text") -> DataFrame:
-    """Raw JSON frames as typed trades and best quotes; a frame that is neither keeps its text and the reason."""
+    """Raw JSON frames as typed trades, best quotes, mark prices and liquidations; any other keeps its text and the reason."""
     rows = frames.select(*frames.columns, F.json_tuple(raw, *FRAME).alias(*FRAME.values()))
-    p, q, bid, ask = (F.expr(f"try_cast({c} AS double)") for c in ("__p", "__q", "__bid", "__ask"))
-    trade = F.col("__e").isin("trade", "aggTrade") & (p > 0) & (q > 0)
-    quote = (F.col("__e") == "bookTicker") & (bid > 0) & (ask >= bid)
-    kind = F.when(F.coalesce(trade, F.lit(False)), "trade").when(F.coalesce(quote, F.lit(False)), "quote")
-    known = F.coalesce(F.col("__e").isin("trade", "aggTrade", "bookTicker"), F.lit(False))
-    reason = F.when(kind.isNotNull(), None).when(known, "bad values").otherwise("unknown frame")
-    typed = [kind.alias("kind"), F.col("__s").alias("symbol"), F.expr("try_cast(__time AS bigint)").alias("event_ms"), p.alias("price"), q.alias("qty"), bid.alias("bid"), ask.alias("ask"), reason.alias("reason")]
+    p, q, bid, ask, index, rate = (F.expr(f"try_cast({c} AS double)") for c in ("__p", "__q", "__bid", "__ask", "__index", "__rate"))
+    forced = {k: F.get_json_object("__order", f"$.{k}") for k in ("s", "S", "q", "p")}
+    fp, fq = forced["p"].try_cast("double"), forced["q"].try_cast("double")
+    kind = F.create_map(*[F.lit(x) for pair in EVENTS.items() for x in pair])[F.col("__e")]
+    sane = {"trade": (p > 0) & (q > 0), "quote": (bid > 0) & (ask >= bid), "mark": (p > 0) & (index > 0) & rate.isNotNull(), "liquidation": (fp > 0) & (fq > 0) & forced["S"].isin("BUY", "SELL")}
+    good = F.coalesce(*[F.when(kind == k, F.coalesce(ok, F.lit(False))) for k, ok in sane.items()], F.lit(False))
+    liquidation = kind == "liquidation"
+    reason = F.when(good, None).when(kind.isNotNull(), "bad values").otherwise("unknown frame")
+    typed = [
+        F.when(good, kind).alias("kind"), F.coalesce(forced["s"], F.col("__s")).alias("symbol"), F.expr("try_cast(__time AS bigint)").alias("event_ms"), F.when(liquidation, fp).otherwise(p).alias("price"), F.when(liquidation, fq).otherwise(q).alias("qty"),
+        bid.alias("bid"), ask.alias("ask"), index.alias("index_price"), rate.alias("funding_rate"), forced["S"].alias("side"), reason.alias("reason"),
+    ]
     return rows.select(*frames.columns, *typed)
 
 

@@ -38,8 +38,15 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], order: str
     return both.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__rank")
 
 
-def append_observations(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Incoming rows that are new by (kind, source, time, payload hash), each once."""
+def append_observations(existing: DataFrame, incoming: DataFrame, most_bytes: int | None = None) -> DataFrame:
+    """Incoming rows that are new by (kind, source, time, payload hash), each once.
+
+    Of a payload over ``most_bytes`` a preview of so many characters stays, beside the hash of the whole.
+    """
     keys = ["kind", "source", "observed_at", "payload_hash"]
     hashed = incoming.withColumn("payload_hash", F.sha2("payload", 256)).dropDuplicates(keys)
-    return hashed.join(existing.withColumn("payload_hash", F.sha2("payload", 256)).select(keys), keys, "left_anti")
+    new = hashed.join(existing.withColumn("payload_hash", F.sha2("payload", 256)).select(keys), keys, "left_anti")
+    if most_bytes is None:
+        return new
+    large = F.coalesce(F.octet_length("payload") > most_bytes, F.lit(False))
+    return new.withColumns({"truncated": large, "payload": F.when(large, F.substring("payload", 1, most_bytes)).otherwise(F.col("payload"))})
