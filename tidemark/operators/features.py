@@ -227,6 +227,35 @@ def rolling_extreme(bars: DataFrame, n: int) -> DataFrame:
     return own(chunked(bars, n).select(*KEYS, full(F.max("high").over(frame(n)), "high", n).alias("highest"), full(F.min("low").over(frame(n)), "low", n).alias("lowest")))
 
 
+def basis_features(spot: DataFrame, perp: DataFrame, widths: tuple[int, ...] = (3, 12), lags: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """Two markets of a symbol side by side: log basis, and by width its change, the gap of returns, product and distance of
+    flows, and gaps of log volume and log rate; by lag the spot's earlier flow times and less the other's present one.
+
+    Both are dense bars; rows without the widest past are left out.
+    """
+    names = ("close", "volume", "quote_volume", "trade_count", "buy_volume")
+    sides = [m.select("symbol", "open_time", *[F.col(c).alias(f"{k}_{c}") for c in names]) for k, m in (("s", spot), ("p", perp))]
+    rows = chunked(sides[0].join(sides[1], ["symbol", "open_time"]), 2 * max(widths) + max(lags))
+
+    def flow(k: str, n: int) -> Column:
+        total = F.sum(f"{k}_volume").over(frame(n))
+        return F.when(total > 0, F.sum(2 * F.col(f"{k}_buy_volume") - F.col(f"{k}_volume")).over(frame(n)) / total).otherwise(0.0)
+
+    rows = rows.withColumns({"basis": 10_000 * (F.log("p_close") - F.log("s_close")), "__s": flow("s", 1), "__p": flow("p", 1)})
+    made = {}
+    for n in widths:
+        back = [10_000 * F.log(F.col(f"{k}_close") / F.lag(f"{k}_close", n).over(by_time())) for k in "sp"]
+        flows = [flow(k, n) for k in "sp"]
+        made |= {
+            f"basis_change_{n}": F.col("basis") - F.lag("basis", n).over(by_time()), f"return_gap_{n}": back[0] - back[1], f"flow_product_{n}": flows[0] * flows[1], f"flow_gap_{n}": F.abs(flows[0] - flows[1]),
+            f"volume_gap_{n}": F.log1p(F.sum("s_quote_volume").over(frame(n))) - F.log1p(F.sum("p_quote_volume").over(frame(n))), f"rate_gap_{n}": F.log1p(F.sum("s_trade_count").over(frame(n)) / n) - F.log1p(F.sum("p_trade_count").over(frame(n)) / n),
+        }
+    for k in lags:
+        before = F.lag("__s", k).over(by_time())
+        made |= {f"lagged_product_{k}": before * F.col("__p"), f"lagged_gap_{k}": before - F.col("__p")}
+    return own(rows.withColumns(made)).where(F.col(f"basis_change_{max(widths)}").isNotNull()).select("symbol", "open_time", "basis", *made)
+
+
 def peer_context(bars: DataFrame, anchor: str) -> DataFrame:
     """Each symbol's return against the mean and deviation of the others at the same time, from sums less its own.
 

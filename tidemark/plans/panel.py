@@ -44,6 +44,25 @@ CASE WHEN count(close) OVER {frame_sql(n)} = {n} THEN avg(trade_count) OVER {fra
     return DENSE + ", f AS (SELECT symbol, open_time, " + ", ".join(parts) + " FROM dense) SELECT symbol, open_time, " + ", ".join(outs) + " FROM f"
 
 
+def _basis_sql(widths: tuple[int, ...], lags: tuple[int, ...]) -> str:
+    def w(n: int) -> str:
+        return f"(ORDER BY open_time ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+
+    def flow(k: str, n: int) -> str:
+        return f"CASE WHEN sum({k}v) OVER {w(n)} > 0 THEN sum(2 * {k}b - {k}v) OVER {w(n)} / sum({k}v) OVER {w(n)} ELSE 0 END"
+
+    o = "(ORDER BY open_time)"
+    cols = [f"basis - lag(basis, {n}) OVER {o} AS basis_change_{n}, 10000 * ln(sc / lag(sc, {n}) OVER {o}) - 10000 * ln(pc / lag(pc, {n}) OVER {o}) AS return_gap_{n}, ({flow('s', n)}) * ({flow('p', n)}) AS flow_product_{n}, abs(({flow('s', n)}) - ({flow('p', n)})) AS flow_gap_{n}, ln(1 + sum(sq) OVER {w(n)}) - ln(1 + sum(pq) OVER {w(n)}) AS volume_gap_{n}, ln(1 + sum(sn) OVER {w(n)} / {n}.0::DOUBLE) - ln(1 + sum(pn) OVER {w(n)} / {n}.0::DOUBLE) AS rate_gap_{n}" for n in widths]
+    cols += [f"lag(sf, {k}) OVER {o} * pf AS lagged_product_{k}, lag(sf, {k}) OVER {o} - pf AS lagged_gap_{k}" for k in lags]
+    names = [f"{c}_{n}" for n in widths for c in ("basis_change", "return_gap", "flow_product", "flow_gap", "volume_gap", "rate_gap")] + [f"{c}_{k}" for k in lags for c in ("lagged_product", "lagged_gap")]
+    return (
+        DENSE
+        + f""", j AS (SELECT a.open_time, a.close AS sc, b.close AS pc, a.volume AS sv, b.volume AS pv, a.quote_volume AS sq, b.quote_volume AS pq, a.trade_count AS sn, b.trade_count AS pn, a.buy_volume AS sb, b.buy_volume AS pb, 10000 * (ln(b.close) - ln(a.close)) AS basis,
+  CASE WHEN a.volume > 0 THEN (2 * a.buy_volume - a.volume) / a.volume ELSE 0 END AS sf, CASE WHEN b.volume > 0 THEN (2 * b.buy_volume - b.volume) / b.volume ELSE 0 END AS pf FROM dense a JOIN dense b ON a.open_time = b.open_time AND a.symbol = 'click' AND b.symbol = 'view'),
+f AS (SELECT open_time, basis, {', '.join(cols)} FROM j) SELECT 'pair' AS symbol, open_time, round(basis, 6) AS basis, {', '.join(f'round({c}, 6) AS {c}' for c in names)} FROM f WHERE basis_change_{max(widths)} IS NOT NULL"""
+    )
+
+
 def _exits(s, d):
     q = views.quotes(s, d).select("symbol", "event_ms", "update_id", "bid", "ask")
     j = asof.asof_forward(q.withColumn("later", F.col("event_ms") + HOUR), q, "symbol", "later", "event_ms", "update_id", "exit_")
@@ -87,8 +106,8 @@ SELECT symbol, open_time, round(CASE WHEN m > 0 THEN v / m WHEN m IS NOT NULL TH
         DENSE + f"SELECT symbol, open_time, round(CASE WHEN count(high) OVER {frame_sql(24)} = 24 THEN max(high) OVER {frame_sql(24)} END, 6) AS highest, round(CASE WHEN count(low) OVER {frame_sql(24)} = 24 THEN min(low) OVER {frame_sql(24)} END, 6) AS lowest FROM dense",
     ),
     "F18_basis": (
-        lambda s, d: hourly(s, d).select("symbol", "open_time", "close").join(bars.quote_bars(views.quotes(s, d), HOUR).select("symbol", "open_time", F.col("close").alias("mid")), ["symbol", "open_time"]).select("symbol", "open_time", (F.log(F.col("mid") / F.col("close")) * 10_000).alias("basis")),
-        V + f", q AS (SELECT symbol, event_ms // {HOUR} * {HOUR} AS open_time, arg_max((bid + ask) / 2, (event_ms, update_id)) AS mid FROM v_quotes GROUP BY 1, 2) SELECT b.symbol, b.open_time, round(ln(mid / close) * 10000, 6) AS basis FROM v_bars b JOIN q ON q.symbol = b.symbol AND q.open_time = b.open_time",
+        lambda s, d: features.basis_features(*(dense(s, d).where(F.col("symbol") == name).withColumn("symbol", F.lit("pair")) for name in ("click", "view"))),
+        _basis_sql((3, 12), (1, 2)),
     ),
     "F22_peer_context": (
         lambda s, d: features.peer_context(dense(s, d), "click"),
