@@ -18,7 +18,7 @@ def direction_metrics(rows: DataFrame) -> DataFrame:
     Areas come from one row for each score.
     """
     finite = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")) for c in ("signal", "outcome")]
-    used = rows.where(finite[0] & finite[1] & (F.col("outcome") != 0)).withColumn("y", (F.col("outcome") > 0).cast("int"))
+    used = regimes.cut(rows.where(finite[0] & finite[1] & (F.col("outcome") != 0)).select("signal", "outcome", "weight", (F.col("outcome") > 0).cast("int").alias("y")))
     routed = F.col("signal") != 0
     right = (F.col("signal") > 0) == (F.col("outcome") > 0)
     sums = used.agg(
@@ -88,18 +88,19 @@ def portfolio_risk(returns: DataFrame, cap: float, cluster_at: float, gates: dic
     ``gates`` bounds symbols, observations, effective_symbols, adjusted_symbols from below and cluster_weight, cvar,
     drawdown from above; those that fail are listed.
     """
-    aligned = asof.common_timestamps(returns.where("r is not null").select("symbol", "open_time", "r"))
+    aligned = regimes.cut(asof.common_timestamps(regimes.cut(returns.where("r is not null").select("symbol", "open_time", "r"))))
     inverse = aligned.groupBy("symbol").agg((1 / F.greatest(F.stddev_pop("r"), F.lit(1e-9))).alias("inverse"))
-    weights = panels.capped_weights(inverse, cap)
+    weights = regimes.cut(panels.capped_weights(inverse, cap))
     share = weights.withColumn("share", F.col("weight") / F.sum("weight").over(Window.partitionBy()))
     other = aligned.select(F.col("symbol").alias("other"), "open_time", F.col("r").alias("s"))
     pairs = aligned.join(other, "open_time").where("symbol < other").groupBy("symbol", "other").agg(F.coalesce(F.corr("r", "s"), F.lit(0.0)).alias("corr"))
+    pairs = regimes.cut(pairs)
     right = share.select(F.col("symbol").alias("other"), F.col("share").alias("other_share"))
     mass = F.col("share") * F.col("other_share")
     joint = pairs.join(share.select("symbol", "share"), "symbol").join(right, "other").agg(F.greatest(F.max("corr"), F.lit(0.0)).alias("max_correlation"), F.coalesce(F.sum(F.col("corr") * mass) / F.sum(mass), F.lit(0.0)).alias("mean_correlation"), F.coalesce(F.sum(2 * F.greatest("corr", F.lit(0.0)) * mass), F.lit(0.0)).alias("__joint"))
     alone = share.agg(F.count("*").alias("symbols"), F.sum("weight").alias("deployed"), (1 / F.sum(F.col("share") ** 2)).alias("effective_symbols"), F.sum(F.col("share") ** 2).alias("__alone"))
     clusters = regimes.correlation_clusters(pairs, share.select("symbol"), cluster_at).join(weights, "symbol").groupBy("cluster").agg(F.sum("weight").alias("w")).agg(F.count("*").alias("clusters"), F.max("w").alias("max_cluster_weight"))
-    path = aligned.join(weights, "symbol").groupBy("open_time").agg(F.sum(F.col("weight") * F.col("r")).alias("r"))
+    path = regimes.cut(aligned.join(weights, "symbol").groupBy("open_time").agg(F.sum(F.col("weight") * F.col("r")).alias("r")))
     tail = path.agg(F.count("*").alias("observations"), F.greatest(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY -r)"), F.lit(0.0)).alias("var"))
     beyond = path.crossJoin(F.broadcast(tail.select("var"))).where(-F.col("r") >= F.col("var")).agg(F.greatest(F.avg(-F.col("r")), F.lit(0.0)).alias("cvar"))
     growth = path.select(F.lit("all").alias("symbol"), "open_time", F.lit(0).alias("id"), F.log(1 + F.col("r")).alias("g"))

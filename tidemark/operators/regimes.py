@@ -19,6 +19,12 @@ def ready(spark: SparkSession) -> None:
     sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-shared-"))
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """A narrow table that several aggregates read, computed once, by a reliable checkpoint."""
+    ready(df.sparkSession)
+    return df.checkpoint()
+
+
 def classify_regime(bars: DataFrame, span: int) -> DataFrame:
     """A regime and its confidence for each (symbol, window of ``span`` ms), from the returns inside the window.
 

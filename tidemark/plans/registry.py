@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import book
 from tidemark.operators import asof, bars, evaluation, features, quality, ranks
 from tidemark.plans import audits, evidence, joins, orderbooks, panel, panels, portfolio, stats
-from tidemark.plans.base import BY, DENSE, HOUR, Query, V, dense, frame_sql, hourly, rounded, rounds
+from tidemark.plans.base import BY, DENSE, HOUR, TIE, Query, V, dense, frame_sql, hourly, rounded, rounds
 from tidemark.sources import ingest, views
 
 
@@ -37,6 +37,10 @@ SELECT symbol, count(*) AS n, round(avg(target ** 2), 6) AS mse_zero, round(corr
 FROM atr WHERE m10 IS NOT NULL AND sma IS NOT NULL AND atr IS NOT NULL AND target IS NOT NULL GROUP BY 1"""
 )
 
+def _tied(df: DataFrame) -> DataFrame:
+    return df.select("symbol", "open_time", *[(F.col(c) + TIE).alias(c) for c in df.columns[2:]])
+
+
 def _walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both sides walked for 85 units, which some books lack."""
     both = views.books(spark, sf_dir).select("update_id", book.walk_detail(F.col("asks"), F.lit(85.0)).alias("a"), book.walk_detail(F.col("bids"), F.lit(85.0)).alias("b"), book.imbalance(F.col("bids"), F.col("asks"), 5).alias("imbalance"))
@@ -121,15 +125,15 @@ SELECT symbol, count(*) AS n, count(*) FILTER (dup) AS duplicates, count(*) FILT
     ),
     "F01_momentum": (lambda s, d: features.momentum(dense(s, d)), DENSE + "SELECT symbol, open_time, " + ", ".join(f"round(close / lag(close, {k}) OVER {BY} - 1, 6) AS momentum_{k}" for k in (1, 3, 10)) + " FROM dense"),
     "F01_candle_features": (
-        lambda s, d: features.candle_features(dense(s, d), 3, 12),
+        lambda s, d: _tied(features.candle_features(dense(s, d), 3, 12)),
         DENSE
         + f""", x AS (SELECT *, close - lag(close) OVER {BY} AS d, abs(close / lag(close) OVER {BY} - 1) AS a, row_number() OVER {BY} AS i, greatest(high - low, abs(high - lag(close) OVER {BY}), abs(low - lag(close) OVER {BY})) AS tr,
   list_reduce(list(close) OVER {frame_sql(24)}, lambda e, c: e * (1 - 2.0::DOUBLE / 13) + c * (2.0::DOUBLE / 13)) AS ema FROM dense),
 y AS (SELECT *, {', '.join(f'avg(close) OVER {frame_sql(n)} AS c{n}' for n in (3, 5, 12))}, {', '.join(f'avg(volume) OVER {frame_sql(n)} AS v{n}' for n in (3, 12))}, avg(volume) OVER (PARTITION BY symbol ORDER BY open_time ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS vb,
   avg(close) OVER (PARTITION BY symbol ORDER BY open_time ROWS BETWEEN 4 PRECEDING AND 2 PRECEDING) AS cb, avg(greatest(d, 0)) OVER {frame_sql(14)} AS gain, avg(greatest(-d, 0)) OVER {frame_sql(14)} AS loss, avg(tr) OVER {frame_sql(14)} AS tr14, avg(a) OVER {frame_sql(20)} AS a20,
   {', '.join(f'close / lag(close, {k}) OVER {BY} - 1 AS m{k}' for k in (1, 3, 10, 20))} FROM x)
-SELECT symbol, open_time, {', '.join(f'round(m{k}, 6) AS momentum_{k}' for k in (1, 3, 10, 20))}, round(c3 / c12 - 1, 6) AS sma_spread, round(CASE WHEN loss = 0 THEN 1 ELSE 1 - 1 / (1 + gain / loss) END, 6) AS rsi, round((ema - close) / close, 6) AS ema_gap, round(tr14 / close, 6) AS atr, round(a20, 6) AS mean_abs_return,
-  round(CASE WHEN vb <> 0 THEN (volume - vb) / vb ELSE 0 END, 6) AS volume_ratio, round((c3 - cb) / cb, 6) AS acceleration, round((close - c5) / close, 6) AS gap_5, round(CASE WHEN v12 <> 0 THEN (v3 - v12) / v12 ELSE 0 END, 6) AS volume_trend FROM y WHERE i > 44""",
+SELECT symbol, open_time, {', '.join(f'round(m{k} + 1e-9::DOUBLE, 6) AS momentum_{k}' for k in (1, 3, 10, 20))}, round(c3 / c12 - 1 + 1e-9::DOUBLE, 6) AS sma_spread, round(CASE WHEN loss = 0 THEN 1 ELSE 1 - 1 / (1 + gain / loss) END + 1e-9::DOUBLE, 6) AS rsi, round((ema - close) / close + 1e-9::DOUBLE, 6) AS ema_gap, round(tr14 / close + 1e-9::DOUBLE, 6) AS atr, round(a20 + 1e-9::DOUBLE, 6) AS mean_abs_return,
+  round(CASE WHEN vb <> 0 THEN (volume - vb) / vb ELSE 0 END + 1e-9::DOUBLE, 6) AS volume_ratio, round((c3 - cb) / cb + 1e-9::DOUBLE, 6) AS acceleration, round((close - c5) / close + 1e-9::DOUBLE, 6) AS gap_5, round(CASE WHEN v12 <> 0 THEN (v3 - v12) / v12 ELSE 0 END + 1e-9::DOUBLE, 6) AS volume_trend FROM y WHERE i > 44""",
     ),
     "F03_rsi": (
         lambda s, d: features.rsi(dense(s, d)),
