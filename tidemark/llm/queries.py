@@ -1,4 +1,4 @@
-"""The queries of the ten operators, each over its whole table, and SQL for those that SQL can express."""
+"""The queries of the numbered operators, each over its whole table, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, langid, licenses, media, mixing, neardup, ngram_join, pii, tokencount, toxicity
+from tidemark.llm import bpe, fim, htmllabels, htmltext, langid, licenses, media, mixing, neardup, ngram_join, pii, tokencount, toxicity, vectorcodes
 from tidemark.llm.tables import table
 
 
@@ -51,6 +51,18 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fim_digest(table(spark, sf_dir, "documents"))
+
+
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"), htmltext.fit(htmllabels.labelled_pages(spark)))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -58,9 +70,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_source_mix, op2_language_id, op3_embedding_neardup, op4_byte_bpe, op5_pii, op6_toxicity, op7_license_scan, op8_token_count, op9_media_columns, op10_ngram_join, pipeline)
+    own = (op1_source_mix, op2_language_id, op3_embedding_neardup, op4_byte_bpe, op5_pii, op6_toxicity, op7_license_scan, op8_token_count, op9_media_columns, op10_ngram_join)
+    own += (op11_vector_codes, op12_fill_in_middle, op13_html_extraction, pipeline)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mix": mixing.ORACLE_SQL}
+    return {"op1_source_mix": mixing.ORACLE_SQL, "op11_vector_codes": vectorcodes.ORACLE_SQL, "op12_fill_in_middle": fim.ORACLE_SQL}
