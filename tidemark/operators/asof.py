@@ -13,37 +13,51 @@ from pyspark.sql import functions as F
 BUCKET_MS = 6 * 3_600_000
 
 
+def _bucket(t: Column, bucket_ms: int, row: Column) -> Column:
+    """The time bucket of a row; rows without a time are dealt out by their content, far before all times."""
+    return F.coalesce(F.floor(t / bucket_ms), F.lit(-(1 << 52)) - F.pmod(F.xxhash64(row), F.lit(1024)))
+
+
+def _known(key: str, t: str) -> Column:
+    return F.col(key).isNotNull() & F.col(t).isNotNull()
+
+
 def asof_join(left: DataFrame, right: DataFrame, key: str, left_t: str, right_t: str, order: str, prefix: str = "r_", bucket_ms: int = BUCKET_MS) -> DataFrame:
-    """Each left row with the latest right row at or before its time (ties by ``order``); null where there is none."""
+    """Each left row with the latest right row at or before its time (ties by ``order``); null where there is none.
+
+    A left row without key or time is kept and matches nothing; a right row without either is matched by nothing.
+    """
     value = F.struct(*[F.col(c).alias(prefix + c) for c in right.columns if c != key])
     none = F.lit(None).cast(right.select(value.alias("v")).schema["v"].dataType)
     row = F.struct(*[F.col(c) for c in left.columns])
     gone = F.lit(None).cast(left.select(row.alias("v")).schema["v"].dataType)
     a = left.select(F.col(key).alias("__k"), F.col(left_t).alias("__t"), F.lit(1).alias("__side"), F.lit(0).cast("long").alias("__o"), row.alias("__row"), none.alias("__v"))
-    b = right.select(F.col(key).alias("__k"), F.col(right_t).alias("__t"), F.lit(0).alias("__side"), F.col(order).cast("long").alias("__o"), gone.alias("__row"), value.alias("__v"))
-    both = a.unionByName(b).withColumn("__b", F.floor(F.col("__t") / bucket_ms))
+    b = right.where(_known(key, right_t)).select(F.col(key).alias("__k"), F.col(right_t).alias("__t"), F.lit(0).alias("__side"), F.col(order).cast("long").alias("__o"), gone.alias("__row"), value.alias("__v"))
+    both = a.unionByName(b).withColumn("__b", _bucket(F.col("__t"), bucket_ms, F.col("__row")))
     inside = Window.partitionBy("__k", "__b").orderBy("__t", "__side", "__o").rowsBetween(Window.unboundedPreceding, 0)
     seen = both.withColumn("__in", F.last("__v", ignorenulls=True).over(inside))
     # one row a bucket: its last right row, if it has one
     buckets = both.groupBy("__k", "__b").agg(F.max_by("__v", F.when(F.col("__side") == 0, F.struct("__t", "__o"))).alias("__last"))
     before = Window.partitionBy("__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = buckets.select("__k", "__b", F.last("__last", ignorenulls=True).over(before).alias("__carry"))
-    found = seen.where("__side = 1").join(carry, ["__k", "__b"]).select("__row.*", F.coalesce("__in", "__carry").alias("__m"))
+    carry = buckets.where("__k IS NOT NULL").select("__k", "__b", F.last("__last", ignorenulls=True).over(before).alias("__carry"))
+    found = seen.where("__side = 1").join(carry, ["__k", "__b"], "left").select("__row.*", F.coalesce("__in", "__carry").alias("__m"))
     return found.select(*left.columns, "__m.*")
 
 
 def neighbour(df: DataFrame, key: str, t: str, order: str, columns: list[str], prefix: str, ahead: bool = False, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """Each row with columns of the one before it (or after) by (t, order) in its key; null at the end.
 
-    A lag inside a time bucket; a bucket's first row takes the last row of the bucket before.
+    A lag inside a time bucket; a bucket's first row takes the last row of the bucket before. A row without key or time
+    is kept, has no neighbour and is none.
     """
-    rows = df.withColumn("__b", F.floor(F.col(t) / bucket_ms))
+    rows = df.withColumn("__b", _bucket(F.col(t), bucket_ms, F.struct(*df.columns)))
     held, place = F.struct(*[F.col(c).alias(prefix + c) for c in columns]), F.struct(t, order)
     by = [F.desc(t), F.desc(order)] if ahead else [F.col(t), F.col(order)]
     edge = F.min_by(held, place) if ahead else F.max_by(held, place)
-    carry = rows.groupBy(key, "__b").agg(edge.alias("__edge")).select(key, "__b", F.lag("__edge").over(Window.partitionBy(key).orderBy(F.desc("__b") if ahead else F.col("__b"))).alias("__carry"))
+    carry = rows.where(_known(key, t)).groupBy(key, "__b").agg(edge.alias("__edge")).select(key, "__b", F.lag("__edge").over(Window.partitionBy(key).orderBy(F.desc("__b") if ahead else F.col("__b"))).alias("__carry"))
     inside = rows.withColumn("__near", F.lag(held).over(Window.partitionBy(key, "__b").orderBy(*by)))
-    return inside.join(carry, [key, "__b"]).withColumn("__near", F.coalesce("__near", "__carry")).select(*df.columns, "__near.*")
+    near = F.when(_known(key, t), F.coalesce("__near", "__carry"))
+    return inside.join(carry, [key, "__b"], "left").withColumn("__near", near).select(*df.columns, "__near.*")
 
 
 def window_rows(decisions: DataFrame, rows: DataFrame, t: str, span: int) -> DataFrame:
@@ -83,34 +97,43 @@ def horizon_exclusions(bars: DataFrame, horizon: int) -> DataFrame:
 
 
 def running_sum(events: DataFrame, key: str, t: str, order: str, value: str, name: str = "s", bucket_ms: int = BUCKET_MS) -> DataFrame:
-    """Running sum by (t, order) for each key: sums inside a time bucket, on top of the buckets before."""
-    rows = events.withColumn("__b", F.floor(F.col(t) / bucket_ms))
-    totals = rows.groupBy(key, "__b").agg(F.sum(value).alias("__total"))
-    before = totals.withColumn("__before", F.coalesce(F.sum("__total").over(Window.partitionBy(key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).drop("__total")
+    """Running sum by (t, order) for each key: sums inside a time bucket, on top of the buckets before.
+
+    A row without key or time is kept with a null sum and adds to none; null values add nothing.
+    """
+    rows = events.withColumn("__b", _bucket(F.col(t), bucket_ms, F.struct(*events.columns)))
+    totals = rows.where(_known(key, t)).groupBy(key, "__b").agg(F.sum(value).alias("__total"))
+    before = totals.withColumn("__before", F.sum("__total").over(Window.partitionBy(key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))).drop("__total")
     inside = F.sum(value).over(Window.partitionBy(key, "__b").orderBy(t, order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn(name, inside).join(before, [key, "__b"]).withColumn(name, F.col(name) + F.col("__before")).drop("__b", "__before")
+    sums = F.when(_known(key, t), F.coalesce(F.col("__in") + F.col("__before"), F.col("__in"), F.col("__before")))
+    return rows.withColumn("__in", inside).join(before, [key, "__b"], "left").withColumn(name, sums).select(*[c for c in events.columns if c != name], name)
 
 
 def sums_at(left: DataFrame, times: dict[str, Column], events: DataFrame, value: str, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """Each left row with, for each named time, the sum of its symbol's event values up to and including that time.
 
     Events and the times asked for are one union, dealt out by (symbol, bucket) and run up once; what comes before a
-    bucket is a window over one row for each bucket. The times of a row meet again in one aggregate.
+    bucket is a window over one row for each bucket. The times of a row meet again by two hashes of the row, which itself
+    goes along with the first time only; equal rows stay as many as they were. A null time or symbol has a null sum;
+    events without a time or symbol are left out.
     """
-    asked = F.inline(F.array(*[F.struct(t.cast("long").alias("__t"), F.lit(name).alias("__name")) for name, t in times.items()]))
+    first = next(iter(times))
     row = F.struct(*[F.col(c) for c in left.columns])
-    marks = left.select(F.col("symbol").alias("__k"), row.alias("__row"), asked).select("__k", "__t", F.lit(1).alias("__side"), F.lit(0.0).alias("__v"), "__row", "__name")
     none = F.lit(None).cast(left.select(row.alias("r")).schema["r"].dataType)
-    seen = events.select(F.col("symbol").alias("__k"), F.col("t").cast("long").alias("__t"), F.lit(0).alias("__side"), F.col(value).cast("double").alias("__v"), none.alias("__row"), F.lit(None).cast("string").alias("__name"))
-    both = seen.unionByName(marks).withColumn("__b", F.floor(F.col("__t") / bucket_ms))
+    asked = F.inline(F.array(*[F.struct(t.cast("long").alias("__t"), F.lit(name).alias("__name")) for name, t in times.items()]))
+    marked = left.select(F.col("symbol").alias("__k"), row.alias("__whole"), F.struct(F.xxhash64(row).alias("a"), F.xxhash64(F.lit(1), row).alias("b")).alias("__id"), asked)
+    marks = marked.select("__k", "__t", F.lit(1).alias("__side"), F.lit(0.0).alias("__v"), "__id", F.when(F.col("__name") == first, F.col("__whole")).alias("__row"), "__name")
+    unmarked = marks.schema["__id"].dataType
+    seen = events.where("symbol IS NOT NULL AND t IS NOT NULL").select(F.col("symbol").alias("__k"), F.col("t").cast("long").alias("__t"), F.lit(0).alias("__side"), F.col(value).cast("double").alias("__v"), F.lit(None).cast(unmarked).alias("__id"), none.alias("__row"), F.lit(None).cast("string").alias("__name"))
+    both = seen.unionByName(marks).withColumn("__b", _bucket(F.col("__t"), bucket_ms, F.col("__id")))
     inside = Window.partitionBy("__k", "__b").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
     totals = both.groupBy("__k", "__b").agg(F.sum("__v").alias("__total"))
     before = Window.partitionBy("__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select("__k", "__b", F.coalesce(F.sum("__total").over(before), F.lit(0.0)).alias("__carry"))
-    found = both.withColumn("__s", F.sum("__v").over(inside)).where("__side = 1").join(carry, ["__k", "__b"]).withColumn("__s", F.col("__s") + F.col("__carry"))
-    met = found.groupBy("__row").agg(F.count("*").alias("__n"), *[F.max(F.when(F.col("__name") == name, F.col("__s"))).alias(name) for name in times])
-    copies = F.explode(F.sequence(F.lit(1), (F.col("__n") / len(times)).cast("int")))  # equal rows stay as many as they were
-    return met.select("__row", *times, copies).select("__row.*", *times)
+    carry = totals.where("__k IS NOT NULL").select("__k", "__b", F.coalesce(F.sum("__total").over(before), F.lit(0.0)).alias("__carry"))
+    told = F.when(_known("__k", "__t"), F.coalesce("__s", F.lit(0.0)) + F.col("__carry"))
+    found = both.withColumn("__s", F.sum("__v").over(inside)).where("__side = 1").join(carry, ["__k", "__b"], "left").withColumn("__s", told)
+    met = found.groupBy("__id").agg(F.first("__row", ignorenulls=True).alias("__row"), F.count_if(F.col("__name") == first).cast("int").alias("__n"), *[F.max(F.when(F.col("__name") == name, F.col("__s"))).alias(name) for name in times])
+    return met.select("__row", *times, F.explode(F.sequence(F.lit(1), F.col("__n")))).select("__row.*", *times)
 
 
 def trailing_event_sum(grid: DataFrame, events: DataFrame, span: int, value: str) -> DataFrame:
