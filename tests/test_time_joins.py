@@ -49,6 +49,17 @@ def test_neighbours_and_running_sums_with_nulls(spark, right):
     alike(asof.running_sum(b, "symbol", "t", "id", "v", bucket_ms=16), c, run, ["id", "v", "s"])
 
 
+@EACH
+@given(ROWS)
+def test_last_known_with_nulls(spark, right):
+    _, b, c = frames(spark, [], [(k, None if t is None else 10 * i + t, v) for i, (k, t, v) in enumerate(right)])
+    known = "symbol IS NOT NULL AND t IS NOT NULL"
+    one = b.groupBy("symbol", "t").agg({"v": "max"}).withColumnRenamed("max(v)", "v")
+    c.sql("CREATE VIEW o AS SELECT symbol, t, max(v) AS v FROM r GROUP BY 1, 2")
+    want = f"SELECT symbol, t, CASE WHEN {known} THEN last_value(v IGNORE NULLS) OVER (PARTITION BY symbol, {known} ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) ELSE v END FROM o"
+    alike(asof.last_known(one, "symbol", "t", ["v"], bucket_ms=16), c, want, ["symbol", "t", "v"])
+
+
 @EACH
 @given(ROWS, ROWS, st.integers(1, 30))
 def test_sums_between_times_with_nulls(spark, left, right, span):

@@ -15,7 +15,23 @@ BUCKET_MS = 6 * 3_600_000
 
 def _bucket(t: Column, bucket_ms: int, row: Column) -> Column:
     """The time bucket of a row; rows without a time are dealt out by their content, far before all times."""
-    return F.coalesce(F.floor(t / bucket_ms), F.lit(-(1 << 52)) - F.pmod(F.xxhash64(row), F.lit(1024)))
+    return F.coalesce(F.floor(t / bucket_ms), F.lit(-(1 << 52)) - F.xxhash64(row).bitwiseAND(1023))
+
+
+def _key(key: str | Column) -> Column:
+    """A key as a struct, which is never null: no filter on it is inferred that one consumer of a shuffle has and the other lacks."""
+    return F.struct((F.col(key) if isinstance(key, str) else key).alias("k"))
+
+
+def _by_bucket(rows: DataFrame, *aggs: Column) -> DataFrame:
+    """One row for each (key, bucket), from the very rows that the windows inside buckets see.
+
+    Counting every column asks for the same columns as those windows do, so that both read one shuffle and what lies below
+    it is computed once; counts are never negative.
+    """
+    others = [c for c in rows.columns if c not in ("__k", "__b")]
+    counts = F.greatest(*[F.count(c) for c in others], F.lit(0)) if others else F.lit(0)
+    return rows.groupBy("__k", "__b").agg(*aggs, counts.alias("__whole")).where("__whole >= 0").drop("__whole")
 
 
 def _known(key: str, t: str) -> Column:
@@ -31,15 +47,15 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_t: str, right_t:
     none = F.lit(None).cast(right.select(value.alias("v")).schema["v"].dataType)
     row = F.struct(*[F.col(c) for c in left.columns])
     gone = F.lit(None).cast(left.select(row.alias("v")).schema["v"].dataType)
-    a = left.select(F.col(key).alias("__k"), F.col(left_t).alias("__t"), F.lit(1).alias("__side"), F.lit(0).cast("long").alias("__o"), row.alias("__row"), none.alias("__v"))
-    b = right.where(_known(key, right_t)).select(F.col(key).alias("__k"), F.col(right_t).alias("__t"), F.lit(0).alias("__side"), F.col(order).cast("long").alias("__o"), gone.alias("__row"), value.alias("__v"))
+    a = left.select(_key(key).alias("__k"), F.col(left_t).alias("__t"), F.lit(1).alias("__side"), F.lit(0).cast("long").alias("__o"), row.alias("__row"), none.alias("__v"))
+    b = right.where(_known(key, right_t)).select(_key(key).alias("__k"), F.col(right_t).alias("__t"), F.lit(0).alias("__side"), F.col(order).cast("long").alias("__o"), gone.alias("__row"), value.alias("__v"))
     both = a.unionByName(b).withColumn("__b", _bucket(F.col("__t"), bucket_ms, F.col("__row")))
     inside = Window.partitionBy("__k", "__b").orderBy("__t", "__side", "__o").rowsBetween(Window.unboundedPreceding, 0)
     seen = both.withColumn("__in", F.last("__v", ignorenulls=True).over(inside))
     # one row a bucket: its last right row, if it has one
-    buckets = both.groupBy("__k", "__b").agg(F.max_by("__v", F.when(F.col("__side") == 0, F.struct("__t", "__o"))).alias("__last"))
+    buckets = _by_bucket(seen, F.max_by("__in", F.struct("__t", "__side", "__o")).alias("__last"))
     before = Window.partitionBy("__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = buckets.where("__k IS NOT NULL").select("__k", "__b", F.last("__last", ignorenulls=True).over(before).alias("__carry"))
+    carry = buckets.select("__k", "__b", F.last("__last", ignorenulls=True).over(before).alias("__carry"))
     found = seen.where("__side = 1").join(carry, ["__k", "__b"], "left").select("__row.*", F.coalesce("__in", "__carry").alias("__m"))
     return found.select(*left.columns, "__m.*")
 
@@ -50,14 +66,31 @@ def neighbour(df: DataFrame, key: str, t: str, order: str, columns: list[str], p
     A lag inside a time bucket; a bucket's first row takes the last row of the bucket before. A row without key or time
     is kept, has no neighbour and is none.
     """
-    rows = df.withColumn("__b", _bucket(F.col(t), bucket_ms, F.struct(*df.columns)))
+    rows = df.withColumns({"__k": _key(key), "__b": _bucket(F.col(t), bucket_ms, F.struct(*df.columns))})
     held, place = F.struct(*[F.col(c).alias(prefix + c) for c in columns]), F.struct(t, order)
     by = [F.desc(t), F.desc(order)] if ahead else [F.col(t), F.col(order)]
+    held = F.when(_known(key, t), held)
     edge = F.min_by(held, place) if ahead else F.max_by(held, place)
-    carry = rows.where(_known(key, t)).groupBy(key, "__b").agg(edge.alias("__edge")).select(key, "__b", F.lag("__edge").over(Window.partitionBy(key).orderBy(F.desc("__b") if ahead else F.col("__b"))).alias("__carry"))
-    inside = rows.withColumn("__near", F.lag(held).over(Window.partitionBy(key, "__b").orderBy(*by)))
+    order_by = F.desc("__b") if ahead else F.col("__b")
+    inside = rows.withColumn("__near", F.lag(held).over(Window.partitionBy("__k", "__b").orderBy(*by)))
+    edges = _by_bucket(inside, edge.alias("__edge")).withColumn("__carry", F.lag("__edge").over(Window.partitionBy("__k").orderBy(order_by))).select("__k", "__b", "__carry")
     near = F.when(_known(key, t), F.coalesce("__near", "__carry"))
-    return inside.join(carry, [key, "__b"], "left").withColumn("__near", near).select(*df.columns, "__near.*")
+    return inside.join(edges, ["__k", "__b"], "left").withColumn("__near", near).select(*df.columns, "__near.*")
+
+
+def last_known(df: DataFrame, key: str, t: str, columns: list[str], bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """Rows, one for each key and time, with each column's last value that is not null at or before the row, in place.
+
+    A row without key or time keeps its own values and lends none.
+    """
+    rows = df.withColumns({"__k": _key(key), "__b": _bucket(F.col(t), bucket_ms, F.struct(*df.columns))})
+    inside = Window.partitionBy("__k", "__b").orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
+    seen = rows.withColumns({f"__in_{c}": F.when(_known(key, t), F.last(c, ignorenulls=True).over(inside)).otherwise(F.col(c)) for c in columns})
+    ends = _by_bucket(seen, *[F.max_by(f"__in_{c}", F.when(_known(key, t), F.col(t))).alias(f"__end_{c}") for c in columns])
+    before = Window.partitionBy("__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select("__k", "__b", *[F.last(f"__end_{c}", ignorenulls=True).over(before).alias(f"__carry_{c}") for c in columns])
+    held = {c: F.coalesce(f"__in_{c}", F.when(_known(key, t), F.col(f"__carry_{c}"))) for c in columns}
+    return seen.join(carry, ["__k", "__b"], "left").select(*[held.get(c, F.col(c)).alias(c) for c in df.columns])
 
 
 def window_rows(decisions: DataFrame, rows: DataFrame, t: str, span: int) -> DataFrame:
@@ -101,12 +134,12 @@ def running_sum(events: DataFrame, key: str, t: str, order: str, value: str, nam
 
     A row without key or time is kept with a null sum and adds to none; null values add nothing.
     """
-    rows = events.withColumn("__b", _bucket(F.col(t), bucket_ms, F.struct(*events.columns)))
-    totals = rows.where(_known(key, t)).groupBy(key, "__b").agg(F.sum(value).alias("__total"))
-    before = totals.withColumn("__before", F.sum("__total").over(Window.partitionBy(key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))).drop("__total")
-    inside = F.sum(value).over(Window.partitionBy(key, "__b").orderBy(t, order).rowsBetween(Window.unboundedPreceding, 0))
+    rows = events.withColumns({"__k": _key(key), "__b": _bucket(F.col(t), bucket_ms, F.struct(*events.columns))})
+    ran = rows.withColumn("__in", F.sum(value).over(Window.partitionBy("__k", "__b").orderBy(t, order).rowsBetween(Window.unboundedPreceding, 0)))
+    totals = _by_bucket(ran, F.sum(F.when(_known(key, t), F.col(value))).alias("__total"))
+    before = totals.withColumn("__before", F.sum("__total").over(Window.partitionBy("__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))).drop("__total")
     sums = F.when(_known(key, t), F.coalesce(F.col("__in") + F.col("__before"), F.col("__in"), F.col("__before")))
-    return rows.withColumn("__in", inside).join(before, [key, "__b"], "left").withColumn(name, sums).select(*[c for c in events.columns if c != name], name)
+    return ran.join(before, ["__k", "__b"], "left").withColumn(name, sums).select(*[c for c in events.columns if c != name], name)
 
 
 def sums_at(left: DataFrame, times: dict[str, Column], events: DataFrame, value: str, bucket_ms: int = BUCKET_MS) -> DataFrame:
@@ -121,17 +154,18 @@ def sums_at(left: DataFrame, times: dict[str, Column], events: DataFrame, value:
     row = F.struct(*[F.col(c) for c in left.columns])
     none = F.lit(None).cast(left.select(row.alias("r")).schema["r"].dataType)
     asked = F.inline(F.array(*[F.struct(t.cast("long").alias("__t"), F.lit(name).alias("__name")) for name, t in times.items()]))
-    marked = left.select(F.col("symbol").alias("__k"), row.alias("__whole"), F.struct(F.xxhash64(row).alias("a"), F.xxhash64(F.lit(1), row).alias("b")).alias("__id"), asked)
+    marked = left.select(_key("symbol").alias("__k"), row.alias("__whole"), F.struct(F.xxhash64(row).alias("a"), F.xxhash64(F.lit(1), row).alias("b")).alias("__id"), asked)
     marks = marked.select("__k", "__t", F.lit(1).alias("__side"), F.lit(0.0).alias("__v"), "__id", F.when(F.col("__name") == first, F.col("__whole")).alias("__row"), "__name")
     unmarked = marks.schema["__id"].dataType
-    seen = events.where("symbol IS NOT NULL AND t IS NOT NULL").select(F.col("symbol").alias("__k"), F.col("t").cast("long").alias("__t"), F.lit(0).alias("__side"), F.col(value).cast("double").alias("__v"), F.lit(None).cast(unmarked).alias("__id"), none.alias("__row"), F.lit(None).cast("string").alias("__name"))
-    both = seen.unionByName(marks).withColumn("__b", _bucket(F.col("__t"), bucket_ms, F.col("__id")))
+    told_events = events.where("symbol IS NOT NULL AND t IS NOT NULL").select(_key("symbol").alias("__k"), F.col("t").cast("long").alias("__t"), F.lit(0).alias("__side"), F.col(value).cast("double").alias("__v"), F.lit(None).cast(unmarked).alias("__id"), none.alias("__row"), F.lit(None).cast("string").alias("__name"))
+    both = told_events.unionByName(marks).withColumn("__b", _bucket(F.col("__t"), bucket_ms, F.col("__id")))
     inside = Window.partitionBy("__k", "__b").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    totals = both.groupBy("__k", "__b").agg(F.sum("__v").alias("__total"))
+    seen = both.withColumn("__s", F.sum("__v").over(inside))
+    totals = _by_bucket(seen, F.sum("__v").alias("__total"))
     before = Window.partitionBy("__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.where("__k IS NOT NULL").select("__k", "__b", F.coalesce(F.sum("__total").over(before), F.lit(0.0)).alias("__carry"))
-    told = F.when(_known("__k", "__t"), F.coalesce("__s", F.lit(0.0)) + F.col("__carry"))
-    found = both.withColumn("__s", F.sum("__v").over(inside)).where("__side = 1").join(carry, ["__k", "__b"], "left").withColumn("__s", told)
+    carry = totals.select("__k", "__b", F.coalesce(F.sum("__total").over(before), F.lit(0.0)).alias("__carry"))
+    told = F.when(_known("__k.k", "__t"), F.coalesce("__s", F.lit(0.0)) + F.col("__carry"))
+    found = seen.where("__side = 1").join(carry, ["__k", "__b"], "left").withColumn("__s", told)
     met = found.groupBy("__id").agg(F.first("__row", ignorenulls=True).alias("__row"), F.count_if(F.col("__name") == first).cast("int").alias("__n"), *[F.max(F.when(F.col("__name") == name, F.col("__s"))).alias(name) for name in times])
     return met.select("__row", *times, F.explode(F.sequence(F.lit(1), F.col("__n")))).select("__row.*", *times)
 
