@@ -190,12 +190,13 @@ def fit_offset_logistic(df: DataFrame, features: list[str], target: str, penalty
 # --- quantile and mean heads ---
 
 
-def quantile_head(df: DataFrame, features: list[str], target: str, quantile: float, weight: str | None = None, rounds: int = 50) -> dict[str, float]:
+def quantile_head(df: DataFrame, features: list[str], target: str, quantile: float, weight: str | None = None, rounds: int = 120) -> dict[str, float]:
     """Coefficients of the linear function with the least pinball loss.
 
-    The loss is bounded from above by a parabola about the present residuals (with |r| + e in place of |r|), whose least
-    point is a weighted least squares: one aggregate a round, e falling from the spread of the target on. The best
-    coefficients by the true loss are kept. Features are standardised inside; coefficients are told in their own units.
+    The corner of the loss is rounded off over a width e (|r| becomes sqrt(r^2 + e^2)) and the smooth loss is brought down
+    by Newton's method, one aggregate of loss, gradient and curvature a round; where a full step does not lower it, one more
+    aggregate tells the losses of twelve shorter steps at once. The width falls from a third of the target's spread to a few
+    hundred-thousandths of it. Features are standardised inside; coefficients are told in their own units.
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     rows = df.select(*[F.col(c).cast("double").alias(c) for c in features], F.col(target).cast("double").alias("__y"), w.alias("__w")).dropna()
@@ -205,21 +206,42 @@ def quantile_head(df: DataFrame, features: list[str], target: str, quantile: flo
     try:
         p = len(features) + 1
         x = [F.lit(1.0), *[F.col(f"__z{i}") for i in range(p - 1)]]
-        beta, best, least, eps = np.zeros(p), np.zeros(p), np.inf, 1.0
+        total = kept.agg(F.sum("__w")).first()[0]
+        if not total:
+            raise ValueError("no rows with weight")
+
+        def residual(beta: np.ndarray) -> Column:
+            return F.col("__y") - sum((float(b) * v for b, v in zip(beta, x, strict=True)), F.lit(0.0))
+
+        def loss(r: Column, eps: float) -> Column:
+            return F.sum(F.col("__w") / total * ((quantile - 0.5) * r + 0.5 * F.sqrt(r * r + eps * eps)))
+
+        def look(beta: np.ndarray, eps: float) -> tuple[float, np.ndarray, np.ndarray]:
+            held = kept.withColumn("__r", residual(beta)).withColumn("__s", F.sqrt(F.col("__r") ** 2 + eps * eps))
+            pull = F.col("__w") / total * ((quantile - 0.5) + 0.5 * F.col("__r") / F.col("__s"))
+            bend = F.col("__w") / total * (0.5 * eps * eps) / F.col("__s") ** 3
+            s = held.agg(loss(F.col("__r"), eps), *[F.sum(pull * v) for v in x], *[F.sum(bend * x[i] * x[j]) for i, j in _pairs(p)]).first()
+            return s[0], np.array(s[1 : p + 1]), _square(list(s[p + 1 :]), p) + 1e-12 * np.eye(p)
+
+        beta, eps = np.zeros(p), 0.3
+        now = look(beta, eps)
         for _ in range(rounds):
-            r = F.col("__y") - sum((float(b) * v for b, v in zip(beta[1:], x[1:], strict=True)), F.lit(float(beta[0])))
-            held = kept.withColumn("__r", r).withColumn("__v", F.col("__w") / (eps + F.abs("__r")))
-            loss = F.sum(F.col("__w") * F.greatest(quantile * F.col("__r"), (quantile - 1) * F.col("__r")))
-            pulled = F.col("__v") * F.col("__y") + (2 * quantile - 1) * F.col("__w")
-            s = held.agg(loss, *[F.sum(pulled * v) for v in x], *[F.sum(F.col("__v") * x[i] * x[j]) for i, j in _pairs(p)]).first()
-            if s[0] is None:
-                raise ValueError("no rows with weight")
-            if s[0] < least:
-                least, best = s[0], beta
-            beta = np.linalg.solve(_square(list(s[p + 1 :]), p) + 1e-12 * np.eye(p), np.array(s[1 : p + 1]))
-            eps = max(0.7 * eps, 1e-7)
-        own = {c: float(b) * spread["__y"] / spread[c] for c, b in zip(features, best[1:], strict=True)}
-        return own | {"intercept": float(best[0]) * spread["__y"] + mean["__y"] - sum(own[c] * mean[c] for c in features)}
+            step = np.linalg.solve(now[2], now[1])
+            then = look(beta + step, eps)
+            if then[0] > now[0] - 1e-4 * step @ now[1]:
+                shorter = [0.5**k for k in range(1, 13)]
+                losses = kept.agg(*[loss(residual(beta + t * step), eps) for t in shorter]).first()
+                best = int(np.argmin(losses))
+                step = step * shorter[best] if losses[best] < now[0] else step * 0
+                then = look(beta + step, eps)
+            beta, now = beta + step, then
+            if np.abs(step).max() < eps / 10:
+                if eps < 3e-5:
+                    break
+                eps *= 0.15
+                now = look(beta, eps)
+        own = {c: float(b) * spread["__y"] / spread[c] for c, b in zip(features, beta[1:], strict=True)}
+        return own | {"intercept": float(beta[0]) * spread["__y"] + mean["__y"] - sum(own[c] * mean[c] for c in features)}
     finally:
         kept.unpersist()
 
