@@ -71,6 +71,62 @@ def test_many_magics_take_time_in_proportion(magic):
     assert time.perf_counter() - start < 15
 
 
+@pytest.mark.parametrize("text", [b"GIF89aAAAAABB!xCC", b"GIF89aAAAAAAB!x\x01C,", b"OggS\0" + b"A" * 21 + b"\x01\x01", b"OggS\0" + b"A" * 21 + b"\x00", b"RIFF\x00\x10\0\0WAVEdata\x01\0\0\0", b"RIFF\xff\xff\0\0WAVEfmt \0\0\0\0"])
+def test_chains_behind_magics_take_time_in_proportion(text):
+    start = time.perf_counter()
+    media.sniff(text * (1_000_000 // len(text)), media.automaton())
+    assert time.perf_counter() - start < 5
+
+
+def plain_gif(b, at):
+    """Walks every block from each magic anew."""
+    if at + 13 > len(b):
+        return None
+    place = at + 13 + (3 * (2 << (b[at + 10] & 7)) if b[at + 10] & 0x80 else 0)
+    while place < len(b):
+        if b[place] == 0x3B:
+            return "gif", place + 1 - at
+        if b[place] == 0x21 and place + 2 < len(b):
+            place += 2
+        elif b[place] == 0x2C and place + 10 < len(b):
+            place += 11 + (3 * (2 << (b[place + 9] & 7)) if b[place + 9] & 0x80 else 0)
+        else:
+            return None
+        while place < len(b) and b[place]:
+            place += 1 + b[place]
+        place += 1
+    return None
+
+
+def test_remembered_chains_end_where_walked_ones_do():
+    import random
+
+    r = random.Random(2)
+    for _ in range(3_000):
+        b = b"".join(r.choice((b"GIF89a", b"GIF87a", b"\x00", b"\x01", b"!", b",", b";", b"!\xff\x03abc\x00", b"\x02", b"\x80")) for _ in range(r.randint(1, 40)))
+        blob = media.Blob(b)
+        assert [media._gif(blob, i) for i in range(len(b)) if b.startswith(b"GIF8", i)] == [plain_gif(b, i) for i in range(len(b)) if b.startswith(b"GIF8", i)]
+    one = b"OggS\0" + b"\x01" * 21 + b"\x02\x03\x01abcd"
+    assert media._ogg(media.Blob(one * 3 + b"x"), 0) == ("ogg", 3 * len(one)) and media._ogg(media.Blob(one * 3 + one[:-1]), 0) is None
+
+
+def test_marks_in_long_runs_are_normalised_alike_and_fast():
+    import random
+    import unicodedata
+
+    from tidemark.llm.tokencount import _normal
+
+    plain = lambda t: unicodedata.normalize("NFC", t).replace("Σ", "σ").lower()
+    r = random.Random(6)
+    marks = [c for c in map(chr, range(0x300, 0x1E95F)) if unicodedata.combining(c)]
+    for _ in range(300):
+        t = "".join(r.choice("aeÉ ΣA\u1100\u1161") + "".join(r.choices(marks if r.random() < 0.5 else marks[:70], k=r.choice((0, 1, 3, 40, 90)))) for _ in range(6))
+        assert _normal(t) == plain(t)
+    start = time.perf_counter()
+    _normal("a" + "\u0316\u0301" * 500_000)
+    assert time.perf_counter() - start < 5
+
+
 def test_pdf_and_jpeg_end_at_their_own_trailer():
     machine = media.automaton()
     assert media.sniff(b"%PDF-1 %%EOF..%PDF-2 %%EOF", machine) == [(0, 12, "pdf"), (14, 12, "pdf")]

@@ -24,10 +24,25 @@ RATE = 8000
 
 
 class Blob:
-    """Bytes, and where a trailer comes next; magics are met in order, so that each trailer is sought once over the whole."""
+    """Bytes, and what is known of them: where a trailer comes next (magics are met in order, so that each is sought once over
+    the whole), and where the chains that pass a place end, so that no link of a chain is followed twice."""
 
     def __init__(self, data: bytes):
         self.data, self.next = data, {}
+        self.ends: dict[str, dict[int, int]] = {}
+
+    def end(self, kind: str, at: int, step) -> int:
+        """Where the chain of links from ``at`` ends: ``step(place)`` is the next place, or the end as ``~end``."""
+        known, passed, place = self.ends.setdefault(kind, {}), [], at
+        while place not in known:
+            passed.append(place)
+            place = step(place)
+            if place < 0:
+                break
+        end = ~place if place < 0 else known[place]
+        for p in passed:
+            known[p] = end
+        return end
 
     def find(self, trailer: bytes, at: int) -> int:
         known = self.next.get(trailer)
@@ -44,6 +59,8 @@ def _wav(blob: Blob, at: int) -> tuple[str, int] | None:
     size = 8 + int.from_bytes(b[at + 4 : at + 8], "little")
     if at + size > len(b) or size < 12:
         return None
+    if kind == "wav" and b[at + 12 : at + 16] != b"fmt ":
+        return None
     place, names = at + 12, []
     while place + 8 <= at + size:
         names.append(b[place : place + 4])
@@ -92,23 +109,23 @@ def _gif(blob: Blob, at: int) -> tuple[str, int] | None:
     flags = b[at + 10]
     place = at + 13 + (3 * (2 << (flags & 7)) if flags & 0x80 else 0)
 
-    def blocks(p: int) -> int:
-        while p < len(b) and b[p]:
-            p += 1 + b[p]
-        return p + 1
-
-    while place < len(b):
-        mark = b[place]
-        if mark == 0x3B:
-            return "gif", place + 1 - at
-        if mark == 0x21 and place + 2 < len(b):
-            place = blocks(place + 2)
-        elif mark == 0x2C and place + 10 < len(b):
-            flags = b[place + 9]
-            place = blocks(place + 11 + (3 * (2 << (flags & 7)) if flags & 0x80 else 0))
-        else:
-            return None
-    return None
+    def block(p: int) -> int:
+        return p + 1 + b[p] if p < len(b) and b[p] else ~(p + 1)
+
+    def part(p: int) -> int:
+        """The place after an extension or an image; the end after a trailer; 0 ends a chain that is no GIF."""
+        if p >= len(b):
+            return ~0
+        if b[p] == 0x3B:
+            return ~(p + 1)
+        if b[p] == 0x21 and p + 2 < len(b):
+            return blob.end("block", p + 2, block)
+        if b[p] == 0x2C and p + 10 < len(b):
+            return blob.end("block", p + 11 + (3 * (2 << (b[p + 9] & 7)) if b[p + 9] & 0x80 else 0), block)
+        return ~0
+
+    end = blob.end("gif", place, part)
+    return ("gif", end - at) if end else None
 
 
 def _bmp(blob: Blob, at: int) -> tuple[str, int] | None:
@@ -147,15 +164,17 @@ def _flac(blob: Blob, at: int) -> tuple[str, int] | None:
 
 def _ogg(blob: Blob, at: int) -> tuple[str, int] | None:
     b = blob.data
-    place = at
-    while place + 27 <= len(b) and b[place : place + 5] == b"OggS\0":
-        n = b[place + 26]
-        if place + 27 + n > len(b):
-            return None
-        place += 27 + n + sum(b[place + 27 : place + 27 + n])
-        if place > len(b):
-            return None
-    return ("ogg", place - at) if place > at else None
+
+    def page(p: int) -> int:
+        """The place after a page; the end where no page begins; 0 ends a chain whose last page is cut short."""
+        if not (p + 27 <= len(b) and b[p : p + 5] == b"OggS\0"):
+            return ~p
+        n = b[p + 26]
+        then = p + 27 + n + sum(b[p + 27 : p + 27 + n])
+        return then if p + 27 + n <= len(b) and then <= len(b) else ~0
+
+    end = blob.end("ogg", at, page)
+    return ("ogg", end - at) if end > at else None
 
 
 #: Magic bytes of each format, fixed by the formats, and the validator that confirms it.

@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -166,8 +167,27 @@ class Counter:
         return np.bincount(s.doc_of(start), weights=sizes, minlength=len(s.texts)).astype(np.int64)
 
 
+@lru_cache(1)
+def _long_marks() -> re.Pattern:
+    """Runs of combining characters that are long enough to matter."""
+    marks = [c for c in range(0x300, 0x1E95F) if unicodedata.combining(chr(c))]
+    spans, start = [], marks[0]
+    for a, b in zip(marks, [*marks[1:], None], strict=True):
+        if b != a + 1:
+            spans.append(f"{chr(start)}-{chr(a)}")
+            start = b
+    return re.compile(f"[{''.join(spans)}]{{32,}}")
+
+
+def _in_order(run: re.Match) -> str:
+    """The marks of a run decomposed and, as canonical order has them, by class; those of one class stay in place."""
+    return "".join(sorted("".join(unicodedata.normalize("NFD", c) for c in run[0]), key=unicodedata.combining))
+
+
 def _normal(text: str) -> str:
-    text = unicodedata.normalize("NFC", text)
+    """Composed and in lower case; long runs of marks are put in order first, which the library call does in squared time."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", _long_marks().sub(_in_order, text))
     return text.replace("Σ", "σ").lower()  # a final sigma stays as any other, as in a mapping by characters
 
 
