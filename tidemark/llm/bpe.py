@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.tables import released
 from tidemark.llm.textscan import Memo, PerfectHash, Slice, classes_of, packed, ragged, slices_of, span_hashes, spans
 
 #: Bytes of text and ids that a worker remembers of pre-tokens it has merged.
@@ -193,5 +194,5 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         yield from _decoded(_encoded(batches, vocabulary, id_col), decoder, id_col)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    decoded = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {DECODED}")
+    decoded = docs.select(id_col, text_col).mapInArrow(released(run), f"`{id_col}` {kind}, {DECODED}")
     return decoded.select(id_col, "n_tokens", digest("packed").alias("ids_sha256"), digest("decoded").alias("decoded_sha256"))

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.tables import released
 from tidemark.llm.textscan import LETTER, Slice, classes, classes_of, lower_codes, packed, runs, slices_of, span_hashes
 
 #: Labelled documents a language is learned from, at most, and the letters taken from all of its documents together.
@@ -273,7 +274,7 @@ def fit(docs: DataFrame, path: str, fit_docs: int = FIT_DOCS, fit_letters: int =
                     seen[key] = seen.get(key, 0) + 1
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen]), pa.array([k[1] for k in seen]), pa.array([*seen.values()])], ["lang", "word", "n"])
 
-    words = chosen.select("t", "l").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words = chosen.select("t", "l").mapInArrow(released(count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     # the most frequent words first, until the bound on letters
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "word").rowsBetween(Window.unboundedPreceding, 0)
     words = words.where(F.length("word") <= LONG_WORD).withColumn("letters", F.sum(F.length("word")).over(order)).where(F.col("letters") <= fit_letters)
@@ -302,7 +303,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 pred = names[np.where((letters > 0) & bool(m.langs), best, len(m.langs))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(s.texts)), pa.array(pred, pa.string()), pa.array(score), pa.array(letters.astype(np.int64))], [id_col, "lang_pred", "score", "letters"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double, letters long")
+    return docs.select(id_col, text_col).mapInArrow(released(run), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double, letters long")
 
 
 def predict_languages(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -328,4 +329,4 @@ def keep_identified(docs: DataFrame, path: str, least: float = 0.5, id_col: str
                 yield batch.slice(first, len(s.texts)).filter(pa.array(keep))
             pa.default_memory_pool().release_unused()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.tables import Forest, bounds, by_sorted_key, components, cut, discard, stage
+from tidemark.llm.tables import Forest, bounds, by_sorted_key, components, cut, discard, released, stage
 from tidemark.llm.textscan import Slice, mix, packed, runs, slices_of, span_hashes
 
 SHINGLE = 5
@@ -146,7 +146,7 @@ def fingerprints(docs: DataFrame, share: tuple[int, int] = (3, 4), id_col: str =
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col, F.xxhash64(text_col).alias("text_hash")).mapInArrow(run, f"`{id_col}` {kind}, text_hash long, n_shingles long, set_id long, point binary, signatures array<long>")
+    return docs.select(id_col, text_col, F.xxhash64(text_col).alias("text_hash")).mapInArrow(released(run), f"`{id_col}` {kind}, text_hash long, n_shingles long, set_id long, point binary, signatures array<long>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -165,7 +165,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                     ["set_id", "n", "point", "hashes"],
                 )
 
-    return docs.mapInArrow(run, "set_id long, n long, point binary, hashes array<long>")
+    return docs.mapInArrow(released(run), "set_id long, n long, point binary, hashes array<long>")
 
 
 class Tree:
@@ -260,7 +260,7 @@ def _meetings(signs: DataFrame) -> DataFrame:
             yield held
 
     cold = signs.join(F.broadcast(hot), "sig", "left_anti").repartition("sig").sortWithinPartitions("sig", "set_id")
-    cold = cold.mapInArrow(shared, "sig long, set_id long").withColumn("parts", F.lit(1))
+    cold = cold.mapInArrow(released(shared), "sig long, set_id long").withColumn("parts", F.lit(1))
     return stage(cold.unionByName(warm))
 
 

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.tables import released
 from tidemark.llm.textscan import row_chunks, text_chunks
 
 
@@ -359,7 +360,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             spans = [_spans_of(t) if t else [] for _, texts in text_chunks(batch.column(1)) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], [id_col, "spans"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, spans {SPAN}")
+    return docs.select(id_col, text_col).mapInArrow(released(run), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, spans {SPAN}")
 
 
 def pii_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -409,7 +410,7 @@ def mask_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 yield batch.set_column(at, batch.schema.field(at), texts)
             pa.default_memory_pool().release_unused()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def mask_and_count(docs: DataFrame, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -52,6 +53,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def released(fn: Callable) -> Callable:
+    """A function over batches that gives freed memory back to the system when its task ends, since workers live on.
+
+    Freed pages otherwise stay with a worker, and stage after stage adds to them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def sorted_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Runs of whole groups from batches that come sorted by ``key``; holds back the group that may go on."""
     held: list[pa.RecordBatch] = []
@@ -80,7 +99,7 @@ def by_sorted_key(df: DataFrame, key: str, then: list[str], fn: Callable, schema
             if out is not None and out.num_rows:
                 yield from out.to_batches()
 
-    return df.repartition(key).sortWithinPartitions(key, *then).mapInArrow(run, schema)
+    return df.repartition(key).sortWithinPartitions(key, *then).mapInArrow(released(run), schema)
 
 
 def bounds(values: np.ndarray) -> np.ndarray:
@@ -133,7 +152,7 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     a, b = edges.columns[:2]
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
     # u > v always holds from here on
-    e = e.mapInArrow(_contract, "u long, v long")
+    e = e.mapInArrow(released(_contract), "u long, v long")
     e = cut(e.where("u > v").distinct())
     seen = None
     for _ in range(max_rounds):
