@@ -20,7 +20,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Phrases and labels of the contract; as rules they come first.
 BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 
-_V = r"(?: version| v)? ?"
+_V = r"(?: version| ?v)? ?"
 #: (label, keyword, patterns over single-spaced lower-case words). Version rules are made from the families below.
 SINGLE = [
     ("mit", "mit", ["mit licen[cs]e", "spdx license identifier mit", "license mit", "licensed under mit", "released under the mit licen[cs]e"]),
@@ -55,6 +55,13 @@ SINGLE = [
     ("cc0-1", "cc0", ["cc0(?: 1 0)?(?: universal)?"]),
     ("cc", "creative commons", ["creative commons licen[cs]e", "licensed under (?:a )?creative commons"]),
     ("proprietary", "all rights reserved", ["all rights reserved"]),
+    ("busl-1.1", "business source", ["business source licen[cs]e(?: version 1 1| 1 1)?"]),
+    ("busl-1.1", "busl", ["busl 1 1"]),
+    ("sspl-1", "server side public", ["server side public licen[cs]e(?: version 1| v1)?"]),
+    ("sspl-1", "sspl", ["sspl(?: ?v?1)?(?: 0)?"]),
+    ("elastic-2", "elastic licen", ["elastic licen[cs]e(?: version| ?v)?(?: ?2)?(?: 0)?"]),
+    ("mit-0", "mit 0", ["mit 0(?: licen[cs]e)?"]),
+    ("mit-0", "mit no attribution", ["mit no attribution(?: licen[cs]e)?"]),
     ("warranty-disclaimer", "warranty", ["without warranty of any kind", "provided as is without (?:express or implied )?warranty"]),
 ]
 #: (label, keyword, names in words, abbreviations, versions)
@@ -73,6 +80,12 @@ FAMILIES = [
     ("epl", "eclipse", ["eclipse public licen[cs]e"], [], ["2", "1"]),
     ("cddl", "common development", ["common development and distribution licen[cs]e"], [], ["1 1", "1"]),
     ("eupl", "european union public", ["european union public licen[cs]e"], [], ["1 2", "1 1"]),
+    ("epl", "epl", [], ["epl"], ["2", "1"]),
+    ("cddl", "cddl", [], ["cddl"], ["1 1", "1"]),
+    ("eupl", "eupl", [], ["eupl"], ["1 2", "1 1"]),
+    ("cpl", "cpl", [], ["cpl"], ["1"]),
+    ("osl", "osl", [], ["osl"], ["3", "2 1"]),
+    ("afl", "afl", [], ["afl"], ["3", "2 1"]),
     ("cpl", "common public", ["common public licen[cs]e"], [], ["1"]),
     ("osl", "open software", ["open software licen[cs]e"], [], ["3", "2 1"]),
     ("afl", "academic free", ["academic free licen[cs]e"], [], ["3", "2 1"]),
