@@ -186,7 +186,8 @@ def _in_order(run: re.Match) -> str:
 
 def _normal(text: str) -> str:
     """Composed and in lower case; long runs of marks are put in order first, which the library call does in squared time."""
-    if not text.isascii():
+    # the quick test of the library ends at the first mark out of order, so it takes no squared time either
+    if not text.isascii() and not unicodedata.is_normalized("NFC", text):
         text = unicodedata.normalize("NFC", _long_marks().sub(_in_order, text))
     return text.replace("Σ", "σ").lower()  # a final sigma stays as any other, as in a mapping by characters
 
