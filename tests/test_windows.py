@@ -149,3 +149,51 @@ def test_episodes_and_survivors(spark):
         want = (len(starts), sum(c < 1 for c in one), sum(c < 1 for c in seq), min(map(cost, starts), default=None), min(one, default=None), min(seq, default=None))
         assert all(a == b or math.isclose(a, b) for a, b in zip(got[key], want, strict=True)), (key, got[key], want)
     assert got["k"][0] > 5
+
+
+def test_ids_of_two_archives_are_an_error(spark):
+    import pytest
+    from pyspark.errors import PySparkException
+
+    from tidemark.sources import frames
+
+    target = spark.createDataFrame([(1, 10), (2, 10), (None, 10)], "id long, archive long")
+    manifest = spark.createDataFrame([(10, "verified"), (11, "verified"), (12, "partial")], "archive long, status string")
+    good = spark.createDataFrame([(3, 11), (None, 11), (1, 12), (9, 10)], "id long, archive long")
+    assert sorted(map(tuple, frames.merge_verified(target, good, manifest, "archive", "id").collect()), key=repr) == sorted([(1, 10), (2, 10), (None, 10), (3, 11), (None, 11)], key=repr)
+    with pytest.raises(PySparkException, match="id of two archives: 2"):
+        frames.merge_verified(target, spark.createDataFrame([(2, 11)], "id long, archive long"), manifest, "archive", "id").collect()
+    assert sorted(map(tuple, frames.merge_manifest(manifest.where("archive = 10"), manifest, "archive").collect())) == [(10, "verified"), (11, "verified")]
+
+
+def test_clusters_stop_at_their_bound(spark):
+    import pytest
+
+    from tidemark.operators import regimes
+
+    chain = spark.createDataFrame([(f"s{i:03}", f"s{i + 1:03}", 0.9) for i in range(40)], "symbol string, other string, corr double")
+    symbols = spark.createDataFrame([(f"s{i:03}",) for i in range(41)], "symbol string")
+    with pytest.raises(RuntimeError, match="did not settle"):
+        regimes.correlation_clusters(chain, symbols, 0.5, max_rounds=1)
+
+
+def test_tape_rows_know_nothing_later(spark):
+    """Prices and depth after a decision's second change its targets at most; rows without a symbol or a time are left out."""
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import tapedepth
+
+    r = random.Random(2)
+    tape = [("a", i * 1000, p := 100 + r.random(), p + 1, p - 1, p, 2.0, 2 * p, 1.5, 0.5, 3) for i in range(80) if i % 7]
+    schema = "symbol string, open_time long, open double, high double, low double, close double, base_volume double, quote_volume double, buy_volume double, sell_volume double, trade_count long"
+    depth = [("a", i * 1500 + 300, *[r.uniform(1, 9) for _ in range(6)], 0.1, 0.2, 0.3) for i in range(50)]
+    cells = ", ".join([*(f"{s}_{b} double" for b in tapedepth.BANDS for s in ("bid", "ask")), *(f"imbalance_{b} double" for b in tapedepth.BANDS)])
+    t, d = spark.createDataFrame([*tape, (None, *tape[0][1:]), ("a", None, *tape[0][2:])], schema), spark.createDataFrame(depth, f"symbol string, depth_time long, {cells}")
+    make = lambda t, d: {x["decision_time"]: x.asDict() for x in tapedepth.tape_depth_dataset(t, d, 1000, 90, 1, 3, 1, 2_000).collect()}
+    one = make(t, d)
+    two = make(t.withColumns({c: F.when(F.col("open_time") > 40_000, 7.0).otherwise(F.col(c)) for c in ("open", "high", "low", "close")}), d.withColumn("bid_far", F.when(F.col("depth_time") > 40_000, 1e6).otherwise(F.col("bid_far"))))
+    targets = ("entry_price", "exit_price", "gross_return")
+    assert len(one) > 50
+    for k in (x for x in one if x <= 41_000):
+        assert {c: v for c, v in one[k].items() if c not in targets} == {c: v for c, v in two[k].items() if c not in targets}
+    assert one[41_000]["exit_price"] != two[41_000]["exit_price"]

@@ -60,12 +60,21 @@ def clean_candles(rows: DataFrame, step: int, now_ms: int, order: str) -> DataFr
 
 
 def series_profile(bars: DataFrame, step: int) -> DataFrame:
-    """Rows, repeated times, gaps, numbers that are not finite and bad prices or volumes of each symbol."""
+    """Rows, repeated times, gaps, times that fall in order of arrival, numbers that are not finite, bad prices or volumes
+    and the rows of each source, by symbol. Rows without a symbol or a time count, but neither repeat nor leave a gap."""
     near = asof.neighbour(bars, "symbol", "open_time", "id", ["open_time"], "p_", bucket_ms=4096 * step).withColumn("gap", F.col("open_time") - F.col("p_open_time"))
+    near = asof.neighbour(near, "symbol", "id", "id", ["open_time"], "q_", bucket_ms=1 << 20)
     bad = (F.col("high") < F.greatest("open", "close")) | (F.col("low") > F.least("open", "close")) | (F.col("low") <= 0)
     numbers = ("open", "high", "low", "close", "volume")
     odd = F.array_max(F.array(*[F.coalesce(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(True)) for c in numbers]))
-    return near.groupBy("symbol").agg(F.count_if(odd).alias("not_finite"),F.count("*").alias("n"), F.count_if(F.col("gap") == 0).alias("repeated"), F.count_if(F.col("gap") > step).alias("gaps"), F.count_if(bad).alias("bad_prices"), F.count_if(F.col("volume") < 0).alias("bad_volumes"))
+    # by source first: a symbol has few of them
+    cells = near.groupBy("symbol", "source").agg(
+        F.count_if(odd).alias("not_finite"), F.count("*").alias("n"), F.count_if(F.col("gap") == 0).alias("repeated"), F.count_if(F.col("gap") > step).alias("gaps"),
+        F.count_if(F.col("open_time") < F.col("q_open_time")).alias("regressed"), F.count_if(bad).alias("bad_prices"), F.count_if(F.col("volume") < 0).alias("bad_volumes"),
+    )
+    counts = ("not_finite", "n", "repeated", "gaps", "regressed", "bad_prices", "bad_volumes")
+    told = F.array_sort(F.collect_list(F.concat_ws(":", F.coalesce("source", F.lit("none")), F.col("n").cast("string"))))
+    return cells.groupBy("symbol").agg(*[F.sum(c).alias(c) for c in counts], F.array_join(told, ",").alias("sources"))
 
 
 def completeness(rows: DataFrame, t: str, day_ms: int = 86_400_000) -> DataFrame:

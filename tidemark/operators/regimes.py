@@ -74,16 +74,17 @@ def regime_summary(windows: DataFrame, pnl: str) -> DataFrame:
     return g.withColumns({"accepted_rate": F.col("accepted") / F.col("windows"), "share": share, "crowded": (share >= 0.75) & (F.sum("windows").over(Window.partitionBy()) >= 3)})
 
 
-def correlation_clusters(pairs: DataFrame, symbols: DataFrame, threshold: float) -> DataFrame:
+def correlation_clusters(pairs: DataFrame, symbols: DataFrame, threshold: float, max_rounds: int = 40) -> DataFrame:
     """Each symbol with the smallest one it reaches by pairs at or above the threshold.
 
-    Labels pass over links until none changes; a round is one join of links with labels. Symbols are the rows here.
+    Labels pass over links until none changes; a round is one join of links with labels. Symbols are the rows here. Rounds
+    double the reach of a label, so that many more than ``max_rounds`` would be needed only by an error; then it raises.
     """
     strong = pairs.where(F.col("corr") >= threshold).select("symbol", "other")
     ready(symbols.sparkSession)
     links = strong.unionByName(strong.select(F.col("other").alias("symbol"), F.col("symbol").alias("other"))).checkpoint()
     labels = symbols.select("symbol", F.col("symbol").alias("cluster")).checkpoint()
-    while True:
+    for _ in range(max_rounds):
         near = links.join(labels.withColumnRenamed("symbol", "other"), "other").groupBy("symbol").agg(F.min("cluster").alias("__near"))
         # a label also takes over the label of its label, so that chains halve in each round
         head = labels.select(F.col("symbol").alias("__near"), F.col("cluster").alias("__head"))
@@ -92,6 +93,7 @@ def correlation_clusters(pairs: DataFrame, symbols: DataFrame, threshold: float)
         labels = new.drop("__moved")
         if new.where("__moved").isEmpty():
             return labels
+    raise RuntimeError(f"clusters did not settle in {max_rounds} rounds")
 
 
 def rank_candidates(rows: DataFrame, least_trades: int, least_factor: float) -> DataFrame:

@@ -29,6 +29,13 @@ def candles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.trades(spark, sf_dir).select("symbol", bars.bucket("t", HOUR).alias("open_time"), "id", F.col("price").alias("open"), (F.col("price") + 2).alias("high"), low.alias("low"), F.col("price").alias("close"), F.col("qty").alias("volume"))
 
 
+def sourced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candles by source, some with volumes that are no numbers, infinite or below 0, some that come in late."""
+    odd = F.when(F.col("id") % 11 == 0, float("nan")).when(F.col("id") % 13 == 0, float("inf")).when(F.col("id") % 17 == 0, -1.0).otherwise(F.col("volume"))
+    late = F.when(F.col("id") % 19 == 0, F.col("open_time") - 3 * HOUR).otherwise(F.col("open_time"))
+    return candles(spark, sf_dir).withColumns({"volume": odd, "open_time": late, "source": F.when(F.col("id") % 3 == 0, "archive").otherwise("live")})
+
+
 def archives(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     t = views.trades(spark, sf_dir).select("id", F.floor(F.col("t") / DAY).alias("archive"))
     manifest = t.select("archive").distinct().withColumn("status", F.when(F.col("archive") % 3 == 0, "partial").otherwise("verified"))
@@ -72,7 +79,11 @@ SELECT symbol, side, price, update_id, greatest(d, 0) AS added, greatest(-d, 0)
         + f""", m AS (SELECT t // {DAY} AS archive, count(*) AS rows_read, min(t) AS first_ms, max(t) AS last_ms, sum(('0x' || substr(sha256(id::VARCHAR || '|' || symbol || '|' || t::VARCHAR), 1, 15))::BIGINT::HUGEINT)::VARCHAR AS digest FROM v_trades GROUP BY 1)
 SELECT *, CASE archive % 3 WHEN 0 THEN 'missing' WHEN 1 THEN 'verified' ELSE 'mismatch' END AS checksum_status FROM m""",
     ),
-    "S10_merge_verified": (lambda s, d: frames.merge_verified(*archives(s, d), "archive"), V + f", a AS (SELECT id, t // {DAY} AS archive FROM v_trades) SELECT id, archive FROM a WHERE archive % 4 = 0 OR archive % 3 <> 0"),
+    "S10_merge_verified": (lambda s, d: frames.merge_verified(*archives(s, d), "archive", "id"), V + f", a AS (SELECT id, t // {DAY} AS archive FROM v_trades) SELECT id, archive FROM a WHERE archive % 4 = 0 OR archive % 3 <> 0"),
+    "S10_merge_manifest": (
+        lambda s, d: frames.merge_manifest(archives(s, d)[2].where("archive % 4 = 0"), archives(s, d)[2], "archive"),
+        V + f", a AS (SELECT DISTINCT t // {DAY} AS archive FROM v_trades) SELECT archive, CASE WHEN archive % 3 = 0 THEN 'partial' ELSE 'verified' END AS status FROM a WHERE archive % 4 = 0 OR archive % 3 <> 0",
+    ),
     "S12_content_store": (lambda s, d: frames.content_store(views.observations(s, d), "payload"), V + "SELECT sha256(payload) AS payload_hash, payload, count(*) AS uses FROM v_obs GROUP BY ALL"),
     "S13_prune_retention": (
         lambda s, d: frames.prune_retention(views.observations(s, d).select("id", "observed_at"), "observed_at", "id", NOW - 5 * DAY, 200),
@@ -98,10 +109,13 @@ SELECT symbol, event_ms, round(sp, 6) AS spread_bps, round(dp, 6) AS depth_score
         V + f", c AS (SELECT symbol, t // {HOUR} * {HOUR} AS open_time, id, price, qty FROM v_trades WHERE id % 9 <> 0 AND t // {HOUR} * {HOUR} + {HOUR} <= {NOW}) SELECT symbol, open_time, id, round(price, 6) AS open, round(price + 2, 6) AS high, round(price - 1, 6) AS low, round(price, 6) AS close, qty AS volume FROM c QUALIFY row_number() OVER (PARTITION BY symbol, open_time ORDER BY id DESC) = 1",
     ),
     "Q03_series_profile": (
-        lambda s, d: quality.series_profile(candles(s, d), HOUR),
+        lambda s, d: quality.series_profile(sourced(s, d), HOUR),
         V
-        + f""", g AS (SELECT symbol, id, t // {HOUR} * {HOUR} AS open_time FROM v_trades), h AS (SELECT *, open_time - lag(open_time) OVER {BY} AS gap FROM g)
-SELECT symbol, 0::BIGINT AS not_finite, count(*) AS n, count(*) FILTER (gap = 0) AS repeated, count(*) FILTER (gap > {HOUR}) AS gaps, count(*) FILTER (id % 9 = 0) AS bad_prices, 0::BIGINT AS bad_volumes FROM h GROUP BY 1""",
+        + f""", g AS (SELECT symbol, id, t // {HOUR} * {HOUR} - CASE WHEN id % 19 = 0 THEN {3 * HOUR} ELSE 0 END AS open_time, CASE WHEN id % 3 = 0 THEN 'archive' ELSE 'live' END AS source FROM v_trades),
+h AS (SELECT *, open_time - lag(open_time) OVER (PARTITION BY symbol ORDER BY open_time, id) AS gap, open_time < lag(open_time) OVER (PARTITION BY symbol ORDER BY id) AS fell FROM g),
+c AS (SELECT symbol, source, count(*) AS n FROM g GROUP BY 1, 2)
+SELECT symbol, count(*) FILTER (id % 11 = 0 OR id % 13 = 0) AS not_finite, count(*) AS n, count(*) FILTER (gap = 0) AS repeated, count(*) FILTER (gap > {HOUR}) AS gaps, count(*) FILTER (fell) AS regressed, count(*) FILTER (id % 9 = 0) AS bad_prices,
+  count(*) FILTER (id % 17 = 0 AND id % 11 <> 0 AND id % 13 <> 0) AS bad_volumes, (SELECT string_agg(source || ':' || n::VARCHAR, ',' ORDER BY source || ':' || n::VARCHAR) FROM c WHERE c.symbol = h.symbol) AS sources FROM h GROUP BY symbol""",
     ),
     "Q04_completeness": (
         lambda s, d: quality.completeness(views.trades(s, d), "t"),

@@ -61,13 +61,26 @@ def checked_manifest(manifest: DataFrame, stated: DataFrame, archive: str) -> Da
     return manifest.join(said, archive, "left").withColumn("checksum_status", status).drop("__said")
 
 
-def merge_verified(target: DataFrame, source: DataFrame, manifest: DataFrame, archive: str) -> DataFrame:
-    """The target with the source's verified archives that it lacks."""
+def merge_verified(target: DataFrame, source: DataFrame, manifest: DataFrame, archive: str, key: str | None = None) -> DataFrame:
+    """The target with the source's verified archives that it lacks.
+
+    With ``key``, a new row whose key the target holds already is an error: the job fails when it meets one.
+    """
     verified = manifest.where(F.col("status") == "verified").select(archive)
     new = source.join(verified, archive, "left_semi").join(target.select(archive).distinct(), archive, "left_anti")
+    if key is not None:
+        held = target.where(F.col(key).isNotNull()).select(key).distinct().withColumn("__held", F.lit(True))
+        clash = F.raise_error(F.concat(F.lit(f"{key} of two archives: "), F.col(key).cast("string"))).cast("boolean")
+        new = new.join(held, key, "left").where(F.when(F.col("__held"), clash).otherwise(F.lit(True))).select(*source.columns)
     return target.unionByName(new)
 
 
+def merge_manifest(target: DataFrame, manifest: DataFrame, archive: str) -> DataFrame:
+    """The target's manifest with the rows of the verified archives that it lacks, as they are."""
+    new = manifest.where(F.col("status") == "verified").join(target.select(archive).distinct(), archive, "left_anti")
+    return target.unionByName(new.select(*target.columns))
+
+
 def funding_checks(events: DataFrame, least_ms: int, most_ms: int) -> DataFrame:
     """Events with the interval since the one before, and whether time rose by an allowed step."""
     step = F.col("t") - F.lag("t").over(Window.partitionBy("symbol").orderBy("t", "id"))
