@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import book
 from tidemark.operators import asof, bars, evaluation, features, quality, ranks
-from tidemark.plans import audits, evidence, fitted, flows, joins, micro, orderbooks, panel, panels, portfolio, stats, tapes, windows
+from tidemark.plans import audits, evidence, fitted, flows, joins, micro, orderbooks, outcomes, panel, panels, portfolio, stats, tapes, windows
 from tidemark.plans.base import BY, DENSE, HOUR, TIE, Query, V, dense, frame_sql, hourly, rounded, rounds
 from tidemark.sources import ingest, views
 
@@ -49,7 +49,7 @@ def _walks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: name -> (query, SQL)
-_ALL: dict[str, tuple[Query, str]] = audits.QUERIES | evidence.QUERIES | fitted.QUERIES | flows.QUERIES | joins.QUERIES | micro.QUERIES | orderbooks.QUERIES | panel.QUERIES | panels.QUERIES | portfolio.QUERIES | stats.QUERIES | tapes.QUERIES | windows.QUERIES | {
+_ALL: dict[str, tuple[Query, str]] = audits.QUERIES | evidence.QUERIES | fitted.QUERIES | flows.QUERIES | joins.QUERIES | micro.QUERIES | orderbooks.QUERIES | outcomes.QUERIES | panel.QUERIES | panels.QUERIES | portfolio.QUERIES | stats.QUERIES | tapes.QUERIES | windows.QUERIES | {
     "flagship": (flagship, FLAGSHIP_SQL),
     "R01_trade_bars": (hourly, V + "SELECT symbol, open_time, " + rounds("open", "high", "low", "close", "volume", "quote_volume", "buy_volume", "buy_quote_volume") + ", trade_count FROM v_bars"),
     "R02_fill_bars": (dense, DENSE + "SELECT symbol, open_time, " + rounds("open", "high", "low", "close", "volume", "quote_volume", "buy_volume", "buy_quote_volume") + ", trade_count FROM dense"),
