@@ -134,12 +134,19 @@ def running_sum(events: DataFrame, key: str, t: str, order: str, value: str, nam
 
     A row without key or time is kept with a null sum and adds to none; null values add nothing.
     """
+    return running_sums(events, key, t, order, {name: value}, bucket_ms)
+
+
+def running_sums(events: DataFrame, key: str, t: str, order: str, values: dict[str, str], bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """Several running sums (name of the sum: column) in one pass."""
     rows = events.withColumns({"__k": _key(key), "__b": _bucket(F.col(t), bucket_ms, F.struct(*events.columns))})
-    ran = rows.withColumn("__in", F.sum(value).over(Window.partitionBy("__k", "__b").orderBy(t, order).rowsBetween(Window.unboundedPreceding, 0)))
-    totals = _by_bucket(ran, F.sum(F.when(_known(key, t), F.col(value))).alias("__total"))
-    before = totals.withColumn("__before", F.sum("__total").over(Window.partitionBy("__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))).drop("__total")
-    sums = F.when(_known(key, t), F.coalesce(F.col("__in") + F.col("__before"), F.col("__in"), F.col("__before")))
-    return ran.join(before, ["__k", "__b"], "left").withColumn(name, sums).select(*[c for c in events.columns if c != name], name)
+    inside = Window.partitionBy("__k", "__b").orderBy(t, order).rowsBetween(Window.unboundedPreceding, 0)
+    ran = rows.withColumns({f"__in_{n}": F.sum(v).over(inside) for n, v in values.items()})
+    totals = _by_bucket(ran, *[F.sum(F.when(_known(key, t), F.col(v))).alias(f"__total_{n}") for n, v in values.items()])
+    earlier = Window.partitionBy("__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("__k", "__b", *[F.sum(f"__total_{n}").over(earlier).alias(f"__before_{n}") for n in values])
+    sums = {n: F.when(_known(key, t), F.coalesce(F.col(f"__in_{n}") + F.col(f"__before_{n}"), F.col(f"__in_{n}"), F.col(f"__before_{n}"))) for n in values}
+    return ran.join(before, ["__k", "__b"], "left").withColumns(sums).select(*[c for c in events.columns if c not in values], *values)
 
 
 def sums_at(left: DataFrame, times: dict[str, Column], events: DataFrame, value: str, bucket_ms: int = BUCKET_MS) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.asof import asof_forward, asof_join, last_known, neighbour, running_sum
+from tidemark.operators.asof import asof_forward, asof_join, last_known, neighbour, running_sum, running_sums
+from tidemark.operators.regimes import cut
 
 DAY_MS = 86_400_000
 #: Anchors or blocks that one array holds at most before it is exploded.
@@ -61,7 +62,7 @@ def depth_stress_examples(snapshots: DataFrame, columns: list[str], horizon: int
     """
     if not 0 < max_age < max_gap:
         raise ValueError("an age must be positive and below the longest gap")
-    told = segments(snapshots, max_gap, columns)
+    told = cut(segments(snapshots, max_gap, columns))
     anchors = regular_anchors(told, horizon)
     seen = known_at(anchors, told, "symbol", "anchor", {"pre": 0} | {n: -k for n, k in lags.items()}, "t", "t")
     fresh = [(F.col("anchor") - k - F.col(f"{n}.t") <= max_age) & (F.col(f"{n}.segment") == F.col("pre.segment")) for n, k in ({"pre": 0} | lags).items()]
@@ -90,14 +91,14 @@ def average_uniqueness(decisions: DataFrame, labelled: DataFrame, end: str) -> D
     ``labelled`` are rows of ``decisions`` (both one for each symbol and time) with the time their label ends. Labels open
     at a decision are a running sum of starts and ends, and the mean is a difference of running sums.
     """
-    spans = asof_join(labelled, decisions.select("symbol", F.col("t").alias("last")), "symbol", end, "last", "last", "__")
+    spans = cut(asof_join(labelled, decisions.select("symbol", F.col("t").alias("last")), "symbol", end, "last", "last", "__"))
     zero, one = F.lit(0), F.lit(1)
     marks = decisions.select("symbol", "t", one.alias("n"), zero.alias("a"), zero.alias("z"))
     marks = marks.unionByName(spans.select("symbol", "t", zero.alias("n"), one.alias("a"), zero.alias("z"))).unionByName(spans.select("symbol", F.col("__last").alias("t"), zero.alias("n"), zero.alias("a"), one.alias("z")))
     times = marks.groupBy("symbol", "t").agg(F.sum("n").alias("n"), F.sum("z").alias("z"), (F.sum("a") - F.sum("z")).alias("step"))
-    opened = running_sum(times, "symbol", "t", "t", "step", "open").withColumn("open", F.col("open") + F.col("z"))
-    shared = opened.withColumn("inverse", F.when(F.col("open") > 0, 1 / F.col("open")).otherwise(0.0))
-    counted = running_sum(running_sum(shared, "symbol", "t", "t", "inverse", "total"), "symbol", "t", "t", "n", "place").select("symbol", "t", "inverse", "total", "place")
+    opened = running_sums(times, "symbol", "t", "t", {"open": "step", "place": "n"}).withColumn("open", F.col("open") + F.col("z"))
+    shared = cut(opened.select("symbol", "t", "place", F.when(F.col("open") > 0, 1 / F.col("open")).otherwise(0.0).alias("inverse")))
+    counted = cut(running_sum(shared, "symbol", "t", "t", "inverse", "total"))
     first = counted.select("symbol", "t", (F.col("total") - F.col("inverse")).alias("__total"), (F.col("place") - 1).alias("__place"))
     last = counted.select("symbol", F.col("t").alias("__last"), "total", "place")
     unique = spans.join(first, ["symbol", "t"]).join(last, ["symbol", "__last"]).withColumn("__u", (F.col("total") - F.col("__total")) / (F.col("place") - F.col("__place")))
@@ -130,7 +131,7 @@ def horizon_path(decisions: DataFrame, quotes: DataFrame, latency: int, horizon:
     null where either quote of the moment is. ``uniqueness`` weighs decisions whose labels overlap.
     """
     rows = known_at(decisions.where("symbol IS NOT NULL AND t IS NOT NULL").select("symbol", "t").distinct(), quotes, "symbol", "t", {"delayed": latency, "moment": 0}, "event_ms", "update_id")
-    rows = rows.where(_sane("delayed", F.col("t") + latency, max_age)).withColumn("at_once", _sane("moment", F.col("t"), max_age))
+    rows = cut(rows.where(_sane("delayed", F.col("t") + latency, max_age)).withColumn("at_once", _sane("moment", F.col("t"), max_age)))
     later = rows.select("symbol", (F.col("t") - horizon).alias("t"), F.col("delayed").alias("delayed_exit"), F.col("moment").alias("moment_exit"), F.col("at_once").alias("exit_at_once"))
     pairs = rows.join(later, ["symbol", "t"]).where(F.floor(F.col("t") / DAY_MS) == F.floor((F.col("t") + horizon) / DAY_MS))
     known = F.col("at_once") & F.col("exit_at_once")
@@ -139,6 +140,7 @@ def horizon_path(decisions: DataFrame, quotes: DataFrame, latency: int, horizon:
     moment = {n: F.when(known, c) for n, c in crossed("zero", "moment", "moment_exit", cost, notional, share).items() if "gross" not in n}
     moment |= {n: F.coalesce(c, F.lit(False)) for n, c in moment.items() if n.endswith("liquid")}
     told = pairs.select("symbol", "t", (F.col("t") + horizon).alias("future_t"), ((middle("delayed_exit") / middle("delayed") - 1) * 10_000).alias("delayed_mid_return"), *[c.alias(n) for n, c in (plain | moment).items()], known.alias("zero_valid"))
+    told = cut(told)
     weighed = average_uniqueness(rows.select("symbol", "t"), told.select("symbol", "t", (F.col("t") + horizon + latency).alias("__end")), "__end")
     return told.join(weighed.drop("__end"), ["symbol", "t"])
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.asof import asof_forward, asof_join
 from tidemark.operators.features import fee
 from tidemark.operators.outcomes import known_at
+from tidemark.operators.regimes import cut
 
 GRID = ["lookback", "mode", "delay", "hold"]
 CONFIG = ["threshold", *GRID]
@@ -117,5 +118,6 @@ def signal_grid_replay(
     lead: DataFrame, second: DataFrame, markets: DataFrame, books: DataFrame, lookbacks: list[int], thresholds: list[float], delays: list[int], holds: list[int], quantity: float, rate: float, step: int, stale: int, wait: int, least: int
 ) -> DataFrame:
     """The whole grid from prices to ranked configurations; those without a signal inside a market have no row."""
-    rows = priced(signals(lead, second, lookbacks, step, stale), markets, books, delays, holds, quantity, rate, wait)
-    return grid_results(grid_trades(rows, thresholds), least)
+    found = cut(signals(lead, second, lookbacks, step, stale))
+    rows = cut(priced(found, markets, books, delays, holds, quantity, rate, wait))
+    return grid_results(cut(grid_trades(rows, thresholds)), least)
