@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import resampling
+from tidemark.operators import evaluation, resampling
 
 
 def plan(df):
@@ -19,3 +19,13 @@ def test_placebo_broadcasts_no_replicates(spark, tmp_path):
     assert "BroadcastHashJoin" not in plan(out)
     gap = sum(p for _, _, p, y in rows if y == 1) / 350 - sum(p for _, _, p, y in rows if y == 0) / 350
     assert abs(out.collect()[0]["observed"] - gap) < 1e-9
+
+
+def test_tail_losses_sum_days_once(spark):
+    """The quantile and the losses from there on come from the same sums, not from sums run twice."""
+    rows = [(s, d, random.Random(d * 9 + i).uniform(-9e5, 9e5)) for s in "ab" for d in range(40) for i in range(5)]
+    out = evaluation.var_cvar(spark.createDataFrame(rows, "symbol string, exit long, pnl double"))
+    assert "Join" not in plan(out)
+    for r in out.collect():
+        loss = sorted(-sum(p for s, d, p in rows if s == r["symbol"] and d == day) for day in range(40))
+        assert abs(r["var"] - loss[37]) < 1e-6 and abs(r["cvar"] - sum(loss[37:]) / 3) < 1e-6

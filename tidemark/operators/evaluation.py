@@ -128,8 +128,10 @@ def ensemble_score(votes: DataFrame) -> DataFrame:
 def var_cvar(trades: DataFrame, level: float = 0.95) -> DataFrame:
     """Nearest-rank loss quantile of daily results and the mean of losses from there on."""
     daily = trades.groupBy("symbol", "exit").agg((-F.sum("pnl")).alias("loss"))
-    var = daily.groupBy("symbol").agg(F.expr(f"percentile_disc({level}) WITHIN GROUP (ORDER BY loss)").alias("var"))
-    return daily.join(var, "symbol").where(F.col("loss") >= F.col("var")).groupBy("symbol").agg(F.first("var").alias("var"), F.avg("loss").alias("cvar"))
+    # days are summed once: sums that run again in another order may fall short of the quantile taken from them
+    w = Window.partitionBy("symbol")
+    placed = daily.where("symbol is not null and loss is not null").select("symbol", "loss", F.count("*").over(w.orderBy("loss")).alias("__upto"), F.count("*").over(w).alias("__n"))
+    return placed.where(F.col("__upto") >= level * F.col("__n")).groupBy("symbol").agg(F.min("loss").alias("var"), F.avg("loss").alias("cvar"))
 
 
 def correlation_matrix(returns: DataFrame) -> DataFrame:
