@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import evaluation, resampling
+from tidemark.operators import asof, evaluation, resampling
 
 
 def plan(df):
@@ -29,3 +29,22 @@ def test_tail_losses_sum_days_once(spark):
     for r in out.collect():
         loss = sorted(-sum(p for s, d, p in rows if s == r["symbol"] and d == day) for day in range(40))
         assert abs(r["var"] - loss[37]) < 1e-6 and abs(r["cvar"] - sum(loss[37:]) / 3) < 1e-6
+
+
+def test_window_aggregates_make_no_pairs(spark):
+    """Windows open and closed at their ends, with equal times, rows without key or time and windows without rows."""
+    rng = random.Random(5)
+    rows = [(rng.choice("ab"), rng.randrange(0, 400), float(rng.randrange(-50, 50))) for _ in range(300)] + [(None, 5, 1.0), ("a", None, 1.0)]
+    asks = [(i, rng.choice("ab"), rng.randrange(-50, 500)) for i in range(80)] + [(80, "c", 10), (81, None, 10), (82, "a", None)]
+    held, asked = spark.createDataFrame(rows, "symbol string, t long, v double"), spark.createDataFrame(asks, "id long, symbol string, t long")
+    for end_closed in (True, False):
+        aggs = {f"{h}_{closed}": (h, F.col("v"), closed) for h in ("sum", "count", "min", "max") for closed in (True, False)}
+        out = asof.window_aggregates(asked, held, "t", 50, aggs, end_closed)
+        assert "Join" not in plan(out)
+        got = {r["id"]: r for r in out.collect()}
+        assert len(got) == len(asks)
+        for i, s, t in asks:
+            for closed in (True, False):
+                inside = [] if s is None or t is None else [v for k, u, v in rows if k == s and u is not None and (t - 50 < u or closed and u == t - 50) and (u < t or end_closed and u == t)]
+                want = [sum(inside), len(inside), min(inside), max(inside)] if inside else [None, 0, None, None]
+                assert [got[i][f"{h}_{closed}"] for h in ("sum", "count", "min", "max")] == want, (i, closed, end_closed)

@@ -93,16 +93,32 @@ def last_known(df: DataFrame, key: str, t: str, columns: list[str], bucket_ms: i
     return seen.join(carry, ["__k", "__b"], "left").select(*[held.get(c, F.col(c)).alias(c) for c in df.columns])
 
 
-def window_rows(decisions: DataFrame, rows: DataFrame, t: str, span: int) -> DataFrame:
-    """Pairs of a decision (id, symbol, t) and the rows of its symbol in [t - span, t], an equi-join on time bins.
+def window_aggregates(decisions: DataFrame, rows: DataFrame, t: str, span: int, aggs: dict[str, tuple[str, Column, bool]], end_closed: bool = True) -> DataFrame:
+    """By id of the decisions (id, symbol, t), aggregates over the rows of its symbol from t - span to t.
 
-    For spans short against the rows' rate; running sums serve long ones. Decisions without rows are kept with nulls.
+    ``aggs``: name -> (sum, count, min or max, column, whether a row at t - span itself counts); ``end_closed``: whether rows
+    at t do. With time cut in bins as long as the span, a window is the end of one bin and the beginning of the next, so
+    it meets what has run up inside the one from its end and inside the other from its start: no pairs of a decision and
+    a row are made, and nothing is subtracted. Decisions without rows are kept with nulls, and counts of 0.
     """
-    at = F.floor(F.col("t") / span)
-    asked = decisions.select("id", "symbol", F.col("t").alias("__at"), F.explode(F.array(at - 1, at)).alias("__bin"))
-    held = rows.withColumn("__bin", F.floor(F.col(t) / span)).withColumnsRenamed({"symbol": "__symbol", "__bin": "__held", t: "__t"})
-    inside = (F.col("symbol") == F.col("__symbol")) & (F.col("__bin") == F.col("__held")) & F.col("__t").between(F.col("__at") - span, F.col("__at"))
-    return asked.join(held.drop("id"), inside, "left")
+    how = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
+    kinds = sorted({closed for _, _, closed in aggs.values()})
+    marks = [F.struct(F.col("t").alias("__t"), F.lit(2 if end_closed else 0).alias("__place"), F.lit("now").alias("__mark"))]
+    marks += [F.struct((F.col("t") - span).alias("__t"), F.lit(2 if closed else 0).alias("__place"), F.lit(f"then_{closed}").alias("__mark")) for closed in kinds]
+    asked = decisions.select("id", _key("symbol").alias("__k"), F.inline(F.array(*marks)))
+    asked = asked.withColumn("__b", _bucket(F.col("__t"), span, F.struct("id", "__mark")))
+    held = rows.where(_known("symbol", t)).select(_key("symbol").alias("__k"), F.col(t).alias("__t"), F.lit(1).alias("__place"), F.floor(F.col(t) / span).alias("__b"), *[c.alias(f"__v_{n}") for n, (_, c, _) in aggs.items()])
+    both = held.unionByName(asked, allowMissingColumns=True)
+    bin_of = Window.partitionBy("__k", "__b")
+    after, before = bin_of.orderBy("__t", "__place"), bin_of.orderBy(F.desc("__t"), "__place")
+    to_here = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    run = {f"__a_{n}": how[h](f"__v_{n}").over(to_here(after)) for n, (h, _, _) in aggs.items()} | {f"__z_{n}": how[h](f"__v_{n}").over(to_here(before)) for n, (h, _, _) in aggs.items()}
+    seen = both.withColumns(run).where("__place <> 1")
+
+    def part(n: str, closed: bool) -> Column:
+        return F.when(F.col("__mark") == "now", F.col(f"__a_{n}")).when(F.col("__mark") == f"then_{closed}", F.col(f"__z_{n}"))
+
+    return seen.groupBy("id").agg(*[(how["sum"] if h == "count" else how[h])(part(n, closed)).alias(n) for n, (h, _, closed) in aggs.items()])
 
 
 def asof_quotes(requests: DataFrame, quotes: DataFrame, max_age: int) -> DataFrame:

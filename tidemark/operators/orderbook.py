@@ -43,9 +43,9 @@ def book_changes(books: DataFrame) -> DataFrame:
 def book_change_flow(decisions: DataFrame, books: DataFrame, span: int) -> DataFrame:
     """Sums of the changes in [t - span, t) at each decision."""
     names = ["bid_added", "bid_cancelled", "ask_added", "ask_cancelled"]
-    pairs = asof.window_rows(decisions, book_changes(books), "event_ms", span)
-    inside = F.col("__t") < F.col("__at")
-    return pairs.groupBy("id").agg(*[F.coalesce(F.sum(F.when(inside, F.col(c))), F.lit(0.0)).alias(c) for c in names], F.count_if(inside).alias("updates"))
+    aggs = {c: ("sum", F.col(c), True) for c in names} | {"updates": ("count", F.lit(1), True)}
+    sums = asof.window_aggregates(decisions, book_changes(books), "event_ms", span, aggs, end_closed=False)
+    return sums.select("id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in names], "updates")
 
 
 def level_bands(books: DataFrame) -> DataFrame:
@@ -73,36 +73,30 @@ def log_steps(trades: DataFrame) -> DataFrame:
 
 def price_windows(decisions: DataFrame, trades: DataFrame, span: int) -> DataFrame:
     """Return from the price known at the window's start, variance, bipower variation and the share of jumps."""
-    rows = log_steps(trades).select("symbol", "t", F.col("id").alias("o"), "r", "bp")
-    after = F.col("__t") > F.col("__at") - span
-    sums = asof.window_rows(decisions, rows, "t", span).groupBy("id").agg(
-        F.coalesce(F.sum(F.when(after, F.col("r"))), F.lit(0.0)).alias("log_return"),
-        F.coalesce(F.sum(F.when(after, F.col("r") ** 2)), F.lit(0.0)).alias("variance"),
-        (np.pi / 2 * F.greatest(F.lit(0.0), F.coalesce(F.sum(F.when(after, F.col("bp"))) - F.min_by("bp", F.when(after, F.struct("__t", "o"))), F.lit(0.0)))).alias("bipower"),
-        F.count("__t").alias("n"),
-    )
+    first = F.struct("t", F.col("id").alias("o"), "bp")
+    aggs = {"log_return": ("sum", F.col("r"), False), "variance": ("sum", F.col("r") ** 2, False), "__bp": ("sum", F.col("bp"), False), "__first": ("min", first, False), "n": ("count", F.lit(1), True)}
+    sums = asof.window_aggregates(decisions, log_steps(trades), "t", span, aggs)
+    bipower = np.pi / 2 * F.greatest(F.lit(0.0), F.coalesce(F.col("__bp") - F.col("__first.bp"), F.lit(0.0)))
+    sums = sums.select("id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("log_return", "variance")], bipower.alias("bipower"), "n")
     return sums.withColumn("jump_share", F.when(F.col("variance") > 0, F.greatest(F.lit(0.0), (F.col("variance") - F.col("bipower")) / F.col("variance"))).otherwise(0.0))
 
 
 def trade_windows(decisions: DataFrame, trades: DataFrame, span: int) -> DataFrame:
     """Return, variance, quote volume and its signed imbalance over the trades since the window's start."""
-    rows = log_steps(trades).select("symbol", "t", "r", (F.col("price") * F.col("qty")).alias("quote"), F.when(F.col("buyer_is_maker"), -1.0).otherwise(1.0).alias("sign"))
-    after = F.col("__t") > F.col("__at") - span
-    total = F.sum(F.when(after, F.col("quote")))
-    return asof.window_rows(decisions, rows, "t", span).groupBy("id").agg(
-        F.coalesce(F.sum(F.when(after, F.col("r"))), F.lit(0.0)).alias("log_return"),
-        F.coalesce(F.sum(F.when(after, F.col("r") ** 2)), F.lit(0.0)).alias("variance"),
-        F.coalesce(total, F.lit(0.0)).alias("quote_volume"),
-        F.coalesce(F.sum(F.when(after, F.col("quote") * F.col("sign"))) / total, F.lit(0.0)).alias("imbalance"),
-    )
+    quote = F.col("price") * F.col("qty")
+    signed = F.when(F.col("buyer_is_maker"), -1.0).otherwise(1.0) * quote
+    aggs = {"log_return": ("sum", F.col("r"), False), "variance": ("sum", F.col("r") ** 2, False), "quote_volume": ("sum", quote, False), "imbalance": ("sum", signed, False)}
+    sums = asof.window_aggregates(decisions, log_steps(trades), "t", span, aggs)
+    return sums.select("id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("log_return", "variance", "quote_volume")], F.coalesce(F.col("imbalance") / F.col("quote_volume"), F.lit(0.0)).alias("imbalance"))
 
 
 def sliding_quotes(decisions: DataFrame, quotes: DataFrame, span: int) -> DataFrame:
     """Updates, mean and largest spread and the path of the middle over quotes in (t - span, t]."""
     mid = quotes.select("symbol", "event_ms", "update_id", ((F.col("bid") + F.col("ask")) / 2).alias("mid"), (F.col("ask") - F.col("bid")).alias("spread"))
     rows = asof.neighbour(mid, "symbol", "event_ms", "update_id", ["mid"], "p_").withColumn("move", F.coalesce(F.abs(F.log(F.col("mid") / F.col("p_mid"))), F.lit(0.0)))
-    after = F.col("__t") > F.col("__at") - span
-    return asof.window_rows(decisions, rows, "event_ms", span).groupBy("id").agg(F.count_if(after).alias("updates"), F.avg(F.when(after, F.col("spread"))).alias("mean_spread"), F.max(F.when(after, F.col("spread"))).alias("max_spread"), F.coalesce(F.sum(F.when(after, F.col("move"))), F.lit(0.0)).alias("variation"))
+    aggs = {"updates": ("count", F.lit(1), False), "__told": ("count", F.col("spread"), False), "__spread": ("sum", F.col("spread"), False), "max_spread": ("max", F.col("spread"), False), "variation": ("sum", F.col("move"), False)}
+    sums = asof.window_aggregates(decisions, rows, "event_ms", span, aggs)
+    return sums.select("id", "updates", F.when(F.col("__told") > 0, F.col("__spread") / F.col("__told")).alias("mean_spread"), "max_spread", F.coalesce("variation", F.lit(0.0)).alias("variation"))
 
 
 def decayed(rows: DataFrame, half_life: int, columns: list[str]) -> DataFrame:
