@@ -1,10 +1,11 @@
 """Steps that must grow no faster than their input, against plain versions."""
 
 import random
+import statistics
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, evaluation, resampling
+from tidemark.operators import asof, evaluation, ranks, resampling
 
 
 def plan(df):
@@ -48,3 +49,15 @@ def test_window_aggregates_make_no_pairs(spark):
                 inside = [] if s is None or t is None else [v for k, u, v in rows if k == s and u is not None and (t - 50 < u or closed and u == t - 50) and (u < t or end_closed and u == t)]
                 want = [sum(inside), len(inside), min(inside), max(inside)] if inside else [None, 0, None, None]
                 assert [got[i][f"{h}_{closed}"] for h in ("sum", "count", "min", "max")] == want, (i, closed, end_closed)
+
+
+def test_medians_hold_few_values(spark):
+    """Exact medians of many values, of few, of equal ones and of a null key; no buffer holds all values of a key."""
+    rng = random.Random(3)
+    rows = [("a", rng.gauss(0, 5)) for _ in range(20_001)] + [("b", rng.gauss(0, 5)) for _ in range(20_000)] + [("c", 1.0), ("c", 2.0), ("d", 4.0)] + [("e", float(i % 3)) for i in range(9_000)] + [(None, 7.0), ("a", None)]
+    out = ranks.medians(spark.createDataFrame(rows, "k string, v double"), "k", "v")
+    got = {r["__key"]: r["median"] for r in out.collect()}
+    assert got == {k: statistics.median(v for s, v in rows if s == k and v is not None) for k in ("a", "b", "c", "d", "e", None)}
+    trades = spark.createDataFrame([("a", 1, 1.0)], "symbol string, exit long, pnl double")
+    whole = plan(evaluation.replay_metrics(trades))
+    assert "median(" not in whole and "percentile(" not in whole

@@ -34,8 +34,22 @@ def daily_metric(df: DataFrame) -> DataFrame:
 
 
 def replay_metrics(trades: DataFrame) -> DataFrame:
-    loss = -F.sum(F.least("pnl", F.lit(0.0)))
-    return trades.groupBy("symbol").agg(F.count("*").alias("trades"), F.sum("pnl").alias("net"), F.median("pnl").alias("median"), F.avg((F.col("pnl") > 0).cast("double")).alias("positive_rate"), F.when(loss > 0, F.sum(F.greatest("pnl", F.lit(0.0))) / loss).alias("profit_factor"), F.count_distinct("exit").alias("active_days"))
+    """Count, net, median, share of winners, gains over losses and days of each symbol's results.
+
+    Sums run by day first, so that days are counted without sets; medians come from a narrow range of values.
+    """
+    gain = F.col("pnl") > 0
+    days = trades.groupBy("symbol", "exit").agg(
+        F.count("*").alias("n"), F.count("pnl").alias("told"), F.sum("pnl").alias("net"), F.count_if(gain).alias("won"),
+        F.sum(F.least("pnl", F.lit(0.0))).alias("lost"), F.sum(F.greatest("pnl", F.lit(0.0))).alias("gained"),
+    )
+    loss = -F.sum("lost")
+    sums = days.groupBy("symbol").agg(
+        F.sum("n").alias("trades"), F.sum("net").alias("net"), (F.sum("won") / F.sum("told")).alias("positive_rate"),
+        F.when(loss > 0, F.sum("gained") / loss).alias("profit_factor"), F.count("exit").alias("active_days"),
+    )
+    middle = ranks.medians(trades, "symbol", "pnl")
+    return sums.join(middle, F.col("symbol").eqNullSafe(F.col("__key")), "left").select("symbol", "trades", "net", "median", "positive_rate", "profit_factor", "active_days")
 
 
 def drawdown(trades: DataFrame) -> DataFrame:
