@@ -5,7 +5,7 @@ import statistics
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, evaluation, ranks, resampling
+from tidemark.operators import asof, evaluation, paths, ranks, resampling
 
 
 def plan(df):
@@ -61,3 +61,20 @@ def test_medians_hold_few_values(spark):
     trades = spark.createDataFrame([("a", 1, 1.0)], "symbol string, exit long, pnl double")
     whole = plan(evaluation.replay_metrics(trades))
     assert "median(" not in whole and "percentile(" not in whole
+
+
+def test_seen_paths_equal_pairs(spark):
+    """Paths by a sweep against the join of markets and ticks, with late ticks, repeated times and windows that end early."""
+    rng = random.Random(4)
+    ticks = [(rng.choice("ab"), i, t, t + 1, t + rng.choice((0, 3, 40)), 50.0 + rng.randrange(40)) for i, t in enumerate(rng.randrange(0, 300) for _ in range(250))] + [("a", 900, None, 1, 1, 9.0), ("a", 901, 5, 1, None, 9.0), ("a", 902, 7, 8, 8, 0.0)]
+    markets = [(i, rng.choice("abc"), t, t + rng.choice((1, 60, 200)), t + rng.choice((5, 40, 150))) for i, t in enumerate(rng.randrange(-20, 320) for _ in range(60))]
+    m = spark.createDataFrame(markets, "market_id long, symbol string, start long, end long, observed long")
+    k = spark.createDataFrame(ticks, "symbol string, id long, source long, published long, received long, price double")
+    out = paths.seen_paths(m, k, 64)
+    assert "overlap" not in plan(out) and "__bin" not in plan(out)
+    got = {r["market_id"]: r for r in out.collect()}
+    want = {r["market_id"]: r for r in paths.path_aggregate(paths.ticks_seen(m, k), "market_id", "source", "price", 64).collect()}
+    assert got.keys() == want.keys() and len(got) > 20
+    for i, r in want.items():
+        assert (got[i]["n"], got[i]["first"].asDict(), got[i]["last"].asDict()) == (r["n"], r["first"].asDict(), r["last"].asDict())
+        assert abs(got[i]["length"] - r["length"]) < 1e-9 and abs(got[i]["variance"] - r["variance"]) < 1e-9
