@@ -5,7 +5,7 @@ import statistics
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, evaluation, paths, ranks, resampling
+from tidemark.operators import asof, evaluation, orderbook, paths, ranks, resampling
 
 
 def plan(df):
@@ -63,6 +63,32 @@ def test_medians_hold_few_values(spark):
     assert "median(" not in whole and "percentile(" not in whole
 
 
+def test_books_are_rebuilt_as_a_stream(spark):
+    """Books longer than a batch against a plain replay; no segment is one group."""
+    level = "array<struct<price: double, qty: double>>"
+    rng, rows = random.Random(8), []
+    for i in range(300):
+        change = lambda: [(float(p), float(rng.choice((0, 1, 2)))) for p in rng.sample(range(9), 3)]
+        rows.append(("a", i, i, i - 1, i in (3, 150), change(), change()))
+    feed = spark.createDataFrame(rows, f"symbol string, event_ms long, update_id long, previous_id long, snapshot boolean, bids {level}, asks {level}")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = orderbook.rebuild_book(feed)
+        assert "FlatMapGroupsInArrow" not in plan(out)
+        got = {r["update_id"]: r for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    held, want = ({}, {}), {}
+    for _, _, i, _, snapshot, *sides in rows[3:]:
+        for state, changes in zip(held, sides, strict=True):
+            if snapshot:
+                state.clear()
+            state.update(changes)
+        books = [{p: q for p, q in state.items() if q > 0} for state in held]
+        want[i] = (max(books[0], default=None), min(books[1], default=None), float(sum(books[0].values())), float(sum(books[1].values())))
+    assert {k: (r["best_bid"], r["best_ask"], r["bid_depth"], r["ask_depth"]) for k, r in got.items()} == want
+
+
 def test_seen_paths_equal_pairs(spark):
     """Paths by a sweep against the join of markets and ticks, with late ticks, repeated times and windows that end early."""
     rng = random.Random(4)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -237,29 +239,43 @@ def book_segments(feed: DataFrame) -> DataFrame:
 def rebuild_book(feed: DataFrame, levels: int = 20) -> DataFrame:
     """Best prices and depths after each update of the segments that begin with a snapshot.
 
-    A group is one segment, so no longer than the feed's distance between snapshots.
+    Segments are dealt out and put in order, and each partition is read once as a stream: a task holds one book and one
+    batch of the feed, however long a segment is.
     """
-
-    def replay(group: pa.Table) -> pa.Table:
-        rows = group.sort_by([("event_ms", "ascending"), ("update_id", "ascending")]).to_pylist()
-        out = {n: [] for n in ("symbol", "update_id", "best_bid", "best_ask", "bid_depth", "ask_depth")}
-        state = ({}, {})
-        for row in rows if rows[0]["snapshot"] else []:
-            for held, changes in zip(state, (row["bids"], row["asks"]), strict=True):
-                if row["snapshot"]:
-                    held.clear()
-                for level in changes:
-                    if level["qty"] > 0:
-                        held[level["price"]] = level["qty"]
-                    else:
-                        held.pop(level["price"], None)
-            top = [sorted(held, reverse=i == 0)[:levels] for i, held in enumerate(state)]
-            values = (row["symbol"], row["update_id"], *[t[0] if t else None for t in top], *[sum(held[p] for p in t) for held, t in zip(state, top, strict=True)])
-            for name, value in zip(out, values, strict=True):
-                out[name].append(value)
-        return pa.table(out, schema=pa.schema([("symbol", pa.string()), ("update_id", pa.int64()), *[(n, pa.float64()) for n in list(out)[2:]]]))
-
-    rows = book_segments(feed).groupBy("symbol", "segment").applyInArrow(replay, "symbol string, update_id long, best_bid double, best_ask double, bid_depth double, ask_depth double")
+    names = ("best_bid", "best_ask", "bid_depth", "ask_depth")
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment, live, state = None, False, ({}, {})
+        for batch in batches:
+            symbols, segments, ids, snapshots = (batch.column(c).to_pylist() for c in ("symbol", "segment", "update_id", "snapshot"))
+            sides = []
+            for side in ("bids", "asks"):
+                lists = batch.column(side)
+                flat = lists.flatten()
+                sides.append((np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).tolist(), flat.field("price").to_pylist(), flat.field("qty").to_pylist()))
+            out = {n: [] for n in ("symbol", "update_id", *names)}
+            for i, update in enumerate(ids):
+                if (symbols[i], segments[i]) != segment:
+                    segment, live = (symbols[i], segments[i]), snapshots[i]
+                if not live:
+                    continue
+                tops = []
+                for down, held, (cuts, prices, sizes) in zip((True, False), state, sides, strict=True):
+                    if snapshots[i]:
+                        held.clear()
+                    for j in range(cuts[i], cuts[i + 1]):
+                        if sizes[j] > 0:
+                            held[prices[j]] = sizes[j]
+                        else:
+                            held.pop(prices[j], None)
+                    tops.append(sorted(held, reverse=down)[:levels])
+                values = (symbols[i], update, *[t[0] if t else None for t in tops], *[sum([held[p] for p in t]) for held, t in zip(state, tops, strict=True)])
+                for name, value in zip(out, values, strict=True):
+                    out[name].append(value)
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("symbol", pa.string()), ("update_id", pa.int64()), *[(n, pa.float64()) for n in names]]))
+
+    ordered = book_segments(feed).select("symbol", "segment", "event_ms", "update_id", "snapshot", "bids", "asks").repartition("symbol", "segment").sortWithinPartitions("symbol", "segment", "event_ms", "update_id")
+    rows = ordered.mapInArrow(replay, "symbol string, update_id long, " + ", ".join(f"{n} double" for n in names))
     return rows.withColumn("imbalance", F.when(F.col("bid_depth") + F.col("ask_depth") > 0, (F.col("bid_depth") - F.col("ask_depth")) / (F.col("bid_depth") + F.col("ask_depth"))).otherwise(0.0))
 
 
