@@ -5,7 +5,7 @@ import statistics
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, evaluation, orderbook, paths, ranks, resampling
+from tidemark.operators import asof, evaluation, orderbook, outcomes, paths, ranks, resampling
 
 
 def plan(df):
@@ -104,3 +104,35 @@ def test_seen_paths_equal_pairs(spark):
     for i, r in want.items():
         assert (got[i]["n"], got[i]["first"].asDict(), got[i]["last"].asDict()) == (r["n"], r["first"].asDict(), r["last"].asDict())
         assert abs(got[i]["length"] - r["length"]) < 1e-9 and abs(got[i]["variance"] - r["variance"]) < 1e-9
+
+
+def test_payoffs_neither_sort_nor_group_actions(spark, monkeypatch):
+    """Offsets that are no multiples of the step, both ways to join, against loops; with a short path no action is sorted or grouped."""
+    rng, step, life, guard, mark, age = random.Random(6), 10, 1_000, 75, 333, 15
+    path = [("a", t, m - 0.2, m + 0.2, m, m - 0.1, m + 0.3, m + 0.1) for t, m in ((t, 100 + rng.gauss(0, 0.3)) for t in range(0, 6_000, step) if rng.random() < 0.9)]
+    acts = [(i, "a", rng.randrange(0, 5_000), rng.choice((1, -1)), 100.0, 60.0, 90.0, 1.0, 2.0) for i in range(200)] + [(None, "a", 50, 1, 100.0, 60.0, 90.0, 1.0, 2.0)]
+    p = spark.createDataFrame(path, "symbol string, t long, min_bid double, max_bid double, close_bid double, min_ask double, max_ask double, close_ask double")
+    a = spark.createDataFrame(acts, "id long, symbol string, t long, side int, entry double, stop double, take double, entry_cost double, exit_cost double")
+
+    def known(at):
+        end = max((r[1] + step for r in path if r[1] + step <= at), default=None)
+        return end if end is not None and at - end <= age else None
+
+    for few in (outcomes.FEW, 0):
+        monkeypatch.setattr(outcomes, "FEW", few)
+        for check_gap in (True, False):
+            out = outcomes.path_payoff(a, p, step, life, guard, age, {"m": mark}, check_gap, False, 80)
+            assert few == 0 or not [w for w in ("Aggregate", "SortMergeJoin", "Sort [") if w in plan(out)]
+            got = {r["id"]: r for r in out.collect()}
+            assert got.keys() == set(range(200)) and len({r["outcome"] for r in got.values()}) >= 3
+            for i, _, t, side, *_ in acts[:-1]:
+                ends = [known(t + o) for o in (guard, life, mark)]
+                valid = None not in ends and ends[1] - step >= t + guard
+                assert got[i]["valid"] == valid
+                if valid:
+                    start = -(-t // step) * step if check_gap else t + guard
+                    low, high = 100 * (1 - side * 0.006), 100 * (1 + side * 0.009)
+                    hits = (r[1] for r in path if start <= r[1] <= t + life - step and ((r[2] <= low if side == 1 else r[6] >= low) or (r[1] >= t + guard and (r[3] >= high if side == 1 else r[5] <= high))))
+                    assert got[i]["exit_t"] == next((h + step for h in hits), t + life), (i, check_gap)
+                    quote = next(r for r in path if r[1] + step == ends[2])
+                    assert abs(got[i]["markout_m"] - side * (quote[4 if side == 1 else 7] / 100 - 1) * 10_000) < 1e-6

@@ -11,6 +11,8 @@ from tidemark.operators.regimes import cut
 DAY_MS = 86_400_000
 #: Anchors or blocks that one array holds at most before it is exploded.
 STRETCH = 4096
+#: Rows of a table that joins broadcast at most.
+FEW = 100_000
 
 
 def known_at(left: DataFrame, right: DataFrame, key: str, t: str, offsets: dict[str, int], right_t: str, order: str) -> DataFrame:
@@ -151,6 +153,12 @@ def horizon_exclusion_counts(path: DataFrame) -> DataFrame:
     return path.groupBy("symbol").agg(F.count("*").alias("rows"), F.count_if(~F.col("zero_valid")).alias("zero_invalid"), *[c.alias(n) for n, c in sides])
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A table cut and counted; each task gets it whole if it has few rows, else joins with it shuffle."""
+    told = cut(df)
+    return F.broadcast(told) if told.count() <= FEW else told
+
+
 def path_payoff(
     actions: DataFrame, path: DataFrame, step: int, horizon: int, protection: int, max_age: int, markouts: dict[str, int], check_gap: bool, adverse: bool, block: int | None = None
 ) -> DataFrame:
@@ -163,34 +171,47 @@ def path_payoff(
     An action is not valid, and its outcome null, if it would outlive its UTC day or the quote at the protection, at the
     horizon or at a markout is missing or older than ``max_age``.
 
-    The first touch is sought in blocks of ``block`` (64 steps): a block's extremes tell whether it can hold a touch, and
-    only the first such block and those that a bound cuts are read row by row.
+    Times of the path are multiples of ``step``, so what an action knows depends on its step alone and is asked once for each
+    (symbol, step). The first touch is sought in blocks of ``block`` (64 steps): an action meets the extremes of all blocks
+    that it lives through in one row, and then reads, one after the other, those that can hold its touch. Only the first
+    few can be without one, those that a bound cuts, so that a handful of lookups is exact. No step sorts or groups actions.
     """
     wide = block or 64 * step
     asked = {"__protect": protection, "__fixed": horizon} | {f"__m_{n}": o for n, o in markouts.items()}
+    path = cut(path.where("symbol IS NOT NULL AND t IS NOT NULL"))
     at_end = path.select("symbol", (F.col("t") + step).alias("end"), "close_bid", "close_ask")
-    whole = actions.where("symbol IS NOT NULL AND t IS NOT NULL")
-    seen = known_at(whole.select("id", "symbol", "t"), at_end, "symbol", "t", asked, "end", "end")
+    # dealt out by id, since a file may be one task
+    whole = actions.where("id IS NOT NULL AND symbol IS NOT NULL AND t IS NOT NULL").withColumn("__slot", F.floor(F.col("t") / step) * step)
+    steps = {n: o // step * step for n, o in asked.items()} | {f"{n}_over": (o // step + 1) * step for n, o in asked.items() if o % step}
+    seen = _small(known_at(whole.select("symbol", "__slot").distinct(), at_end, "symbol", "__slot", steps, "end", "end"))
+    rows = whole.repartition("id").join(seen, ["symbol", "__slot"])
+    rows = rows.withColumns({n: F.when(F.col("t") - F.col("__slot") + o % step >= step, F.col(f"{n}_over")).otherwise(F.col(n)) for n, o in asked.items() if o % step})
     fresh = _all([F.coalesce(F.col("t") + o - F.col(f"{n}.end") <= max_age, F.lit(False)) for n, o in asked.items()])
     # at least one whole step lies between the protection and the end
     day_end, last = (F.floor(F.col("t") / DAY_MS) + 1) * DAY_MS, F.col("t") + horizon - step
-    rows = whole.join(seen.drop("symbol", "t"), "id").withColumn("__known", fresh & (F.col("t") + horizon <= day_end) & (F.col("__fixed.end") - step >= F.col("t") + protection))
     long = F.col("side") == 1
     stop = F.col("entry") * (1 - F.col("side") * F.col("stop") / 10_000)
     take = F.col("entry") * (1 + F.col("side") * F.col("take") / 10_000)
     start = F.floor((F.col("t") + step - 1) / step) * step if check_gap else F.col("t") + protection
-    bounds = rows.where("__known").select("id", "symbol", "side", stop.alias("__stop"), take.alias("__take"), start.alias("__from"), (F.col("t") + protection).alias("__safe"), last.alias("__last"))
-    hit = F.when(long, F.col("min_bid") <= F.col("__stop")).otherwise(F.col("max_ask") >= F.col("__stop"))
-    gain = F.when(long, F.col("max_bid") >= F.col("__take")).otherwise(F.col("min_ask") <= F.col("__take"))
-    blocks = path.withColumn("__b", F.floor(F.col("t") / wide)).groupBy("symbol", "__b").agg(F.min("min_bid").alias("min_bid"), F.max("max_bid").alias("max_bid"), F.min("min_ask").alias("min_ask"), F.max("max_ask").alias("max_ask"))
-    spread = bounds.withColumn("__b", F.explode(F.sequence(F.floor(F.col("__from") / wide), F.floor(F.col("__last") / wide))))
-    opens, closes = F.col("__b") * wide, (F.col("__b") + 1) * wide
-    cut = (opens < F.col("__from")) | (closes > F.col("__last") + 1) | ((opens < F.col("__safe")) & (closes > F.col("__safe")))
-    may = spread.join(blocks, ["symbol", "__b"]).where(cut | hit | (gain & (opens >= F.col("__safe"))))
-    chosen = may.groupBy(*bounds.columns).agg(F.collect_set(F.when(cut, F.col("__b"))).alias("__cut"), F.min(F.when(~cut, F.col("__b"))).alias("__first"))
-    read = chosen.withColumn("__b", F.explode(F.array_compact(F.array_append("__cut", F.col("__first"))))).drop("__cut", "__first")
-    near = read.join(path.withColumn("__b", F.floor(F.col("t") / wide)), ["symbol", "__b"]).where(F.col("t").between(F.col("__from"), F.col("__last")) & (hit | (gain & (F.col("t") >= F.col("__safe")))))
-    touch = near.groupBy("id").agg(F.min_by(F.struct("t", "min_bid", "max_bid", "close_bid", "min_ask", "max_ask", "close_ask"), "t").alias("__x"))
+    safe = F.col("t") + protection
+    rows = rows.withColumns({"__known": fresh & (F.col("t") + horizon <= day_end) & (F.col("__fixed.end") - step >= safe), "__lo": F.floor(start / wide)})
+    hit = lambda q: F.when(long, q["min_bid"] <= stop).otherwise(q["max_ask"] >= stop)
+    gain = lambda q: F.when(long, q["max_bid"] >= take).otherwise(q["min_ask"] <= take)
+    extremes = [F.min("min_bid").alias("min_bid"), F.max("max_bid").alias("max_bid"), F.min("min_ask").alias("min_ask"), F.max("max_ask").alias("max_ask")]
+    held = F.struct("t", "min_bid", "max_bid", "close_bid", "min_ask", "max_ask", "close_ask")
+    blocks = _small(path.groupBy("symbol", F.floor(F.col("t") / wide).alias("__b")).agg(*extremes, F.sort_array(F.collect_list(held)).alias("__steps")))
+    ahead = blocks.withColumn("__lo", F.explode(F.sequence(F.col("__b") - max(0, (horizon - step) // wide + 1), F.col("__b"))))
+    ahead = _small(ahead.groupBy("symbol", "__lo").agg(F.sort_array(F.collect_list(F.struct("__b", "min_bid", "max_bid", "min_ask", "max_ask"))).alias("__ahead")))
+    may = F.filter("__ahead", lambda e: (e["__b"] <= F.floor(last / wide)) & (hit(e) | (gain(e) & ((e["__b"] + 1) * wide > safe))))
+    # blocks cut by the start, by the end of the protection and by the end, and one that surely holds a touch
+    reads = 4 if check_gap else 3
+    rows = rows.join(ahead, ["symbol", "__lo"], "left").withColumn("__may", F.when(F.col("__known"), F.slice(may, 1, reads)["__b"])).drop("__ahead")
+    rows = rows.withColumn("__x", F.lit(None).cast(path.select(held.alias("x")).schema["x"].dataType))
+    for i in range(reads):
+        # an action that has nothing to read stays by its own block, so that no key gathers those
+        rows = rows.withColumn("__b", F.coalesce(F.get("__may", F.lit(i)), F.col("__lo"))).join(blocks.select("symbol", "__b", "__steps"), ["symbol", "__b"], "left")
+        touch = F.get(F.filter("__steps", lambda p: p["t"].between(start, last) & (hit(p) | (gain(p) & (p["t"] >= safe)))), F.lit(0))
+        rows = rows.withColumn("__x", F.coalesce("__x", F.when(F.get("__may", F.lit(i)).isNotNull(), touch))).drop("__b", "__steps")
     x = lambda c: F.col(f"__x.{c}")
     stopped = F.when(long, x("min_bid") <= stop).otherwise(x("max_ask") >= stop)
     taken = F.when(long, x("max_bid") >= take).otherwise(x("min_ask") <= take)
@@ -204,4 +225,4 @@ def path_payoff(
     net = F.col("side") * (share - 1) * 10_000 - F.col("entry_cost") - F.col("exit_cost") * share
     marks = [F.when(F.col("__known") & (F.col("t") + o <= day_end), F.col("side") * (F.when(long, F.col(f"__m_{n}.close_bid")).otherwise(F.col(f"__m_{n}.close_ask")) / F.col("entry") - 1) * 10_000).alias(f"markout_{n}") for n, o in markouts.items()]
     known = lambda c: F.when(F.col("__known"), c)
-    return rows.join(touch, "id", "left").select("id", "symbol", "t", "side", F.col("__known").alias("valid"), known(kind).alias("outcome"), known(F.coalesce(x("t") + step, F.col("t") + horizon)).alias("exit_t"), known(net).alias("net"), *marks)
+    return rows.select("id", "symbol", "t", "side", F.col("__known").alias("valid"), known(kind).alias("outcome"), known(F.coalesce(x("t") + step, F.col("t") + horizon)).alias("exit_t"), known(net).alias("net"), *marks)

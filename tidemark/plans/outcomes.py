@@ -113,9 +113,8 @@ def payoff(adverse: bool) -> Query:
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = bars.quote_path(views.quotes(spark, sf_dir), STEP).select("symbol", F.col("open_time").alias("t"), "min_bid", "max_bid", F.col("last_bid").alias("close_bid"), "min_ask", "max_ask", F.col("last_ask").alias("close_ask"))
-        acts = views.actions(spark, sf_dir).join(views.trades(spark, sf_dir).select("id", F.col("price").alias("entry")), "id")
         stop = 800 + F.col("id") % 5 * 400
-        acts = acts.select("id", "symbol", "t", "side", "entry", stop.alias("stop"), (stop * 1.5).alias("take"), F.lit(2.0).alias("entry_cost"), F.lit(4.0).alias("exit_cost"))
+        acts = views.actions(spark, sf_dir, "price").select("id", "symbol", "t", "side", F.col("price").alias("entry"), stop.alias("stop"), (stop * 1.5).alias("take"), F.lit(2.0).alias("entry_cost"), F.lit(4.0).alias("exit_cost"))
         out = outcomes.path_payoff(acts, path, STEP, LIFE, GUARD, 6 * HOUR, MARKS, adverse, adverse, block=2 * HOUR)
         return out.select(*[F.round(F.col(c) + TIE, 5).alias(c) if k == "double" else F.col(c) for c, k in out.dtypes])
 

@@ -79,8 +79,8 @@ def closed_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trades as proposed actions: side, score, when they would end and what they would earn, plainly and under stress."""
+def actions(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Trades as proposed actions: side, score, when they would end and what they would earn, plainly and under stress; ``more`` columns of the trade."""
     end = F.col("t") + (1 + F.col("id") % 5) * 600_000
     return trades(spark, sf_dir).select(
         "id", "symbol", "t",
@@ -89,6 +89,7 @@ def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
         end.alias("end"),
         (end + 300_000).alias("stress_end"),
         ((F.col("id") * 37 % 101 - 48) / 10.0).alias("net"),
+        *more,
     )
 
 
