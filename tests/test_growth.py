@@ -136,3 +136,29 @@ def test_payoffs_neither_sort_nor_group_actions(spark, monkeypatch):
                     assert got[i]["exit_t"] == next((h + step for h in hits), t + life), (i, check_gap)
                     quote = next(r for r in path if r[1] + step == ends[2])
                     assert abs(got[i]["markout_m"] - side * (quote[4 if side == 1 else 7] / 100 - 1) * 10_000) < 1e-6
+
+
+def test_level_bands_merge_both_books_at_once(spark, monkeypatch):
+    """Against a loop: unsorted books, sides that are empty, null or hold a null level, null sizes, slices; no function is called for each level."""
+    monkeypatch.setattr(orderbook, "SLICE", 7)
+    level, rng, rows = "array<struct<price: double, qty: double>>", random.Random(12), []
+    for i in range(200):
+        side = lambda: [(float(p), rng.choice((1.0, 2.0, None))) for p in rng.sample(range(40), rng.choice((0, 3, 30)))]
+        bids, asks = side(), side()
+        rows.append(("ab"[i % 2], i, i, None if i % 23 == 5 else bids, None if i % 29 == 7 else [None, *asks] if i % 31 == 8 else asks))
+    books = spark.createDataFrame(rows, f"symbol string, event_ms long, update_id long, bids {level}, asks {level}")
+    out, want = orderbook.level_bands(books), {}
+    assert "map_zip_with" not in plan(out) and "MapInArrow" in plan(out)
+    for (symbol, _, _, *before), (_, _, i, *now) in zip(rows, rows[2:], strict=False):
+        if any(s is None or None in s for s in (*before, *now)):
+            continue
+        for name, was, new in zip(("bid", "ask"), before, now, strict=True):
+            a, b = ({p: q or 0.0 for p, q in s} for s in (was, new))
+            for p in a.keys() | b.keys():
+                rank = 1 + sum(x > p if name == "bid" else x < p for x in a)
+                if a.get(p, 0.0) != b.get(p, 0.0):
+                    want[i, name, p] = (symbol, b.get(p, 0.0) - a.get(p, 0.0), rank, "1-5" if rank <= 5 else "6-10" if rank <= 10 else "11-20" if rank <= 20 else "outside")
+    got = out.collect()
+    assert {(r["update_id"], r["side"], r["price"]): (r["symbol"], r["change"], r["rank"], r["band"]) for r in got} == want and len(got) == len(want)
+    assert {v[3] for v in want.values()} == {"1-5", "6-10", "11-20", "outside"}
+    assert orderbook.level_bands(books.limit(0)).count() == 0

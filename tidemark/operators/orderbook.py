@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from tidemark.functions import book
 from tidemark.operators import asof, features
 
+#: Books whose levels are merged at once.
+SLICE = 2_000
+
 
 def book_metrics(books: DataFrame, quote: float) -> DataFrame:
     """Middle, spread, micro price, depths, imbalances, the shape of both sides and what taking ``quote`` costs."""
@@ -51,14 +54,52 @@ def book_change_flow(decisions: DataFrame, books: DataFrame, span: int) -> DataF
 
 
 def level_bands(books: DataFrame) -> DataFrame:
-    """Each level whose quantity differs from the book before, with the band of its price's rank in that book."""
-    b = asof.neighbour(books, "symbol", "event_ms", "update_id", ["bids", "asks"], "p_").where("p_bids is not null")
-
-    def changed(side: str) -> Column:
-        pairs = F.map_entries(F.map_zip_with(F.map_from_entries(f"p_{side}s"), F.map_from_entries(f"{side}s"), lambda _, was, now: F.coalesce(now, F.lit(0.0)) - F.coalesce(was, F.lit(0.0))))
-        return F.transform(F.filter(pairs, lambda e: e["value"] != 0), lambda e: F.struct(F.lit(side).alias("side"), e["key"].alias("price"), e["value"].alias("change"), book.rank(F.col(f"p_{side}s"), e["key"], side).alias("rank")))
+    """Each level whose quantity differs from the book before, with the band of its price's rank in that book.
 
-    rows = b.withColumn("__c", F.explode(F.concat(changed("bid"), changed("ask")))).select("symbol", "update_id", "__c.*")
+    Both sides of both books of many updates are merged by price at once: a price met twice is one level that stays, and
+    its rank is one more than the levels of the book before that come earlier. A book with a missing side or level, or after such
+    a one, has no rows; a level without price or a price repeated on a side is an error.
+    """
+    parts = [(side, c) for side in ("bid", "ask") for c in ("price", "qty")]
+    narrow = books.select("symbol", "event_ms", "update_id", *[F.col(f"{side}s")[c].cast("array<double>").alias(f"{side}_{c}") for side, c in parts])
+    both = asof.neighbour(narrow, "symbol", "event_ms", "update_id", [f"{side}_{c}" for side, c in parts], "p_").where("p_bid_price is not null")
+    pairs = both.select("symbol", "update_id", *[f"{p}{side}_{c}" for side, c in parts for p in ("p_", "")])
+
+    def changed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, len(whole), SLICE):
+                batch = whole.slice(low, SLICE)
+                known = np.logical_and.reduce([batch.column(f"{p}{side}_price").is_valid().to_numpy(zero_copy_only=False) for side in ("bid", "ask") for p in ("p_", "")])
+                sides = {}
+                for side, sign in (("bid", -1.0), ("ask", 1.0)):
+                    lengths, prices, sizes = ([batch.column(f"{p}{side}_{c}") for p in ("p_", "")] for c in ("price", "price", "qty"))
+                    lengths = [x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for x in lengths]
+                    at = np.concatenate([np.repeat(np.arange(len(batch)), n) for n in lengths])
+                    price, size = (pa.concat_arrays([x.flatten() for x in v]) for v in (prices, sizes))
+                    gone = price.is_null().to_numpy(zero_copy_only=False)
+                    if gone.any():
+                        if size.is_valid().to_numpy(zero_copy_only=False)[gone].any():
+                            raise ValueError("a level has no price")
+                        known[at[gone]] = False
+                    was = np.repeat([1, 0], [int(n.sum()) for n in lengths])
+                    price, step = price.to_numpy(zero_copy_only=False), size.fill_null(0.0).to_numpy(zero_copy_only=False) * (1.0 - 2.0 * was)
+                    order = np.lexsort((sign * price, at))
+                    at, price, step, was = at[order], price[order], step[order], was[order]
+                    same = (at[1:] == at[:-1]) & (price[1:] == price[:-1])
+                    if (same & (was[1:] == was[:-1]) & known[at[1:]]).any():
+                        raise ValueError("a price is repeated on one side of a book")
+                    first = np.flatnonzero(np.concatenate([[True], ~same])) if len(at) else np.empty(0, np.int64)
+                    moved = np.add.reduceat(step, first) if len(at) else step
+                    before = (np.cumsum(was) - was)[first] - (np.cumsum(lengths[0]) - lengths[0])[at[first]]
+                    sides[side] = at[first], price[first], moved, before + 1
+                for side, (at, price, moved, rank) in sides.items():
+                    keep = (moved != 0) & known[at]
+                    rows = pa.array(at[keep])
+                    cells = [batch.column("symbol").take(rows), batch.column("update_id").take(rows), pa.repeat(side, len(rows)), pa.array(price[keep]), pa.array(moved[keep]), pa.array(rank[keep], pa.int32())]
+                    yield pa.RecordBatch.from_arrays(cells, names=["symbol", "update_id", "side", "price", "change", "rank"])
+
+    kinds = dict(pairs.dtypes)
+    rows = pairs.mapInArrow(changed, f"symbol {kinds['symbol']}, update_id {kinds['update_id']}, side string, price double, change double, rank int")
     return rows.withColumn("band", F.when(F.col("rank") <= 5, "1-5").when(F.col("rank") <= 10, "6-10").when(F.col("rank") <= 20, "11-20").otherwise("outside"))
 
 
