@@ -149,6 +149,7 @@ def test_level_bands_merge_both_books_at_once(spark, monkeypatch):
     books = spark.createDataFrame(rows, f"symbol string, event_ms long, update_id long, bids {level}, asks {level}")
     out, want = orderbook.level_bands(books), {}
     assert "map_zip_with" not in plan(out) and "MapInArrow" in plan(out)
+    assert "_w0" not in plan(out)  # no second copy of the sides goes through the shuffle
     for (symbol, _, _, *before), (_, _, i, *now) in zip(rows, rows[2:], strict=False):
         if any(s is None or None in s for s in (*before, *now)):
             continue

@@ -67,14 +67,16 @@ def neighbour(df: DataFrame, key: str, t: str, order: str, columns: list[str], p
     is kept, has no neighbour and is none.
     """
     rows = df.withColumns({"__k": _key(key), "__b": _bucket(F.col(t), bucket_ms, F.struct(*df.columns))})
-    held, place = F.struct(*[F.col(c).alias(prefix + c) for c in columns]), F.struct(t, order)
+    place = F.struct(t, order)
     by = [F.desc(t), F.desc(order)] if ahead else [F.col(t), F.col(order)]
-    held = F.when(_known(key, t), held)
+    held = F.when(_known(key, t), F.struct(*[F.col(c).alias(prefix + c) for c in columns]))
     edge = F.min_by(held, place) if ahead else F.max_by(held, place)
     order_by = F.desc("__b") if ahead else F.col("__b")
-    inside = rows.withColumn("__near", F.lag(held).over(Window.partitionBy("__k", "__b").orderBy(*by)))
+    # column by column, since a struct of them would be a second copy of each row in the shuffle; a bucket has only rows with key and time, or none
+    w = Window.partitionBy("__k", "__b").orderBy(*by)
+    inside = rows.withColumns({"__has": F.lag(F.lit(True)).over(w)} | {f"__near_{c}": F.lag(c).over(w) for c in columns})
     edges = _by_bucket(inside, edge.alias("__edge")).withColumn("__carry", F.lag("__edge").over(Window.partitionBy("__k").orderBy(order_by))).select("__k", "__b", "__carry")
-    near = F.when(_known(key, t), F.coalesce("__near", "__carry"))
+    near = F.when(_known(key, t), F.when(F.col("__has"), F.struct(*[F.col(f"__near_{c}").alias(prefix + c) for c in columns])).otherwise(F.col("__carry")))
     return inside.join(edges, ["__k", "__b"], "left").withColumn("__near", near).select(*df.columns, "__near.*")
 
 
