@@ -8,8 +8,9 @@ The tree's first level does not split space but content, since boxes alone prune
 number of groups chosen for a band of set sizes, the content of every group is a signature, and documents meet where
 a signature is equal. Two sets at the threshold differ in at most d shingles, which leave about groups * exp(-d /
 groups) groups alone; groups are chosen so that at least ``EQUAL`` are expected, so the chance that a link has no
-signature in common is below exp(-EQUAL). Sets under ``SMALL`` shingles use prefixes in hash order instead, which
-miss nothing. Under a signature, points lie sorted by set size in leaves; leaves and points whose bound is too low are
+signature in common is below exp(-EQUAL). Sets under ``SMALL`` shingles use prefixes in one order of all shingles
+instead, which miss nothing: shingles found frequent in a part of the texts come last, the most frequent at the end, all
+others before them by hash, so that a passage that many texts quote seldom lets them meet. Under a signature, points lie sorted by set size in leaves; leaves and points whose bound is too low are
 pruned. What survives is grouped, and within a group every pair that the bound allows is verified on the sets.
 Signatures of very many sets, such as those of a passage that a third of all documents quote, are told by their counts in
 a part of the sets chosen by hash; that only decides their way: each is cut in blocks, and every pair of blocks is a task.
@@ -36,15 +37,18 @@ from tidemark.llm.tables import Forest, bounds, by_sorted_key, components, cut,
 from tidemark.llm.textscan import Slice, mix, packed, runs, slices_of, span_hashes
 
 SHINGLE = 5
-SMALL, EQUAL, COORDINATES = 64, 20, 64
+SMALL, EQUAL, COORDINATES = 256, 20, 64
 LEAF, BLOCK = 64, 1024
 #: One set of so many is looked at to tell hot signatures; at least so many of them make a signature hot.
 LOOK, SEEN = 64, 16
-#: Rows of a broadcast table of hot signatures or classes at most; what counts as hot follows from it.
+#: In how many of the texts looked at a shingle must be to come late in the order of prefixes.
+OFTEN = 4
+#: Rows of a broadcast table of hot signatures, classes or frequent shingles at most; what counts as hot follows from it.
 HOT_ROWS = 100_000
 #: Copies of a set from which its rows are joined apart.
 HOT_COPIES = 256
 U = np.uint64
+NONE = np.zeros((2, 0), np.uint64)
 
 
 @lru_cache(1)
@@ -96,12 +100,24 @@ def _groups(level: int, share: tuple[int, int]) -> int:
     return g
 
 
-def signatures(u: np.ndarray, share: tuple[int, int]) -> np.ndarray:
+def _prefix(u: np.ndarray, size: int, frequent: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the order of prefixes; frequent: hashes in order, and the places of these."""
+    if not frequent.shape[1]:
+        return u[:size]
+    at = np.minimum(np.searchsorted(frequent[0], u), frequent.shape[1] - 1)
+    late = frequent[0, at] == u
+    rare = u[~late]
+    if len(rare) >= size:
+        return rare[:size]
+    return np.concatenate([rare, u[late][np.argsort(frequent[1, at[late]])]])[:size]
+
+
+def signatures(u: np.ndarray, share: tuple[int, int], frequent: np.ndarray = NONE) -> np.ndarray:
     """Signatures of a set, given as sorted distinct hashes."""
     n, out = len(u), []
     a, b = share
     if n < SMALL or n * a < b * SMALL:
-        out.append(mix(u[: n - -(-a * n // b) + 1] ^ U(0x5BD1E995)))
+        out.append(mix(_prefix(u, n - -(-a * n // b) + 1, frequent) ^ U(0x5BD1E995)))
     if n >= SMALL:
         for level, groups in levels(n, share):
             g = ((u >> U(32)) * U(groups)) >> U(32)  # grows with u
@@ -124,8 +140,30 @@ def _points(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(listed), "<u2").reshape(-1, COORDINATES)
 
 
+def frequent_shingles(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """Hashes of shingles that very many texts have, in order, and their places from the rarest to the most frequent.
+
+    They are told by their counts in a 64th of the texts. That only decides the order of prefixes, which may be any.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for _, s in slices_of(batch.column(0)):
+                hashes, doc = shingle_hashes(s)
+                edge = np.searchsorted(doc, np.arange(len(s.texts) + 1))
+                sets = [np.unique(hashes[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["shingle"])
+
+    looked = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h")).where(F.pmod("h", F.lit(LOOK)) == 0).dropDuplicates(["h"])
+    counts = looked.select("text").mapInArrow(released(run), "shingle long").groupBy("shingle").agg(F.count("*").alias("seen")).where(F.col("seen") >= OFTEN)
+    most = counts.orderBy(F.desc("seen"), "shingle").limit(HOT_ROWS).toArrow().column("shingle").to_numpy().view(np.uint64)
+    by_hash = np.argsort(most)
+    return np.stack([most[by_hash], (len(most) - 1 - by_hash).astype(np.uint64)])
+
+
 def fingerprints(docs: DataFrame, share: tuple[int, int] = (3, 4), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_hash, n_shingles, set_id, point, signatures) of each row."""
+    frequent = frequent_shingles(docs, text_col)
 
     def run(batches):
         for batch in batches:
@@ -138,7 +176,7 @@ def fingerprints(docs: DataFrame, share: tuple[int, int] = (3, 4), id_col: str =
                     n.append(len(u))
                     ids.append(int(mix(np.array([mix(u).sum(dtype=np.uint64)]))[0] >> U(1)) if len(u) else None)
                     points.append(point(u) if len(u) else None)
-                    signs.append(signatures(u, share).view(np.int64) if len(u) else np.zeros(0, np.int64))
+                    signs.append(signatures(u, share, frequent).view(np.int64) if len(u) else np.zeros(0, np.int64))
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in signs])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c).slice(first, len(s.texts)) for c in (0, 2)), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(points, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(signs)))],
@@ -334,7 +372,7 @@ def set_links(docs: DataFrame, marks: DataFrame, share: tuple[int, int], id_col:
     row = F.struct(F.col(id_col).alias("row_id"), "text_hash")
     first = marks.join(candidates, "set_id", "left_semi").groupBy("set_id").agg(F.min(row).alias("row")).select("set_id", "row.*")
     rows = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("own_hash"))
-    texts = rows.join(first, F.col("own_id").eqNullSafe(F.col("row_id")) & (F.col("own_hash") == F.col("text_hash"))).select("set_id", "text")
+    texts = rows.join(_some(cut(first)), F.col("own_id").eqNullSafe(F.col("row_id")) & (F.col("own_hash") == F.col("text_hash"))).select("set_id", "text")
     sets = _sets(texts).join(candidates, "set_id").dropDuplicates(["set_id"])
     sizes = candidates.groupBy("g").agg(F.count("*").alias("m"))
     sets = _dealt(sets.join(sizes, "g"), "g", F.ceil(F.col("m") / BLOCK).cast("int"))
