@@ -1,5 +1,6 @@
 """Steps that must grow no faster than their input, against plain versions."""
 
+import hashlib
 import random
 import statistics
 
@@ -22,6 +23,26 @@ def test_placebo_broadcasts_no_replicates(spark, tmp_path):
     assert abs(out.collect()[0]["observed"] - gap) < 1e-9
 
 
+def test_placebo_shuffles_no_replicates(spark):
+    """What is shuffled are the rows of days and one sum a task and replicate; nulls in the day, the signal and the outcome."""
+    rng = random.Random(8)
+    rows = [(i * 3, rng.choice([1, 2, 3, None]), rng.choice([None, rng.random(), rng.random()]), rng.choice([0, 1, 1, None])) for i in range(300)]
+    out = resampling.placebo_exceedance(spark.createDataFrame(rows, "id long, day long, p double, y int"), "day", "p", "y", 20)
+    assert "MergeJoin" not in plan(out) and "Window" not in plan(out)
+    gaps = []
+    for rep in range(21):
+        sums = {0: [], 1: []}
+        for day in (1, 2, 3):
+            own = sorted(r for r in rows if r[1] == day)
+            mixed = sorted(own, key=lambda r: ("" if rep == 0 else hashlib.md5(f"{rep}|{r[0]}".encode()).hexdigest(), r[0]))
+            for a, b in zip(own, mixed, strict=True):
+                if a[3] is not None and b[2] is not None:
+                    sums[a[3]].append(b[2])
+        gaps.append(statistics.fmean(sums[1]) - statistics.fmean(sums[0]))
+    got = out.collect()[0]
+    assert abs(got["observed"] - gaps[0]) < 1e-9 and abs(got["p"] - (sum(g >= gaps[0] - 1e-9 for g in gaps[1:]) + 1) / 21) < 1e-9
+
+
 def test_tail_losses_sum_days_once(spark):
     """The quantile and the losses from there on come from the same sums, not from sums run twice."""
     rows = [(s, d, random.Random(d * 9 + i).uniform(-9e5, 9e5)) for s in "ab" for d in range(40) for i in range(5)]

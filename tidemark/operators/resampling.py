@@ -85,13 +85,12 @@ def placebo_exceedance(df: DataFrame, day: str, signal: str, hit: str, replicate
     The statistic is the days' mean of (signal where the outcome is 1) - (signal where it is 0), rows weighted alike; gaps within
     1e-9 of the real one count as equal to it, since sums run in any order.
     """
-    own = F.row_number().over(Window.partitionBy(day).orderBy("id"))
-    held = df.select(day, own.alias("k"), F.col(hit).alias("__h"))
-    rows = df.select(day, "id", F.col(signal).alias("__s")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
-    order = F.when(F.col("rep") == 0, "").otherwise(F.md5(F.concat_ws("|", F.col("rep").cast("string"), F.col("id").cast("string"))))
-    mixed = rows.select(day, "rep", F.row_number().over(Window.partitionBy(day, "rep").orderBy(order, "id")).alias("k"), "__s")
-    # rows are many times what the file's size lets the optimizer expect, so it must not broadcast them
-    dealt = mixed.join(held.hint("merge"), [day, "k"])
+    own = F.sort_array(F.collect_list(F.struct("id", F.col(signal).alias("s"), F.col(hit).alias("h"))))
+    days = df.where(F.col(day).isNotNull()).groupBy(day).agg(own.alias("__own")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
+    order = lambda x: F.when(F.col("rep") == 0, "").otherwise(F.md5(F.concat_ws("|", F.col("rep").cast("string"), x["id"].cast("string"))))
+    # only a day's rows are shuffled, and once: its replicates are made and summed one after the other where the day is
+    mixed = F.sort_array(F.transform("__own", lambda x: F.struct(order(x).alias("o"), x["id"].alias("id"), x["s"].alias("s"))))
+    dealt = days.select("rep", F.inline(F.zip_with(mixed, "__own", lambda x, y: F.struct(x["s"].alias("__s"), y["h"].alias("__h")))))
     gap = dealt.groupBy("rep").agg((F.avg(F.when(F.col("__h") == 1, F.col("__s"))) - F.avg(F.when(F.col("__h") == 0, F.col("__s")))).alias("gap"))
     real = gap.where("rep = 0").select(F.col("gap").alias("observed"))
     return gap.where("rep > 0").crossJoin(F.broadcast(real)).agg(F.first("observed").alias("observed"), ((F.count_if(F.col("gap") >= F.col("observed") - 1e-9) + 1) / (F.count("*") + 1)).alias("p"))
